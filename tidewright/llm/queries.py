@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import byte_bpe, html_text, license_scan
+from tidewright.llm import ann, byte_bpe, decontaminate, html_text, license_scan, ngram_join, substring_dedup, url_filter
 from tidewright.llm.common import table
 
 
@@ -27,13 +27,107 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def digits(text: Column) -> Column:
+    """A number that a text's MD5 gives, the same in any engine."""
+    return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("int")
+
+
+def dated_list(captures: DataFrame) -> DataFrame:
+    """A list of hosts, domains and paths with the days on which they come and go, derived from the captures' own URLs."""
+    key = captures.select(F.explode(url_filter.keys(F.col("url"))).alias("key")).distinct().withColumn("c", digits(F.col("key")))
+    day = lambda n: F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(n)
+    dated = lambda n, action, kind: F.struct(day(n).alias("at"), F.lit(action).alias("action"), F.lit(kind).alias("kind"))
+    c = F.col("c")
+    deny = F.when(c % 5 == 0, F.array(dated(c % 300, "add", "deny"), dated(c % 300 + 20 + c % 90, "remove", "deny")))
+    again = F.when(c % 10 == 0, F.array(dated(c % 300 + 150, "add", "deny")))
+    allow = F.when(c % 7 == 0, F.array(dated(c % 200, "add", "allow")))
+    none = F.array().cast("array<struct<at:timestamp_ntz,action:string,kind:string>>")
+    return key.select("key", F.inline(F.concat(*(F.coalesce(x, none) for x in (deny, again, allow)))))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures without a time of their own get one from their URL and id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(digits(F.col("url")) % 366, F.lit(0), F.lit(0), (F.col("page_id") % 86400).cast("decimal(18,6)"))
+    captures = pages.withColumn("fetched_at", at)
+    return url_filter.evaluate(captures, dated_list(captures))
+
+
+ORACLE_OP5 = r"""
+with c as (
+  select distinct page_id, url,
+    timestamp '2024-01-01' + to_days(cast(cast('0x' || substr(md5(url), 1, 6) as integer) % 366 as integer)) + to_seconds(cast(page_id % 86400 as integer)) as fetched_at,
+    regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^www\.|\.$', '', 'g') as host,
+    regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) as segment
+  from pages),
+p as (select *, string_split(host, '.') as labels from c),
+ck as (
+  select distinct page_id, url, fetched_at, key from (
+    select page_id, url, fetched_at, array_to_string(labels[i:], '.') as key
+    from p, unnest(range(1, greatest(2, cast(len(labels) as integer)))) as t(i) where host <> ''
+    union all
+    select page_id, url, fetched_at, host || '/' || segment from p where host <> '' and segment <> '')),
+k as (select distinct key, cast('0x' || substr(md5(key), 1, 6) as integer) as c from ck),
+e as (
+  select key, 'deny' as kind, c % 300 as d, 1 as listed from k where c % 5 = 0
+  union all select key, 'deny', c % 300 + 20 + c % 90, 0 from k where c % 5 = 0
+  union all select key, 'deny', c % 300 + 150, 1 from k where c % 10 = 0
+  union all select key, 'allow', c % 200, 1 from k where c % 7 = 0),
+ev as (select key, kind, timestamp '2024-01-01' + to_days(cast(d as integer)) as at, max(listed) as listed from e group by all),
+latest as (
+  select ck.*, ev.kind, ev.listed, row_number() over (partition by ck.page_id, ck.url, ck.fetched_at, ck.key, ev.kind order by ev.at desc) as rn
+  from ck join ev on ck.key = ev.key and ev.at <= ck.fetched_at),
+active as (
+  select *, count(*) over (partition by page_id, url, fetched_at) as n,
+    row_number() over (partition by page_id, url, fetched_at order by length(key) desc, case kind when 'allow' then 1 else 0 end desc, key desc) as best
+  from latest where rn = 1 and listed = 1)
+select c.page_id, c.url, c.fetched_at, cast(coalesce(a.n, 0) as bigint) as n_active, a.key as deciding_key, a.kind as deciding_kind, coalesce(a.kind = 'deny', false) as blocked
+from c left join active a on c.page_id is not distinct from a.page_id and c.url = a.url and c.fetched_at = a.fetched_at and a.best = 1
+"""
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_OP8 = r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+g as (select doc_id, i, hash(array_to_string(words[i:i + 12], ' ')) as h, md5(array_to_string(words[i:i + 12], ' ')) as m
+  from w, unnest(range(1, cast(len(words) as integer) - 11)) as t(i)),
+f as (select h, m, min(doc_id) as first_doc from g group by h, m),
+r as (select g.doc_id, list_distinct(flatten(list(range(g.i, g.i + 13)))) as gone from g join f using (h, m) where f.first_doc < g.doc_id group by g.doc_id)
+select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(coalesce(array_to_string(case when gone is null then words else list_filter(words, lambda x, i: not list_contains(gone, i)) end, ' '), '')) as kept_sha256
+from w left join r on w.doc_id = r.doc_id
+"""
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_text": op2_html_text,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_url_filter": op5_url_filter,
+    "op6_ann": op6_ann,
     "op7_license_scan": op7_license_scan,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_ngram_join": op9_ngram_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_url_filter": ORACLE_OP5, "op8_substring_dedup": ORACLE_OP8}
