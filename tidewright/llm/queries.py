@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, byte_bpe, decontaminate, html_text, license_scan, ngram_join, substring_dedup, url_filter
+from tidewright.llm import ann, byte_bpe, decontaminate, html_text, license_scan, ngram_join, quality, substring_dedup, toxicity, url_filter
 from tidewright.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), quality.CUT)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -120,14 +125,21 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), toxicity.CUT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_text": op2_html_text,
+    "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_ann": op6_ann,
     "op7_license_scan": op7_license_scan,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op5_url_filter": ORACLE_OP5, "op8_substring_dedup": ORACLE_OP8}

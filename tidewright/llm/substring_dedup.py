@@ -153,19 +153,21 @@ def kept_text(text: str | None, spans: list, width: int) -> tuple[int, int, str]
     return len(words), int((~keep).sum()), " ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """(id, n_words, n_removed, kept) of every row."""
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_words, n_removed, kept) of every row, and the columns to carry along."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [kept_text(t.as_py(), s.as_py() or [], width) for t, s in zip(batch.column(1), batch.column(2), strict=True)]
             n, removed, kept = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[3:]], names=[id_col, "n_words", "n_removed", "kept", *carry])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     rows = docs.mapInArrow(lambda b: stretches(b, width, seed), "m bigint, doc bigint, sub int, at int, n int, windows binary")
     spans = rows.repartition("m").sortWithinPartitions("m", "doc").mapInArrow(repeats, "doc bigint, sub int, at int, n int")
     spans = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    keyed = docs.withColumn("sub", (F.crc32(F.coalesce("text", F.lit(""))) % 65536).cast("int"))
-    joined = keyed.join(spans, ["doc", "sub"], "left_outer").select("doc", "text", "spans")
-    return joined.mapInArrow(cut, f"{id_col} bigint, n_words bigint, n_removed bigint, kept string")
+    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    keyed = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), (F.crc32(F.coalesce(text_col, F.lit(""))) % 65536).cast("int").alias("sub"), *carried)
+    joined = keyed.join(spans, ["doc", "sub"], "left_outer").select("doc", "text", "spans", *(f"carried_{i}" for i in range(len(carry))))
+    types = dict(df.dtypes)
+    return joined.mapInArrow(cut, f"{id_col} bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", `{c}` {types[c]}" for c in carry))
