@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WordHashes, chunks, mix, rolled
+from tidewright.llm.common import WordHashes, chunks, rolled
 
-WIDTH, SEED = 13, 5
+WIDTH, SEED = 13, 3
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK_WORDS = 1 << 20
 WINDOW_BYTES = 6  # of a window's hash; with the minimizer's 8 they tell windows apart
@@ -89,7 +89,7 @@ def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed
     starts = np.flatnonzero(new)
     n = np.diff(np.append(starts, len(doc)))
     sent = ~known[starts]
-    key = np.where(sent, m[starts], mix(m[starts] + at[starts].astype(np.uint64)))  # what is known only passes through: dealt evenly
+    key = np.where(sent, m[starts], doc[starts].view(np.uint64))  # what is known only passes through, dealt by document
     short = window[~known].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WINDOW_BYTES]
     offsets = np.concatenate(([0], np.cumsum(n * sent * WINDOW_BYTES))).astype(np.int32)
     blob = pa.Array.from_buffers(pa.binary(), len(starts), [pa.array(sent, pa.bool_()).buffers()[1], pa.py_buffer(offsets.tobytes()), pa.py_buffer(short.tobytes())])
