@@ -530,7 +530,7 @@ def q36_read_amplification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.read_amplification(grid.spans(points_of(spark, sf_dir), 16, 10)).withColumn("amplification", r("amplification"))
 
 
-DONE = "(ty + tx) % 2 = 0"
+DONE = "(ty + tx) % 2 = 1"
 
 
 @query(SQL_GRID + f", t as (select distinct y // 16 as ty, x // 16 as tx from pts) select ty, tx from t where not ({DONE})")
