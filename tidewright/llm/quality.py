@@ -119,7 +119,7 @@ class Model:
         y = np.array([r[1] for r in rows], np.float64)
         self.prior = float(y.sum() / (y.sum() + weight * (len(y) - y.sum()))) if len(y) else 0.5
         self.params: dict[str, np.ndarray] | None = None
-        if 0 < self.prior < 1:
+        if len(y) and 0 < self.prior < 1:
             self.vectors = word_vectors([r[2] for r in rows], index_vectors(seed))
             x = np.stack([pooled(r[2], self.vectors) for r in rows]).astype(np.float64)
             kept = calibration_part(np.array([r[0] for r in rows]))

@@ -63,7 +63,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     hit = looked_up.withColumn("m", month(F.col("at"))).join(active, ["key", "m", "salt"], "left_outer").select(
         "id", "url", "at", F.when((F.col("at") >= F.col("valid_from")) & (F.col("at") < F.col("valid_to")), F.struct(F.length("key").alias("n"), (F.col("kind") == "allow").cast("int").alias("a"), "key", "kind")).alias("hit")
     )
-    out = hit.groupBy("id", "url", "at").agg(F.count("hit").alias("n_active"), F.max("hit").alias("best"))
+    out = hit.groupBy("id", "url", "at").agg(F.size(F.collect_set("hit")).cast("long").alias("n_active"), F.max("hit").alias("best"))
     return out.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), F.col("at").alias(at_col), "n_active",
         F.col("best.key").alias("deciding_key"), F.col("best.kind").alias("deciding_kind"), F.coalesce(F.col("best.kind") == "deny", F.lit(False)).alias("blocked"),
