@@ -28,7 +28,7 @@ def brute(rows, width=13):
 def test_against_brute_force(spark):
     shared = prose(7, 40)
     rows = [*edge_rows(), (None, prose(1, 60)), (30, prose(2, 50) + " " + shared + " " + prose(3, 20)), (31, shared), (29, prose(4, 5) + "\n" + shared.replace(" ", "\n")), (32, prose(5, 13)), (33, prose(5, 13)), (34, prose(6, 12)), (35, prose(6, 12)), (36, "a " * 300), (37, "a " * 20), (29, "other text under the same id")]
-    rows += [(100 + i, prose(50 + i % 4, 30) + " " + shared) for i in range(30)]
+    rows += [(100 + i, prose(50 + i % 4, 30) + " " + shared) for i in range(30)] + [(i, prose(77, 70_000)) for i in (60, 61)]
     for parts in (1, 5):
         got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in s.dedup(docs(spark, rows).repartition(parts)).collect()), key=str)
         assert got == brute(rows)

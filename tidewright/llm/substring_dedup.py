@@ -30,7 +30,8 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK_WORDS = 1 << 20
 WINDOW_BYTES = 6  # of a window's hash; with the minimizer's 8 they tell windows apart
 MOST = (1 << 63) - 1
-COLUMNS = ["m", "doc", "sub", "at", "n", "windows"]
+COLUMNS = ["m", "doc", "place", "windows"]
+SPANS = ["doc", "sub", "at", "n"]
 
 
 def text_key(text: str) -> int:
@@ -52,7 +53,10 @@ def minimizers(words: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np
 
 
 def stretches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Rows (m, doc, sub, at, n, windows): n windows from word ``at`` on, that share minimizer m; null windows are known to repeat."""
+    """Rows (m, doc, place, windows): n windows from word ``at`` on, that share minimizer m; null windows are known to repeat.
+
+    ``place`` packs the text key (16 bits), n (16) and at (32): one long is shuffled instead of three.
+    """
     hashes = WordHashes()
     ids, texts, n = [], [], 0
     for i, t in ((i, t) for some in chunks(batches) for i, t in zip(*some, strict=True)):
@@ -85,7 +89,7 @@ def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed
     known = doc[first][group] < doc
     # A stretch ends where the document, its fate or the place of its minimizer changes.
     new = np.ones(len(doc), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (known[1:] != known[:-1]) | (~known[1:] & (place[1:] != place[:-1]))
+    new[1:] = (at[1:] % 32768 == 0) | (at[1:] != at[:-1] + 1) | (known[1:] != known[:-1]) | (~known[1:] & (place[1:] != place[:-1]))
     starts = np.flatnonzero(new)
     n = np.diff(np.append(starts, len(doc)))
     sent = ~known[starts]
@@ -93,26 +97,33 @@ def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed
     short = window[~known].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WINDOW_BYTES]
     offsets = np.concatenate(([0], np.cumsum(n * sent * WINDOW_BYTES))).astype(np.int32)
     blob = pa.Array.from_buffers(pa.binary(), len(starts), [pa.array(sent, pa.bool_()).buffers()[1], pa.py_buffer(offsets.tobytes()), pa.py_buffer(short.tobytes())])
+    place = ((sub[starts].astype(np.uint64) << np.uint64(48)) | (n.astype(np.uint64) << np.uint64(32)) | at[starts].astype(np.uint64)).view(np.int64)
     for a in range(0, len(starts), 100_000):
         cut = slice(a, a + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(doc[starts[cut]]), pa.array(sub[starts[cut]]), pa.array(at[starts[cut]], pa.int32()), pa.array(n[cut], pa.int32()), blob[cut]], names=COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(doc[starts[cut]]), pa.array(place[cut]), blob[cut]], names=COLUMNS)
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text key, at, n) of packed places."""
+    u = place.view(np.uint64)
+    return (u >> np.uint64(48)).astype(np.int32), (u & np.uint64(0xFFFFFFFF)).astype(np.int32), ((u >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int32)
 
 
 def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Coordinates (doc, sub, at, n) of windows that a smaller document has, from rows sorted by minimizer and document."""
     last, seen = None, {}  # the minimizer that the next batch may go on with, and its windows' first documents
     for batch in batches:
-        asked = np.asarray(batch.column(5).is_valid())
-        known = batch.filter(pa.array(~asked)).select([1, 2, 3, 4])
-        if known.num_rows:
-            yield known
+        asked = np.asarray(batch.column(3).is_valid())
+        m, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        sub, at, n = unpacked(batch.column(2).to_numpy())
+        if not asked.all():
+            yield pa.RecordBatch.from_arrays([pa.array(c[~asked]) for c in (doc, sub, at, n)], names=SPANS)
         if not asked.any():
             continue
-        batch = batch.filter(pa.array(asked))
-        m, doc, sub, at, n = (batch.column(i).to_numpy() for i in range(5))
+        m, doc, sub, at, n = (c[asked] for c in (m, doc, sub, at, n))
         row = np.repeat(np.arange(len(m)), n)
         w = np.zeros((len(row), 8), np.uint8)
-        w[:, :WINDOW_BYTES] = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, WINDOW_BYTES)
+        w[:, :WINDOW_BYTES] = np.frombuffer(b"".join(x for x in batch.column(3).to_pylist() if x is not None), np.uint8).reshape(-1, WINDOW_BYTES)
         w = w.view("<u8").ravel()
         group = np.cumsum(np.concatenate(([0], m[1:] != m[:-1])))[row]
         order = np.lexsort((doc[row], w, group))
@@ -131,7 +142,7 @@ def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.ones(len(hit), bool)
             fresh[1:] = (r[1:] != r[:-1]) | (within[1:] != within[:-1] + 1)
             s = np.flatnonzero(fresh)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[r[s]]), pa.array(sub[r[s]]), pa.array((at[r[s]] + within[s]).astype(np.int32)), pa.array(np.diff(np.append(s, len(hit))).astype(np.int32))], names=COLUMNS[1:5])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[r[s]]), pa.array(sub[r[s]]), pa.array((at[r[s]] + within[s]).astype(np.int32)), pa.array(np.diff(np.append(s, len(hit))).astype(np.int32))], names=SPANS)
         if m[-1] != m[0]:
             seen = {}
         last = m[-1]
@@ -163,7 +174,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[3:]], names=[id_col, "n_words", "n_removed", "kept", *carry])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = docs.mapInArrow(lambda b: stretches(b, width, seed), "m bigint, doc bigint, sub int, at int, n int, windows binary")
+    rows = docs.mapInArrow(lambda b: stretches(b, width, seed), "m bigint, doc bigint, place bigint, windows binary")
     spans = rows.repartition("m").sortWithinPartitions("m", "doc").mapInArrow(repeats, "doc bigint, sub int, at int, n int")
     spans = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
