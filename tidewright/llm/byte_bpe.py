@@ -152,7 +152,7 @@ def merged_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Vocabulary:
     """Ranks of byte strings, with what encoding remembers and decoding looks up."""
 
-    LONGEST, MOST = 64, 1 << 19  # bounds of what is remembered
+    LONGEST, MOST = 64, 1 << 18  # bounds of what is remembered
 
     def __init__(self, path: str):
         with open(path, "rb") as f:

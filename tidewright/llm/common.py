@@ -63,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """Stable 64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, bound: int = 1 << 19):
+    def __init__(self, bound: int = 1 << 17):
         import xxhash
 
         self.of, self.known, self.bound = xxhash.xxh3_64_intdigest, {}, bound

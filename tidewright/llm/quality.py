@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +26,28 @@ from tidewright.llm.learning import Adam, calibration_part, sample, sigmoid, tem
 SAMPLE = 5_000  # bound of the rows of each label that a fit uses
 CUT = 0.5
 BUCKETS, WIDTH, HIDDEN = 1 << 15, 48, 32
-SHAPE = re.compile(r"([A-Z])+|([^\W\d_A-Z])+|(\d)+|(\W|_)")
+DIGITS, SMALL, CAPITALS, MARKS = re.compile(r"\d+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\W+")
+KNOWN, MOST_KNOWN = {}, 1 << 17  # what a worker remembers of tokens, and its bound
 
 
-@lru_cache(1 << 18)
-def word_ids(token: str) -> tuple[int, int]:
-    """The buckets of a token's word and of its shape."""
+def token_ids(token: str) -> int:
+    """The buckets of a token's word and, above it, of its shape."""
     import xxhash
 
-    shape = SHAPE.sub(lambda m: "X" if m[1] else "x" if m[2] else "9" if m[3] else m[4], token[:40])
-    word = re.sub(r"\W+", "", token.lower()) or token
-    return xxhash.xxh3_64_intdigest(word) % BUCKETS, xxhash.xxh3_64_intdigest(f"{shape} {min(len(token), 24) // 3}", 1) % BUCKETS
+    shape = CAPITALS.sub("X", SMALL.sub("x", DIGITS.sub("9", token[:40])))
+    word = MARKS.sub("", token.lower()) or token
+    ids = xxhash.xxh3_64_intdigest(word) % BUCKETS | xxhash.xxh3_64_intdigest(f"{shape} {min(len(token), 24) // 3}", 1) % BUCKETS << 32
+    if len(KNOWN) >= MOST_KNOWN:
+        KNOWN.clear()
+    KNOWN[token] = ids
+    return ids
 
 
 def ids_of(text: str) -> np.ndarray:
     """Word ids, then as many shape ids."""
-    pairs = [word_ids(t) for t in text.split()]
-    return np.array(pairs, np.int32).T.ravel() if pairs else np.empty(0, np.int32)
+    known = KNOWN.get
+    both = np.array([i if (i := known(t)) is not None else token_ids(t) for t in text.split()], np.int64)
+    return np.concatenate((both & 0xFFFFFFFF, both >> 32)).astype(np.int32)
 
 
 def index_vectors(seed: int) -> np.ndarray:

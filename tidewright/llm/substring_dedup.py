@@ -27,7 +27,7 @@ from tidewright.llm.common import WordHashes, chunks, rolled
 
 WIDTH, SEED = 13, 3
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 WINDOW_BYTES = 6  # of a window's hash; with the minimizer's 8 they tell windows apart
 MOST = (1 << 63) - 1
 COLUMNS = ["m", "doc", "place", "windows"]
