@@ -12,6 +12,7 @@ from tidewright.functions.design import design
 from tidewright.functions.families import LIMITS, acvf
 from tidewright.operators import counting, fitting, gls, grid, selection
 from tidewright.operators import series as ops
+from tidewright.operators.linear import line_report
 from tidewright.operators.filtering import LOG_2PI, augmented, matern32_loglik, ou_loglik, white_loglik
 from tidewright.plans.data import LONG, SQL_AXIS
 
@@ -568,3 +569,12 @@ def q50_delta_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = p.groupBy("series_id").agg(F.stddev_pop("v").alias("sigma"), F.count("*").alias("n"))
     variance = F.try_divide(F.lit(1.0), F.col("n") * 2)
     return m.select("series_id", r("sigma").alias("sigma"), r(F.sqrt(variance * F.col("sigma") * F.col("sigma"))).alias("sigma_err"))
+
+
+@query("with s as (" + LONG["nation_month"][1] + "), " + SQL_AXIS + """, f as (select series_id, count(*) as n, regr_slope(v, i) as slope, regr_intercept(v, i) as intercept, sqrt((regr_syy(v, i) - regr_slope(v, i) * regr_sxy(v, i)) / (count(*) - 2)) as residual_sd, regr_sxx(v, i) as sxx, avg(i) as mean_i from p group by series_id)
+select series_id, any_value(n) as n, round(any_value(slope), 8) as slope, round(any_value(intercept), 6) as intercept, round(any_value(residual_sd), 6) as residual_sd, round(any_value(residual_sd / sqrt(sxx)), 8) as slope_err,
+  round(avg(case when i > mean_i then v - intercept - slope * i end) - avg(case when i <= mean_i then v - intercept - slope * i end), 6) as half_difference from p join f using (series_id) group by series_id""")
+def q49_line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, p = samples_of("nation_month", spark, sf_dir)
+    digits = {"slope": 8, "intercept": 6, "residual_sd": 6, "slope_err": 8, "half_difference": 6}
+    return line_report(p, "series_id", "i", "v").select("series_id", "n", *(r(c, d).alias(c) for c, d in digits.items()))
