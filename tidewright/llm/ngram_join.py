@@ -135,7 +135,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     bands, rows = banding(threshold, recall)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
     feats = checkpointed(docs.mapInArrow(lambda b: features(b, n, bands, rows), "doc bigint, set string, bands array<bigint>"))
-    nodes = feats.where("set is not null").groupBy("set").agg(F.min("doc").alias("rep"), F.count("*").alias("many"))
+    nodes = checkpointed(feats.where("set is not null").groupBy("set").agg(F.min("doc").alias("rep"), F.count("*").alias("many")))  # so that Spark can split the joins of a set with many copies
     first = feats.join(nodes.select("set", F.col("rep").alias("doc"), "many"), ["set", "doc"]).dropDuplicates(["set", "doc"])
     rows_ = first.select(F.col("doc").alias("rep"), F.explode("bands").alias("band"))
     buckets = rows_.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
