@@ -40,6 +40,15 @@ def test_every_place_of_a_short_or_long_item_is_seen(spark):
     assert set(got) == {(100 + i, 1) for i in range(9)} | {(200 + i, 2) for i in range(5)}
 
 
+def test_edited_items_are_seen_at_every_offset(spark):
+    words = prose(12, 60).split()
+    edited = lambda n, every: " ".join("changed" if i % every == every - 1 else w for i, w in enumerate(words[:n]))
+    rows = [(100 * k + i, prose(500 + i, 20 + i) + " " + edited(*e)) for k, e in enumerate([(18, 10), (21, 10), (40, 10), (60, 10)], 1) for i in range(4)]
+    for k, n in enumerate((18, 21, 40, 60), 1):
+        got = pairs(spark, rows, [(k, " ".join(words[:n]))])
+        assert {100 * k + i for i in range(4)} <= {d for d, _ in got}
+
+
 def test_against_brute_force(spark):
     items = [(i, prose(20 + i, 15 + i)) for i in range(12)]
     rows = [(i, prose(60 + i, 30) + " " + items[i % 12][1] + " " + prose(90 + i, 11)) if i % 3 else (i, prose(60 + i, 70)) for i in range(40)]

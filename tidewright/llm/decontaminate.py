@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders, so that a question with other parameters keeps its template.  The
 windows of every benchmark item are hash-joined with windows of the documents: the item has a window at each token,
-the document one at each ``stride`` tokens, so any shared run of ``window + stride - 1`` tokens is seen.  Matches on one
+the document one at each ``stride`` tokens (by default at each), so any shared run of ``window + stride - 1`` tokens is seen.  Matches on one
 alignment of document and item are one occurrence; it is consistent if equal slot values of the item are equal in the
 document.  A pair is reported if its consistent occurrences cover ``coverage`` of the item's tokens.
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER, NAME, UNIT, BEYOND = "\ue000", "\ue001", "\ue002", "\ue003"  # private-use code points
-WINDOW, STRIDE, COVERAGE = 8, 4, 0.5
+WINDOW, STRIDE, COVERAGE = 8, 1, 0.5
 # Units of measure and money that may follow a number.
 UNITS = "km|kilometers|kilometres|m|meters|metres|cm|mm|mi|miles?|feet|foot|ft|inch(?:es)?|kg|kilograms?|g|grams?|mg|lbs?|pounds?|oz|ounces?|l|liters?|litres?|ml|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|percent|dollars?|euros?|cents?|usd|eur|degrees?|mph|kmh|watts?|volts?"
 # A capitalised word after a lower-case word, a number or a comma: inside a sentence.
