@@ -63,3 +63,33 @@ def test_columns_are_carried_and_empty_tables_work(spark):
     out = s.dedup(df, carry=("text", "m", "words"))
     assert out.columns == ["doc_id", "n_words", "n_removed", "kept", "text", "m", "words"] and out.count() == len(edge_rows())
     assert s.dedup(df.where("false")).count() == 0
+
+
+def test_crowded_minimizers_are_spread_and_equal_windows_still_meet(spark, monkeypatch):
+    passage = prose(7, 40)
+    rows = [(i, prose(1000 + i, 20) + " " + passage + " " + prose(2000 + i, 20)) for i in range(120)]
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc", "text"])])
+    monkeypatch.setattr(s, "SAMPLED", 1.0)
+    monkeypatch.setattr(s, "CROWDED", 60)
+    crowded = s.crowded_minimizers(docs(spark, rows).selectExpr("doc_id doc", "text"), 13, 3)
+    assert 0 < len(crowded) < 20
+
+    def most(crowded):
+        t = pa.Table.from_batches(list(s.stretches(batches(), 13, 3, crowded)))
+        return max(t.filter(t["windows"].is_valid()).group_by("m").aggregate([("doc", "count")])["doc_count"].to_pylist())
+
+    assert most(s.NONE) >= 60 > most(crowded)
+    for least in (1, 60):
+        monkeypatch.setattr(s, "CROWDED", least)
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in s.dedup(docs(spark, rows).repartition(5)).collect()), key=str)
+        assert got == brute(rows)
+
+
+def test_windows_that_agree_in_most_bits_are_told_apart(monkeypatch):
+    rows = [(i, prose(i, 40)) for i in range(9)]
+    rolled, fresh = s.rolled, iter(range(10_000))
+    monkeypatch.setattr(s, "rolled", lambda h, k: rolled(h, k) if k != 13 else np.array([next(fresh) << 48 for _ in range(len(h) - 12)], np.uint64))
+    monkeypatch.setattr(s, "minimizers", lambda h, width, seed: (np.zeros(len(h) - 12, int), np.zeros(len(h) - 12, np.uint64)))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc", "text"])
+    t = pa.Table.from_batches(list(s.stretches(iter([batch]), 13, 3))).sort_by([("m", "ascending"), ("doc", "ascending")])
+    assert sum(b.num_rows for b in s.repeats(iter(t.to_batches()))) == 0

@@ -7,6 +7,10 @@ its equals.  Within a block of documents only the first document of a window is
 A shuffle on the minimizer joins the stretches of all blocks and finds the first document of each window; the coordinates
 of repeated windows go back to their documents, where the words they cover are taken out.
 
+Windows at the edge of a passage that very many documents share are all different and have its minimizers.  A sample of the
+documents shows which minimizers are that crowded; their windows travel one by one, keyed by a second hash of the window,
+so they spread over the tasks and equal ones still meet.  The sample decides only how windows are dealt, not the result.
+
 Defined results: a null or empty text has no words; a document shorter than ``width`` words keeps all; rows with the same
 id are one source, so they do not repeat each other; a row with a null id is returned unchanged and is no source; further
 columns are ignored.
@@ -23,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WordHashes, chunks, rolled
+from tidewright.llm.common import WordHashes, chunks, mix, rolled
 
 WIDTH, SEED = 13, 3
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK_WORDS = 1 << 19
-WINDOW_BYTES = 6  # of a window's hash; with the minimizer's 8 they tell windows apart
+WINDOW_BYTES = 8  # of a window's hash; they tell the windows of a key apart
+SAMPLED, CROWDED = 1 / 64, 1024  # share of the documents, and the stretches in it that make a minimizer crowded
+SECOND = np.uint64(0xD6E8FEB86659FD93)
+NONE = np.empty(0, np.uint64)
 MOST = (1 << 63) - 1
 COLUMNS = ["m", "doc", "place", "windows"]
 SPANS = ["doc", "sub", "at", "n"]
@@ -52,9 +59,10 @@ def minimizers(words: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np
     return at, best
 
 
-def stretches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
+def stretches(batches: Iterator[pa.RecordBatch], width: int, seed: int, crowded: np.ndarray = NONE) -> Iterator[pa.RecordBatch]:
     """Rows (m, doc, place, windows): n windows from word ``at`` on, that share minimizer m; null windows are known to repeat.
 
+    A window whose minimizer is among the sorted ``crowded`` ones is a row of its own, and m is a second hash of it.
     ``place`` packs the text key (16 bits), n (16) and at (32): one long is shuffled instead of three.
     """
     hashes = WordHashes()
@@ -66,13 +74,13 @@ def stretches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Itera
         texts.append(t)
         n += len(t) // 6
         if n >= BLOCK_WORDS:
-            yield from block(ids, texts, hashes, width, seed)
+            yield from block(ids, texts, hashes, width, seed, crowded)
             ids, texts, n = [], [], 0
     if ids:
-        yield from block(ids, texts, hashes, width, seed)
+        yield from block(ids, texts, hashes, width, seed, crowded)
 
 
-def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed: int) -> Iterator[pa.RecordBatch]:
+def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed: int, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
     parts = []
     for k in np.argsort(np.array(ids, np.int64), kind="stable"):
         words = WORDS.findall(texts[k])
@@ -80,6 +88,10 @@ def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed
             h = hashes(words)
             w = rolled(h, width)
             place, best = minimizers(h, width, seed)
+            if len(crowded) and (alone := crowded[np.minimum(np.searchsorted(crowded, best), len(crowded) - 1)] == best).any():
+                # Hashes of scrambled words; negative places keep neighbours from forming one stretch.
+                best = np.where(alone, rolled(mix(h ^ SECOND), width), best)
+                place = np.where(alone, -1 - np.arange(len(place)), place)
             parts.append((np.full(len(w), ids[k], np.int64), np.full(len(w), text_key(texts[k]), np.int32), np.arange(len(w)), place, best, w))
     if not parts:
         return
@@ -151,6 +163,13 @@ def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen[k] = min(v, seen.get(k, MOST))
 
 
+def crowded_minimizers(docs: DataFrame, width: int, seed: int) -> np.ndarray:
+    """The minimizers, sorted, that ``CROWDED`` or more stretches have in a sample of the documents."""
+    rows = docs.sample(SAMPLED, seed=17).mapInArrow(lambda b: stretches(b, width, seed), "m bigint, doc bigint, place bigint, windows binary")
+    m = rows.where("windows is not null").groupBy("m").count().where(F.col("count") >= CROWDED).select("m").toArrow().column(0).to_numpy()
+    return np.sort(m.view(np.uint64))
+
+
 def kept_text(text: str | None, spans: list, width: int) -> tuple[int, int, str]:
     """Words, removed words, and the text of the kept words joined by one space."""
     words = WORDS.findall(text or "")
@@ -174,7 +193,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[3:]], names=[id_col, "n_words", "n_removed", "kept", *carry])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = docs.mapInArrow(lambda b: stretches(b, width, seed), "m bigint, doc bigint, place bigint, windows binary")
+    crowded = docs.sparkSession.sparkContext.broadcast(crowded_minimizers(docs, width, seed))
+    rows = docs.mapInArrow(lambda b: stretches(b, width, seed, crowded.value), "m bigint, doc bigint, place bigint, windows binary")
     spans = rows.repartition("m").sortWithinPartitions("m", "doc").mapInArrow(repeats, "doc bigint, sub int, at int, n int")
     spans = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
