@@ -49,6 +49,18 @@ def test_edited_items_are_seen_at_every_offset(spark):
         assert {100 * k + i for i in range(4)} <= {d for d, _ in got}
 
 
+def test_a_conflict_takes_only_its_own_windows(spark):
+    plain = prose(13, 60).translate(str.maketrans("", "", "0123456789."))
+    item = f"Take 60 apples and then 60 pears {plain} and 7 plums are left in the end"
+    rows = [(1, item), (2, item.replace("60", "75", 1)), (3, item.replace("60", "75", 1).replace("7 plums", "9 plums"))]
+    got = pairs(spark, rows, [(1, item)])
+    assert set(got) == {(1, 1), (2, 1), (3, 1)}
+    assert got[1, 1].coverage == 1 and got[1, 1].n_slots == 2 and got[1, 1].verbatim
+    # The windows with 60 cover the first six tokens alone.
+    assert got[2, 1].covered_tokens == got[3, 1].covered_tokens == got[1, 1].covered_tokens - 6
+    assert not got[2, 1].verbatim and not got[3, 1].verbatim
+
+
 def test_against_brute_force(spark):
     items = [(i, prose(20 + i, 15 + i)) for i in range(12)]
     rows = [(i, prose(60 + i, 30) + " " + items[i % 12][1] + " " + prose(90 + i, 11)) if i % 3 else (i, prose(60 + i, 70)) for i in range(40)]

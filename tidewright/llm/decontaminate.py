@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders, so that a question with other parameters keeps its template.  The
 windows of every benchmark item are hash-joined with windows of the documents: the item has a window at each token,
 the document one at each ``stride`` tokens (by default at each), so any shared run of ``window + stride - 1`` tokens is seen.  Matches on one
-alignment of document and item are one occurrence; it is consistent if equal slot values of the item are equal in the
-document.  A pair is reported if its consistent occurrences cover ``coverage`` of the item's tokens.
+alignment of document and item are one occurrence; a slot value of the item that stands for two values in it is a
+conflict, and the windows with that value do not count.  A pair is reported if the windows that count cover ``coverage``
+of the item's tokens.
 
 Defined results: null and empty texts have no tokens and match nothing; items with the same template count as the one of
 smallest id; items shorter than ``window + stride - 1`` tokens are compared whole at every token; a document with a null
@@ -71,13 +72,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_t
     for (n,) in items.where(F.col("n_tokens") < long).select("n_tokens").distinct().collect():  # at most long - 1 lengths
         found = found.unionByName(occurrences(docs, items.where(F.col("n_tokens") == n), n, 1))
     distinct_slots = F.array_distinct(F.flatten(F.collect_set("slots")))
-    each = found.groupBy("doc_id", "item_id", "n_tokens", "alignment").agg(F.collect_set(F.struct("item_at", "width")).alias("places"), distinct_slots.alias("slots"))
-    # A value of the item that stands for two values in the document is a conflict.
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["item_values"])))
-    each = each.where(consistent)
+    place = F.struct("item_at", "width", F.coalesce("slots", F.array().cast(found.schema["slots"].dataType)).alias("slots"))
+    each = found.groupBy("doc_id", "item_id", "n_tokens", "alignment").agg(F.collect_set(place).alias("places"), distinct_slots.alias("slots"))
+    # A value of the item that stands for two values in the document is a conflict: the windows with it do not count.
+    of = F.transform("slots", lambda p: p["item_values"])
+    each = each.withColumn("conflicts", F.filter(F.array_distinct(of), lambda v: F.size(F.filter("slots", lambda p: p["item_values"] == v)) > 1))
+    each = each.withColumn("places", F.filter("places", lambda w: ~F.arrays_overlap(w["slots"]["item_values"], "conflicts"))).where(F.size("places") > 0)
+    n_windows = F.size(F.array_distinct(F.transform("places", lambda w: F.struct(w["item_at"], w["width"]))))
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("places")), lambda p: F.sequence(p["item_at"], p["item_at"] + p["width"] - 1)))))
     slots = F.array_distinct(F.flatten(F.collect_list("slots")))
-    out = each.groupBy("doc_id", "item_id", "n_tokens").agg(F.sum(F.size("places")).alias("n_windows"), covered.cast("long").alias("covered_tokens"), slots.alias("slots"))
+    out = each.groupBy("doc_id", "item_id", "n_tokens").agg(F.sum(n_windows).alias("n_windows"), covered.cast("long").alias("covered_tokens"), slots.alias("slots"))
     out = out.withColumn("coverage", F.col("covered_tokens") / F.col("n_tokens")).where(F.col("coverage") >= coverage)
     return out.select("doc_id", "item_id", "n_windows", "covered_tokens", "coverage", F.size("slots").cast("long").alias("n_slots"), F.forall("slots", lambda p: p["item_values"] == p["values"]).alias("verbatim"))
 
