@@ -76,3 +76,108 @@ def test_native_and_clean(spark):
     out = d.clean(df, items)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]
     assert d.matches(df.where("false"), items).count() == 0 and d.matches(df, items.where("false")).count() == 0
+
+
+A = "In the yard stand 5 red boxes beside the gate and further down the lane stand 5 blue boxes"
+B = A.replace("5", "3", 1).replace("5", "4")
+
+
+def brute(rows, items, count_verbatim, window=d.WINDOW, coverage=d.COVERAGE):
+    """The same from the definition: rows and items are (id, [(form, value)]) with equal form and value for plain words."""
+    first = {}
+    for i, words in sorted(items):
+        first.setdefault(tuple(words), i)
+    classes = {}
+    for words, i in first.items():
+        seen = list(dict.fromkeys(v for f, v in words if f != v))
+        classes.setdefault((tuple(f for f, _ in words), tuple(seen.index(v) + 1 if f != v else 0 for f, v in words)), []).append((i, words))
+    out = {}
+    for doc, text in set((i, tuple(w)) for i, w in rows):
+        for (forms, numbers), of in classes.items():
+            n = len(forms)
+            width = min(n, window)
+            consistent, plain, equal = set(), set(), {i: set() for i, _ in of}
+            for shift in range(-n, len(text)):
+                places = []
+                for at in range(n - width + 1):
+                    cut = text[shift + at : shift + at + width] if shift + at >= 0 else ()
+                    if len(cut) == width and all(f == g for (f, _), g in zip(cut, forms[at : at + width], strict=True)):
+                        alone = all(f != v for f, v in cut)
+                        if not alone or any(tuple(v for _, v in w[at : at + width]) == tuple(v for _, v in cut) for _, w in of):
+                            places.append((at, cut))
+                slots = {(numbers[at + j], v) for at, cut in places for j, (f, v) in enumerate(cut) if f != v}
+                bad = {k for k, _ in slots if sum(k == q for q, _ in slots) > 1}
+                for at, cut in places:
+                    here, ok = set(range(at, at + width)), not any(numbers[at + j] in bad for j in range(width))
+                    slotted = any(f != v for f, v in cut)
+                    consistent |= here if ok else set()
+                    plain |= here if ok and not slotted else set()
+                    for i, w in of:
+                        if slotted and (ok or count_verbatim) and w[at : at + width] == cut:
+                            equal[i] |= here
+            hits = {i for i, c in equal.items() if c and len(c | plain) / n >= coverage}
+            for i in hits or ({min(i for i, _ in of)} if len(consistent) / n >= coverage else set()):
+                out[doc, i] = max(out.get((doc, i), 0), len(consistent | equal[i]))
+    return out
+
+
+def forms(spark, rows):
+    got = docs(spark, rows).select("doc_id", d.tokens(F.col("text")).alias("w")).collect()
+    return [(r.doc_id, tuple((w[0] if d.NUMBER <= w < d.BEYOND else w, w) for w in r.w)) for r in got]
+
+
+def test_items_of_one_form_keep_their_own_values(spark):
+    rows = [(1, A), (2, B), (3, prose(1, 5) + " " + B + " " + A), (4, A.replace("5", "8"))]
+    both = pairs(spark, rows, [(1, A), (2, B)])
+    assert {(1, 1), (2, 2), (3, 1), (3, 2), (4, 1)} <= set(both)
+    assert both[1, 1].verbatim and both[2, 2].verbatim and both[3, 1].verbatim and both[3, 2].verbatim and not both[4, 1].verbatim
+    for one in ((1, A), (2, B)):
+        assert set(pairs(spark, rows, [one])) <= set(both)
+    # Two items of one class: the verbatim one is reported, whatever its id is.
+    other = A.replace("5", "8")
+    assert set(pairs(spark, rows, [(1, A), (2, other)])) >= {(1, 1), (4, 2)}
+    assert {(r.item_id, r.template_id) for r in d.templates(benchmark(spark, [(1, A), (2, other), (3, B), (4, A), (5, None)])).collect()} == {(1, 1), (2, 1), (3, 3), (4, 1)}
+
+
+def test_verbatim_windows_in_conflict_count_if_asked(spark):
+    broken = QUESTION.replace("60", "75", 1)
+    assert not pairs(spark, [(52, broken)], [(1, QUESTION)])
+    got = pairs(spark, [(52, broken)], [(1, QUESTION)], count_verbatim=True)
+    assert set(got) == {(52, 1)} and not got[52, 1].verbatim and got[52, 1].coverage > 0.7
+
+
+def test_a_replaced_word_is_seen_at_every_offset(spark):
+    words = "we know that small boats cross the wide bay each day before noon with fresh fish".split()
+    edited = " ".join("ships" if i == 8 else w for i, w in enumerate(words))
+    rows = [(i, prose(700 + i, 40).translate(str.maketrans("", "", "0123456789.")).split(" ", 40 - i)[-1] + " " + edited) for i in range(8)]
+    got = pairs(spark, rows, [(1, " ".join(words))])
+    assert set(got) == {(i, 1) for i in range(8)} and {r.covered_tokens for r in got.values()} == {8}
+
+
+def test_tables_of_numbers_match_only_themselves(spark):
+    table = " ".join(str(i * i) for i in range(3, 40))
+    rows = [(1, table), (2, " ".join(str(i + 7) for i in range(400))), (3, "x " + table + " y")]
+    assert set(pairs(spark, rows, [(1, table), (2, "4 5 6")])) == {(1, 1), (3, 1)}
+
+
+def test_templates_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    plain = "the box by the gate holds some fruit and then it goes to town on a cart with".split()
+
+    def text(n, values):
+        return " ".join(str(r.choice(values)) if r.random() < 0.2 else r.choice(plain) for _ in range(n))
+
+    items = [(i, text(5 + i, [3, 4])) for i in range(14)]
+    items += [(20 + i, x.replace("3", str(5 + i))) for i, x in items] + [(40 + i, " ".join("4" if w == "3" else "3" if w == "4" else w for w in x.split())) for i, x in items]
+    rows = []
+    for k in range(160):
+        words = r.choice(items)[1].split()
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(words))
+            words[at] = str(r.choice([3, 4, 9])) if words[at].isdigit() else r.choice([words[at], r.choice(plain)])
+        rows.append((k // 2 if k < 20 else k, text(r.randrange(12), [3, 4]) + " " + " ".join(words) + " " + text(r.randrange(9), [3, 4])))
+    for count in (False, True):
+        got = {k: v.covered_tokens for k, v in pairs(spark, rows, items, count_verbatim=count).items()}
+        assert got == brute(forms(spark, rows), forms(spark, items), count) and len(got) > 100
