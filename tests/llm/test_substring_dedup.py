@@ -93,3 +93,64 @@ def test_windows_that_agree_in_most_bits_are_told_apart(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc", "text"])
     t = pa.Table.from_batches(list(s.stretches(iter([batch]), 13, 3))).sort_by([("m", "ascending"), ("doc", "ascending")])
     assert sum(b.num_rows for b in s.repeats(iter(t.to_batches()))) == 0
+
+
+def test_clashing_columns_copies_of_ids_and_rewriting(spark):
+    passage = prose(7, 40)
+    rows = [(1, passage + " " + prose(1, 20)), (2, prose(2, 20) + " " + passage), (2, passage + " " + prose(3, 9)), (2, prose(2, 20) + " " + passage), (None, passage), (None, passage), (3, None), (4, "")]
+    names = "doc_id bigint, text string, n_removed string, kept int, n_words bigint, n_chars int, src int, k int, spans string"
+    df = spark.createDataFrame([(i, t, f"r{n}", n, n, len(t or ""), n, n, "s") for n, (i, t) in enumerate(rows)], names)
+    out = s.rewritten(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    got = {r.kept: r for r in out.collect()}
+    for n, (_, n_words, removed, kept) in enumerate(brute_in_order(rows)):
+        assert got[n].n_removed == f"r{n}" and got[n].n_words == n
+        assert got[n].text == (kept if removed else rows[n][1]) and got[n].n_chars == (len(kept) if removed else len(rows[n][1] or ""))
+    carried = s.dedup(df, carry=("kept", "n_removed", "text"))
+    assert carried.columns == ["doc_id", "n_words", "n_removed", "kept", "kept_", "n_removed_", "text"]
+    assert {r.kept_: (r.n_words, r.n_removed, r.kept, r.text) for r in carried.collect()} == {n: (*x[1:], rows[n][1]) for n, x in enumerate(brute_in_order(rows))}
+
+
+def brute_in_order(rows):
+    found = {(i, n): x for i, n, x in ((x[0], n, x) for n, x in enumerate(brute_each(rows)))}
+    return [found[i, n] for n, (i, _) in enumerate(rows)]
+
+
+def brute_each(rows):
+    first = {}
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    for (i, _), w in sorted(zip(rows, words), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
+        for j in range(len(w) - 12) if i is not None else ():
+            first.setdefault(tuple(w[j : j + 13]), i)
+    for (i, _), w in zip(rows, words):
+        keep = [i is None or not any(first[tuple(w[j : j + 13])] < i for j in range(max(0, k - 12), min(k, len(w) - 13) + 1)) for k in range(len(w))]
+        yield i, len(w), keep.count(False), " ".join(a for a, k in zip(w, keep) if k)
+
+
+def test_edges_that_only_look_equal_are_not_taken_out(spark, monkeypatch):
+    """With every edge hash equal, the check of the words at both coordinates keeps all that is not there word for word."""
+    rows = [(i, prose(i, 40)) for i in range(6)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc", "text"])
+    t = pa.Table.from_batches(list(s.stretches(iter([batch]), 13, 3)))
+    blobs = pa.array([None if b is None else bytes(len(b)) for b in t["windows"].to_pylist()], pa.binary())
+    t = t.set_column(0, "m", pa.array([0] * len(t), pa.int64())).set_column(3, "windows", blobs).sort_by("doc")
+    runs = [r for b in s.repeats(iter(t.to_batches())) for r in b.to_pylist()]
+    assert runs and {r["src"] for r in runs} == {0}
+    words = {i: s.WORDS.findall(x) for i, x in rows}
+    for i, text in rows:
+        spans = [r | {"proofs": [s.digest(words[r["src"]], r["src_at"], r["n"], 13)]} for r in runs if r["doc"] == i]
+        assert s.kept_words(text, spans, 13) == (40, 0, text)
+
+
+def test_paths_go_on_over_stretches_and_end_at_branches(spark):
+    rows = [(5, 1, 0, 4, 2, 10), (5, 1, 4, 3, 2, 14), (5, 1, 7, 2, 3, 0), (5, 1, 9, 2, 2, 19), (5, 1, 20, 2, 2, 30), (5, 9, 11, 1, 2, 21), (5, 1, 4, 3, 2, 14)]
+    got = s.paths(spark.createDataFrame(rows, "doc long, sub long, at int, n int, src long, src_at int")).collect()
+    assert sorted(map(tuple, got)) == [(5, 1, 0, 7, 2, 10), (5, 1, 7, 2, 3, 0), (5, 1, 9, 2, 2, 19), (5, 1, 20, 2, 2, 30), (5, 9, 11, 1, 2, 21)]
+
+
+def test_texts_are_shuffled_once(spark):
+    df = docs(spark, edge_rows())
+    s.dedup(df).collect()
+    out = s.dedup(df)
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()

@@ -1,49 +1,65 @@
 """Removal of long word runs that an earlier document also has.
 
-The words of a document are a path through a De Bruijn graph whose edges are windows of ``width`` words.  Windows in a
-row that share their minimizer (the least of the hashes of their ``seed``-word runs) form one non-branching stretch of
-the path and travel as one row, keyed by the minimizer: equal windows have equal minimizers, so every window meets all
-its equals.  Within a block of documents only the first document of a window is sent on; the others are known to repeat.
-A shuffle on the minimizer joins the stretches of all blocks and finds the first document of each window; the coordinates
-of repeated windows go back to their documents, where the words they cover are taken out.
+The words of a document are a path through a De Bruijn graph whose edges are windows of ``width`` words.  The graph is
+built in parts, as compacting assemblers do: windows in a row that share their minimizer (the least of the hashes of
+their ``seed``-word runs) travel as one row keyed by it, so every edge meets all its equals.  Within a block of documents
+only the first document of an edge is sent on; for the others their source, the coordinates (document, word) of that
+first one, is known at once.  A shuffle on the minimizer finds the sources of the edges of all blocks.
+
+Repeated edges are then compacted: consecutive edges of a document whose sources are consecutive too form a path, and a
+path ends where it branches to another source.  The paths' coordinates are joined back to the source documents, whose
+words give each path a 128-bit digest, and with it to the documents that repeat them.  There a path is verified against
+the words at its own coordinates and taken out.  So nothing is removed that a smaller document does not have word for
+word.  Edges are told apart by 40 bits of their minimizer and 48 of their own hash; two different edges that agree in
+these can only hide a repeat, never make one.
 
 Windows at the edge of a passage that very many documents share are all different and have its minimizers.  A sample of the
 documents shows which minimizers are that crowded; their windows travel one by one, keyed by a second hash of the window,
-so they spread over the tasks and equal ones still meet.  The sample decides only how windows are dealt, not the result.
+so they spread over the tasks and equal ones still meet.  At most 1 / ``SHARE`` minimizers can be crowded, which bounds
+what is broadcast.  The sample decides only how windows are dealt, not the result.
 
 Defined results: a null or empty text has no words; a document shorter than ``width`` words keeps all; rows with the same
-id are one source, so they do not repeat each other; a row with a null id is returned unchanged and is no source; further
-columns are ignored.
+id are one source, so they do not repeat each other; a row with a null id is returned unchanged and is no source; repeated
+rows give repeated results; very long texts are cut into blocks of rows; further columns are ignored, whatever their
+names; a carried column with the name of a result gets a trailing underscore; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WordHashes, chunks, mix, rolled
+from tidewright.llm.common import WordHashes, checkpointed, chunks, mix, rolled
 
 WIDTH, SEED = 13, 3
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK_WORDS = 1 << 19
-WINDOW_BYTES = 8  # of a window's hash; they tell the windows of a key apart
-SAMPLED, CROWDED = 1 / 64, 1024  # share of the documents, and the stretches in it that make a minimizer crowded
+SHIFT, WINDOW_BYTES = np.uint64(24), 6  # 40 bits of a minimizer and 48 of a window's hash are sent
+SAMPLED, CROWDED, SHARE = 1 / 64, 1024, 2.0**-20  # share of the documents; stretches, and share of the stretches in it, that make a minimizer crowded
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 NONE = np.empty(0, np.uint64)
-MOST = (1 << 63) - 1
-COLUMNS = ["m", "doc", "place", "windows"]
-SPANS = ["doc", "sub", "at", "n"]
+LOW = np.uint64(0xFFFFFFFF)
+COLUMNS = ["m", "doc", "place", "windows", "src", "run"]
+STRETCH = "m bigint, doc bigint, place bigint, windows binary, src bigint, run bigint"
+SPANS = ["doc", "sub", "at", "n", "src", "src_at"]
+RESULTS = ("n_words", "n_removed", "kept")
 
 
 def text_key(text: str) -> int:
-    """Tells rows with one id but different texts apart; Spark's crc32 gives the same."""
-    return zlib.crc32(text.encode()) % 65536
+    """Tells rows with one id but different texts apart, in 31 bits."""
+    return xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF
+
+
+def among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``x`` the sorted, not empty ``some`` holds."""
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
 
 
 def minimizers(words: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,10 +76,11 @@ def minimizers(words: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np
 
 
 def stretches(batches: Iterator[pa.RecordBatch], width: int, seed: int, crowded: np.ndarray = NONE) -> Iterator[pa.RecordBatch]:
-    """Rows (m, doc, place, windows): n windows from word ``at`` on, that share minimizer m; null windows are known to repeat.
+    """Rows (m, doc, place, windows, src, run): windows from word ``at`` on that share minimizer m, with a hash each.
 
-    A window whose minimizer is among the sorted ``crowded`` ones is a row of its own, and m is a second hash of it.
-    ``place`` packs the text key (16 bits), n (16) and at (32): one long is shuffled instead of three.
+    Null windows are known to repeat: run packs how many (upper half) have their source at (src, lower half).  ``place``
+    packs the text key (upper half) and at.  A window whose minimizer is among the sorted ``crowded`` ones is a row of its
+    own, and m is a second hash of it.
     """
     hashes = WordHashes()
     ids, texts, n = [], [], 0
@@ -88,117 +105,190 @@ def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed
             h = hashes(words)
             w = rolled(h, width)
             place, best = minimizers(h, width, seed)
-            if len(crowded) and (alone := crowded[np.minimum(np.searchsorted(crowded, best), len(crowded) - 1)] == best).any():
+            if len(crowded) and (alone := among(best >> SHIFT, crowded)).any():
                 # Hashes of scrambled words; negative places keep neighbours from forming one stretch.
                 best = np.where(alone, rolled(mix(h ^ SECOND), width), best)
                 place = np.where(alone, -1 - np.arange(len(place)), place)
-            parts.append((np.full(len(w), ids[k], np.int64), np.full(len(w), text_key(texts[k]), np.int32), np.arange(len(w)), place, best, w))
+            parts.append((np.full(len(w), ids[k], np.int64), np.full(len(w), text_key(texts[k]), np.int64), np.arange(len(w)), place, best, w))
     if not parts:
         return
     doc, sub, at, place, m, window = map(np.concatenate, zip(*parts, strict=True))
+    del parts
     # The rows are in order of document, so the first row of a window has the least document of the block.
     _, first, group = np.unique(window, return_index=True, return_inverse=True)
-    known = doc[first][group] < doc
-    # A stretch ends where the document, its fate or the place of its minimizer changes.
+    source = first[group]
+    del first, group
+    known = doc[source] < doc
+    # A stretch ends where the document, its fate, the place of its minimizer or the line of its sources changes.
     new = np.ones(len(doc), bool)
-    new[1:] = (at[1:] % 32768 == 0) | (at[1:] != at[:-1] + 1) | (known[1:] != known[:-1]) | (~known[1:] & (place[1:] != place[:-1]))
+    new[1:] = (at[1:] != at[:-1] + 1) | (known[1:] != known[:-1]) | np.where(known[1:], (source[1:] != source[:-1] + 1) | (doc[source[1:]] != doc[source[:-1]]), place[1:] != place[:-1])
     starts = np.flatnonzero(new)
     n = np.diff(np.append(starts, len(doc)))
     sent = ~known[starts]
-    key = np.where(sent, m[starts], doc[starts].view(np.uint64))  # what is known only passes through, dealt by document
-    short = window[~known].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WINDOW_BYTES]
+    key = np.where(sent, m[starts] >> SHIFT, doc[starts].view(np.uint64))  # what is known only passes through, dealt by document
+    short = window[~known].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WINDOW_BYTES :]
     offsets = np.concatenate(([0], np.cumsum(n * sent * WINDOW_BYTES))).astype(np.int32)
     blob = pa.Array.from_buffers(pa.binary(), len(starts), [pa.array(sent, pa.bool_()).buffers()[1], pa.py_buffer(offsets.tobytes()), pa.py_buffer(short.tobytes())])
-    place = ((sub[starts].astype(np.uint64) << np.uint64(48)) | (n.astype(np.uint64) << np.uint64(32)) | at[starts].astype(np.uint64)).view(np.int64)
+    place = (sub[starts] << 32) | at[starts]
+    src, run = doc[source[starts]], (n << 32) | at[source[starts]]
     for a in range(0, len(starts), 100_000):
         cut = slice(a, a + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(doc[starts[cut]]), pa.array(place[cut]), blob[cut]], names=COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(doc[starts[cut]]), pa.array(place[cut]), blob[cut], pa.array(src[cut], mask=sent[cut]), pa.array(run[cut], mask=sent[cut])], names=COLUMNS)
 
 
-def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text key, at, n) of packed places."""
-    u = place.view(np.uint64)
-    return (u >> np.uint64(48)).astype(np.int32), (u & np.uint64(0xFFFFFFFF)).astype(np.int32), ((u >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int32)
+def halves(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return packed >> 32, (packed.view(np.uint64) & LOW).astype(np.int64)
 
 
 def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Coordinates (doc, sub, at, n) of windows that a smaller document has, from rows sorted by minimizer and document."""
-    last, seen = None, {}  # the minimizer that the next batch may go on with, and its windows' first documents
+    """Runs (doc, sub, at, n, src, src_at) of windows that a smaller document has, from rows sorted by minimizer and document.
+
+    What is kept from batch to batch are the distinct windows, with their sources, of the one minimizer that goes on.
+    """
+    last, carry = None, (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def rows(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=SPANS)
+
     for batch in batches:
         asked = np.asarray(batch.column(3).is_valid())
         m, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        sub, at, n = unpacked(batch.column(2).to_numpy())
+        sub, at = halves(batch.column(2).to_numpy())
         if not asked.all():
-            yield pa.RecordBatch.from_arrays([pa.array(c[~asked]) for c in (doc, sub, at, n)], names=SPANS)
+            known = batch.filter(pa.array(~asked))
+            n, src_at = halves(known.column(5).to_numpy())
+            yield rows(doc[~asked], sub[~asked], at[~asked], n, known.column(4).to_numpy(), src_at)
         if not asked.any():
             continue
-        m, doc, sub, at, n = (c[asked] for c in (m, doc, sub, at, n))
+        m, doc, sub, at = (c[asked] for c in (m, doc, sub, at))
+        blobs = batch.column(3).drop_null()
+        n = pc.binary_length(blobs).to_numpy() // WINDOW_BYTES
         row = np.repeat(np.arange(len(m)), n)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         w = np.zeros((len(row), 8), np.uint8)
-        w[:, :WINDOW_BYTES] = np.frombuffer(b"".join(x for x in batch.column(3).to_pylist() if x is not None), np.uint8).reshape(-1, WINDOW_BYTES)
-        w = w.view("<u8").ravel()
+        w[:, :WINDOW_BYTES] = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, WINDOW_BYTES)
+        w, d, a = w.view("<u8").ravel(), doc[row], at[row] + within
         group = np.cumsum(np.concatenate(([0], m[1:] != m[:-1])))[row]
-        order = np.lexsort((doc[row], w, group))
-        g, x, d = group[order], w[order], doc[row][order]
+        before = len(carry[0]) if last == m[0] else 0
+        if before:
+            w, d, a, group = np.concatenate((carry[0], w)), np.concatenate((carry[1], d)), np.concatenate((carry[2], a)), np.concatenate((np.zeros(before, np.int64), group))
+        order = np.lexsort((w, group))  # stable, so documents stay in order
+        g, x = group[order], w[order]
         new = np.ones(len(order), bool)
         new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
-        first = d[new][np.cumsum(new) - 1]
-        if last != m[0]:
-            seen = {}
-        elif seen:
-            head = np.flatnonzero(g == 0)
-            first[head] = np.minimum(first[head], [seen.get(k, MOST) for k in x[head].tolist()])
-        hit = np.sort(order[first < d])
-        if len(hit):
-            r, within = row[hit], (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))[hit]
-            fresh = np.ones(len(hit), bool)
-            fresh[1:] = (r[1:] != r[:-1]) | (within[1:] != within[:-1] + 1)
+        first = order[new]
+        source = first[np.cumsum(new) - 1]
+        hit = (d[source] < d[order]) & (order >= before)
+        place = np.argsort(order[hit], kind="stable")
+        hits, source = order[hit][place], source[hit][place]
+        if len(hits):
+            r, j, src, src_at = row[hits - before], within[hits - before], d[source], a[source]
+            fresh = np.ones(len(hits), bool)
+            fresh[1:] = (r[1:] != r[:-1]) | (j[1:] != j[:-1] + 1) | (src[1:] != src[:-1]) | (src_at[1:] != src_at[:-1] + 1)
             s = np.flatnonzero(fresh)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[r[s]]), pa.array(sub[r[s]]), pa.array((at[r[s]] + within[s]).astype(np.int32)), pa.array(np.diff(np.append(s, len(hit))).astype(np.int32))], names=SPANS)
-        if m[-1] != m[0]:
-            seen = {}
-        last = m[-1]
-        tail = np.flatnonzero((g == g[-1]) & new)
-        for k, v in zip(x[tail].tolist(), first[tail].tolist(), strict=True):
-            seen[k] = min(v, seen.get(k, MOST))
+            yield rows(doc[r[s]], sub[r[s]], at[r[s]] + j[s], np.diff(np.append(s, len(hits))), src[s], src_at[s])
+        last, tail = m[-1], first[g[new] == g[-1]]
+        carry = (w[tail], d[tail], a[tail])
 
 
 def crowded_minimizers(docs: DataFrame, width: int, seed: int) -> np.ndarray:
-    """The minimizers, sorted, that ``CROWDED`` or more stretches have in a sample of the documents."""
-    rows = docs.sample(SAMPLED, seed=17).mapInArrow(lambda b: stretches(b, width, seed), "m bigint, doc bigint, place bigint, windows binary")
-    m = rows.where("windows is not null").groupBy("m").count().where(F.col("count") >= CROWDED).select("m").toArrow().column(0).to_numpy()
-    return np.sort(m.view(np.uint64))
+    """The minimizers, sorted, that ``CROWDED`` stretches and the share ``SHARE`` of all have in a sample of the documents."""
+    rows = docs.sample(SAMPLED, seed=17).mapInArrow(lambda b: stretches(b, width, seed), STRETCH)
+    counts = checkpointed(rows.where("windows is not null").groupBy("m").count())
+    least = max(CROWDED, (counts.agg(F.sum("count")).first()[0] or 0) * SHARE)
+    return np.sort(counts.where(F.col("count") >= least).select("m").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def kept_text(text: str | None, spans: list, width: int) -> tuple[int, int, str]:
-    """Words, removed words, and the text of the kept words joined by one space."""
+def paths(runs: DataFrame) -> DataFrame:
+    """(doc, sub, at, n, src, src_at): runs whose places and sources go on from each other are one path."""
+    line = F.col("src_at") - F.col("at")
+    runs = runs.repartition("doc").withColumn("line", line).withColumn("to", F.col("at") + F.col("n"))
+    own = Window.partitionBy("doc", "sub", "src", "line").orderBy("at")
+    branch = F.coalesce(F.max("to").over(own.rowsBetween(Window.unboundedPreceding, -1)) < F.col("at"), F.lit(True))
+    runs = runs.withColumn("branch", branch.cast("int")).withColumn("path", F.sum("branch").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    out = runs.groupBy("doc", "sub", "src", "line", "path").agg(F.min("at").alias("at"), F.max("to").alias("to"))
+    return out.select("doc", "sub", "at", (F.col("to") - F.col("at")).alias("n"), "src", (F.col("at") + F.col("line")).alias("src_at"))
+
+
+def digest(words: list[str], at: int, n: int, width: int) -> bytes | None:
+    """A digest of the words that ``n`` windows from ``at`` on cover; None if there are not so many."""
+    return xxhash.xxh3_128_digest(" ".join(words[at : at + n + width - 1])) if at + n + width - 1 <= len(words) else None
+
+
+def kept_words(text: str | None, spans: list, width: int) -> tuple[int, int, str | None]:
+    """Words, removed words, and the kept ones joined by one space; of ``spans``, those of another text or with other words are passed over."""
     words = WORDS.findall(text or "")
-    if not spans:
-        return len(words), 0, " ".join(words)
     edge = np.zeros(len(words) + 1, np.int64)
+    sub = text_key(text or "") if spans else None
     for s in spans:
-        edge[s["at"]] += 1
-        edge[s["at"] + s["n"] + width - 1] -= 1
+        if s["sub"] == sub and digest(words, s["at"], s["n"], width) in s["proofs"]:
+            edge[s["at"]] += 1
+            edge[s["at"] + s["n"] + width - 1] -= 1
     keep = np.cumsum(edge)[:-1] == 0
-    return len(words), int((~keep).sum()), " ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k)
+    removed = int((~keep).sum())
+    return len(words), removed, " ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k) if removed else " ".join(words)
+
+
+def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], width: int, seed: int) -> DataFrame:
+    """(k, doc, text, carried ..., spans) of every row, spans as (sub, at, n, proofs)."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    crowded = docs.sparkSession.sparkContext.broadcast(crowded_minimizers(docs, width, seed))
+    rows = docs.mapInArrow(lambda b: stretches(b, width, seed, crowded.value), STRETCH)
+    runs = rows.repartition("m").sortWithinPartitions("m", "doc").mapInArrow(repeats, "doc bigint, sub bigint, at int, n int, src bigint, src_at int")
+    found = paths(runs)
+    # Both joins with the texts read one shuffle of them, as they ask for the same columns; rows without an id are dealt by text.
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("k"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
+
+    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = len(carry) + 3
+        for batch in batches:
+            out = []
+            for doc, text, asked in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(at), strict=True):
+                if doc is not None:
+                    words = WORDS.findall(text.as_py() or "")
+                    out += [(doc, a["src_at"], a["n"], d) for a in asked.as_py() if (d := digest(words, a["src_at"], a["n"], width))]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["src", "src_at", "n", "digest"])
+
+    # At most half the square of a source's words can be asked for, however many documents repeat it.
+    asked = found.select(F.col("src").alias("k"), "src_at", "n").distinct().groupBy("k").agg(F.collect_list(F.struct("src_at", "n")).alias("asked"))
+    proofs = texts.join(asked, "k").select(*texts.columns, "asked").mapInArrow(prove, "src bigint, src_at int, n int, digest binary")
+    proofs = proofs.groupBy("src", "src_at", "n").agg(F.collect_set("digest").alias("proofs"))
+    spans = found.join(proofs, ["src", "src_at", "n"]).groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("sub", "at", "n", "proofs")).alias("spans"))
+    return texts.join(spans, "k", "left_outer").select(*texts.columns, "spans")
+
+
+def cut(batches: Iterator[pa.RecordBatch], width: int, shape: Callable[[pa.RecordBatch, list[tuple]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = zip(batch.column(1), batch.column(2), batch.column(batch.num_columns - 1), strict=True)
+        yield shape(batch, [kept_words(t.as_py(), (s.as_py() or []) if i.is_valid else [], width) for i, t, s in own])
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, n_removed, kept) of every row, and the columns to carry along."""
+    types, own = dict(df.dtypes), [c for c in carry if c != text_col]
+    names = [c + "_" if c in (id_col, *RESULTS) else c for c in carry]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [kept_text(t.as_py(), s.as_py() or [], width) for t, s in zip(batch.column(1), batch.column(2), strict=True)]
-            n, removed, kept = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[3:]], names=[id_col, "n_words", "n_removed", "kept", *carry])
+    def shape(batch: pa.RecordBatch, got: list[tuple]) -> pa.RecordBatch:
+        n, removed, kept = zip(*got, strict=True) if got else ((), (), ())
+        carried = [batch.column(2) if c == text_col else batch.column(3 + own.index(c)) for c in carry]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *carried], names=[id_col, *RESULTS, *names])
 
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    crowded = docs.sparkSession.sparkContext.broadcast(crowded_minimizers(docs, width, seed))
-    rows = docs.mapInArrow(lambda b: stretches(b, width, seed, crowded.value), "m bigint, doc bigint, place bigint, windows binary")
-    spans = rows.repartition("m").sortWithinPartitions("m", "doc").mapInArrow(repeats, "doc bigint, sub int, at int, n int")
-    spans = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
-    keyed = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), (F.crc32(F.coalesce(text_col, F.lit(""))) % 65536).cast("int").alias("sub"), *carried)
-    joined = keyed.join(spans, ["doc", "sub"], "left_outer").select("doc", "text", "spans", *(f"carried_{i}" for i in range(len(carry))))
-    types = dict(df.dtypes)
-    return joined.mapInArrow(cut, f"{id_col} bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", `{c}` {types[c]}" for c in carry))
+    schema = f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", `{n}` {types[c]}" for n, c in zip(names, carry, strict=True))
+    return with_spans(df, id_col, text_col, own, width, seed).mapInArrow(lambda b: cut(b, width, shape), schema)
+
+
+def rewritten(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """The rows of ``df`` with their columns; where words go, the text is what is kept and ``size_col``, if there is one, its length."""
+    names = df.columns
+    own = [c for c in names if c not in (id_col, text_col)]
+
+    def shape(batch: pa.RecordBatch, got: list[tuple]) -> pa.RecordBatch:
+        columns = {id_col: batch.column(1), text_col: batch.column(2)} | {c: batch.column(3 + i) for i, c in enumerate(own)}
+        changed = pa.array([removed > 0 for _, removed, _ in got], pa.bool_())
+        columns[text_col] = pc.if_else(changed, pa.array([kept for *_, kept in got], pa.string()), columns[text_col])
+        if size_col in own:
+            columns[size_col] = pc.if_else(changed, pa.array([len(kept) for *_, kept in got], columns[size_col].type), columns[size_col])
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return with_spans(df, id_col, text_col, own, width, seed).mapInArrow(lambda b: cut(b, width, shape), df.schema)
