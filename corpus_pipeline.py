@@ -1,7 +1,9 @@
 """A corpus pipeline in five stages over the documents table.
 
 Each stage works on all rows that the one before it kept.  Rows with a null id are never duplicates or contaminated and
-stay; empty tables give empty results.
+stay; of rows with equal texts the one of smallest id stays, and rows that repeat an id stay or go together; null and empty
+texts are scored like others and lose nothing; very long texts are handled whole; further columns, whatever their names,
+are carried through to the last stage; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,10 +31,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word runs that an earlier document has; the text of those that lose none stays as it is."""
-    out = substring_dedup.dedup(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
-    cut = F.col("n_removed") > 0
-    changed = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return substring_dedup.rewritten(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
