@@ -37,3 +37,84 @@ def test_table(spark):
     got = extract(df).collect()
     assert len(got) == 3 and {r.page_id: r.text for r in got}[2] == ""
     assert extract(df.where("false")).count() == 0
+
+
+LONG = "A long sentence of the story that goes on and on for a while, so that it is text. " * 3
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<nav>menu" + "<b>" * 300 + "</nav><article><p>Main text.</p></article>", "Main text."),
+        ("<head><title>t</title><body><article><p>Main.</p></article>", "Main."),
+        ("<head><title>t</title><article><p>Main.</p></article>", "Main."),
+        ("<head><meta charset=utf-8>Main text.", "Main text."),
+        ("<p class='notice'>We use cookies<article><p>Main.</p></article>", "Main."),
+        (f"<article><p>{LONG}</p><section class='side-effects'><p>May cause sleep.</p></section><p class='share-price'>It fell.</p><p>{LONG}</p></article>", f"{LONG.strip()}\n\nMay cause sleep.\n\nIt fell.\n\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><p><a href=/x>A whole paragraph that is a link</a></p><p>{LONG}</p></article>", f"{LONG.strip()}\n\nA whole paragraph that is a link\n\n{LONG.strip()}"),
+        (f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div><h1>Title</h1><p>{LONG}</p><p>Short.</p></div><div>Imprint</div>", f"Title\n\n{LONG.strip()}\n\nShort."),
+        (f"<article><ul><li><a href=1>Share</a><li><a href=2>Mail</a></ul><h1>T</h1><p>{LONG}</p></article>", f"T\n\n{LONG.strip()}"),
+        (f"<b><div class=ad>Buy</b> now</div><article><p>{LONG}</article>", LONG.strip()),
+        ("<article><table><tr><td>a<td>b<tr><td><p>c</table><ul><li><b>d<li>e</ul></article>", "a\n\nb\n\nc\n\nd\n\ne"),
+        (f"<main><h1>T</h1><article><p>{LONG}</p></article></main>", f"T\n\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p></article><article class='cookieNotice'><p>Teaser.</p></article>", LONG.strip()),
+    ],
+)
+def test_pages(html, want):
+    assert main_text(html) == want
+
+
+def test_names_of_page_parts():
+    from tidewright.llm.html_text import names_part
+
+    for name in ("ad", "cookie-notice", "sidebar left", "readerComments", "top-nav", "ad-slot-2", "site_footer", "x related-posts"):
+        assert names_part(name), name
+    for name in ("", "side-effects", "share-price", "shared", "menu-engineering", "adhoc", "commentary", "notice-period", "content", "main"):
+        assert not names_part(name), name
+
+
+def test_built_pages_against_their_articles():
+    """Pages of random blocks, with omitted end tags and unclosed inline elements; the builder knows the article's blocks."""
+    import random
+
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice("river stone garden the of and window paper market".split()) for _ in range(n))
+
+    def block(out):
+        kind = r.choice(["p", "p", "p", "h2", "li", "quote", "pre", "link", "short", "br"])
+        text = say(r.choice([1, 3]) if kind in ("h2", "short", "li") else r.randrange(12, 90))
+        if kind == "li":
+            more = say(2)
+            out += [text, more]
+            return f"<ul><li>{text}<li><b>{more}</ul>"
+        if kind == "br":
+            more = say(9)
+            out.append(f"{text} & {more}")
+            return f"<p><b>{text}  &amp;<br>\n {more}</b></p>"
+        out.append(text)
+        return {"p": f"<p>{text}" + r.choice(["</p>", "", "<i>"]), "h2": f"<h2>{text}</h2>", "quote": f"<blockquote><p>{text}</p></blockquote>", "pre": f"<pre>{text}</pre>", "link": f"<p>{text[:9]}<a href='/x'>{text[9:]}</a></p>", "short": f"<div>{text}</div>"}[kind]
+
+    junk = ["<nav><ul><li><a href=/>Home</a><li><a href=/b>B</a></ul></nav>", "<div class='ad banner'><p>Buy this now</div>", "<aside><p>See also</aside>", "<form><label>Mail</label><input></form>", "<script>if (a < b) '</p>'</script>", "<div role=navigation><a href=1>1</a></div>", "<section id=comments><h3>Comments</h3><p>I say much here, and then some more.</section>", "<!-- note --><style>p{}</style>"]
+    for _ in range(300):
+        want = []
+        inner = [block(want) for _ in range(r.randrange(3, 25))]
+        if max(map(len, want)) < 60:
+            continue
+        for _ in range(r.randrange(3)):
+            inner.insert(r.randrange(len(inner) + 1), r.choice(junk))
+        tag = r.choice(["article", "article", "main"])
+        page = f"<html><head><title>{say(3)}</title>" + r.choice(["</head><body>", "<body>", ""]) + "".join(r.choice(junk) for _ in range(r.randrange(5)))
+        page += f"<{tag}>" + "".join(inner) + f"</{tag}>" + "".join(r.choice(junk) for _ in range(r.randrange(4))) + "<footer>&copy; x</footer></body></html>"
+        assert main_text(page) == "\n\n".join(want), page
+
+
+def test_very_long_and_very_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<article>" + "<p><b><span>word word" * n + "<div>" * n + "x</article>" + "<ul><li><a href=1>a</a>" * n
+        began = time.perf_counter()
+        assert main_text(page).startswith("word word")
+        return time.perf_counter() - began
+
+    assert seconds(24_000) < 20 * max(seconds(3_000), 0.02)

@@ -1,12 +1,20 @@
 """Main-text extraction from HTML.
 
-The standard-library parser streams events; each block (a "line") gets its text, the number of tags seen with it and
-the length of its link text.  The text-to-tag ratio of the lines is smoothed with a Gaussian, and a threshold splits
-the lines into content and other regions.  Regions of content inside the page's article elements, or the strongest
-regions where it has none, are the main text; elements that are never part of an article are left out beforehand.
+The standard-library parser streams events.  Each block (a "line") gets its text, the number of tags seen with it, the
+length of its link text and the container it stands in.  The text-to-tag ratio of the lines is smoothed with a Gaussian,
+and a threshold between two clusters of the smoothed ratios splits the lines into high and low ones.  The content regions
+are the page's articles that hold high lines or, where it has none, the containers that do.  A region is kept whole, short
+lines and headings too; of the blocks in it only containers that are nothing but links go (inside an article, those of
+several links before its first or after its last high line).  Elements that are never part of an article are left out
+beforehand: by name, by role, or by a class or id that names such a part and nothing else ("cookie-notice", but not
+"side-effects").
+
+Omitted end tags are implied as in HTML: a block closes an open paragraph, body content closes the head, and so on; the
+end tag of an inline element closes that element alone.
 
 Defined results: null or empty html, and pages without content, give an empty text; unclosed and cut-off markup is read
-as far as it goes; repeated rows give repeated results; further columns of the input are ignored.
+as far as it goes; very long pages and very deep nesting take linear time; where ratios tie there is one cluster and every
+line is high; repeated rows, also of a null id, give repeated results; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -14,87 +22,165 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # HTML elements by their part in a page.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("script style noscript template head title nav footer aside form button select textarea option iframe object svg math canvas audio video dialog menu noframes".split())
-CLOSES_ALONE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|billboard|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|social|share|sharing|related|recommended|widget|comments?|disqus|respond|replies|pagination|pager|copyright|disclaimer|skip|hidden|paywall)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+NEVER = frozenset("script style noscript template head title nav footer aside form button select textarea option iframe object svg math canvas audio video dialog menu noframes search".split())
+HEAD_CONTENT = frozenset("html head title meta link script style noscript template base basefont bgsound".split())
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
+SCOPES = frozenset("html table caption td th object template button marquee".split())
+CONTAINERS = frozenset("body article main section div td th ul ol dl table blockquote details fieldset figure center".split())
+# What a start tag closes (the innermost of the first) unless one of the second is open further in.
+IMPLIED = {
+    "li": ("li", "ul ol menu dir table td th"), "dt": ("dt dd", "dl table td th"), "dd": ("dt dd", "dl table td th"), "option": ("option", "select datalist optgroup"),
+    "td": ("td th caption", "tr table"), "th": ("td th caption", "tr table"), "tr": ("tr caption", "table"), "tbody": ("tbody thead tfoot caption", "table"), "tfoot": ("tbody thead tfoot caption", "table"), "thead": ("tbody thead tfoot caption", "table"),
+}
+IMPLIED = {k: (a.split(), b.split()) for k, (a, b) in IMPLIED.items()}
+# Names of page parts that are no article text, and words that go with them in compounds.
+PARTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promos promotion banner banners billboard nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations widget widgets comment comments disqus respond replies reply pagination pager copyright disclaimer skip hidden paywall".split())
+WITH_PARTS = frozenset("area bar block blocks bottom box button buttons container content copy form global group header holder inner icon icons item items label left link links list main message outer page panel placeholder post posts primary reader readers region right row secondary section site slot small sticky text thread title to top unit user users widget wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+
+
+def names_part(names: str) -> bool:
+    """Whether a class or id among ``names`` is the name of a page part, or a compound of such a name and words that go with it."""
+    for token in names.split():
+        parts = {x.lower() for x in NAME_PARTS.findall(token)}
+        if not parts.isdisjoint(PARTS) and all(x in PARTS or x in WITH_PARTS or x.isdigit() for x in parts):
+            return True
+    return False
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters of link text
+    article: int  # the outermost article it is in, or -1
+    container: int
+
+
+class Open(NamedTuple):
+    tag: str
+    left_out: bool
+    article: bool
+    container: bool
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines: (text, tags, link characters, inside an article)."""
+    """Turns parser events into lines; ``parents`` and ``links`` tell of each container what it is in and how many links it has."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # element, is left out, is an article
-        self.out = self.articles = self.links = 0
+        self.lines: list[Line] = []
+        self.open: list[Open | None] = []  # None: an inline element that has been closed
+        self.at: dict[str, list[int]] = {}  # where in ``open`` the elements of a name are
+        self.blocks: list[int] = []  # where in ``open`` the blocks are
+        self.out = self.articles = self.in_link = self.n_articles = 0
+        self.parents, self.links, self.within = [-1], [0], [0]
         self.text: list[str] = []
         self.tags = self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.articles > 0))
+            self.lines.append(Line(text, self.tags, self.linked, self.n_articles if self.articles else -1, self.within[-1]))
             self.tags = 0
         self.text.clear()
         self.linked = 0
 
+    def innermost(self, names: list[str] | frozenset[str]) -> int:
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
+
+    def push(self, item: Open) -> None:
+        place = len(self.open)
+        self.open.append(item)
+        self.at.setdefault(item.tag, []).append(place)
+        if item.tag in BLOCKS:
+            self.blocks.append(place)
+        self.out += item.left_out
+        self.n_articles += item.article and not self.articles
+        self.articles += item.article
+        self.in_link += item.tag == "a"
+        if item.container:
+            self.parents.append(self.within[-1])
+            self.links.append(0)
+            self.within.append(len(self.parents) - 1)
+
+    def close_item(self, place: int) -> None:
+        item = self.open[place]
+        if item is None:
+            return
+        self.open[place] = None
+        self.at[item.tag].pop()  # elements are closed from the innermost of a name outwards
+        if item.tag in BLOCKS:
+            self.blocks.pop()
+        self.out -= item.left_out
+        self.articles -= item.article
+        self.in_link -= item.tag == "a"
+        if item.container:
+            self.within.pop()
+
+    def close_to(self, place: int) -> None:
+        """Closes the element at ``place`` and all in it."""
+        if self.blocks and self.blocks[-1] >= place:
+            self.flush()
+        while len(self.open) > place:
+            self.close_item(len(self.open) - 1)
+            self.open.pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.tags += 1
+        self.tags += not self.out
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
             self.text.append(" ")
+        if self.at.get("head") and tag not in HEAD_CONTENT:
+            self.close_to(self.at["head"][-1])
+        if tag in CLOSES_P and self.at.get("p") and self.at["p"][-1] > self.innermost(SCOPES):
+            self.close_to(self.at["p"][-1])
+        if tag in IMPLIED:
+            closed, inside = IMPLIED[tag]
+            if (place := self.innermost(closed)) > self.innermost(inside):
+                self.close_to(place)
+        if tag == "a":
+            self.links[self.within[-1]] += 1
         if tag in VOID:
             return
-        if tag in CLOSES_ALONE and self.open and self.open[-1][0] in CLOSES_ALONE[tag]:
-            self.shut()
         a = dict(attrs)
-        names = f"{a.get('class') or ''} {a.get('id') or ''}".strip()
-        left_out = tag in NEVER or (tag == "header" and not self.articles) or "hidden" in a or a.get("aria-hidden") == "true" or (a.get("role") or "") in ROLES
-        left_out = left_out or (tag not in ("html", "body", "main", "article") and bool(names) and bool(BOILERPLATE.search(names)))
-        article = tag in ("article", "main") and not self.out
-        self.open.append((tag, left_out, article))
-        self.out += left_out
-        self.articles += article
-        self.links += tag == "a"
-
-    def shut(self) -> None:
-        tag, left_out, article = self.open.pop()
-        self.out -= left_out
-        self.articles -= article
-        self.links -= tag == "a"
+        left_out = tag in NEVER or (tag == "header" and not self.articles) or "hidden" in a or a.get("aria-hidden") == "true" or (a.get("role") or "").lower() in ROLES
+        left_out = left_out or (tag not in ("html", "body", "main", "article") and names_part(f"{a.get('class') or ''} {a.get('id') or ''}"))
+        self.push(Open(tag, left_out, tag in ("article", "main") and not self.out, tag in CONTAINERS))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.open[-1][0] == tag and tag in ("svg", "math"):
-            self.shut()
+        if tag in ("svg", "math") and self.at.get(tag):
+            self.close_to(self.at[tag][-1])
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.tags += not self.out
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self.shut()
-                break
+        if not self.at.get(tag):
+            return
+        place = self.at[tag][-1]
+        if tag not in BLOCKS and self.blocks and self.blocks[-1] > place:
+            self.close_item(place)  # blocks that were opened in it stay open
+        elif tag in SCOPES or tag in ("tr", "tbody", "thead", "tfoot", "body") or place > self.innermost(SCOPES):
+            self.close_to(place)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1] is not None and self.open[-1].tag == "head" and data.strip():
+            self.close_to(len(self.open) - 1)
         if not self.out:
             self.text.append(data)
-            if self.links:
+            if self.in_link:
                 self.linked += len(data)
 
 
@@ -118,6 +204,43 @@ def cut(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def chosen(p: Lines, sigma: float, link_share: float) -> np.ndarray:
+    """Which lines are in content regions and no lists of links."""
+    lines = p.lines
+    size, linked = np.array([len(x.text) for x in lines]), np.array([x.linked for x in lines])
+    article, container = np.array([x.article for x in lines]), np.array([x.container for x in lines])
+    smooth = np.round(smoothed((size - linked) / np.maximum(1, [x.tags for x in lines]), sigma), 6)
+    high = (smooth >= cut(smooth)) & (linked <= link_share * size)
+    # Of each container with what is in it: text, link text, high lines and links.
+    n = len(p.parents)
+    parents, all_links = p.parents, list(p.links)
+    text, link_text, highs = (np.bincount(container, x, n).tolist() for x in (size, linked, high))
+    for i in range(n - 1, 0, -1):  # a container comes after what it is in
+        for x in (text, link_text, highs, all_links):
+            x[parents[i]] += x[i]
+    is_list = [b > link_share * a and not h for a, b, h in zip(text, link_text, highs, strict=True)]
+    in_list = [is_list[0]] + [False] * (n - 1)
+    in_menu = [False] * n
+    for i in range(1, n):
+        in_list[i] = is_list[i] or in_list[parents[i]]
+        in_menu[i] = (is_list[i] and all_links[i] > 1) or in_menu[parents[i]]
+    if (article >= 0).any():
+        with_content = np.unique(article[high & (article >= 0)])
+        keep = np.isin(article, with_content) if len(with_content) else article >= 0
+        for k in with_content:
+            own = np.flatnonzero(article == k)
+            ends = own[high[own]][[0, -1]]
+            outer = own[(own < ends[0]) | (own > ends[1])]
+            keep[outer] = ~np.array(in_menu)[container[outer]]
+        return keep
+    region = [False] * n
+    for c in np.unique(container[high]):
+        region[c] = True
+    for i in range(1, n):
+        region[i] = region[i] or region[parents[i]]
+    return (np.array(region) & ~np.array(in_list))[container]
+
+
 def main_text(html: str | None, sigma: float = 1.0, link_share: float = 0.6) -> str:
     """The article's blocks, joined by blank lines."""
     if not html:
@@ -126,23 +249,7 @@ def main_text(html: str | None, sigma: float = 1.0, link_share: float = 0.6) ->
     p.feed(html)
     p.close()
     p.flush()
-    if not (lines := p.lines):
-        return ""
-    ratios = np.array([(len(t) - k) / max(1, n) for t, n, k, _ in lines])
-    linky = np.array([k > link_share * len(t) for t, _, k, _ in lines])
-    article = np.array([a for *_, a in lines])
-    smooth = smoothed(ratios, sigma)
-    if article.any():
-        # The regions are those of article elements; a line in one is left out only if it is nothing but links among low ratios.
-        keep = article & ~(linky & (smooth < cut(smooth)))
-    else:
-        high = smooth >= min(cut(smooth), smooth.mean())
-        inside = np.flatnonzero(high & ~linky)
-        keep = np.zeros(len(lines), bool)
-        if len(inside):  # from the first to the last line of content, so that short lines between long ones stay
-            keep[inside[0] : inside[-1] + 1] = True
-        keep &= ~linky
-    return "\n\n".join(t for (t, *_), k in zip(lines, keep, strict=True) if k)
+    return "\n\n".join(x.text for x, k in zip(p.lines, chosen(p, sigma, link_share), strict=True) if k) if p.lines else ""
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
