@@ -1,12 +1,14 @@
 """License scans with ordered signature rules.
 
-A rule is a regex with a priority, a label and the keywords without which it cannot match.  A text is searched only for
-the rules of which a keyword occurs.  Hits are resolved in order: one that lies inside a hit of higher priority, or of
-the same priority and greater length, is suppressed.  Base phrases are rules of the highest priority that look at words
-only; every place of theirs counts and none is suppressed.
-
-Defined results: a null or empty text has no words, no labels and score 0; several hits of one label count once; repeated
-rows give repeated results; further columns of the input are ignored.
+A rule is a hand-written regex with a priority, a label and a keyword without which it cannot match.  One pass over a text
+finds the keywords in it, and only their rules are tried.  Hits are resolved in order of priority: one that lies inside a
+hit of higher priority, or of the same priority and greater length, is suppressed.  Base phrases look at words only;
+every place of theirs counts and none is suppressed.
+
+Defined results: a null or empty text has no words, no labels and score 0; several hits of one label count once; of hits
+with the same place and priority the label that sorts first stays; very long texts take linear time; the score is that of
+the strongest hit, a hundredth of its priority, and 1 with a base phrase; repeated rows, also of a null id, give repeated
+results; further columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,137 +18,73 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewright.llm.license_rules import RULES
+
 # The base phrases with their labels, and the bytes that belong to words once A-Z are lower-cased.
 BASE = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 LOWER_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
-# Families of licenses as label, SPDX identifiers, and names as they are written in texts.
-FAMILIES = [
-    ("mit", "mit|mit-0|x11", r"mit|expat|x11"),
-    ("apache", "apache-1\\.0|apache-1\\.1|apache-2\\.0", r"apache(?: software)?"),
-    ("gpl", "gpl-[123]\\.0(?:\\+|-only|-or-later)?", r"(?:gnu )?general public|gnu gpl|gpl"),
-    ("lgpl", "lgpl-[23]\\.[01](?:\\+|-only|-or-later)?", r"(?:gnu )?(?:lesser|library) general public|gnu lgpl|lgpl"),
-    ("agpl", "agpl-[13]\\.0(?:\\+|-only|-or-later)?", r"(?:gnu )?affero general public|gnu agpl|agpl"),
-    ("bsd", "0bsd|bsd-[1234]-clause", r"(?:new |modified |simplified |revised |[234]-clause )?bsd"),
-    ("mpl", "mpl-[12]\\.[01]", r"mozilla public"),
-    ("epl", "epl-[12]\\.0", r"eclipse public"),
-    ("eupl", "eupl-1\\.[012]", r"european union public"),
-    ("cddl", "cddl-1\\.[01]", r"common development and distribution"),
-    ("cpl", "cpl-1\\.0", r"common public"),
-    ("isc", "isc", r"isc|internet systems consortium"),
-    ("zlib", "zlib", r"zlib(?:/libpng)?"),
-    ("boost", "bsl-1\\.0", r"boost software"),
-    ("unlicense", "unlicense", r"unlicense"),
-    ("artistic", "artistic-[12]\\.0", r"artistic"),
-    ("python", "psf-2\\.0|python-2\\.0", r"python software foundation|psf"),
-    ("php", "php-3\\.0[1]?", r"php"),
-    ("ruby", "ruby", r"ruby"),
-    ("openssl", "openssl", r"openssl"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("ofl", "ofl-1\\.[01]", r"(?:sil )?open font"),
-    ("ms-pl", "ms-pl|ms-rl", r"microsoft (?:public|reciprocal)"),
-    ("wtfpl", "wtfpl", r"do what the fuck you want to public|wtfpl"),
-    ("cc0", "cc0-1\\.0", r"cc0|creative commons zero"),
-    ("cc-by", "cc-by-[1234]\\.[05]", r"(?:creative commons |cc[ -])(?:by|attribution)"),
-    ("cc-by-sa", "cc-by-sa-[1234]\\.[05]", r"(?:creative commons |cc[ -])(?:by-sa|attribution[- ]share ?alike)"),
-    ("cc-by-nc", "cc-by-nc(?:-sa|-nd)?-[1234]\\.[05]", r"(?:creative commons |cc[ -])(?:by-nc(?:-sa|-nd)?|attribution[- ]non ?commercial)"),
-    ("cc-by-nd", "cc-by-nd-[1234]\\.[05]", r"(?:creative commons |cc[ -])(?:by-nd|attribution[- ]no ?deriv\w*)"),
-    ("odbl", "odbl-1\\.0", r"open (?:database|data commons open database)"),
-    ("ncsa", "ncsa", r"(?:university of illinois|ncsa)(?: open source)?"),
-    ("afl", "afl-[123]\\.[01]", r"academic free"),
-    ("osl", "osl-[123]\\.[01]", r"open software"),
-    ("qpl", "qpl-1\\.0", r"q public"),
-    ("sissl", "sissl", r"sun industry standards source"),
-    ("upl", "upl-1\\.0", r"universal permissive"),
-    ("vim", "vim", r"vim"),
-    ("w3c", "w3c", r"w3c(?: software)?"),
-    ("apsl", "apsl-[12]\\.[012]", r"apple public source"),
-    ("cecill", "cecill-[12]\\.[01]|cecill-[bc]", r"cecill"),
-]
-# Ways in which a text names a license; {n} is the name.  The first has the highest priority.
-FORMS = [
-    (90, 0.95, r"(?:licensed|released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?(?:{n}) licen[cs]e"),
-    (80, 0.9, r"(?:permission|terms|conditions) of (?:the )?(?:{n}) licen[cs]e"),
-    (70, 0.85, r"(?:{n}) licen[cs]e,? version \d+(?:\.\d+)?"),
-    (60, 0.8, r"(?:{n}) licen[cs]e(?: agreement)?"),
-    (50, 0.7, r"licen[cs]e:? (?:the )?(?:{n})\b"),
-    (40, 0.6, r"(?:{n})[- ]licen[cs]ed"),
-]
-# Sentences by which full texts and notices are known: priority, score, label, keyword, regex.
-SENTENCES = [
-    (100, 0.99, "mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    (100, 0.99, "isc", "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
-    (100, 0.99, "bsd", "redistribution and use", r"redistribution and use in source and binary forms"),
-    (100, 0.99, "apache", "apache.org/licenses", r"https?://www\.apache\.org/licenses/license-[12]\.[01]"),
-    (100, 0.99, "gpl", "gnu.org/licenses", r"https?://www\.gnu\.org/licenses/(?:old-licenses/)?gpl"),
-    (100, 0.99, "lgpl", "gnu.org/licenses", r"https?://www\.gnu\.org/licenses/(?:old-licenses/)?lgpl"),
-    (100, 0.99, "agpl", "gnu.org/licenses", r"https?://www\.gnu\.org/licenses/agpl"),
-    (100, 0.99, "mpl", "mozilla.org/mpl", r"https?://(?:www\.)?mozilla\.org/mpl/"),
-    (100, 0.99, "unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain"),
-    (100, 0.99, "zlib", "provided 'as-is'", r"this software is provided 'as-is', without any express or implied warranty"),
-    (100, 0.99, "cc0", "creativecommons.org", r"creativecommons\.org/publicdomain/zero"),
-    (100, 0.99, "cc-by", "creativecommons.org", r"creativecommons\.org/licenses/by/"),
-    (100, 0.99, "cc-by-sa", "creativecommons.org", r"creativecommons\.org/licenses/by-sa/"),
-    (100, 0.99, "cc-by-nc", "creativecommons.org", r"creativecommons\.org/licenses/by-nc"),
-    (100, 0.99, "cc-by-nd", "creativecommons.org", r"creativecommons\.org/licenses/by-nd"),
-    (30, 0.6, "public-domain", "public domain", r"(?:in|into|to) the public domain"),
-    (30, 0.6, "proprietary", "rights reserved", r"all rights reserved"),
-    (30, 0.6, "proprietary", "proprietary", r"proprietary and confidential"),
-]
+GAP = r"(?:[\s#*/]+)"  # between words: white space and comment marks
 
 
 class Rule(NamedTuple):
     priority: int
-    score: float
     label: str
-    keywords: tuple[str, ...]
+    keyword: str
     regex: re.Pattern
 
 
-def keywords_of(names: str) -> tuple[str, ...]:
-    """For each alternative of a name the longest run of letters outside optional groups; one of them must occur."""
-    plain = re.sub(r"\((?:[^()]|\([^()]*\))*\)\??", "\0", names)
-    found = [max(re.findall(r"[a-z0-9]+", x) or [""], key=len) for x in plain.split("|")]
-    return tuple(found) if all(found) else ("licen",)
-
-
 @lru_cache(1)
 def rules() -> list[Rule]:
     """All rules, highest priority first."""
-    out = [Rule(p, s, label, (k,), re.compile(x)) for p, s, label, k, x in SENTENCES]
-    for label, spdx, names in FAMILIES:
-        keys = keywords_of(names)
-        out += [Rule(p, s, label, keys, re.compile(r"(?<![\w.-])" + form.replace("{n}", names))) for p, s, form in FORMS]
-        out.append(Rule(95, 0.99, label, ("spdx-license-identifier",), re.compile(rf"spdx-license-identifier:\s*(?:{spdx})(?![\w.-])")))
+    out = []
+    for line in RULES.strip().splitlines():
+        head, regex = line.split(" :: ", 1)
+        priority, label, keyword = head.split()
+        spaced = re.sub(r"\[[^\]]*\]| ", lambda m: GAP if m[0] == " " else m[0], regex)
+        out.append(Rule(int(priority), label, keyword, re.compile(spaced)))
     return sorted(out, key=lambda r: -r.priority)
 
 
-def detections(lower: str) -> list[tuple[int, int, int, float, str]]:
-    """(start, end, priority, score, label) of the hits that are left in a text in lower case."""
-    present: dict[str, bool] = {}
-    if not ("licen" in lower or any(s[3] in lower for s in SENTENCES)):
-        return []
-    hits = []
-    for r in rules():
-        for k in r.keywords:
-            if k not in present:
-                present[k] = k in lower
-        if any(present[k] for k in r.keywords):
-            hits += [(m.start(), m.end(), r.priority, r.score, r.label) for m in r.regex.finditer(lower)]
-    kept: list[tuple[int, int, int, float, str]] = []
-    reach: dict[int, int] = {}
+@lru_cache(1)
+def prefilter() -> ahocorasick.Automaton:
+    """Finds the keywords in one pass; each stands for the rules that need it."""
+    found = ahocorasick.Automaton()
+    of: dict[str, list[int]] = {}
+    for i, r in enumerate(rules()):
+        of.setdefault(r.keyword, []).append(i)
+    for k, some in of.items():
+        found.add_word(k, tuple(some))
+    found.make_automaton()
+    return found
+
+
+def resolved(hits: list[tuple[int, int, int, float, str]]) -> list[tuple[int, int, int, float, str]]:
+    """(start, end, priority, score, label) without the hits inside one of higher priority, or of the same and greater length.
+
+    Of hits of one place and priority the label that sorts first stays.
+    """
+    kept, reach = [], {}
     # By start, longest first, a hit is inside an earlier one exactly if it ends no later than the furthest end so far.
-    for a, b, p, s, label in sorted(hits, key=lambda h: (h[0], -h[1], -h[2], h[4])):
+    for a, b, p, score, label in sorted(set(hits), key=lambda h: (h[0], -h[1], -h[2], h[4])):
         if not any(q >= p and end >= b for q, end in reach.items()):
-            kept.append((a, b, p, s, label))
+            kept.append((a, b, p, score, label))
         reach[p] = max(reach.get(p, 0), b)
     return kept
 
 
+def detections(lower: str) -> list[tuple[int, int, int, float, str]]:
+    """The hits that are left in a text in lower case."""
+    wanted = {some for _, some in prefilter().iter(lower)}
+    every = rules()
+    return resolved([(m.start(), m.end(), every[i].priority, every[i].priority / 100, every[i].label) for some in wanted for i in some for m in every[i].regex.finditer(lower)])
+
+
 def scan_text(text: str | None) -> tuple:
     """(words, base places, first word, last word, base labels, labels, score, spans) of one text."""
     data = (text or "").encode()
@@ -156,14 +94,17 @@ def scan_text(text: str | None) -> tuple:
         line = b" " + b" ".join(words) + b" "
         for phrase, label in BASE.items():
             at = line.find(probe := b" " + phrase + b" ")
+            word = line.count(b" ", 0, max(at, 0))
             while at >= 0:
-                starts.append(line.count(b" ", 0, at))
+                starts.append(word)
                 base.add(label)
-                at = line.find(probe, at + 1)
+                after = line.find(probe, at + 1)
+                word += line.count(b" ", at, max(after, at))
+                at = after
     found = detections(data.translate(LOWER_BYTES).decode()) if data else []
     labels = base | {h[4] for h in found}
     score = max([h[3] for h in found] + [1.0] * bool(base), default=0.0)
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, [(a, b, label) for a, b, _, _, label in found]
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, [(a, b, label) for a, b, *_, label in found]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
