@@ -3,8 +3,9 @@
 The words of a document are a path through a De Bruijn graph whose edges are windows of ``width`` words.  The graph is
 built in parts, as compacting assemblers do: windows in a row that share their minimizer (the least of the hashes of
 their ``seed``-word runs) travel as one row keyed by it, so every edge meets all its equals.  Within a block of documents
-only the first document of an edge is sent on; for the others their source, the coordinates (document, word) of that
-first one, is known at once.  A shuffle on the minimizer finds the sources of the edges of all blocks.
+only the first document of an edge is sent on; for the others their source, the coordinates (document, word) of the
+nearest smaller document with that edge, is known at once.  A shuffle on the minimizer finds the sources of the edges of
+all blocks.  As each document takes the nearest smaller one, a passage that is everywhere has no one source of all.
 
 Repeated edges are then compacted: consecutive edges of a document whose sources are consecutive too form a path, and a
 path ends where it branches to another source.  The paths' coordinates are joined back to the source documents, whose
@@ -97,6 +98,21 @@ def stretches(batches: Iterator[pa.RecordBatch], width: int, seed: int, crowded:
         yield from block(ids, texts, hashes, width, seed, crowded)
 
 
+def sources(window: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For rows in order of document, the last row with the same window of the nearest smaller document (-1: there is none)."""
+    order = np.argsort(window, kind="stable")
+    w, d = window[order], doc[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = w[1:] == w[:-1]
+    fresh = ~same
+    fresh[1:] |= d[1:] != d[:-1]
+    head = np.flatnonzero(fresh)  # the first row of each window and document
+    before = np.where(same[head], order[head - 1], -1)
+    out = np.empty(len(order), np.int64)
+    out[order] = before[np.cumsum(fresh) - 1]
+    return out
+
+
 def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed: int, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
     parts = []
     for k in np.argsort(np.array(ids, np.int64), kind="stable"):
@@ -114,11 +130,8 @@ def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed
         return
     doc, sub, at, place, m, window = map(np.concatenate, zip(*parts, strict=True))
     del parts
-    # The rows are in order of document, so the first row of a window has the least document of the block.
-    _, first, group = np.unique(window, return_index=True, return_inverse=True)
-    source = first[group]
-    del first, group
-    known = doc[source] < doc
+    source = sources(window, doc)
+    known = source >= 0
     # A stretch ends where the document, its fate, the place of its minimizer or the line of its sources changes.
     new = np.ones(len(doc), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (known[1:] != known[:-1]) | np.where(known[1:], (source[1:] != source[:-1] + 1) | (doc[source[1:]] != doc[source[:-1]]), place[1:] != place[:-1])
@@ -143,7 +156,7 @@ def halves(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs (doc, sub, at, n, src, src_at) of windows that a smaller document has, from rows sorted by minimizer and document.
 
-    What is kept from batch to batch are the distinct windows, with their sources, of the one minimizer that goes on.
+    What is kept from batch to batch are the distinct windows, with their last coordinates, of the one minimizer that goes on.
     """
     last, carry = None, (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
 
@@ -172,22 +185,19 @@ def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = len(carry[0]) if last == m[0] else 0
         if before:
             w, d, a, group = np.concatenate((carry[0], w)), np.concatenate((carry[1], d)), np.concatenate((carry[2], a)), np.concatenate((np.zeros(before, np.int64), group))
-        order = np.lexsort((w, group))  # stable, so documents stay in order
-        g, x = group[order], w[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
-        first = order[new]
-        source = first[np.cumsum(new) - 1]
-        hit = (d[source] < d[order]) & (order >= before)
-        place = np.argsort(order[hit], kind="stable")
-        hits, source = order[hit][place], source[hit][place]
+        group = group.astype(np.uint64)
+        key = (group << np.uint64(48) if group[-1] < 65536 else mix(group)) ^ w
+        source = sources(key, d)
+        hits = np.flatnonzero(source[before:] >= 0) + before
+        source = source[hits]
         if len(hits):
             r, j, src, src_at = row[hits - before], within[hits - before], d[source], a[source]
             fresh = np.ones(len(hits), bool)
             fresh[1:] = (r[1:] != r[:-1]) | (j[1:] != j[:-1] + 1) | (src[1:] != src[:-1]) | (src_at[1:] != src_at[:-1] + 1)
             s = np.flatnonzero(fresh)
             yield rows(doc[r[s]], sub[r[s]], at[r[s]] + j[s], np.diff(np.append(s, len(hits))), src[s], src_at[s])
-        last, tail = m[-1], first[g[new] == g[-1]]
+        last, tail = m[-1], np.flatnonzero(group == group[-1])[::-1]
+        tail = tail[np.unique(w[tail], return_index=True)[1]]  # of each window the last row
         carry = (w[tail], d[tail], a[tail])
 
 
@@ -235,7 +245,7 @@ def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], widt
     crowded = docs.sparkSession.sparkContext.broadcast(crowded_minimizers(docs, width, seed))
     rows = docs.mapInArrow(lambda b: stretches(b, width, seed, crowded.value), STRETCH)
     runs = rows.repartition("m").sortWithinPartitions("m", "doc").mapInArrow(repeats, "doc bigint, sub bigint, at int, n int, src bigint, src_at int")
-    found = paths(runs)
+    found = checkpointed(paths(runs))
     # Both joins with the texts read one shuffle of them, as they ask for the same columns; rows without an id are dealt by text.
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("k"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
 
