@@ -59,3 +59,37 @@ def test_split_groups_and_empty(spark):
     b = sorted(map(tuple, ann.search(table(spark, rows), F.col("id") % 20 == 0, k=3).collect()))
     assert [x[:3] for x in a] == [x[:3] for x in b]
     assert ann.search(table(spark, []), F.col("id") % 20 == 0).count() == 0
+
+
+def test_hot_buckets_and_many_queries_are_split(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, (np.array([1.0] * 8) + 0.01 * r.normal(size=8)).astype(np.float32).tolist()) for i in range(300)] + [(1000 + i, r.normal(size=8).astype(np.float32).tolist()) for i in range(200)]
+    got = ann.search(table(spark, rows), F.col("id") % 2 == 0, k=5, block=32).collect()
+    want = brute(rows, [i for i, _ in rows if i % 2 == 0], 5)
+    hits = sum((x.query_id, x.vec_id) in {(q, i) for q, d in want.items() for _, i in d} for x in got)
+    assert len(got) == 5 * len(want) and hits / len(got) >= 0.9
+    assert all(x.score == pytest.approx(dict((i, s) for s, i in brute(rows, [x.query_id], 500)[x.query_id])[x.vec_id], abs=1e-12) for x in got[:40])
+
+
+def test_fewer_vectors_than_neighbours_and_doubles(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(20)] + [(30, [1.0, 2.5]), (31, [-1.0, 0.1]), (40, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for x in ann.search(df, F.col("id").isin(0, 19, 30, 40), k=10).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    assert [i for _, i, _ in sorted(got[0])] == list(range(1, 11)) and [i for _, i, _ in sorted(got[19])] == list(range(10))
+    assert [i for _, i, _ in sorted(got[30])] == list(range(10)) and 40 not in got
+
+
+def test_recall_on_vectors_that_no_setting_was_chosen_by(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(6000, 40)) + 0.4 * r.normal(size=(30, 40))[r.integers(0, 30, 6000)]
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    got = ann.search(table(spark, rows), F.col("id") % 100 == 0).collect()
+    f = np.array([v for _, v in rows], np.float32).astype(float)
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = ((f - f[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10]) & {y.vec_id for y in got if y.query_id == q})
+    assert hits / 600 >= 0.9
