@@ -1,7 +1,12 @@
-"""Small helpers that the operators of this subpackage share."""
+"""Small helpers that the operators of this subpackage share.
+
+Defined results: a null text counts as empty; a null id stays null, and is held out of no model; an empty batch gives
+nothing; words are remembered up to a bound of their number and length, which changes no result.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -10,17 +15,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+LONGEST = 64  # letters of a word that is remembered
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the folder that the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is taken.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset a session that runs in this process alone
+    takes a temporary one; on a cluster, whose executors would not see it, it has to be set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -29,8 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the third of the rows that no model may learn from."""
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    """True for the third of the rows that no model may learn from; false for a null id, which has no label."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], most_chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
@@ -76,7 +87,9 @@ class WordHashes:
         for w in words:
             h = known.get(w)
             if h is None:
-                h = known[w] = self.of(w)
+                h = self.of(w)
+                if len(w) <= LONGEST:
+                    known[w] = h
             out.append(h)
         return np.array(out, dtype=np.uint64)
 

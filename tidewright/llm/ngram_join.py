@@ -29,13 +29,11 @@ BLOCK = 512  # nodes of a large component that are compared with as many others
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 160) -> tuple[int, int]:
-    """(bands, rows): the most selective bands that reach ``recall`` at ``threshold`` with at most ``most`` hashes."""
-    best = (1, 1)
-    for rows in range(1, 33):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
-        if bands * rows <= most:
-            best = (bands, rows)
-    return best
+    """(bands, rows): the most selective bands that reach ``recall`` at ``threshold`` with at most ``most`` hashes, or else as few as do."""
+    bands = lambda rows: max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))) if threshold < 1 else 1
+    fitting = [rows for rows in range(1, 33) if bands(rows) * rows <= most]
+    rows = max(fitting, default=1)  # one row a band needs the fewest hashes
+    return bands(rows), rows
 
 
 def shingles(text: str, hashes: WordHashes, n: int) -> np.ndarray:

@@ -11,7 +11,7 @@ Repeated edges are then compacted: consecutive edges of a document whose sources
 path ends where it branches to another source.  The paths' coordinates are joined back to the source documents, whose
 words give each path a 128-bit digest, and with it to the documents that repeat them.  There a path is verified against
 the words at its own coordinates and taken out.  So nothing is removed that a smaller document does not have word for
-word.  Edges are told apart by 40 bits of their minimizer and 48 of their own hash; two different edges that agree in
+word.  Edges are told apart by 40 bits of their minimizer and 64 of their own hash; two different edges that agree in
 these can only hide a repeat, never make one.
 
 Windows at the edge of a passage that very many documents share are all different and have its minimizers.  A sample of the
@@ -42,7 +42,7 @@ from tidewright.llm.common import WordHashes, checkpointed, chunks, mix, rolled
 WIDTH, SEED = 13, 3
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK_WORDS = 1 << 19
-SHIFT, WINDOW_BYTES = np.uint64(24), 6  # 40 bits of a minimizer and 48 of a window's hash are sent
+SHIFT, WINDOW_BYTES = np.uint64(24), 8  # 40 bits of a minimizer and 64 of a window's hash are sent
 SAMPLED, CROWDED, SHARE = 1 / 64, 1024, 2.0**-20  # share of the documents; stretches, and share of the stretches in it, that make a minimizer crowded
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 NONE = np.empty(0, np.uint64)
@@ -139,9 +139,9 @@ def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed
     n = np.diff(np.append(starts, len(doc)))
     sent = ~known[starts]
     key = np.where(sent, m[starts] >> SHIFT, doc[starts].view(np.uint64))  # what is known only passes through, dealt by document
-    short = window[~known].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WINDOW_BYTES :]
+    hashes_sent = window[~known].astype("<u8")
     offsets = np.concatenate(([0], np.cumsum(n * sent * WINDOW_BYTES))).astype(np.int32)
-    blob = pa.Array.from_buffers(pa.binary(), len(starts), [pa.array(sent, pa.bool_()).buffers()[1], pa.py_buffer(offsets.tobytes()), pa.py_buffer(short.tobytes())])
+    blob = pa.Array.from_buffers(pa.binary(), len(starts), [pa.array(sent, pa.bool_()).buffers()[1], pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes_sent.tobytes())])
     place = (sub[starts] << 32) | at[starts]
     src, run = doc[source[starts]], (n << 32) | at[source[starts]]
     for a in range(0, len(starts), 100_000):
@@ -178,17 +178,13 @@ def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = pc.binary_length(blobs).to_numpy() // WINDOW_BYTES
         row = np.repeat(np.arange(len(m)), n)
         within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        w = np.zeros((len(row), 8), np.uint8)
-        w[:, :WINDOW_BYTES] = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, WINDOW_BYTES)
-        w, d, a = w.view("<u8").ravel(), doc[row], at[row] + within
+        w, d, a = np.frombuffer(b"".join(blobs.to_pylist()), "<u8"), doc[row], at[row] + within
         group = np.cumsum(np.concatenate(([0], m[1:] != m[:-1])))[row]
         before = len(carry[0]) if last == m[0] else 0
         if before:
             w, d, a, group = np.concatenate((carry[0], w)), np.concatenate((carry[1], d)), np.concatenate((carry[2], a)), np.concatenate((np.zeros(before, np.int64), group))
-        group = group.astype(np.uint64)
-        key = (group << np.uint64(48) if group[-1] < 65536 else mix(group)) ^ w
-        source = sources(key, d)
-        hits = np.flatnonzero(source[before:] >= 0) + before
+        source = sources(mix(group.astype(np.uint64)) ^ w, d)
+        hits = np.flatnonzero((np.arange(len(source)) >= before) & (source >= 0) & (d[source] < d))
         source = source[hits]
         if len(hits):
             r, j, src, src_at = row[hits - before], within[hits - before], d[source], a[source]
