@@ -46,6 +46,18 @@ def test_against_brute_force_with_and_without_splitting(spark):
         assert got == want
 
 
+def test_blocks_are_bounded_in_characters(spark, monkeypatch):
+    rows = [(i, edited(prose(8, 200), i, 0.008)) for i in range(12)]
+    monkeypatch.setattr(j, "BLOCK_CHARS", 4000)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in j.similar(docs(spark, rows)).collect()} == brute(rows)
+
+
+def test_banding_reaches_its_recall_even_beyond_its_hashes():
+    for t, most in ((0.02, 160), (0.8, 3), (1.0, 160)):
+        bands, rows = j.banding(t, 0.999, most)
+        assert 1 - (1 - t**rows) ** bands >= 0.999
+
+
 def test_banding_reaches_its_recall():
     for t in (0.5, 0.8, 0.9):
         bands, rows = j.banding(t, 0.999)

@@ -6,7 +6,8 @@ local rule on neighbouring states.  The slices between boundaries go through a c
 kept, and decoding places each token's bytes at its offset.
 
 Defined results: a null text counts as empty; an empty text has no tokens and the digest of no bytes; rows that repeat
-are encoded separately; further columns of the input are ignored.
+are encoded separately, rows with a null id too; very long texts and pieces take n log n steps; of pairs with equal ranks the
+leftmost is joined first; further columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -218,6 +219,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def id_type(df: DataFrame, id_col: str) -> tuple[pa.DataType, str]:
+    """The type of an id column: text, or else a long."""
+    return (pa.string(), "string") if dict(df.dtypes)[id_col] == "string" else (pa.int64(), "bigint")
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, offsets array<long>) of every text; ``path`` is a rank file that every executor has."""
 
@@ -227,8 +233,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             ids = v.encode(texts)
             yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(ids, pa.list_(pa.int32())), pa.array([v.offsets(x) for x in ids], pa.list_(pa.int64()))], names=[id_col, "ids", "offsets"])
 
-    kind = pa.string() if dict(df.dtypes)[id_col] == "string" else pa.int64()
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {'string' if pa.types.is_string(kind) else 'bigint'}, ids array<int>, offsets array<bigint>")
+    kind, name = id_type(df, id_col)
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {name}, ids array<int>, offsets array<bigint>")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -254,8 +260,9 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for keys, texts in chunks(batches):
             ids = v.encode(texts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([v.decode(x, v.offsets(x)) for x in ids], pa.binary())],
+                [pa.array(keys, kind), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([v.decode(x, v.offsets(x)) for x in ids], pa.binary())],
                 names=[id_col, "n_tokens", "ids_le", "decoded"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} bigint, n_tokens bigint, ids_le binary, decoded binary")
+    kind, name = id_type(df, id_col)
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {name}, n_tokens bigint, ids_le binary, decoded binary")

@@ -1,4 +1,8 @@
-"""Connected components of a graph given as edges, by least labels and pointer jumping."""
+"""Connected components of a graph given as edges, by least labels and pointer jumping.
+
+Defined results: an edge of a node to itself, an edge with a null end, and repeated edges change nothing; no edges give no
+nodes; further columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -3,12 +3,14 @@
 The number of rows in a band and of bands follow from the recall wanted at the threshold.  Texts with the same n-gram set
 are one node.  Nodes are shuffled on their band hashes; each is tied to the least node of its bucket, and the components
 of these ties hold every candidate pair.  Within a component all pairs of full n-gram sets are compared exactly: small
-components in one task, large ones as pairs of blocks of bounded size, so no task holds more than two blocks.  Links are
+components in one task, large ones as pairs of blocks of bounded texts and characters, so no task holds more than two
+blocks.  Links are
 counted, not returned one by one: a row per document says which class it is in and how many documents it is linked to.
 
 Defined results: a text of fewer than ``n`` words has one n-gram, all its words; a null or empty text has none, is linked
 to nothing and is a class of its own; copies are linked to each other; rows that share an id are taken for one document
-and return one row each; rows with a null id are left out; further columns are ignored.
+and return one row each; rows with a null id are left out; of equal ids or sets the smallest id leads; a text of any length is
+compared whole; further columns, also of the same names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from tidewright.llm.components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 BLOCK = 512  # nodes of a large component that are compared with as many others in one task
+BLOCK_CHARS = 1 << 24  # and the characters of their texts
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 160) -> tuple[int, int]:
     """(bands, rows): the most selective bands that reach ``recall`` at ``threshold`` with at most ``most`` hashes, or else as few as do."""
-    bands = lambda rows: max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))) if threshold < 1 else 1
+    bands = lambda rows: max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))) if threshold < 1 else 1
     fitting = [rows for rows in range(1, 33) if bands(rows) * rows <= most]
     rows = max(fitting, default=1)  # one row a band needs the fewest hashes
     return bands(rows), rows
@@ -43,7 +46,7 @@ def shingles(text: str, hashes: WordHashes, n: int) -> np.ndarray:
 
 
 def features(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(doc, set, bands): a digest of the n-gram set (null: none) and the band hashes of its MinHash signature."""
+    """(doc, set, chars, bands): a digest of the n-gram set (null: none) and the band hashes of its MinHash signature."""
     import xxhash
 
     hashes = WordHashes()
@@ -66,7 +69,7 @@ def features(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -
             for column in least.reshape(bands, rows).T:
                 h = mix(h ^ column)
             out.append(h.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.string()), pa.array(out, pa.list_(pa.int64()))], names=["doc", "set", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.string()), pa.array([len(t) for t in texts], pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["doc", "set", "chars", "bands"])
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -132,16 +135,19 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     documents have a similarity of ``threshold`` or more with this one."""
     bands, rows = banding(threshold, recall)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
-    feats = checkpointed(docs.mapInArrow(lambda b: features(b, n, bands, rows), "doc bigint, set string, bands array<bigint>"))
+    feats = checkpointed(docs.mapInArrow(lambda b: features(b, n, bands, rows), "doc bigint, set string, chars int, bands array<bigint>"))
     nodes = checkpointed(feats.where("set is not null").groupBy("set").agg(F.min("doc").alias("rep"), F.count("*").alias("many")))  # so that Spark can split the joins of a set with many copies
-    first = feats.join(nodes.select("set", F.col("rep").alias("doc"), "many"), ["set", "doc"]).dropDuplicates(["set", "doc"])
+    first = feats.join(nodes.select("set", F.col("rep").alias("doc")), ["set", "doc"]).dropDuplicates(["set", "doc"])
     rows_ = first.select(F.col("doc").alias("rep"), F.explode("bands").alias("band"))
     buckets = rows_.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
     ties = rows_.join(buckets, "band").where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
     coarse = components(ties)
-    size = coarse.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = coarse.join(size, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = checkpointed(member.join(nodes.select(F.col("rep").alias("node"), "many"), "node"))
+    # Blocks are bounded in texts and, but for one long text alone, in characters.
+    sized = coarse.join(first.select(F.col("doc").alias("node"), "set", "chars"), "node")
+    size = sized.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.col("chars").cast("long")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    size = size.withColumn("blocks", F.greatest("blocks", F.lit(1)))
+    member = sized.join(size, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    member = checkpointed(member.join(nodes.select("set", "many"), "set").select("node", "label", "blocks", "block", "many"))
     texts = docs.join(member.withColumnRenamed("node", "doc"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.select(F.col("doc").alias("rep"), "text", "many", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "blocks")
     links = checkpointed(texts.groupBy("label", "p", "q").applyInArrow(lambda t: compared(t, n, threshold), "rep bigint, root bigint, links bigint"))
@@ -150,7 +156,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     if not split.isEmpty():  # what several tasks found of a large component is connected once more
         whole = components(links.join(split, "rep", "left_semi").select(F.col("rep").alias("u"), F.col("root").alias("v")))
         counts = counts.join(whole.withColumnRenamed("node", "rep"), "rep", "left_outer").withColumn("root", F.least("root", "label")).drop("label")
-    member_of = feats.select("doc", "set").join(nodes, "set", "left_outer").join(counts, "rep", "left_outer")
+    # What is known of a set is put together first, so the documents are joined once, on the set, and a set with many copies can be split.
+    of_set = checkpointed(nodes.join(counts, "rep", "left_outer"))
+    member_of = feats.select("doc", "set").join(of_set, "set", "left_outer")
     return member_of.select(
         F.col("doc").alias(id_col), F.coalesce("root", "rep", "doc").alias("class_id"), F.coalesce("rep", "doc").alias("copy_of"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("many", F.lit(1)) - 1).cast("long").alias("n_links"),
