@@ -1,4 +1,9 @@
-"""What the two classifiers share: their sample of labelled rows, an optimiser, and calibration."""
+"""What the two classifiers share: their sample of labelled rows, an optimiser, and calibration.
+
+Defined results: null labels, null ids and held-out ids are not learned from; of several labels of an id the greatest
+counts; an id with several texts has a row for each distinct one, within the bound; null texts count as empty; without
+rows the sample is empty and the weight 1; further columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import chunks, held_out
@@ -28,22 +33,30 @@ def labelled_ids(labels: DataFrame, label: str, bound: int, id_col: str) -> tupl
     return parts[0].unionByName(parts[1]), there
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str, text_col: str, ids_of: Callable[[str], np.ndarray]) -> tuple[list[tuple[int, int, np.ndarray]], float]:
-    """(id, label, word ids of the whole text) of the sample, sorted by id, and the weight of a row of label 0 in it that
-    restores the share of the labels.  Texts become ids on the executors."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str, text_col: str, features: Callable[[list[str]], list[bytes]], most_bytes: int) -> tuple[list[tuple[int, int, bytes]], float]:
+    """(id, label, features of the whole text) of the sample, sorted by id, and the weight of a row of label 0 in it that
+    restores the share of the labels.  Texts become features on the executors.
+
+    Besides ``bound`` rows of each label at most ``most_bytes`` bytes of features are taken of each: rows beyond them, in the
+    order of a hash of the id, are left out whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = iter(batch.column(2).to_pylist())
             for ids, texts in chunks([batch]):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([next(labels) for _ in ids], pa.int32()), pa.array([ids_of(t).astype("<i4").tobytes() for t in texts], pa.binary())], names=["id", "label", "words"])
+                got = features(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([next(labels) for _ in ids], pa.int32()), pa.array(got, pa.binary()), pa.array([len(x) for x in got], pa.int64())], names=["id", "label", "features", "bytes"])
 
     chosen, there = labelled_ids(labels, label, bound, id_col)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").mapInArrow(run, "id bigint, label int, words binary").collect()
-    taken = [min(bound, there.get(k, 0)) for k in (0, 1)]
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").mapInArrow(run, "id bigint, label int, features binary, bytes bigint").distinct()
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "features")
+    rows = rows.withColumn("row", F.row_number().over(order)).where(F.col("row") <= bound).withColumn("so_far", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where(F.col("so_far") <= most_bytes).select("id", "label", "features").collect()
+    taken = [sum(r.label == k for r in rows) for k in (0, 1)]
     weight = (there[0] / taken[0]) / (there[1] / taken[1]) if all(taken) else 1.0
-    return sorted(((r.id, r.label, np.frombuffer(bytes(r.words), "<i4")) for r in rows), key=lambda r: (r[0], r[1], r[2].tobytes())), weight
+    return sorted((r.id, r.label, bytes(r.features)) for r in rows), weight
 
 
 class Adam:
@@ -73,6 +86,13 @@ def temperature(logits: np.ndarray, labels: np.ndarray, weight: float = 1.0) ->
     return float(grid[int(np.argmin(loss))])
 
 
+def folds(ids: np.ndarray, n: int) -> np.ndarray:
+    """To which of ``n`` folds each id belongs."""
+    from tidewright.llm.common import mix
+
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(int)
+
+
 def calibration_part(ids: np.ndarray) -> np.ndarray:
     """True for the fifth of the sample that calibrates."""
     from tidewright.llm.common import mix

@@ -1,31 +1,34 @@
 """A quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
-Every word and every word shape has a sparse random index vector; the context vector of a word is the sum of the index
-vectors around it in the sample, and its word vector is both together.  A document is the mean and the spread of its word
-and shape vectors.  The network is trained in numpy on a bounded sample of the labelled rows, and a temperature that is
+Every word and every word shape has a sparse random index vector; its context vector is the sum of the index vectors around
+it in all documents, summed in Spark, and its word vector is both together.  A document is the mean and the spread of its
+word and shape vectors.  The network is trained in numpy on a bounded sample of the labelled rows, and a temperature that is
 fitted on rows kept back from training makes its outputs probabilities.
 
 Defined results: null and empty texts are scored like any other, from an empty pool; without labelled rows of both kinds
-every score is the share of label 1 (0.5 without rows); repeated rows get equal scores; labels, language, source and id
-do not enter a score; further columns are ignored.
+every score is the share of label 1 (0.5 without rows); repeated rows get equal scores; a null id is not held out; very
+long texts are read whole, in parts; labels, language, source and id do not enter a score; further columns, also of the
+same names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import chunks, held_out
+from tidewright.llm.common import LONGEST, chunks, held_out
 from tidewright.llm.learning import Adam, calibration_part, sample, sigmoid, temperature
 
 SAMPLE = 5_000  # bound of the rows of each label that a fit uses
 CUT = 0.5
 BUCKETS, WIDTH, HIDDEN = 1 << 15, 48, 32
+BLANK = re.compile(r"\s")
 DIGITS, SMALL, CAPITALS, MARKS = re.compile(r"\d+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\W+")
 KNOWN, MOST_KNOWN = {}, 1 << 17  # what a worker remembers of tokens, and its bound
 
@@ -34,28 +37,39 @@ def token_ids(token: str) -> int:
     """The buckets of a token's word and, above it, of its shape."""
     import xxhash
 
-    shape = CAPITALS.sub("X", SMALL.sub("x", DIGITS.sub("9", token[:40])))
+    shape = CAPITALS.sub("X", SMALL.sub("x", DIGITS.sub("9", token)))
     word = MARKS.sub("", token.lower()) or token
-    ids = xxhash.xxh3_64_intdigest(word) % BUCKETS | xxhash.xxh3_64_intdigest(f"{shape} {min(len(token), 24) // 3}", 1) % BUCKETS << 32
-    if len(KNOWN) >= MOST_KNOWN:
-        KNOWN.clear()
-    KNOWN[token] = ids
+    ids = xxhash.xxh3_64_intdigest(word) % BUCKETS | xxhash.xxh3_64_intdigest(f"{shape} {len(token) // 3}", 1) % BUCKETS << 32
+    if len(token) <= LONGEST:
+        if len(KNOWN) >= MOST_KNOWN:
+            KNOWN.clear()
+        KNOWN[token] = ids
     return ids
 
 
-def ids_of(text: str) -> np.ndarray:
-    """Word ids, then as many shape ids."""
+def parts_of(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of about ``size`` characters, cut at white space."""
+    at = 0
+    while len(text) - at > size and (gap := BLANK.search(text, at + size)):
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:]
+
+
+def ids_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's words and of their shapes."""
     known = KNOWN.get
-    both = np.array([i if (i := known(t)) is not None else token_ids(t) for t in text.split()], np.int64)
-    return np.concatenate((both & 0xFFFFFFFF, both >> 32)).astype(np.int32)
+    both = np.concatenate([np.array([i if (i := known(t)) is not None else token_ids(t) for t in part.split()], np.int64) for part in parts_of(text)])
+    return both & 0xFFFFFFFF, both >> 32
 
 
+@lru_cache(2)
 def index_vectors(seed: int) -> np.ndarray:
-    """Sparse random vectors of -1, 0 and 1 for all buckets."""
+    """Sparse random vectors of -1, 0 and 1 for all buckets, and one of zeros."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((BUCKETS, WIDTH), np.float32)
+    out = np.zeros((BUCKETS + 1, WIDTH), np.int8)
     for _ in range(4):
-        out[np.arange(BUCKETS), rng.integers(0, WIDTH, BUCKETS)] = rng.choice([-1, 1], BUCKETS)
+        out[np.arange(BUCKETS), rng.integers(0, WIDTH, BUCKETS)] = rng.choice(np.array([-1, 1], np.int8), BUCKETS)
     return out
 
 
@@ -63,36 +77,90 @@ def normed(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
 
 
-def word_vectors(docs: list[np.ndarray], index: np.ndarray, reach: int = 2) -> np.ndarray:
-    """Index and context vectors of all buckets together."""
-    context = np.zeros_like(index)
-    for words in docs:
-        for part in np.split(words, 2):
-            if len(part) < 2:
-                continue
-            own = index[part]
-            around = np.zeros_like(own)
-            for o in range(1, min(reach, len(part) - 1) + 1):
-                around[o:] += own[:-o]
-                around[:-o] += own[o:]
-            order = np.argsort(part, kind="stable")
-            first = np.flatnonzero(np.diff(part[order], prepend=-1))
-            context[part[order][first]] += np.add.reduceat(around[order], first)
-    return normed(index) + normed(context)
-
-
-def pooled(words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The document's vector: mean and spread of words and of shapes, its length and how much it repeats itself."""
-    out = np.zeros(4 * WIDTH + 4, np.float32)
-    if len(words):
-        for k, part in enumerate(np.split(words, 2)):
-            v = vectors[part]
-            mean = v.mean(axis=0)
-            out[2 * k * WIDTH : (2 * k + 1) * WIDTH] = mean
-            out[(2 * k + 1) * WIDTH : (2 * k + 2) * WIDTH] = np.sqrt(np.maximum((v * v).mean(axis=0) - mean * mean, 0))
-        own = words[: len(words) // 2]
-        counts = np.unique(own, return_counts=True)[1]
-        out[-4:] = np.log1p(len(own)) / 5, len(counts) / len(own), counts.max() / len(own), (own[1:] == own[:-1]).mean() if len(own) > 1 else 0
+def add_context(sums: np.ndarray, ids: np.ndarray, index: np.ndarray, reach: int = 2, block: int = 1 << 16) -> None:
+    """Adds to the sums of each bucket the index vectors of its neighbours; ``BUCKETS`` stands between texts."""
+    for lo in range(0, len(ids), block):
+        here = ids[max(0, lo - reach) : lo + block + reach]
+        own = index[here]
+        around = np.zeros_like(own)
+        for o in range(1, min(reach, len(here) - 1) + 1):
+            around[o:] += own[:-o]
+            around[:-o] += own[o:]
+        skip = lo - max(0, lo - reach)
+        here, around = here[skip : skip + block], around[skip : skip + block]
+        order = np.argsort(here, kind="stable")
+        first = np.flatnonzero(np.diff(here[order], prepend=-1))
+        sums[here[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+
+
+def context_vectors(docs: DataFrame, text_col: str, seed: int, slices: int = 64) -> np.ndarray:
+    """The context sums of all buckets over all documents: each task adds up its own, and slices of them are added in Spark.
+
+    The result has ``BUCKETS`` rows whatever the number of documents is.
+    """
+    step = BUCKETS // slices
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, index, gap = np.zeros((BUCKETS + 1, WIDTH), np.int64), index_vectors(seed), np.full(2, BUCKETS)
+        some = False
+        for batch in batches:
+            for _, texts in chunks([pa.RecordBatch.from_arrays([batch.column(0), batch.column(0)], names=["id", "text"])]):
+                both = [ids_of(t) for t in texts]
+                for k in (0, 1):
+                    add_context(sums, np.concatenate([x for ids in both for x in (ids[k], gap)]), index)
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([sums[i * step : (i + 1) * step].tobytes() for i in range(slices)], pa.binary())], names=["slice", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(x.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "sums"])
+
+    rows = docs.select(text_col).mapInArrow(run, "slice int, sums binary").repartition("slice").mapInArrow(added, "slice int, sums binary").collect()
+    out = np.zeros((BUCKETS, WIDTH), np.int64)
+    for r in rows:
+        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(bytes(r.sums), np.int64).reshape(step, WIDTH)
+    return out
+
+
+def word_vectors(context: np.ndarray, seed: int) -> np.ndarray:
+    """Index and context vectors of all buckets together, and beside them their squares."""
+    v = normed(index_vectors(seed)[:BUCKETS].astype(np.float32)) + normed(context.astype(np.float32))
+    return np.concatenate((v, v * v), axis=1).astype(np.float32)
+
+
+def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
+    """The documents' vectors: mean and spread of words and of shapes, length and how much each repeats itself."""
+    out = np.zeros((len(texts), 4 * WIDTH + 4), np.float32)
+    both = [ids_of(t) for t in texts]
+    n = np.array([len(ids[0]) for ids in both], np.int64)
+    if not n.sum():
+        return out
+    owner = np.repeat(np.arange(len(texts)), n)
+    full = np.flatnonzero(n)
+    for k in (0, 1):
+        own = np.concatenate([ids[k] for ids in both])
+        key, counts = np.unique(owner * BUCKETS + own, return_counts=True)
+        of = key // BUCKETS
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        both_sums = np.zeros((len(full), 2 * WIDTH), np.float64)
+        for lo in range(0, len(key), 1 << 15):  # bounded in memory, and each text's rows are added in order
+            part = slice(lo, lo + (1 << 15))
+            at = np.flatnonzero(np.diff(of[part], prepend=-1))
+            both_sums[np.searchsorted(full, of[part][at])] += np.add.reduceat(vectors[key[part] % BUCKETS] * counts[part, None], at, axis=0, dtype=np.float64)
+        mean, square = np.split(both_sums / n[full, None], 2, axis=1)
+        out[full, 2 * k * WIDTH : (2 * k + 1) * WIDTH] = mean
+        out[full, (2 * k + 1) * WIDTH : (2 * k + 2) * WIDTH] = np.sqrt(np.maximum(square - mean * mean, 0))
+        if k == 0:
+            again = np.zeros(len(own), bool)
+            again[1:] = (own[1:] == own[:-1]) & (owner[1:] == owner[:-1])
+            out[full, -4] = np.log1p(n[full]) / 5
+            out[full, -3] = np.diff(np.append(first, len(key))) / n[full]
+            out[full, -2] = np.maximum.reduceat(counts, first) / n[full]
+            out[full, -1] = np.bincount(owner, again, len(texts))[full] / np.maximum(1, n[full] - 1)
     return out
 
 
@@ -101,6 +169,12 @@ def network(x: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.nda
     return hidden, hidden @ p["w2"] + p["b2"][0]
 
 
+def logits(x: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """The network's outputs, each row by itself, so that a text's score does not depend on the texts around it."""
+    hidden = np.maximum(np.einsum("ij,jk->ik", x, p["w1"]) + p["b1"], 0)
+    return np.einsum("ij,j->i", hidden, p["w2"]) + p["b2"][0]
+
+
 def train(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 40) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     p = {"w1": rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, HIDDEN**-0.5, HIDDEN), "b2": np.zeros(1)}
@@ -119,13 +193,13 @@ def train(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 40) -> dict[str
 class Model:
     """Word vectors, scaling, network and temperature; its size does not grow with the data."""
 
-    def __init__(self, rows: list[tuple[int, int, np.ndarray]], weight: float = 1.0, seed: int = 11):
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]], vectors: np.ndarray, weight: float = 1.0, seed: int = 11):
         y = np.array([r[1] for r in rows], np.float64)
         self.prior = float(y.sum() / (y.sum() + weight * (len(y) - y.sum()))) if len(y) else 0.5
         self.params: dict[str, np.ndarray] | None = None
         if len(y) and 0 < self.prior < 1:
-            self.vectors = word_vectors([r[2] for r in rows], index_vectors(seed))
-            x = np.stack([pooled(r[2], self.vectors) for r in rows]).astype(np.float64)
+            self.vectors = vectors
+            x = np.stack([r[2] for r in rows]).astype(np.float64)
             kept = calibration_part(np.array([r[0] for r in rows]))
             if len(set(y[~kept])) < 2:
                 kept[:] = False
@@ -133,17 +207,20 @@ class Model:
             x = np.clip((x - self.mean) / self.spread, -8, 8)
             self.params = train(x[~kept], y[~kept], seed)
             self.params["b2"] = self.params["b2"] - np.log(weight)  # the sample has its own share of labels
-            self.temperature = temperature(network(x[kept], self.params)[1], y[kept], weight)
+            self.temperature = temperature(logits(x[kept], self.params), y[kept], weight)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.params is None:
             return np.full(len(texts), self.prior)
-        x = np.stack([pooled(ids_of(t), self.vectors) for t in texts]).astype(np.float64)
-        return sigmoid(network(np.clip((x - self.mean) / self.spread, -8, 8), self.params)[1] / self.temperature)
+        x = pooled(texts, self.vectors).astype(np.float64)
+        return sigmoid(logits(np.clip((x - self.mean) / self.spread, -8, 8), self.params) / self.temperature)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> Model:
-    return Model(*sample(docs, labels, label, bound, id_col, text_col, ids_of), seed)
+    vectors = word_vectors(context_vectors(docs, text_col, seed), seed)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    rows, weight = sample(docs, labels, label, bound, id_col, text_col, lambda texts: [x.tobytes() for x in pooled(texts, shared.value)], 1 << 26)
+    return Model([(i, y, np.frombuffer(x, np.float32)) for i, y, x in rows], vectors, weight, seed)
 
 
 def score(docs: DataFrame, model: object, cut: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
