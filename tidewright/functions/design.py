@@ -77,11 +77,30 @@ def rate_change(argument: str | None = None) -> Columns:
     return lambda t, mean: [F.greatest(t - epoch, F.lit(0.0))]
 
 
+def regressor(argument: str | None = None) -> Columns:
+    if not argument:
+        raise SignalError("regressor needs the name of a column of the axis")
+    return lambda t, mean: [F.col(f"`{argument}`").cast("double")]
+
+
 #: Terms by name; register more under a new name.
-TERMS: dict[str, Callable[[str | None], Columns]] = {"constant": constant, "trend": trend, "accel": accel, "annual": annual, "semiannual": semiannual, "harmonic": harmonic, "offset": offset, "rate_change": rate_change}
+TERMS: dict[str, Callable[[str | None], Columns]] = {"constant": constant, "trend": trend, "accel": accel, "annual": annual, "semiannual": semiannual, "harmonic": harmonic, "offset": offset, "rate_change": rate_change, "regressor": regressor}
 DEFERRED = {"exp_decay", "log_decay"}
 
 
+PER_POINT = "regressor_field:"
+
+
+def per_point(terms: list[str]) -> list[str]:
+    """The names of fields that have a value for each series and time, without their prefix, in order."""
+    return [t.strip()[len(PER_POINT) :].strip() for t in terms if t.strip().startswith(PER_POINT)]
+
+
+def columns_of(terms: list[str]) -> list[str]:
+    """The columns of the axis that the terms read."""
+    return [t.partition(":")[2].strip() for t in terms if t.partition(":")[0].strip() == "regressor"]
+
+
 def register(name: str, term: Callable[[str | None], Columns]) -> None:
     if name in TERMS:
         raise SignalError(f"the signal term {name!r} is registered already")
@@ -91,6 +110,8 @@ def register(name: str, term: Callable[[str | None], Columns]) -> None:
 def parse(term: str) -> Columns:
     """The column builder of one written term."""
     name, _, argument = term.partition(":")
+    if per_point([term]):
+        raise SignalError(f"{term} has a value for each series; one design is shared by all of them")
     if name.strip() in DEFERRED:
         raise SignalError(f"{name} is not linear in its parameters and is not supported")
     if name.strip() not in TERMS:

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewright.functions.transforms import Bijector, Log
+
 # Default, and the limits beyond which a fitted parameter is not believed.
 DEFAULTS = {"sigma": 1.0, "rho": 1.0}
 LIMITS = {"sigma": (1e-8, 1e8), "rho": (1e-6, 1e6)}
@@ -26,12 +28,31 @@ class Family:
     #: numpy: (sigma, rho, dt) -> transition (…, d, d), process noise (…, d, d); (sigma, rho) -> stationary covariance
     step: Callable | None = field(default=None, compare=False)
     stationary: Callable | None = field(default=None, compare=False)
+    #: numpy: (lag, parameters ...) -> autocovariance
+    covariance: Callable | None = field(default=None, compare=False)
+    #: numpy: derivatives by each parameter of transition, process noise and stationary covariance, where they are known
+    dstep: Callable | None = field(default=None, compare=False)
+    dstationary: Callable | None = field(default=None, compare=False)
+    #: how each parameter is mapped for a fit (default: logarithm), and for which objectives the family claims derivatives
+    bijectors: dict[str, Bijector] = field(default_factory=dict, compare=False)
+    analytic: tuple[str, ...] = ()
 
 
 def _ou_step(sigma: np.ndarray, rho: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(-dt / rho)[..., None, None], (-(sigma**2) * np.expm1(-2 * dt / rho))[..., None, None]
 
 
+def _ou_dstep(sigma: np.ndarray, rho: np.ndarray, dt: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """d/dsigma and d/drho of (transition, process noise)."""
+    f, decay = np.exp(-dt / rho), np.exp(-2 * dt / rho)
+    wide = lambda x: np.asarray(x)[..., None, None]
+    return [wide(0 * sigma), wide(f * dt / rho**2)], [wide(-2 * sigma * np.expm1(-2 * dt / rho)), wide(-(sigma**2) * decay * 2 * dt / rho**2)]
+
+
+def _ou_dstationary(sigma: np.ndarray, rho: np.ndarray) -> list[np.ndarray]:
+    return [np.asarray(2 * sigma)[..., None, None], np.asarray(0 * rho)[..., None, None]]
+
+
 #: Below this u the closed forms cancel; the Maclaurin coefficients of both noise terms follow from exp's.
 SERIES_BELOW, CLAMP, ORDER = 1.0, 60.0, 22
 _FACTORIAL = np.array([math.factorial(n) for n in range(ORDER + 1)], float)
@@ -82,9 +103,9 @@ def _m32_acvf(lag: Column, sigma: Column | float, rho: Column | float) -> Column
 
 
 FAMILIES = {
-    "white": Family("white", ("sigma",), 0, _white_acvf),
-    "matern12": Family("matern12", ("sigma", "rho"), 1, _ou_acvf, _ou_step, lambda s, r: (s**2)[..., None, None]),
-    "matern32": Family("matern32", ("sigma", "rho"), 2, _m32_acvf, _m32_step, _m32_stationary),
+    "white": Family("white", ("sigma",), 0, _white_acvf, covariance=lambda lag, s: np.where(lag == 0, s * s, 0.0)),
+    "matern12": Family("matern12", ("sigma", "rho"), 1, _ou_acvf, _ou_step, lambda s, r: (s**2)[..., None, None], lambda lag, s, r: s * s * np.exp(-np.abs(lag) / r), _ou_dstep, _ou_dstationary, analytic=("ml",)),
+    "matern32": Family("matern32", ("sigma", "rho"), 2, _m32_acvf, _m32_step, _m32_stationary, lambda lag, s, r: s * s * (1 + np.abs(lag) * math.sqrt(3) / r) * np.exp(-np.abs(lag) * math.sqrt(3) / r)),
 }
 
 
@@ -98,13 +119,106 @@ def register(family: Family) -> None:
     FAMILIES[family.kind] = family
 
 
+class AnalyticGradientError(ValueError):
+    """A family that claims derivatives it does not have."""
+
+
+def _term(text: str) -> tuple[str, dict[str, float]]:
+    """The kind of a term and the values that it fixes, as in ``matern12(rho=1.5)``."""
+    kind, bracket, rest = (x.strip() for x in text.strip().partition("("))
+    if kind not in FAMILIES:
+        raise CandidateError(f"{kind!r} in {text!r} is no family; known: {', '.join(sorted(FAMILIES))}")
+    fixed: dict[str, float] = {}
+    if bracket:
+        if not rest.endswith(")"):
+            raise CandidateError(f"{text!r} has no closing bracket")
+        for part in rest[:-1].split(","):
+            name, _, value = (x.strip() for x in part.partition("="))
+            if name not in FAMILIES[kind].params:
+                raise CandidateError(f"{kind} has no parameter {name!r}; it has {', '.join(FAMILIES[kind].params)}")
+            if name in fixed:
+                raise CandidateError(f"{text!r} fixes {name} twice")
+            try:
+                fixed[name] = float(value)
+            except ValueError:
+                raise CandidateError(f"{name} is fixed to a number, got {value!r}") from None
+            if not math.isfinite(fixed[name]):
+                raise CandidateError(f"{name} is fixed to a finite number, got {value!r}")
+    return kind, fixed
+
+
+def terms(text: str) -> list[tuple[str, dict[str, float]]]:
+    """(kind, fixed values) of each term of a sum, in canonical order: by kind, then by what is fixed."""
+    found, depth, start = [], 0, 0
+    for i, c in enumerate(text + "+"):
+        depth += (c == "(") - (c == ")")
+        if c == "+" and depth == 0:
+            found.append(_term(text[start:i]))
+            start = i + 1
+    if depth:
+        raise CandidateError(f"the brackets of {text!r} do not match")
+    return sorted(found, key=lambda x: (x[0], sorted(x[1].items())))
+
+
 def candidate(text: str) -> tuple[str, ...]:
     """The kinds of a sum such as ``"white + matern12"``, in canonical order."""
-    kinds = [x.strip() for x in text.split("+")]
-    for kind in kinds:
-        if kind not in FAMILIES:
-            raise CandidateError(f"{kind!r} in {text!r} is no family; known: {', '.join(sorted(FAMILIES))}")
-    return tuple(sorted(kinds))
+    return tuple(kind for kind, _ in terms(text))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """The parameters of a candidate: all of them in order, which are free, and the values of the others."""
+
+    kinds: tuple[str, ...]
+    names: tuple[tuple[str, str], ...]
+    fixed: tuple[float | None, ...]
+
+    @classmethod
+    def of(cls, text: str | tuple[str, ...] | Layout) -> Layout:
+        if isinstance(text, Layout):
+            return text
+        parts = [(k, {}) for k in text] if isinstance(text, tuple) else terms(text)
+        kinds = tuple(k for k, _ in parts)
+        values = [fixed.get(name) for kind, fixed in parts for name in FAMILIES[kind].params]
+        return cls(kinds, tuple(parameters(kinds)), tuple(values))
+
+    @property
+    def free(self) -> list[int]:
+        return [i for i, v in enumerate(self.fixed) if v is None]
+
+    @property
+    def free_names(self) -> list[tuple[str, str]]:
+        return [self.names[i] for i in self.free]
+
+    def bijectors(self) -> list[Bijector]:
+        """The map of each free parameter."""
+        by_term = dict(zip(labels(self.kinds), self.kinds, strict=True))
+        return [FAMILIES[by_term[term]].bijectors.get(name, Log()) for term, name in self.free_names]
+
+    def natural(self, u: np.ndarray) -> np.ndarray:
+        """Free unconstrained parameters (rows) as natural ones."""
+        return np.stack([b.forward(u[:, i]) for i, b in enumerate(self.bijectors())], axis=1) if u.shape[1] else u
+
+    def unconstrained(self, theta: np.ndarray) -> np.ndarray:
+        return np.stack([b.inverse(theta[:, i]) for i, b in enumerate(self.bijectors())], axis=1) if theta.shape[1] else theta
+
+    def slopes(self, u: np.ndarray) -> np.ndarray:
+        return np.stack([b.slope(u[:, i]) for i, b in enumerate(self.bijectors())], axis=1) if u.shape[1] else u
+
+    def hydrate(self, free: np.ndarray) -> np.ndarray:
+        """All natural parameters, from the free ones and the fixed values."""
+        out = np.tile(np.array([0.0 if v is None else v for v in self.fixed]), (len(free), 1))
+        out[:, self.free] = free
+        return out
+
+
+def gradient_mode(text: str, objective: str, families: list[Family] | None = None) -> str:
+    """``analytic`` if every term claims derivatives for the objective, else ``finite_difference``; an empty claim is refused."""
+    found = families if families is not None else [FAMILIES[k] for k in candidate(text)]
+    for f in found:
+        if objective in f.analytic and (f.dstep is None or f.dstationary is None):
+            raise AnalyticGradientError(f"{f.kind} claims derivatives for {objective} but has none of its matrices")
+    return "analytic" if found and all(objective in f.analytic for f in found) else "finite_difference"
 
 
 def labels(kinds: tuple[str, ...]) -> list[str]:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 def lag_pairs(samples: DataFrame) -> DataFrame:
     """(series_id, lag, pairs): present pairs at each index distance, the lag 0 included.
 
-    Samples of a series are packed first, so pairs are formed inside a row and partly summed before the shuffle; the work
-    is quadratic in the length of the axis, not in the data.
+    Samples of a series are packed to their places; the pairs of a lag are the places that are also there when the
+    pattern is moved by it, so a row holds the axis and one count for each lag, not the pairs.
     """
-    packed = samples.groupBy("series_id").agg(F.sort_array(F.collect_list("i")).alias("at"))
-    lags = F.flatten(F.transform("at", lambda a: F.transform(F.filter("at", lambda b: b >= a), lambda b: b - a)))
-    return packed.select("series_id", F.explode(lags).alias("lag")).groupBy("series_id", "lag").agg(F.count("*").alias("pairs"))
+    packed = samples.groupBy("series_id").agg(F.sort_array(F.collect_set("i")).alias("at"))
+    last = F.element_at("at", -1) - F.element_at("at", 1)
+    by_lag = packed.select("series_id", "at", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("lag"))
+    pairs = F.size(F.array_intersect("at", F.transform("at", lambda a: a + F.col("lag").cast(samples.schema["i"].dataType)))).cast("long")
+    return by_lag.select("series_id", F.col("lag").cast(samples.schema["i"].dataType).alias("lag"), pairs.alias("pairs")).where("pairs > 0")
 
 
 def n_eff_regular(pairs: DataFrame, rho: Column) -> DataFrame:

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.design import design
-from tidewright.functions.families import FAMILIES, LIMITS, candidate, parameters
+from tidewright.functions.design import SignalError, columns_of, design
+from tidewright.functions.families import FAMILIES, LIMITS, Layout
 from tidewright.functions.outcomes import CODES
+from tidewright.functions.transforms import delta_method
+from tidewright.operators.engines import Engine, KalmanEngine
 from tidewright.operators.gls import ILL_LOG_CONDITION, RANK_LOG_CONDITION
 
 EPS = np.finfo(float).eps
@@ -25,7 +27,7 @@ FIRST_STEP, SECOND_STEP = EPS ** (1 / 3), EPS**0.25
 RANK_TOLERANCE, HESSIAN_CONDITION, GRADIENT_TOLERANCE = np.sqrt(EPS), EPS**-0.5, 5e-5
 SCHEMA = (
     "series_id bigint, m int, candidate string, loglik double, k double, n double, n_eff_bic double, n_eff_trend double, iterations int, outcome int, rung string,"
-    " beta array<double>, beta_err array<double>, theta array<double>, theta_err array<double>, theta_u array<double>"
+    " beta array<double>, beta_err array<double>, theta array<double>, theta_err array<double>, theta_u array<double>, objective string, engine string"
 )
 
 
@@ -121,23 +123,56 @@ def profile(n: np.ndarray, logdet: np.ndarray, a: np.ndarray, gram_logdet: np.nd
     return {"loglik": loglik, "beta": beta, "cov": cov, "outcome": outcome}
 
 
+class DesignError(ValueError):
+    """Series, axis and design that do not fit together."""
+
+
+def check_design(y: np.ndarray, axis: Axis) -> None:
+    """Refuses series that are not as long as the axis, a design of another length, and design values that are no numbers."""
+    if y.ndim != 2 or y.shape[1] != len(axis.t) or len(axis.x) != len(axis.t):
+        raise DesignError(f"series of shape {y.shape} and a design of {len(axis.x)} rows do not fit an axis of {len(axis.t)} times")
+    used = np.isfinite(y).any(axis=0)
+    if not np.isfinite(axis.x[used]).all():
+        raise DesignError("the design has values that are no numbers where there are samples")
+
+
+def design_ranks(there: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, condition, log determinant of the Gram matrix) of the design at the present samples, from singular values.
+
+    Each distinct pattern of gaps is decomposed once; rows that are not there are zeros, which change no singular value.
+    """
+    masks, of = np.unique(there, axis=0, return_inverse=True)
+    values = np.concatenate([np.linalg.svd(np.where(m[:, :, None], x, 0.0), compute_uv=False) for m in np.array_split(masks, max(1, len(masks) // 256))])
+    if values.shape[1] < x.shape[1]:
+        values = np.pad(values, ((0, 0), (0, x.shape[1] - values.shape[1])))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rank = (values > RANK_TOLERANCE * values[:, :1]).sum(axis=1)
+        condition = np.where(values[:, -1] > 0, values[:, 0] / values[:, -1], np.inf)
+        logdet = 2 * np.log(values).sum(axis=1)
+    of = of.ravel()
+    return rank[of], condition[of], logdet[of]
+
+
+def whitened_rank(gram: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """The rank of whitened Gram matrices (..., k, k), by their singular values."""
+    values = np.linalg.svd(gram, compute_uv=False)
+    return (values > tolerance * values[..., :1]).sum(axis=-1)
+
+
 class Objective:
-    """Minus the profiled log-likelihood over the logarithms of the parameters, infinite where it is not OK."""
+    """Minus the profiled log-likelihood over the unconstrained free parameters, infinite where it is not OK."""
 
-    def __init__(self, y: np.ndarray, axis: Axis, kinds: tuple[str, ...], objective: str):
-        self.y, self.axis, self.kinds, self.objective = y, axis, kinds, objective
+    def __init__(self, y: np.ndarray, axis: Axis, model: str | tuple[str, ...] | Layout, objective: str, engine: Engine | None = None):
+        check_design(y, axis)
+        self.y, self.axis, self.layout, self.objective, self.engine = y, axis, Layout.of(model), objective, engine or KalmanEngine()
         there = np.isfinite(y)
-        gram = np.einsum("bt,ti,tj->bij", there.astype(float), axis.x, axis.x)
-        values = np.linalg.eigvalsh(gram)
-        top = np.maximum(values[:, -1:], 1e-300)
-        self.rank = (np.sqrt(np.maximum(values, 0)) > RANK_TOLERANCE * np.sqrt(top)).sum(axis=1)
-        with np.errstate(all="ignore"):
-            self.gram_logdet = np.log(np.maximum(values, 0)).sum(axis=1)
-        self.gram = gram
+        self.gram = np.einsum("bt,ti,tj->bij", there.astype(float), axis.x, axis.x)
+        self.rank, self.condition, self.gram_logdet = design_ranks(there, axis.x)
 
     def full(self, u: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
         with np.errstate(over="ignore"):
-            return profile(*products(self.y[rows], self.axis, self.kinds, np.exp(u)), self.gram_logdet[rows], self.objective)
+            theta = self.layout.hydrate(self.layout.natural(u))
+            return profile(*self.engine.score(self.y[rows], self.axis, self.layout.kinds, theta), self.gram_logdet[rows], self.objective)
 
     def __call__(self, u: np.ndarray, rows: np.ndarray) -> np.ndarray:
         got = self.full(u, rows)
@@ -215,8 +250,17 @@ def minimise(fun: Objective, u: np.ndarray, rows: np.ndarray, max_iter: int) ->
     return u, f, g, iterations, status
 
 
-def starting_values(y: np.ndarray, t: np.ndarray, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of the starting parameters, and the rung that they come from: 0 moments, 1 clipped, 2 default."""
+def as_point(u: np.ndarray) -> np.ndarray:
+    """A point to differentiate at: one vector of numbers."""
+    point = np.asarray(u, float)
+    if point.ndim != 1:
+        raise ValueError(f"the point has to be one vector, got an array of shape {point.shape}")
+    return point
+
+
+def starting_values(y: np.ndarray, t: np.ndarray, model: str | tuple[str, ...] | Layout) -> tuple[np.ndarray, np.ndarray]:
+    """Starting values of the free parameters, unconstrained, and the rung that they come from: 0 moments, 1 clipped, 2 default."""
+    layout = Layout.of(model)
     there = np.isfinite(y)
     n = np.maximum(there.sum(axis=1), 1)
     c = np.where(there, y - (np.where(there, y, 0).sum(axis=1) / n)[:, None], 0.0)
@@ -226,46 +270,79 @@ def starting_values(y: np.ndarray, t: np.ndarray, kinds: tuple[str, ...]) -> tup
         r1 = (c[:, 1:] * c[:, :-1]).sum(axis=1) / (c * c).sum(axis=1)
         related = some & (r1 > 0) & (r1 < 1)
         natural = {"sigma": np.where(some, np.sqrt(var), 1.0), "rho": np.where(related, -(np.median(np.diff(t)) if len(t) > 1 else 1.0) / np.log(r1), 1.0)}
-    rung = np.where(some & (related | (not any("rho" in FAMILIES[k].params for k in kinds))), 0, 2)
+    rung = np.where(some & (related | (not any(name == "rho" for _, name in layout.free_names))), 0, 2)
     out = []
-    for _, name in parameters(kinds):
-        v = np.clip(natural[name], *LIMITS[name])
-        rung = np.where((v != natural[name]) & (rung == 0), 1, rung)
-        out.append(np.log(v))
-    return np.stack(out, axis=1), rung
+    for _, name in layout.free_names:
+        at = natural.get(name, np.ones(len(y)))
+        v = np.clip(at, *LIMITS.get(name, (-np.inf, np.inf)))
+        rung = np.where((v != at) & (rung == 0), 1, rung)
+        out.append(v)
+    return (layout.unconstrained(np.stack(out, axis=1)) if out else np.zeros((len(y), 0))), rung
 
 
 def correlations(kinds: tuple[str, ...], theta: np.ndarray, lag: np.ndarray) -> tuple[np.ndarray, float]:
-    """(autocorrelation at lags, variance) of one fitted model."""
-    total, var, i = np.zeros_like(lag), 0.0, 0
+    """(autocorrelation at lags, variance) of one fitted model; each family knows its own autocovariance."""
+    total, i = np.zeros(np.shape(lag)), 0
+    var = 0.0
     for kind in kinds:
-        s = theta[i] ** 2
-        if kind == "white":
-            total = total + np.where(lag == 0, s, 0)
-        else:
-            x = np.abs(lag) * (np.sqrt(3) if kind == "matern32" else 1) / theta[i + 1]
-            total = total + s * np.exp(-x) * ((1 + x) if kind == "matern32" else 1)
-        var, i = var + s, i + len(FAMILIES[kind].params)
+        f = FAMILIES[kind]
+        if f.covariance is None:
+            raise ValueError(f"the family {kind!r} has no autocovariance in numpy, so effective sizes are unknown")
+        own = theta[i : i + len(f.params)]
+        total, var = total + f.covariance(lag, *own), var + float(f.covariance(np.zeros(1), *own)[0])
+        i += len(f.params)
     return total / var, var
 
 
-def fit_batch(y: np.ndarray, axis: Axis, kinds: tuple[str, ...], objective: str, max_iter: int, x0: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Fits of all rows of ``y`` (series by time, NaN for gaps)."""
+def squared_correlations(on: np.ndarray, t: np.ndarray, kinds: tuple[str, ...], theta: np.ndarray, block: int = 512) -> float:
+    """The sum of squared correlations over all pairs of present samples.
+
+    On an axis of equal steps pairs are counted by lag, from the transform of the pattern of gaps; on any other the pairs
+    are taken in blocks, so memory is that of a block of rows.
+    """
+    dt = np.diff(t)
+    if len(dt) and np.ptp(dt) <= 1e-9 * np.abs(dt).max():
+        n = len(t)
+        size = 1 << (2 * n - 1).bit_length()
+        pairs = np.rint(np.fft.irfft(np.abs(np.fft.rfft(on.astype(float), size)) ** 2, size)[:n])
+        rho, _ = correlations(kinds, theta, np.arange(n) * (t[-1] - t[0]) / (n - 1))
+        return float((pairs * rho * rho).sum() * 2 - pairs[0] * rho[0] ** 2)
+    at = np.flatnonzero(on)
+    total = 0.0
+    for lo in range(0, len(at), block):
+        rho, _ = correlations(kinds, theta, t[at[lo : lo + block]][:, None] - t[at][None, :])
+        total += float((rho * rho).sum())
+    return total
+
+
+def fit_batch(y: np.ndarray, axis: Axis, model: str | tuple[str, ...] | Layout, objective: str, max_iter: int, x0: np.ndarray | None = None, engine: Engine | None = None) -> dict[str, np.ndarray]:
+    """Fits of all rows of ``y`` (series by time, NaN for gaps).
+
+    ``x0`` holds unconstrained starting values, a row for each series; rows with a NaN start from their own moments.
+    """
+    layout = Layout.of(model)
     b, k = len(y), axis.x.shape[1]
-    p = len(parameters(kinds))
-    fun = Objective(y, axis, kinds, objective)
+    p = len(layout.free)
+    fun = Objective(y, axis, layout, objective, engine)
     n_obs = np.isfinite(y).sum(axis=1)
-    u, rung = starting_values(y, axis.t, kinds) if x0 is None else (x0.copy(), np.full(b, 3))
+    u, rung = starting_values(y, axis.t, layout)
+    if x0 is not None:
+        if np.shape(x0) != (b, p):
+            raise ValueError(f"starting values of shape {np.shape(x0)} do not fit {b} series with {p} free parameters")
+        warm = np.isfinite(x0).all(axis=1)
+        u, rung = np.where(warm[:, None], x0, u), np.where(warm, 3, rung)
     outcome = np.select([n_obs == 0, fun.rank < k], [CODES["INSUFFICIENT_DATA"], CODES["RANK_DEFICIENT_X"]], CODES["OK"])
     iterations = np.zeros(b, int)
-    names = [name for _, name in parameters(kinds)]
     rows = np.flatnonzero(outcome == 0)
-    if len(rows):
+    if len(rows) and not p:
+        outcome[rows] = fun.full(u[rows], rows)["outcome"]
+    elif len(rows):
         got, f, g, its, status = minimise(fun, u[rows], rows, max_iter)
         u[rows], iterations[rows] = got, its
         cause = fun.full(got, rows)["outcome"]
-        theta = np.exp(got)
-        limit = np.any([(theta[:, j] <= LIMITS[x][0]) | (theta[:, j] >= LIMITS[x][1]) for j, x in enumerate(names)], axis=0)
+        theta = layout.natural(got)
+        bounds = [LIMITS.get(name, (-np.inf, np.inf)) for _, name in layout.free_names]
+        limit = np.any([(theta[:, j] <= lo) | (theta[:, j] >= hi) for j, (lo, hi) in enumerate(bounds)], axis=0)
         small = np.linalg.norm(np.nan_to_num(g, nan=np.inf), axis=1) < GRADIENT_TOLERANCE * np.maximum(np.abs(f), 1)
         hessian = fun.hessian(got, rows)
         sound = np.isfinite(hessian).all(axis=(1, 2))
@@ -281,54 +358,109 @@ def fit_batch(y: np.ndarray, axis: Axis, kinds: tuple[str, ...], objective: str,
     out = {"outcome": outcome, "iterations": iterations, "rung": rung, "theta_u": u, "loglik": none(), "k": none(), "n": none(), "n_eff_bic": none(), "n_eff_trend": none(), "beta": none(k), "beta_err": none(k), "theta": none(p), "theta_err": none(p)}
     if len(ok):
         last = fun.full(u[ok], ok)
-        theta = np.exp(u[ok])
-        cov = np.linalg.inv(fun.hessian(u[ok], ok))
+        theta = layout.natural(u[ok])
         out["loglik"][ok], out["beta"][ok] = last["loglik"], last["beta"]
         out["beta_err"][ok] = np.sqrt(np.maximum(np.einsum("bii->bi", last["cov"]), 0))
-        out["theta"][ok], out["theta_err"][ok] = theta, theta * np.sqrt(np.maximum(np.einsum("bii->bi", cov), 0))
+        out["theta"][ok] = theta
+        if p:
+            cov = delta_method(np.linalg.inv(fun.hessian(u[ok], ok)), layout.slopes(u[ok]))
+            out["theta_err"][ok] = np.sqrt(np.maximum(np.einsum("bii->bi", cov), 0))
         reml = objective == "reml"
         out["k"][ok], out["n"][ok] = p + (0 if reml else fun.rank[ok]), n_obs[ok] - (fun.rank[ok] if reml else 0)
+        whole = layout.hydrate(theta)
         for row, i in enumerate(ok):
             on = np.isfinite(y[i])
-            rho, var = correlations(kinds, theta[row], axis.t[on][:, None] - axis.t[on][None, :])
-            out["n_eff_bic"][i] = on.sum() ** 2 / (rho * rho).sum()
+            out["n_eff_bic"][i] = on.sum() ** 2 / squared_correlations(on, axis.t, layout.kinds, whole[row])
             if axis.trend >= 0:
+                var = correlations(layout.kinds, whole[row], np.zeros(1))[1]
                 white = var * np.linalg.inv(fun.gram[i])[axis.trend, axis.trend]
                 out["n_eff_trend"][i] = np.clip(on.sum() * white / last["cov"][row, axis.trend, axis.trend], 1, on.sum())
     return out
 
 
-def planned(axis_df: DataFrame, terms: list[str]) -> Axis:
-    """The shared axis with its design; its length is that of the time axis."""
+def loglik(y: np.ndarray, axis: Axis, model: str | tuple[str, ...] | Layout, theta: np.ndarray, objective: str = "ml", engine: Engine | None = None) -> np.ndarray:
+    """The profiled log-likelihood of each row at natural free parameters; -inf where it is not OK."""
+    layout = Layout.of(model)
+    return unconstrained_loglik(y, axis, layout, layout.unconstrained(np.atleast_2d(theta)), objective, engine)
+
+
+def unconstrained_loglik(y: np.ndarray, axis: Axis, model: str | tuple[str, ...] | Layout, u: np.ndarray, objective: str = "ml", engine: Engine | None = None) -> np.ndarray:
+    return -Objective(y, axis, model, objective, engine)(np.broadcast_to(u, (len(y), np.shape(u)[-1])), np.arange(len(y)))
+
+
+MOST_TIMES = 1 << 20
+
+
+def planned(axis_df: DataFrame, terms: list[str], most: int = MOST_TIMES) -> Axis:
+    """The shared axis with its design; its length is that of the time axis, and an axis of more than ``most`` times is refused.
+
+    A term ``regressor:name`` takes the column ``name`` of ``axis_df``, which has a number at each time.
+    """
+    if missing := [c for c in columns_of(terms) if c not in axis_df.columns]:
+        raise SignalError(f"the axis has no column {missing[0]!r} for the regressor of this name")
     mean = axis_df.agg(F.avg("t").alias("mean_t"))
-    rows = axis_df.crossJoin(F.broadcast(mean)).select("i", "t", F.array(*design(terms, F.col("t"), F.col("mean_t"))).alias("x")).orderBy("i").collect()
-    at = [name for term in terms for name in ([term] * 2 if term.split(":")[0] in ("annual", "semiannual", "harmonic") else [term])]
-    return Axis(np.array([r.t for r in rows]), np.array([r.x for r in rows]), at.index("trend") if "trend" in at else -1)
+    every = axis_df.crossJoin(F.broadcast(mean))
+    rows = every.select("i", "t", F.array(*design(terms, F.col("t"), F.col("mean_t"))).alias("x")).orderBy("i").limit(most + 1).collect()
+    if len(rows) > most:
+        raise SignalError(f"the axis has more than {most} times; series that share no axis are not fitted together")
+    x = np.array([[np.nan if v is None else v for v in r.x] for r in rows], float).reshape(len(rows), -1)
+    if not np.isfinite(x).all():
+        raise SignalError("a design column is no number at some time")
+    names = column_terms(terms)
+    return Axis(np.array([r.t for r in rows]), x, names.index("trend") if "trend" in names else -1)
+
+
+def column_terms(terms: list[str]) -> list[str]:
+    """The term that each design column comes from; a harmonic has two columns."""
+    return [name for term in terms for name in ([term] * 2 if term.split(":")[0].strip() in ("annual", "semiannual", "harmonic") else [term])]
+
+
+def k_beta(terms: list[str]) -> int:
+    """How many design columns there are: columns, not terms."""
+    return len(column_terms(terms))
+
+
+RUNGS = ("MOMENT", "CLIPPED", "DEFAULT", "WARM_START")
+
 
+def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "ml", max_iter: int = 200, rows_per_batch: int = 256, x0: DataFrame | None = None, engine: Engine | None = None) -> DataFrame:
+    """One row per series and candidate; values are NULL unless the outcome is OK.
 
-def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "ml", max_iter: int = 200, rows_per_batch: int = 256) -> DataFrame:
-    """One row per series and candidate; values are NULL unless the outcome is OK."""
-    kinds = [candidate(c) for c in candidates]
-    RUNGS = ("MOMENT", "CLIPPED", "DEFAULT", "WARM_START")
+    ``x0`` (series_id, candidate, theta_u) gives unconstrained starting values, such as those of a former fit; ``engine``
+    evaluates the likelihood in place of the filter.  Families that the caller has registered go to the workers with them.
+    """
+    engine = engine or KalmanEngine()
+    layouts = [Layout.of(c) for c in candidates]
+    known = {k: FAMILIES[k] for one in layouts for k in one.kinds}
+    names = [x.split()[0] for x in SCHEMA.replace(", ", ",").split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        FAMILIES.update({k: f for k, f in known.items() if k not in FAMILIES})
         for whole in batches:
             for at in range(0, whole.num_rows, rows_per_batch):
                 batch = whole.slice(at, rows_per_batch)
-                samples = batch.column(1)
+                samples, n = batch.column(1), batch.num_rows
                 flat = samples.flatten()
-                row = np.repeat(np.arange(batch.num_rows), samples.value_lengths().fill_null(0).to_numpy())
-                y = np.full((batch.num_rows, len(axis.t)), np.nan)
+                row = np.repeat(np.arange(n), samples.value_lengths().fill_null(0).to_numpy())
+                y = np.full((n, len(axis.t)), np.nan)
                 y[row, flat.field("i").to_numpy()] = flat.field("v").to_numpy(zero_copy_only=False)
-                for m, (text, kind) in enumerate(zip(candidates, kinds, strict=True)):
-                    got = fit_batch(y, axis, kind, objective, max_iter)
+                warm = [dict((s["candidate"], s["theta_u"]) for s in w or []) for w in batch.column(2).to_pylist()]
+                for m, (text, layout) in enumerate(zip(candidates, layouts, strict=True)):
+                    none = [np.nan] * len(layout.free)
+                    start = np.array([w.get(text) or none for w in warm], float).reshape(n, -1) if any(text in w for w in warm) else None
+                    got = fit_batch(y, axis, layout, objective, max_iter, start, engine)
                     number = lambda x: pa.array(x, pa.float64(), from_pandas=True)
                     lists = lambda x: pa.array([None if np.isnan(r).any() else r.tolist() for r in x], pa.list_(pa.float64()))
-                    n = batch.num_rows
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0), pa.array(np.full(n, m, np.int32)), pa.array([text] * n), *(number(got[c]) for c in ("loglik", "k", "n", "n_eff_bic", "n_eff_trend")), pa.array(got["iterations"].astype(np.int32)), pa.array(got["outcome"].astype(np.int32)),
-                         pa.array([RUNGS[i] for i in got["rung"]]), *(lists(got[c]) for c in ("beta", "beta_err", "theta", "theta_err", "theta_u"))],
-                        names=[x.split()[0] for x in SCHEMA.replace(", ", ",").split(",")],
+                         pa.array([RUNGS[i] for i in got["rung"]]), *(lists(got[c]) for c in ("beta", "beta_err", "theta", "theta_err", "theta_u")), pa.array([objective] * n), pa.array([engine.engine_id] * n)],
+                        names=names,
                     )
 
-    return packed.select(F.col("series_id").cast("long"), F.transform("samples", lambda s: F.struct(s["i"].cast("int").alias("i"), s["v"].alias("v"))).alias("samples")).mapInArrow(run, SCHEMA)
+    series = packed.select(F.col("series_id").cast("long").alias("series_id"), F.transform("samples", lambda s: F.struct(s["i"].cast("int").alias("i"), s["v"].alias("v"))).alias("samples"))
+    if x0 is None:
+        series = series.withColumn("warm", F.lit(None).cast("array<struct<candidate:string,theta_u:array<double>>>"))
+    else:
+        warm = x0.where("theta_u is not null").groupBy(F.col("series_id").cast("long").alias("series_id")).agg(F.collect_list(F.struct("candidate", F.col("theta_u").cast("array<double>").alias("theta_u"))).alias("warm"))
+        series = series.join(warm, "series_id", "left_outer")
+    return series.mapInArrow(run, SCHEMA)

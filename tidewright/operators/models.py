@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.families import FAMILIES, candidate, labels
+from tidewright.functions.families import FAMILIES, Layout, gradient_mode, labels
 
 #: Which engines can score a family, and at what cost class (the sum of terms costs its dearest).
 ENGINES = {"white": {"kalman": 0}, "matern12": {"kalman": 1}, "matern32": {"kalman": 1}}
@@ -19,13 +19,41 @@ def parameter_table(spark: SparkSession, candidates: list[str]) -> DataFrame:
     """(m, model, place, term, kind, name): a row per free parameter, in the order of the parameter vector."""
     rows = []
     for m, text in enumerate(candidates):
-        kinds = candidate(text)
-        names = labels(kinds)
-        flat = [(term, kind, name) for term, kind in zip(names, kinds, strict=True) for name in FAMILIES[kind].params]
+        layout = Layout.of(text)
+        names = labels(layout.kinds)
+        kind_of = dict(zip(names, layout.kinds, strict=True))
+        flat = [(term, kind_of[term], name) for term, name in layout.free_names]
         rows += [(m, " + ".join(names), i, *x) for i, x in enumerate(flat)]
     return spark.createDataFrame(rows, "m int, model string, place int, term string, kind string, name string")
 
 
+def free_index(spark: SparkSession, candidates: list[str]) -> DataFrame:
+    """(m, term, name, place, is_free, free_place, value): all parameters, where the free ones are, and the fixed values."""
+    rows = []
+    for m, text in enumerate(candidates):
+        layout = Layout.of(text)
+        at = {i: k for k, i in enumerate(layout.free)}
+        rows += [(m, term, name, i, i in at, at.get(i), layout.fixed[i]) for i, (term, name) in enumerate(layout.names)]
+    return spark.createDataFrame(rows, "m int, term string, name string, place int, is_free boolean, free_place int, value double")
+
+
+def hydrated(fits: DataFrame, index: DataFrame) -> DataFrame:
+    """(series_id, m, theta): all natural parameters, from the free ones of ``fits`` (series_id, m, theta) and the fixed values."""
+    slots = index.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("place", "free_place", "value"))).alias("slots"))
+    whole = F.transform("slots", lambda s: F.coalesce(s["value"], F.get("theta", s["free_place"])))
+    return fits.select("series_id", "m", "theta").join(slots, "m").select("series_id", "m", F.when(F.col("theta").isNotNull(), whole).alias("theta"))
+
+
+def block(values: Column, offset: Column, extent: Column) -> Column:
+    """What belongs to one candidate in a ragged array."""
+    return F.slice(values, offset.cast("int") + 1, extent.cast("int"))
+
+
+def gradient_modes(spark: SparkSession, candidates: list[str], objective: str) -> DataFrame:
+    """(m, mode): whether all terms of a candidate have derivatives for the objective; an empty claim is refused."""
+    return spark.createDataFrame([(m, gradient_mode(c, objective)) for m, c in enumerate(candidates)], "m int, mode string")
+
+
 def ragged_index(parameters: DataFrame) -> DataFrame:
     """(m, extent, offset, cov_extent, cov_offset): where each candidate's parameters and packed covariance begin."""
     before = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,7 +19,12 @@ def present(v: Column) -> Column:
 
 def axis(long: DataFrame) -> DataFrame:
     """(i, ts, t, dt) of the distinct times of all series: as long as the axis, not as the data."""
-    times = long.select("ts").where("ts is not null").distinct().withColumn("t", decimal_year(F.col("ts")))
+    return axis_of(long.select("ts").where("ts is not null").distinct())
+
+
+def axis_of(times: DataFrame) -> DataFrame:
+    """The same from the distinct times."""
+    times = times.withColumn("t", decimal_year(F.col("ts")))
     whole = Window.orderBy("ts")
     return times.select((F.row_number().over(whole) - 1).alias("i"), "ts", "t", (F.col("t") - F.lag("t").over(whole)).alias("dt"))
 

@@ -53,7 +53,16 @@ def digest(value: Any) -> str:
 
 def spec_hash(expression: str) -> str:
     """Identity of a candidate: its terms in canonical order with their parameters."""
-    terms = [{"kind": k, "params": {p: {"default": repr(families.DEFAULTS[p]), "limits": [repr(x) for x in families.LIMITS[p]]} for p in families.FAMILIES[k].params}} for k in families.candidate(expression)]
+
+    def parameter(kind: str, name: str, fixed: dict[str, float]) -> dict:
+        out = {"default": repr(float(fixed.get(name, families.DEFAULTS.get(name, 1.0)))), "limits": [repr(x) for x in families.LIMITS.get(name, (-math.inf, math.inf))]}
+        if name in fixed:
+            out["fixed"] = True
+        if (map_ := families.FAMILIES[kind].bijectors.get(name)) is not None:
+            out["map"] = repr(map_)
+        return out
+
+    terms = [{"kind": k, "params": {p: parameter(k, p, fixed) for p in families.FAMILIES[k].params}} for k, fixed in families.terms(expression)]
     return digest({"terms": terms})
 
 
@@ -93,6 +102,11 @@ class Config:
         if unknown := set(self.warm_start) - set(WARM_START):
             raise ConfigError(f"unknown warm_start settings: {', '.join(sorted(unknown))}")
 
+    @property
+    def per_point_regressors(self) -> tuple[str, ...]:
+        """Fields that have a value for each series and time."""
+        return tuple(design.per_point(list(self.signal_terms)))
+
     def payload(self, geometry_hash: str | None = None) -> dict[str, Any]:
         out = {k: v for k, v in asdict(self).items() if k != "warm_start"}
         out |= {f"warm_start_{k}": v for k, v in (WARM_START | self.warm_start).items()}

@@ -2,17 +2,50 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import signal
+import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions.outcomes import is_eligible, is_failure
 from tidewright.operators import fitting
+from tidewright.operators.engines import ENGINES, Engine
 from tidewright.operators.lint import lint
-from tidewright.operators.series import axis, indexed, pack
-from tidewright.plans.config import Config, spec_hash
-from tidewright.sources.inputs import checked, geometry_hash, open_long
-from tidewright.sources.store import Store
+from tidewright.operators.series import axis_of, present
+from tidewright.plans.config import Config, ConfigError, digest, spec_hash
+from tidewright.sources.inputs import InputError, geometry_of, open_long
+from tidewright.sources.store import Store, in_tiles
+
+TILES_PER_COMMIT = 64
+SAMPLES = "array<struct<i:int,t:double,v:double>>"
+
+
+@dataclass
+class Termination:
+    """Whether a run was asked to stop, and whether anything listens for that."""
+
+    received: bool = False
+    armed: bool = False
+
+
+@contextmanager
+def stop_on_sigterm() -> Iterator[Termination]:
+    """Records SIGTERM for the duration of the block, so that what is being written is finished; later signals are recorded too."""
+    state = Termination()
+    try:
+        former = signal.signal(signal.SIGTERM, lambda *_: setattr(state, "received", True))
+    except ValueError:  # not the main thread: nothing listens, and the record says so
+        yield state
+        return
+    state.armed = True
+    try:
+        yield state
+    finally:
+        signal.signal(signal.SIGTERM, former)
 
 
 @dataclass(frozen=True)
@@ -23,39 +56,114 @@ class Report:
     n_fitted: int
     fit_hash: str
     warnings: tuple[str, ...]
+    n_tiles: int = 0
+    stopped: bool = False
+    failure_rates: dict[str, float] = field(default_factory=dict)
 
 
-def attributes(config: Config, geometry: str) -> dict:
+def attributes(config: Config, geometry: dict, tile_side: int | None = None) -> dict:
+    key = digest(geometry)
     return {
-        "fit_hash": config.fit_hash(geometry), "compat_hash": config.compat_hash(geometry), "run_hash": config.run_hash(geometry), "geometry_hash": geometry,
-        "candidates": [spec_hash(c) for c in config.candidates], "labels": list(config.candidates), "criteria": list(config.criteria), "signal_terms": list(config.signal_terms),
+        "fit_hash": config.fit_hash(key), "compat_hash": config.compat_hash(key), "run_hash": config.run_hash(key), "geometry_hash": key, "geometry": geometry, "objective": config.objective, "engine": config.engine,
+        "tile_side": tile_side or config.tile_side, "candidates": [spec_hash(c) for c in config.candidates], "labels": list(config.candidates), "criteria": list(config.criteria), "signal_terms": list(config.signal_terms),
     }
 
 
-def run(spark: SparkSession, config: Config, output: str | None = None, reuse_fits_from: str | None = None) -> Report:
-    """Fits all series of the input that the store has not, or ranks another store's fits by this run's criteria."""
+def kept(df: DataFrame) -> DataFrame:
+    """A small table that is used several times, once computed: cut from its lineage in the folder that the cluster shares."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.partition("[")[0] == "local":
+            raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return df.checkpoint()
+
+
+def packed_places(long: DataFrame, a: DataFrame) -> DataFrame:
+    """(series_id, y, x, samples, n_rows, n_times): one shuffle packs the samples and shows times that a series has twice."""
+    at = long.join(a.select("ts", "i", "t"), "ts")
+    sample = F.when(present(F.col("v")), F.struct(F.col("i").cast("int").alias("i"), "t", F.col("v").cast("double").alias("v")))
+    rows = at.groupBy("series_id", "y", "x").agg(F.array_sort(F.collect_list(sample)).cast(SAMPLES).alias("samples"), F.collect_list(F.col("i").cast("int")).alias("places"))
+    return rows.select("series_id", "y", "x", "samples", F.size("places").alias("n_rows"), F.size(F.array_distinct("places")).alias("n_times"))
+
+
+def run(
+    spark: SparkSession, config: Config, output: str | None = None, reuse_fits_from: str | None = None, regressors: DataFrame | None = None, engine: Engine | None = None,
+    x0: DataFrame | None = None, tiles_per_commit: int = TILES_PER_COMMIT, on_tiles_written: Callable[[list[tuple[int, int]]], None] | None = None,
+) -> Report:
+    """Fits all series of the input that the store has not, or ranks another store's fits by this run's criteria.
+
+    The input is scanned once for its times and once to pack its series; all else comes from these two.  Tiles are
+    committed some at a time, in order; between them a SIGTERM that has come stops the run, and the same run goes on.
+    ``regressors`` (ts, and a column for each ``regressor:name``) join the time axis; ``x0`` starts fits from others.
+    """
+    if config.per_point_regressors:
+        raise ConfigError(f"regressor fields are not fitted: {', '.join(config.per_point_regressors)}")
+    if engine is None:
+        if config.engine not in ENGINES:
+            raise ConfigError(f"unknown engine {config.engine!r}; known: {', '.join(sorted(ENGINES))}")
+        engine = ENGINES[config.engine]
     long = open_long(spark, config.data_uri, config.variable)
-    facts = checked(long)
-    warnings = tuple(f.message for c in config.candidates for f in lint(c, facts["median_dt"]))
-    attrs = attributes(config, geometry_hash(long, config.variable))
+    times = long.select("ts").distinct()
+    if not times.where("ts is null").isEmpty():
+        raise InputError("there are samples without a time")
+    a = kept(axis_of(times))
+    steps = a.agg(F.count("*").alias("n"), F.median("dt").alias("median_dt")).first()
+    if steps.n < 2:
+        raise InputError(f"the time axis has {steps.n} times")
+    series = kept(packed_places(long, a))
+    if twice := series.where("n_times < n_rows").select("series_id").limit(1).collect():
+        raise InputError(f"series {twice[0].series_id} has two samples at one time; times of a series increase")
+    places = series.select("series_id", "y", "x")
+    n_series = places.count()
+    if n_series > places.select("series_id").distinct().count():
+        raise InputError("a series is at two places")
+    warnings = tuple(f.message for c in config.candidates for f in lint(c, steps.median_dt))
+    attrs = attributes(config, geometry_of(places, a.select("ts"), config.variable))
     store = Store(spark, output or config.output)
     if reuse_fits_from:
         source = Store(spark, reuse_fits_from)
         source.check(attrs | {k: source.provenance()[k] for k in ("criteria", "compat_hash")})
         store.create(attrs)
+        store.write_places(places)
         store.reuse(source, config.criteria)
-        return Report(facts["n_series"], 0, attrs["fit_hash"], warnings)
+        return Report(n_series, 0, attrs["fit_hash"], warnings, failure_rates=failure_rates(store, config))
     if store.provenance() is None:
         store.create(attrs)
+        store.write_places(places)
     else:
         store.check(attrs)
-    places = long.select("series_id", "y", "x").distinct()
-    todo = store.outstanding(places, config.tile_side).select("series_id", "ty", "tx")
-    a = axis(long)
-    every = todo.select("series_id").join(pack(indexed(long, a).join(todo.select("series_id"), "series_id", "left_semi")), "series_id", "left_outer")  # a series without samples has an outcome too
-    packed = every.withColumn("samples", F.coalesce("samples", F.array().cast("array<struct<i:int,t:double,v:double>>")))
-    fits = fitting.fit(packed, fitting.planned(a, list(config.signal_terms)), list(config.candidates), config.objective, config.max_iter).join(todo, "series_id")
-    n = todo.count()
-    if n:
-        store.write(fits, config.criteria)
-    return Report(facts["n_series"], n, attrs["fit_hash"], warnings)
+    side = store.tile_side(config.tile_side)
+    todo = kept(store.outstanding(series, side).select("series_id", "samples", F.col("ty").cast("bigint").alias("ty"), F.col("tx").cast("bigint").alias("tx")))
+    design_axis = a if regressors is None else a.join(regressors.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "ts", "left_outer")
+    plan = None
+    fitted = n_tiles = 0
+    tiles = todo.select("ty", "tx").distinct()
+    last, stopped = None, False
+    with stop_on_sigterm() as asked:
+        while True:
+            ahead = tiles if last is None else tiles.where(F.struct("ty", "tx") > F.struct(F.lit(last[0]).cast("bigint").alias("ty"), F.lit(last[1]).cast("bigint").alias("tx")))
+            some = [(r.ty, r.tx) for r in ahead.orderBy("ty", "tx").limit(tiles_per_commit).collect()]
+            if not some:
+                break
+            if asked.received:
+                stopped = True
+                break
+            plan = plan or fitting.planned(design_axis, list(config.signal_terms))
+            now = in_tiles(todo, some)
+            fits = fitting.fit(now, plan, list(config.candidates), config.objective, config.max_iter, x0=x0, engine=engine).join(now.select("series_id", "ty", "tx"), "series_id")
+            store.write_tiles(fits, some, config.criteria)
+            fitted, n_tiles, last = fitted + now.count(), n_tiles + len(some), some[-1]
+            if on_tiles_written:
+                on_tiles_written(some)
+    return Report(n_series, fitted, attrs["fit_hash"], warnings, n_tiles, stopped, failure_rates(store, config))
+
+
+def failure_rates(store: Store, config: Config) -> dict[str, float]:
+    """The share of eligible series that each candidate failed on, over the whole store."""
+    if not store.exists("fits"):
+        return {}
+    o = F.col("outcome")
+    rows = store.table("fits").groupBy("candidate").agg((F.count_if(is_failure(o)) / F.greatest(F.count_if(is_eligible(o)), F.lit(1))).alias("rate")).collect()
+    return {r.candidate: r.rate for r in rows}

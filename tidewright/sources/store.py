@@ -1,7 +1,7 @@
-"""A store of fits: Parquet tables partitioned by tile, with a provenance row and completion rows.
+"""A store of fits: Parquet tables partitioned by tile, with a provenance row, label tables and completion rows.
 
-The data of a tile is written before its completion row, and a tile is overwritten as a whole, so a run that lost its
-driver goes on with the tiles that are not complete.
+The data of some tiles is written before their completion rows, and a tile is overwritten as a whole, so a run that was
+lost or stopped goes on with the tiles that are not complete.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.grid import outstanding, tiled
+from tidewright.operators.models import parameter_table
 from tidewright.operators.selection import check_invariant, points, rank, recompute
+from tidewright.sources.inputs import describe_mismatch
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+TILED = ("fits", "selection", "points")
 
 
 class ResumeError(ValueError):
@@ -27,49 +30,87 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def exists(self, name: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def tiled_tables(self) -> list[str]:
+        """The tables that are there and have a part for each tile."""
+        return [name for name in TILED if self.exists(name)]
+
     def provenance(self) -> dict | None:
         """What the store was made for; None if there is no store."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/provenance")
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/provenance").first()[0])
+        return json.loads(self.spark.read.text(f"{self.path}/provenance").first()[0]) if self.exists("provenance") else None
 
     def create(self, attrs: dict) -> None:
+        """Writes provenance, labels and an empty table of completions; a store that is there, or attributes that lack something, are refused."""
         if self.provenance() is not None:
             raise ResumeError(f"{self.path} is a store already")
+        if missing := [k for k in ("fit_hash", "compat_hash", "run_hash", "geometry_hash", "candidates", "labels", "criteria", "objective", "engine", "tile_side") if k not in attrs]:
+            raise ResumeError(f"a store needs {missing[0]} among its attributes")
         text = json.dumps({"schema_version": SCHEMA_VERSION, **attrs}, sort_keys=True)
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{self.path}/provenance")
+        write = lambda df, name: df.coalesce(1).write.parquet(f"{self.path}/{name}")
+        write(self.spark.createDataFrame([(m, c, h) for m, (c, h) in enumerate(zip(attrs["labels"], attrs["candidates"], strict=True))], "m int, label string, hash string"), "dim_model")
+        write(parameter_table(self.spark, attrs["labels"]), "dim_noise_param")
+        write(self.spark.createDataFrame([(i, c) for i, c in enumerate(attrs["criteria"])], "place int, criterion string"), "dim_criterion")
         self.spark.createDataFrame([], "ty bigint, tx bigint").write.parquet(f"{self.path}/completion")
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{self.path}/provenance")
+
+    def write_places(self, places: DataFrame) -> None:
+        """The values along y and x, and which series is where: as many rows as there are series."""
+        for c in ("y", "x"):
+            places.select(c).distinct().write.mode("overwrite").parquet(f"{self.path}/dim_{c}")
+        places.select("series_id", "y", "x").write.mode("overwrite").parquet(f"{self.path}/dim_series")
 
     def check(self, attrs: dict) -> None:
         """Refuses to resume unless schema, fit, candidates and criteria are those of the store, in this order."""
         stored = self.provenance()
+        if stored["schema_version"] == SCHEMA_VERSION and "geometry" in stored and "geometry" in attrs and (told := describe_mismatch(stored["geometry"], attrs["geometry"])):
+            raise ResumeError(f"fit_hash of the store is of other data: {told}")
         for key in ("schema_version", "fit_hash", "candidates", "criteria", "compat_hash"):
             wanted = SCHEMA_VERSION if key == "schema_version" else attrs[key]
             if stored[key] != wanted:
                 hint = "; new criteria need no fit: reuse the stored fits" if key == "criteria" else ""
                 raise ResumeError(f"{key} of the store is {stored[key]!r}, of the run {wanted!r}{hint}")
 
+    def tile_side(self, asked: int) -> int:
+        """The side of the store's tiles, which a run may enlarge no more than it may cut them."""
+        stored = self.provenance()["tile_side"]
+        if stored > asked:
+            raise ResumeError(f"the store has tiles of side {stored}, above the {asked} of this run; its completions describe no others")
+        return stored
+
     def outstanding(self, series: DataFrame, side: int) -> DataFrame:
         """The series, with their tile, of tiles that are not complete."""
         return tiled(series, side).join(outstanding(tiled(series, side).select("ty", "tx").distinct(), self.table("completion")), ["ty", "tx"])
 
     def write(self, fits: DataFrame, criteria: tuple[str, ...]) -> None:
-        """Writes fits (with ty and tx), what is selected from them, and last the completion of their tiles."""
+        """Writes fits (with ty and tx), what is selected from them, and last the completion of their tiles.
+
+        The fits are executed once, by the first write; all else is read back from the tiles without a completion.
+        """
+        overwrite = lambda df, name: df.write.partitionBy("ty", "tx").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/{name}")
+        overwrite(fits, "fits")
+        done = self.table("completion")
+        stored = self.table("fits").join(done.select("ty", "tx"), ["ty", "tx"], "left_anti")
+        self.finish(stored, criteria, overwrite)
+
+    def write_tiles(self, fits: DataFrame, tiles: list[tuple[int, int]], criteria: tuple[str, ...]) -> None:
+        """The same for a few tiles that are named, which Spark then reads back by their folders alone."""
         overwrite = lambda df, name: df.write.partitionBy("ty", "tx").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/{name}")
         overwrite(fits, "fits")
-        tiles = fits.select("ty", "tx").distinct()
-        stored = self.table("fits").join(tiles, ["ty", "tx"], "left_semi")
-        tiles = stored.select("ty", "tx").distinct()
+        self.finish(in_tiles(self.table("fits"), tiles), criteria, overwrite)
+
+    def finish(self, stored: DataFrame, criteria: tuple[str, ...], overwrite) -> None:
         place = stored.select("series_id", "ty", "tx").distinct()
         scores = check_invariant(scores_of(stored))
         overwrite(rank(scores, criteria).join(place, "series_id"), "selection")
         overwrite(points(scores).join(place, "series_id"), "points")
-        tiles.select(F.col("ty").cast("bigint"), F.col("tx").cast("bigint")).write.mode("append").parquet(f"{self.path}/completion")
+        stored.select(F.col("ty").cast("bigint").alias("ty"), F.col("tx").cast("bigint").alias("tx")).distinct().coalesce(1).write.mode("append").parquet(f"{self.path}/completion")
 
     def reuse(self, source: Store, criteria: tuple[str, ...]) -> None:
         """Fills this store from the complete fits of another one, ranked by other criteria."""
@@ -80,9 +121,22 @@ class Store:
         self.write(fits, criteria)
 
 
+def in_tiles(df: DataFrame, tiles: list[tuple[int, int]]) -> DataFrame:
+    """The rows of some tiles; the predicate is on the folders, so nothing else is read."""
+    by_row: dict[int, list[int]] = {}
+    for ty, tx in tiles:
+        by_row.setdefault(ty, []).append(tx)
+    if not by_row:
+        return df.where("false")
+    found = F.lit(False)
+    for ty, some in by_row.items():
+        found = found | ((F.col("ty") == ty) & F.col("tx").isin(some))
+    return df.where(found)
+
+
 def scores_of(fits: DataFrame) -> DataFrame:
     """Fits in the form that the selection takes."""
-    return fits.select("series_id", "m", "loglik", "k", "n", F.col("n_eff_bic").alias("n_eff"), "outcome", F.lit("kalman").alias("engine"), F.lit("ml").alias("objective"))
+    return fits.select("series_id", "m", "loglik", "k", "n", F.col("n_eff_bic").alias("n_eff"), "outcome", "engine", "objective")
 
 
-__all__ = ["ResumeError", "Store", "recompute", "scores_of"]
+__all__ = ["ResumeError", "Store", "in_tiles", "recompute", "scores_of"]
