@@ -50,8 +50,14 @@ class Axis:
         return reps, np.searchsorted(reps, dt, side="right") - 1
 
 
-def products(y: np.ndarray, axis: Axis, kinds: tuple[str, ...], theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n, log determinant, whitened products of [y, X]) of each row; NaN in ``y`` is a gap."""
+def products(y: np.ndarray, axis: Axis, kinds: tuple[str, ...], theta: np.ndarray, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, log determinant, whitened products of [y, X]) of each row; NaN in ``y`` is a gap.
+
+    Rows go side by side through the filter, ``chunk`` at a time, so that what a step touches stays in the cache.
+    """
+    if len(y) > chunk:
+        parts = [products(y[i : i + chunk], axis, kinds, theta[i : i + chunk], chunk) for i in range(0, len(y), chunk)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     b, steps = y.shape
     q = 1 + axis.x.shape[1]
     r, parts, i = np.zeros(b), [], 0
@@ -63,42 +69,75 @@ def products(y: np.ndarray, axis: Axis, kinds: tuple[str, ...], theta: np.ndarra
             parts.append((f, own))
         else:
             r = r + own[0] ** 2
-    d = sum(f.dim for f, _ in parts)
     there = np.isfinite(y)
     n = there.sum(axis=1)
-    z = np.concatenate((np.where(there, y, 0.0)[:, :, None], np.broadcast_to(axis.x, (b, steps, q - 1))), axis=2)
-    a, logdet = np.zeros((b, q, q)), np.zeros(b)
+    clean = np.where(there, y, 0.0)
     with np.errstate(all="ignore"):
-        if not d:
-            w = z * there[:, :, None]
-            return n, n * np.log(r), np.einsum("bti,btj->bij", w, w) / r[:, None, None]
-        reps, group = axis.groups()
-        starts = np.cumsum([0, *(f.dim for f, _ in parts)])[:-1]
-        block = lambda out, ms: [out.__setitem__((slice(None), slice(s, s + m.shape[-1]), slice(s, s + m.shape[-1])), m) for s, m in zip(starts, ms, strict=True)] and out
-        p = block(np.zeros((b, d, d)), [f.stationary(*own) for f, own in parts])
-        moves = []
-        for dt in reps:
-            made = [f.step(*own, dt) for f, own in parts]
-            moves.append((block(np.zeros((b, d, d)), [m[0] for m in made]), block(np.zeros((b, d, d)), [m[1] for m in made])))
-        x = np.zeros((b, d, q))
-        for t in range(steps):
-            if t:
-                f, noise = moves[group[t - 1]]
-                x = np.einsum("bij,bjk->bik", f, x)
-                p = np.einsum("bij,bjk,blk->bil", f, p, f) if d == 1 else np.matmul(np.matmul(f, p), f.transpose(0, 2, 1))
-                p = p + noise
-            on = there[:, t]
-            if not on.any():
-                continue
-            ph = p[:, :, starts].sum(axis=2)
-            s = np.where(on, ph[:, starts].sum(axis=1) + r, 1.0)
-            v = z[:, t] - x[:, starts].sum(axis=1)
-            g = np.where(on[:, None], ph / s[:, None], 0.0)
-            x = x + g[:, :, None] * v[:, None, :]
-            p = p - g[:, :, None] * ph[:, None, :]
-            a += v[:, :, None] * v[:, None, :] * np.where(on, 1 / s, 0.0)[:, None, None]
-            logdet += np.where(on, np.log(s), 0.0)
-    return n, logdet, a
+        if not parts:
+            w = np.concatenate((clean[:, :, None], np.broadcast_to(axis.x, (b, steps, q - 1))), axis=2) * there[:, :, None]
+            return n, n * np.log(r), np.matmul(w.transpose(0, 2, 1), w) / r[:, None, None]
+        whitened, logdet = filtered(clean.T.copy(), there.T, axis, parts, r)
+    return n, logdet, np.matmul(whitened.transpose(1, 2, 0), whitened.transpose(1, 0, 2))
+
+
+def filtered(y: np.ndarray, there: np.ndarray, axis: Axis, parts: list, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(innovations of [y, X] over their standard deviation, log determinant), time first.
+
+    The state is block-diagonal in the terms; each entry of its mean and covariance is an array over the rows.
+    """
+    steps, b = y.shape
+    q = 1 + axis.x.shape[1]
+    starts = np.cumsum([0, *(f.dim for f, _ in parts)])
+    d = int(starts[-1])
+    of = np.repeat(np.arange(len(parts)), [f.dim for f, _ in parts])
+    inside = [range(starts[k], starts[k + 1]) for k in of]
+    heads = starts[:-1].tolist()
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    entry = lambda ms, i, j: np.ascontiguousarray(np.broadcast_to(ms[of[i]][:, i - starts[of[i]], j - starts[of[i]]], b))
+    begin = [f.stationary(*own) for f, own in parts]
+    p = {(i, j): entry(begin, i, j) if of[i] == of[j] else np.zeros(b) for i, j in pairs}
+    at = lambda i, j: p[(i, j) if i >= j else (j, i)]
+    reps, group = axis.groups()
+    moves = []
+    for dt in reps:
+        made = [f.step(*own, dt) for f, own in parts]
+        moves.append(({(i, k): entry([m[0] for m in made], i, k) for i in range(d) for k in inside[i]}, {(i, j): entry([m[1] for m in made], i, j) for i, j in pairs if of[i] == of[j]}))
+    x, step, alone = [np.zeros((b, q)) for _ in range(d)], np.empty((b, q)), d == len(parts)
+    whitened, logdet = np.zeros((steps, b, q)), np.zeros(b)
+    whole, some = there.all(axis=1), there.any(axis=1)
+    for t in range(steps):
+        if t:
+            f, noise = moves[group[t - 1]]
+            if alone:
+                for i in range(d):
+                    x[i] *= f[i, i][:, None]
+            else:
+                x = [sum(f[i, k][:, None] * x[k] for k in inside[i]) for i in range(d)]
+            half = {(i, j): sum(f[i, k] * at(k, j) for k in inside[i]) for i in range(d) for j in range(d)}
+            p = {(i, j): sum(half[i, k] * f[j, k] for k in inside[j]) for i, j in pairs}
+            for ij, extra in noise.items():
+                p[ij] = p[ij] + extra
+        if not some[t]:
+            continue
+        ph = [sum(at(i, h) for h in heads) for i in range(d)]
+        s = sum(ph[h] for h in heads) + r
+        v = whitened[t]
+        v[:, 0] = y[t]
+        v[:, 1:] = axis.x[t]
+        for h in heads:
+            v -= x[h]
+        weight = 1 / s
+        if not whole[t]:
+            on = there[t]
+            weight, s = np.where(on, weight, 0.0), np.where(on, s, 1.0)
+        for i in range(d):
+            gain = ph[i] * weight
+            x[i] += np.multiply(gain[:, None], v, out=step)
+            for j in range(i + 1):
+                p[i, j] = p[i, j] - gain * ph[j]
+        v *= np.sqrt(weight)[:, None]
+        logdet += np.log(s)
+    return whitened, logdet
 
 
 def profile(n: np.ndarray, logdet: np.ndarray, a: np.ndarray, gram_logdet: np.ndarray, objective: str) -> dict[str, np.ndarray]:
@@ -435,7 +474,9 @@ def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "
     names = [x.split()[0] for x in SCHEMA.replace(", ", ",").split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        FAMILIES.update({k: f for k, f in known.items() if k not in FAMILIES})
+        from tidewright.functions import families  # the worker's own registry, not a copy of the caller's
+
+        families.FAMILIES.update({k: f for k, f in known.items() if k not in families.FAMILIES})
         for whole in batches:
             for at in range(0, whole.num_rows, rows_per_batch):
                 batch = whole.slice(at, rows_per_batch)
