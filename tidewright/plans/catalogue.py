@@ -15,6 +15,7 @@ from tidewright.operators import series as ops
 from tidewright.operators.linear import line_report
 from tidewright.operators.filtering import LOG_2PI, augmented, matern32_loglik, ou_loglik, white_loglik
 from tidewright.plans.data import LONG, SQL_AXIS
+from tidewright.sources.store import scores_of as scores_of_fits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -558,8 +559,7 @@ def q51_fit_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = LONG["user_day"][0](spark, sf_dir)
     a = ops.axis(s)
     fits = fitting.fit(ops.pack(ops.indexed(s, a)), fitting.planned(a, ["constant"]), ["white", "white + matern12"])
-    scores = fits.select("series_id", "m", "loglik", "k", "n", F.col("n_eff_bic").alias("n_eff"), "outcome", F.lit("kalman").alias("engine"), F.lit("ml").alias("objective"))
-    return selection.rank(scores, CRITERIA)
+    return selection.rank(scores_of_fits(fits), CRITERIA)
 
 
 @query("with s as (" + LONG["nation_month"][1] + "), " + SQL_AXIS + " select series_id, round(stddev_pop(v), 6) as sigma, round(stddev_pop(v) / sqrt(2 * count(*)), 6) as sigma_err from p group by series_id")
@@ -578,3 +578,56 @@ def q49_line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, p = samples_of("nation_month", spark, sf_dir)
     digits = {"slope": 8, "intercept": 6, "residual_sd": 6, "slope_err": 8, "half_difference": 6}
     return line_report(p, "series_id", "i", "v").select("series_id", "n", *(r(c, d).alias(c) for c, d in digits.items()))
+
+
+# ---- the whole way of a fit, where SQL can follow it ------------------------------------------------------------------
+
+
+def standard_packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(axis, packed series of standardised turnover)."""
+    a, p = samples_of("nation_month", spark, sf_dir)
+    return a, ops.pack(p.where("z is not null").select("series_id", "i", "t", F.col("z").alias("v")))
+
+
+@query("with s as (" + LONG["nation_month"][1] + "), " + SQL_AXIS + ", " + SQL_WHITE + """ select series_id, cast(n as double) as n, 3.0::double as k, 0 as outcome, round(-0.5 * n * (ln(2 * pi()) + 1 + ln(rss1 / n)), 3) as loglik, round(b0, 5) as b0, round(b1, 5) as b1,
+  round(cast(n as double), 6) as n_eff from w""")
+def q52_white_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White noise with constant and trend, fitted as any candidate is; least squares give the same in closed form."""
+    a, packed = standard_packed(spark, sf_dir)
+    fits = fitting.fit(packed, fitting.planned(a, ["constant", "trend"]), ["white"])
+    return fits.select("series_id", "n", "k", "outcome", r("loglik", 3).alias("loglik"), r(F.col("beta")[0], 5).alias("b0"), r(F.col("beta")[1], 5).alias("b1"), r("n_eff_bic").alias("n_eff"))
+
+
+@query(aug_sql(""", h as (select series_id, count(*) as h11, sum(c) as h12, sum(c * c) as h22 from p group by series_id),
+two as (select series_id, 'ml' as objective, cast(n as double) as n, 2.0::double as k, ml as loglik, b0, b1, sqrt(a_oo / det) as b1_err from e
+  union all select series_id, 'reml', cast(n as double) - 2, 0.0::double, ml + ln(2 * pi()) + 0.5 * ln(h11 * h22 - h12 * h12) - 0.5 * ln(det), b0, b1, sqrt(a_oo / det) from e join h using (series_id))
+select series_id, objective, n, k, 0 as outcome, round(loglik, 5) as loglik, round(b0, 6) as b0, round(b1, 6) as b1, round(b1_err, 6) as b1_err from two"""))
+def q53_fixed_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate whose parameters are all fixed, under both objectives: filter, profile, errors and counts of the fit."""
+    a, packed = standard_packed(spark, sf_dir)
+    plan, model = fitting.planned(a, ["constant", "trend"]), f"white(sigma={TAU}) + matern12(sigma={SIGMA}, rho={RHO})"
+    fits = fitting.fit(packed, plan, [model], "ml").unionByName(fitting.fit(packed, plan, [model], "reml"))
+    return fits.select("series_id", "objective", "n", "k", "outcome", r("loglik", 5).alias("loglik"), r(F.col("beta")[0]).alias("b0"), r(F.col("beta")[1]).alias("b1"), r(F.col("beta_err")[1]).alias("b1_err"))
+
+
+@query(SQL_SCORES.split("crit as (")[0].rstrip().rstrip(",") + """, broken as (select series_id, m, k, n, n_eff, case when series_id % 3 = 1 and m = 1 then null when series_id % 4 = 0 and m = 2 then '-infinity'::double else loglik end as loglik,
+  case when series_id % 3 = 0 and m = 0 then 3 else outcome end as outcome from scores)
+select count(*) as n_rows, count(*) filter (outcome <> 0 and (loglik is not null or k is not null or n is not null or n_eff is not null)) as n_value_not_ok,
+  count(*) filter (outcome = 0 and (loglik is null or k is null or n is null or n_eff is null)) as n_ok_without_value, count(*) filter (loglik = '-infinity'::double) as n_negative_infinity from broken""")
+def q54_broken_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status invariant on scores that break it in each of the three ways."""
+    s, m = F.col("series_id"), F.col("m")
+    loglik = F.when((s % 3 == 1) & (m == 1), None).when((s % 4 == 0) & (m == 2), float("-inf")).otherwise(F.col("loglik"))
+    broken = scores_of(spark, sf_dir).withColumn("loglik", loglik).withColumn("outcome", F.when((s % 3 == 0) & (m == 0), 3).otherwise(F.col("outcome")))
+    return selection.violations(broken, ("loglik", "k", "n", "n_eff"))
+
+
+@query(SQL_SCORES.split("crit as (")[0].rstrip().rstrip(",") + """, marked as (select series_id, case when series_id % 4 = 0 and m = 1 then 'dense' when series_id % 8 = 0 and m = 2 then 'other' else 'kalman' end as engine,
+  case when series_id % 6 = 0 and m = 0 then 'reml' else 'ml' end as objective from scores)
+select series_id, count(distinct engine) as n_engines, count(distinct objective) as n_objectives from marked group by series_id having count(distinct engine) > 1 or count(distinct objective) > 1""")
+def q55_mixed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from up to three engines and two objectives, counted by series."""
+    s, m = F.col("series_id"), F.col("m")
+    engine = F.when((s % 4 == 0) & (m == 1), "dense").when((s % 8 == 0) & (m == 2), "other").otherwise("kalman")
+    marked = scores_of(spark, sf_dir).withColumn("engine", engine).withColumn("objective", F.when((s % 6 == 0) & (m == 0), "reml").otherwise("ml"))
+    return selection.mixed(marked)
