@@ -125,6 +125,21 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+ORACLE_OP9 = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') as words from documents where doc_id is not null),
+g as (select distinct doc_id, array_to_string(words[i:i + 4], chr(1)) as gram from w, unnest(range(1, greatest(2, cast(len(words) as integer) - 3))) as t(i) where len(words) > 0),
+n as (select doc_id, count(*) as size, md5(array_to_string(list_sort(list(gram)), chr(2))) as digest from g group by doc_id),
+pair as (select a.doc_id as u, b.doc_id as v, count(*) as common from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+link as (select u, v from pair join n a on a.doc_id = u join n b on b.doc_id = v where common >= 0.8 * (a.size + b.size - common)),
+edge as (select u, v from link union all select v, u from link),
+reach as (select u, v from edge union select r.u, e.v from reach r join edge e on e.u = r.v),
+class as (select u as doc_id, least(u, min(v)) as class_id from reach group by u)
+select w.doc_id, coalesce(class_id, w.doc_id) as class_id, coalesce(min(w.doc_id) over (partition by digest, case when digest is null then w.doc_id end), w.doc_id) as copy_of, cast(coalesce(k.links, 0) as bigint) as n_links
+from w left join n on n.doc_id = w.doc_id left join class c on c.doc_id = w.doc_id left join (select u as doc_id, count(*) as links from edge group by u) k on k.doc_id = w.doc_id
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), toxicity.CUT)
@@ -142,4 +157,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op5_url_filter": ORACLE_OP5, "op8_substring_dedup": ORACLE_OP8}
+ORACLES: dict[str, str] = {"op5_url_filter": ORACLE_OP5, "op8_substring_dedup": ORACLE_OP8, "op9_ngram_join": ORACLE_OP9}
