@@ -589,25 +589,25 @@ def standard_packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return a, ops.pack(p.where("z is not null").select("series_id", "i", "t", F.col("z").alias("v")))
 
 
-@query("with s as (" + LONG["nation_month"][1] + "), " + SQL_AXIS + ", " + SQL_WHITE + """ select series_id, cast(n as double) as n, 3.0::double as k, 0 as outcome, round(-0.5 * n * (ln(2 * pi()) + 1 + ln(rss1 / n)), 3) as loglik, round(b0, 5) as b0, round(b1, 5) as b1,
+@query("with s as (" + LONG["nation_month"][1] + "), " + SQL_AXIS + ", " + SQL_WHITE + """ select series_id, cast(n as double) as n, 3.0::double as k, 0 as outcome, round(-0.5 * n * (ln(2 * pi()) + 1 + ln(rss1 / n)), 3) as loglik, round(b0, 5) + 0.0::double as b0, round(b1, 5) + 0.0::double as b1,
   round(cast(n as double), 6) as n_eff from w""")
 def q52_white_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White noise with constant and trend, fitted as any candidate is; least squares give the same in closed form."""
     a, packed = standard_packed(spark, sf_dir)
     fits = fitting.fit(packed, fitting.planned(a, ["constant", "trend"]), ["white"])
-    return fits.select("series_id", "n", "k", "outcome", r("loglik", 3).alias("loglik"), r(F.col("beta")[0], 5).alias("b0"), r(F.col("beta")[1], 5).alias("b1"), r("n_eff_bic").alias("n_eff"))
+    return fits.select("series_id", "n", "k", "outcome", r("loglik", 3).alias("loglik"), (r(F.col("beta")[0], 5) + 0.0).alias("b0"), (r(F.col("beta")[1], 5) + 0.0).alias("b1"), r("n_eff_bic").alias("n_eff"))
 
 
 @query(aug_sql(""", h as (select series_id, count(*) as h11, sum(c) as h12, sum(c * c) as h22 from p group by series_id),
 two as (select series_id, 'ml' as objective, cast(n as double) as n, 2.0::double as k, ml as loglik, b0, b1, sqrt(a_oo / det) as b1_err from e
   union all select series_id, 'reml', cast(n as double) - 2, 0.0::double, ml + ln(2 * pi()) + 0.5 * ln(h11 * h22 - h12 * h12) - 0.5 * ln(det), b0, b1, sqrt(a_oo / det) from e join h using (series_id))
-select series_id, objective, n, k, 0 as outcome, round(loglik, 5) as loglik, round(b0, 6) as b0, round(b1, 6) as b1, round(b1_err, 6) as b1_err from two"""))
+select series_id, objective, n, k, 0 as outcome, round(loglik, 5) as loglik, round(b0, 6) + 0.0::double as b0, round(b1, 6) + 0.0::double as b1, round(b1_err, 6) as b1_err from two"""))
 def q53_fixed_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A candidate whose parameters are all fixed, under both objectives: filter, profile, errors and counts of the fit."""
     a, packed = standard_packed(spark, sf_dir)
     plan, model = fitting.planned(a, ["constant", "trend"]), f"white(sigma={TAU}) + matern12(sigma={SIGMA}, rho={RHO})"
     fits = fitting.fit(packed, plan, [model], "ml").unionByName(fitting.fit(packed, plan, [model], "reml"))
-    return fits.select("series_id", "objective", "n", "k", "outcome", r("loglik", 5).alias("loglik"), r(F.col("beta")[0]).alias("b0"), r(F.col("beta")[1]).alias("b1"), r(F.col("beta_err")[1]).alias("b1_err"))
+    return fits.select("series_id", "objective", "n", "k", "outcome", r("loglik", 5).alias("loglik"), (r(F.col("beta")[0]) + 0.0).alias("b0"), (r(F.col("beta")[1]) + 0.0).alias("b1"), r(F.col("beta_err")[1]).alias("b1_err"))
 
 
 @query(SQL_SCORES.split("crit as (")[0].rstrip().rstrip(",") + """, broken as (select series_id, m, k, n, n_eff, case when series_id % 3 = 1 and m = 1 then null when series_id % 4 = 0 and m = 2 then '-infinity'::double else loglik end as loglik,
