@@ -47,3 +47,45 @@ def test_repeats_leave_other_texts_alone(spark):
     got = {r.doc_id: r for r in p.without_repeats(spark, docs, DATA).collect()}
     assert got[1].text == a and got[2].text == b and got[3].text == "" and got[3].n_chars == 0
     assert p.without_repeats(spark, docs.where(F.lit(False)), DATA).count() == 0
+
+
+def test_clashing_columns_ties_and_repeated_rows(spark):
+    names = ["n_removed", "kept", "n_words", "class_id", "n_links", "score", "spans", "item_id", "label", "set", "forms", "key"]
+    passage = prose(7, 40)
+    rows = [(1, passage + " " + prose(1, 40)), (1, passage + " " + prose(1, 40)), (2, prose(2, 40) + " " + passage), (3, prose(2, 40) + " " + passage), (None, prose(5, 60)), (6, None), (7, "")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} int" for n in names)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(names))) for i, t in rows], schema)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, df, DATA)
+        assert out.columns == df.columns and out.dtypes == df.dtypes, name
+        assert all(tuple(r[5:]) == tuple(range(len(names))) for r in out.collect()), name
+        assert stage(spark, df.where("false"), DATA).count() == 0, name
+    assert sorted(r.doc_id for r in p.one_of_each(spark, df, DATA).collect() if r.doc_id in (1, 2, 3)) == [1, 1, 2]
+    assert p.STAGES[-1][1](spark, df, DATA).count() == len(rows)
+
+
+def test_run_is_its_stages(spark):
+    docs = table(spark, DATA, "documents")
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, DATA).cache()
+    assert sorted(map(tuple, p.run(spark, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(map(tuple, docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from tidewright.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    class Frame:
+        sparkSession = Session()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpointed(Frame())
