@@ -54,29 +54,37 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda x: F.when(is_slot(x), F.substring(x, 1, 1)).otherwise(x))
 
 
-def windows(words: Column, forms: Column, slotted: Column, width: Column | int) -> Column:
-    """Array of (at, width, hash, values), a window at each token; values are the words in its slots, null if it has none."""
-    width = F.lit(width) if isinstance(width, int) else width
-    last = F.size(forms) - width
-    slots = F.array(F.lit(NUMBER), F.lit(NAME), F.lit(UNIT))
+def form_hashes(words: Column) -> Column:
+    """A hash of each word's form: what a window's template is hashed from."""
+    return F.transform(words, lambda x: F.xxhash64(F.when(is_slot(x), F.substring(x, 1, 1)).otherwise(x)))
 
-    def one(i: Column) -> Column:
-        form, own = F.slice(forms, i + 1, width), F.slice(words, i + 1, width)
-        some = slotted & F.arrays_overlap(form, slots)
-        key = F.when(slotted & F.forall(form, is_slot), F.xxhash64(own)).otherwise(F.xxhash64(form))
-        return F.struct(i.alias("at"), width.alias("width"), key.alias("hash"), F.when(some, F.filter(own, is_slot)).alias("values"))
 
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one))
+def key_and_values(words: Column, hashes: Column, at: Column, width: Column) -> tuple[Column, Column]:
+    """The key of a window and the values in its slots; a window of slots alone is known by its values."""
+    own = F.slice(words, at + 1, width)
+    return F.when(F.forall(own, is_slot), F.xxhash64(own)).otherwise(F.xxhash64(F.slice(hashes, at + 1, width))), F.filter(own, is_slot)
+
+
+def windows(words: Column, hashes: Column, slots: Column, width: int) -> Column:
+    """Array of (at, width, hash, values): a window at each token, without values, and those that hold one of the ``slots``
+    (places) once more, with the values in them.  So what slots cost is paid near slots only."""
+    w = F.lit(width)
+    last = F.size(hashes) - w
+    row = lambda i, key, values: F.struct(i.alias("at"), w.alias("width"), key.alias("hash"), values.cast("array<string>").alias("values"))
+    every = F.transform(F.sequence(F.lit(0), last), lambda i: row(i, F.xxhash64(F.slice(hashes, i + 1, w)), F.lit(None)))
+    near = F.array_distinct(F.flatten(F.transform(slots, lambda p: F.sequence(F.greatest(F.lit(0), p - w + 1), F.least(p, last)))))
+    slotted = F.transform(near, lambda i: row(i, *key_and_values(words, hashes, i, w)))
+    return F.when(last >= 0, F.when(F.size(slots) > 0, F.concat(every, slotted)).otherwise(every))
 
 
 def members(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item_id, words, forms, vars, key, n_tokens, width) of the distinct items; ``vars`` numbers the values by their first place."""
+    """(item_id, words, hashes, vars, key, n_tokens, width, slotted) of the distinct items; ``vars`` numbers the values by their first place."""
     items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("words")).where(F.col("item_id").isNotNull() & (F.size("words") > 0))
     items = items.groupBy("words").agg(F.min("item_id").alias("item_id"))
     items = items.withColumn("forms", template(F.col("words"))).withColumn("known", F.array_distinct(F.filter("words", is_slot)))
     items = items.withColumn("vars", F.transform("words", lambda x: F.when(is_slot(x), F.array_position("known", x).cast("int")).otherwise(F.lit(0))))
     n = F.size("forms")
-    return items.select("item_id", "words", "forms", "vars", F.xxhash64("forms", "vars").alias("key"), n.alias("n_tokens"), F.least(n, F.lit(window)).alias("width"), (F.size("known") > 0).alias("slotted"))
+    return items.select("item_id", "words", form_hashes(F.col("words")).alias("hashes"), "vars", F.xxhash64("forms", "vars").alias("key"), n.alias("n_tokens"), F.least(n, F.lit(window)).alias("width"), (F.size("known") > 0).alias("slotted"))
 
 
 def templates(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -100,13 +108,15 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text, key, alignment, places, slots, conflicts, ...): what a text and a class share on one alignment."""
     widths = [r.width for r in items.select("width").distinct().collect()]  # at most as many as the window has tokens
     none = F.array().cast("array<struct<at:int,width:int,hash:bigint,values:array<string>>>")
-    found = [F.coalesce(windows(F.col("words"), F.col("forms"), F.col("slotted"), w), none) for w in sorted(widths)]
+    found = [F.coalesce(windows(F.col("words"), F.col("hashes"), F.col("slots"), w), none) for w in sorted(widths)]
     doc = docs.select("doc_id", "text", F.inline(F.concat(*found) if found else none))
-    item = items.select("key", F.inline(windows(F.col("words"), F.col("forms"), F.col("slotted"), F.col("width"))))
-    item = item.select("key", F.col("at").alias("item_at"), "width", "hash").distinct()
+    item = items.select("key", "words", "hashes", "width", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("width"))).alias("item_at"))
+    hash_, values = key_and_values(F.col("words"), F.col("hashes"), F.col("item_at"), F.col("width"))
+    item = item.select("key", "item_at", "width", hash_.alias("hash"), (F.size(values) > 0).alias("has_slots")).distinct()
     classes = items.groupBy("key").agg(F.min("item_id").alias("template_id"), F.first("vars").alias("vars"), F.first("n_tokens").alias("n_tokens"))
     place = F.struct("item_at", "width", F.coalesce("values", F.array().cast("array<string>")).alias("values"))
-    each = doc.join(item, ["hash", "width"]).groupBy("doc_id", "text", "key", (F.col("at") - F.col("item_at")).alias("alignment")).agg(F.collect_set(place).alias("places"))
+    met = doc.join(item, ["hash", "width"]).where(F.col("has_slots") == F.col("values").isNotNull())
+    each = met.groupBy("doc_id", "text", "key", (F.col("at") - F.col("item_at")).alias("alignment")).agg(F.collect_set(place).alias("places"))
     each = each.join(classes, "key")
 
     def with_vars(w: Column) -> Column:
@@ -124,7 +134,8 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, count_verbatim: bool = False) -> DataFrame:
     """(doc_id, item_id, template_id, n_windows, covered_tokens, coverage, n_slots, verbatim) of the contaminated pairs."""
     words = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_text).alias("text"), tokens(F.col(doc_text)).alias("words")).where(F.col("doc_id").isNotNull())
-    words = words.withColumn("forms", template(F.col("words"))).withColumn("slotted", F.exists("words", is_slot))
+    places = F.filter(F.transform("words", lambda x, i: F.when(is_slot(x), i)), lambda i: i.isNotNull())
+    words = words.withColumn("hashes", form_hashes(F.col("words"))).withColumn("slots", places)
     items = members(benchmark, item_id, item_text, window)
     each = checkpointed(occurrences(words, items))  # a row per text, class and alignment that share a window
     at, pair = ["doc_id", "text", "key", "alignment"], ["doc_id", "key", "template_id", "n_tokens"]
