@@ -23,10 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("label")))
     while True:
         offered = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("offer"))
-        lower = labels.join(offered, "node").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
+        # Kept before the second join, so that both its sides are plain tables and Spark can split the rows of a label that has many nodes.
+        lower = checkpointed(labels.join(offered, "node").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("label")))
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = checkpointed(lower.join(jump, "label", "left_outer").select("node", "old", F.least("label", "further").alias("label")))
+        new = lower.join(jump, "label", "left_outer").select("node", "old", F.least("label", "further").alias("label"))
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
-            return labels
+            return checkpointed(labels)

@@ -28,7 +28,7 @@ from tidewright.llm.components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 BLOCK = 512  # nodes of a large component that are compared with as many others in one task
-BLOCK_CHARS = 1 << 24  # and the characters of their texts
+BLOCK_CHARS = 1 << 22  # and the characters of their texts
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 160) -> tuple[int, int]:

@@ -109,17 +109,20 @@ def context_vectors(docs: DataFrame, text_col: str, seed: int, slices: int = 64)
                 for k in (0, 1):
                     add_context(sums, np.concatenate([x for ids in both for x in (ids[k], gap)]), index)
                 some = True
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([sums[i * step : (i + 1) * step].tobytes() for i in range(slices)], pa.binary())], names=["slice", "sums"])
+        used = np.flatnonzero(sums[:BUCKETS].any(axis=1)) if some else np.empty(0, int)
+        for i in np.unique(used // step).tolist():  # only buckets that the task met
+            at = used[used // step == i]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([(at % step).astype("<i4").tobytes()], pa.binary()), pa.array([sums[at].tobytes()], pa.binary())], names=["slice", "at", "sums"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[i] = total.get(i, 0) + np.frombuffer(x.as_py(), np.int64)
+            for i, at, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                into = total.setdefault(i, np.zeros((step, WIDTH), np.int64))
+                into[np.frombuffer(at.as_py(), "<i4")] += np.frombuffer(x.as_py(), np.int64).reshape(-1, WIDTH)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "sums"])
 
-    rows = docs.select(text_col).mapInArrow(run, "slice int, sums binary").repartition("slice").mapInArrow(added, "slice int, sums binary").collect()
+    rows = docs.select(text_col).mapInArrow(run, "slice int, at binary, sums binary").repartition("slice").mapInArrow(added, "slice int, sums binary").collect()
     out = np.zeros((BUCKETS, WIDTH), np.int64)
     for r in rows:
         out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(bytes(r.sums), np.int64).reshape(step, WIDTH)

@@ -41,7 +41,7 @@ from tidewright.llm.common import WordHashes, checkpointed, chunks, mix, rolled
 
 WIDTH, SEED = 13, 3
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 18
 SHIFT, WINDOW_BYTES = np.uint64(24), 8  # 40 bits of a minimizer and 64 of a window's hash are sent
 SAMPLED, CROWDED, SHARE = 1 / 64, 1024, 2.0**-20  # share of the documents; stretches, and share of the stretches in it, that make a minimizer crowded
 SECOND = np.uint64(0xD6E8FEB86659FD93)
