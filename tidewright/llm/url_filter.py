@@ -6,11 +6,14 @@ more labels, and the host with the first path segment; of the entries active at
 
 Intervals are cut by month, so that a key with a long history joins only the months it is needed in, and the captures of
 a key are dealt over ``salts`` parts, so that a host or domain with most of the captures is spread.  Spark broadcasts
-the intervals only if it finds them small.
+the intervals only if it finds them small.  More parts are a parameter, for lists whose largest key has more captures
+than a task should take; beyond that Spark splits what it finds skewed.
 
 Defined results: a null or malformed URL, or a null fetch time, has no keys and is not blocked; entries with a null key,
 time or action are no entries; of entries of a key at the same time a removal is first, then "allow", then "deny"; rows
-with the same id, URL and time are one capture; further columns are ignored.
+with the same id, URL and time are one capture, also if the id is null; of keys of equal length that are active "allow" counts
+before "deny" and the greater key before the smaller; very long URLs have all their keys; further columns, also of the same
+names, are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -55,11 +58,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     """(id, url, fetched_at, n_active, deciding_key, deciding_kind, blocked) of each capture."""
     c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).cast("timestamp_ntz").alias("at"))
     looked_up = c.withColumn("key", F.explode_outer(keys(F.col("url")))).withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
-    span = captures.sparkSession.range(salts).select(F.col("id").cast("int").alias("salt"))
     # No capture lies after the last one, so open intervals end there for the cut by month.
-    last = c.agg(F.max("at").alias("last_at"))
-    active = intervals(entries).join(F.broadcast(last)).where("valid_from <= last_at")
-    active = active.withColumn("m", F.explode(F.sequence(month(F.col("valid_from")), month(F.least("valid_to", "last_at"))))).drop("last_at").join(F.broadcast(span))
+    last_at = F.lit(c.agg(F.max("at")).first()[0]).cast("timestamp_ntz")
+    active = intervals(entries).where(F.col("valid_from") <= last_at)
+    active = active.withColumn("m", F.explode(F.sequence(month(F.col("valid_from")), month(F.least("valid_to", last_at)))))
+    active = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hit = looked_up.withColumn("m", month(F.col("at"))).join(active, ["key", "m", "salt"], "left_outer").select(
         "id", "url", "at", F.when((F.col("at") >= F.col("valid_from")) & (F.col("at") < F.col("valid_to")), F.struct(F.length("key").alias("n"), (F.col("kind") == "allow").cast("int").alias("a"), "key", "kind")).alias("hit")
     )
