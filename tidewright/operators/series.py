@@ -40,7 +40,8 @@ def contract(long: DataFrame) -> DataFrame:
         F.count("*").alias("n_time"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.median("dt").alias("median_dt"), F.count_if(F.col("dt") <= 0).alias("n_bad_steps")
     )
     s = long.agg(F.countDistinct("series_id").alias("n_series"), F.count_if(present(F.col("v"))).alias("n_present"))
-    return a.crossJoin(s)
+    both = a.unionByName(s, allowMissingColumns=True)  # one row each, put side by side
+    return both.agg(*(F.max(c).alias(c) for c in (*a.columns, *s.columns)))
 
 
 def indexed(long: DataFrame, axis: DataFrame) -> DataFrame:
