@@ -138,7 +138,7 @@ def test_edges_that_only_look_equal_are_not_taken_out(spark, monkeypatch):
     assert runs and all(r["src"] == r["doc"] - 1 for r in runs)
     words = {i: s.WORDS.findall(x) for i, x in rows}
     for i, text in rows:
-        spans = [r | {"proofs": [s.digest(words[r["src"]], r["src_at"], r["n"], 13)]} for r in runs if r["doc"] == i]
+        spans = [r | {"proof": s.digest(words[r["src"]], r["src_at"], r["n"], 13)} for r in runs if r["doc"] == i]
         assert s.kept_words(text, spans, 13) == (40, 0, text)
 
 

@@ -227,7 +227,7 @@ def kept_words(text: str | None, spans: list, width: int) -> tuple[int, int, str
     edge = np.zeros(len(words) + 1, np.int64)
     sub = text_key(text or "") if spans else None
     for s in spans:
-        if s["sub"] == sub and digest(words, s["at"], s["n"], width) in s["proofs"]:
+        if s["sub"] == sub and digest(words, s["at"], s["n"], width) == s["proof"]:
             edge[s["at"]] += 1
             edge[s["at"] + s["n"] + width - 1] -= 1
     keep = np.cumsum(edge)[:-1] == 0
@@ -236,7 +236,7 @@ def kept_words(text: str | None, spans: list, width: int) -> tuple[int, int, str
 
 
 def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], width: int, seed: int) -> DataFrame:
-    """(k, doc, text, carried ..., spans) of every row, spans as (sub, at, n, proofs)."""
+    """(k, doc, text, carried ..., spans) of every row, spans as (sub, at, n, proof)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     crowded = docs.sparkSession.sparkContext.broadcast(crowded_minimizers(docs, width, seed))
     rows = docs.mapInArrow(lambda b: stretches(b, width, seed, crowded.value), STRETCH)
@@ -246,21 +246,21 @@ def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], widt
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("k"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = len(carry) + 3
+        """What each asked path holds at its source, addressed to the document that asks."""
+        place = len(carry) + 3
         for batch in batches:
             out = []
-            for doc, text, asked in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(at), strict=True):
-                if doc is not None:
+            for doc, text, asked in zip(batch.column(1), batch.column(2), batch.column(place), strict=True):
+                if doc.is_valid:
                     words = WORDS.findall(text.as_py() or "")
-                    out += [(doc, a["src_at"], a["n"], d) for a in asked.as_py() if (d := digest(words, a["src_at"], a["n"], width))]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["src", "src_at", "n", "digest"])
-
-    # At most half the square of a source's words can be asked for, however many documents repeat it.
-    asked = found.select(F.col("src").alias("k"), "src_at", "n").distinct().groupBy("k").agg(F.collect_list(F.struct("src_at", "n")).alias("asked"))
-    proofs = texts.join(asked, "k").select(*texts.columns, "asked").mapInArrow(prove, "src bigint, src_at int, n int, digest binary")
-    proofs = proofs.groupBy("src", "src_at", "n").agg(F.collect_set("digest").alias("proofs"))
-    spans = found.join(proofs, ["src", "src_at", "n"]).groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("sub", "at", "n", "proofs")).alias("spans"))
+                    out += [(a["doc"], a["sub"], a["at"], a["n"], d) for a in asked.as_py() if (d := digest(words, a["src_at"], a["n"], width))]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc", "sub", "at", "n", "proof"])
+
+    # A window of a source is asked for by the next document that has it, in its block and beyond: at most twice, however many have it.
+    asked = found.groupBy(F.col("src").alias("k")).agg(F.collect_list(F.struct("src_at", "n", "doc", "sub", "at")).alias("asked"))
+    proofs = texts.join(asked, "k").select(*texts.columns, "asked").mapInArrow(prove, "doc bigint, sub bigint, at int, n int, proof binary")
+    spans = proofs.groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("sub", "at", "n", "proof")).alias("spans"))
     return texts.join(spans, "k", "left_outer").select(*texts.columns, "spans")
 
 
