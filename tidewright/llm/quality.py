@@ -88,9 +88,9 @@ def add_context(sums: np.ndarray, ids: np.ndarray, index: np.ndarray, reach: int
             around[:-o] += own[o:]
         skip = lo - max(0, lo - reach)
         here, around = here[skip : skip + block], around[skip : skip + block]
-        order = np.argsort(here, kind="stable")
+        order = np.argsort(here.astype(np.uint16), kind="stable")  # 16 bits are sorted by digits
         first = np.flatnonzero(np.diff(here[order], prepend=-1))
-        sums[here[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+        sums[here[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
 
 
 def context_vectors(docs: DataFrame, text_col: str, seed: int, slices: int = 64) -> np.ndarray:
@@ -135,6 +135,15 @@ def word_vectors(context: np.ndarray, seed: int) -> np.ndarray:
     return np.concatenate((v, v * v), axis=1).astype(np.float32)
 
 
+def counted(owner: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (owner, bucket), in order, as one number each, and how often they are there; owners come in order."""
+    order = np.argsort(own.astype(np.uint16), kind="stable")
+    order = order[np.argsort(owner[order].astype(np.uint16) if owner[-1] < 1 << 16 else owner[order], kind="stable")]
+    key = owner[order] * BUCKETS + own[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.diff(np.append(first, len(key)))
+
+
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """The documents' vectors: mean and spread of words and of shapes, length and how much each repeats itself."""
     out = np.zeros((len(texts), 4 * WIDTH + 4), np.float32)
@@ -146,7 +155,7 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(n)
     for k in (0, 1):
         own = np.concatenate([ids[k] for ids in both])
-        key, counts = np.unique(owner * BUCKETS + own, return_counts=True)
+        key, counts = counted(owner, own)
         of = key // BUCKETS
         first = np.flatnonzero(np.diff(of, prepend=-1))
         both_sums = np.zeros((len(full), 2 * WIDTH), np.float64)

@@ -257,7 +257,7 @@ def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], widt
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc", "sub", "at", "n", "proof"])
 
-    # A window of a source is asked for by the next document that has it, in its block and beyond: at most twice, however many have it.
+    # A place of a source is asked for by the next documents that have its window, in its block and beyond: two, however many have it.
     asked = found.groupBy(F.col("src").alias("k")).agg(F.collect_list(F.struct("src_at", "n", "doc", "sub", "at")).alias("asked"))
     proofs = texts.join(asked, "k").select(*texts.columns, "asked").mapInArrow(prove, "doc bigint, sub bigint, at int, n int, proof binary")
     spans = proofs.groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("sub", "at", "n", "proof")).alias("spans"))
