@@ -12,29 +12,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 LONGEST = 64  # letters of a word that is remembered
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset a session that runs in this process alone
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset a session that runs in this process alone
     takes a temporary one; on a cluster, whose executors would not see it, it has to be set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="spark-ckpt-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the folder that the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, bool]]:
+    """Each batch with the rows at which ``column`` takes another value, and whether its first row goes on with the value before."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = batch.column(column)
+        starts = np.concatenate(([0], 1 + np.flatnonzero(pc.not_equal(of.slice(1), of.slice(0, len(of) - 1)).to_numpy(zero_copy_only=False))))
+        yield batch, starts, last is not None and last == of[0].as_py()
+        last = of[len(of) - 1].as_py()
+
+
+def ranked(df: DataFrame, by: str, order: list[str], out: str = "idx") -> DataFrame:
+    """``df`` with the place of each row, from 0, among the rows of equal ``by`` (not null) in ascending ``order``, nulls first.
+
+    Rows are dealt by ranges of (``by``, ``order``), so one value of ``by`` may hold any share of them; equal rows are dealt
+    by their place in the input, which has to be a table or a checkpoint.  A task numbers its own rows; only the counts of
+    the first and the last value of each partition are summed on the driver, which is as many as there are partitions.
+    """
+    laid = df.withColumn("_at", F.monotonically_increasing_id())
+    laid = laid.repartitionByRange(by, *order, "_at").sortWithinPartitions(by, *order, "_at").drop("_at")
+    laid = checkpointed(laid.withColumn("_part", F.spark_partition_id()))
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n_last = None, 0
+        for batch, starts, goes_on in runs(batches, 0):
+            if part is None:
+                part, first = batch.column(1)[:1], batch.column(0)[:1]
+            n_last = (n_last if goes_on and len(starts) == 1 else 0) + batch.num_rows - int(starts[-1])
+            last = batch.column(0)[-1:]
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([part, first, last, pa.array([n_last], pa.int64())], names=["part", "first", "last", "n_last"])
+
+    kind = df.schema[by].dataType.simpleString()
+    base, last, so_far = {}, None, 0
+    for e in sorted(laid.select(by, "_part").mapInArrow(edges, f"part int, first {kind}, last {kind}, n_last long").collect()):
+        base[e.part] = so_far if last is not None and e.first == last else 0
+        so_far = e.n_last + (base[e.part] if e.first == e.last else 0)
+        last = e.last
+    at, part = laid.columns.index(by), laid.columns.index("_part")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
+        for batch, starts, goes_on in runs(batches, at):
+            if done is None:
+                done, goes_on = base[batch.column(part)[0].as_py()], True
+            lengths = np.diff(np.append(starts, batch.num_rows))
+            place = np.arange(batch.num_rows) - np.repeat(starts, lengths)
+            if goes_on:
+                place[: lengths[0]] += done
+            done = int(place[-1]) + 1
+            columns = [c for i, c in enumerate(batch.columns) if i != part]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place, pa.int64())], names=[*(n for i, n in enumerate(batch.schema.names) if i != part), out])
+
+    return laid.mapInArrow(number, StructType([f for f in laid.schema.fields if f.name != "_part"]).add(out, LongType()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, byte_bpe, decontaminate, html_text, license_scan, ngram_join, quality, substring_dedup, toxicity, url_filter
-from tidewright.llm.common import table
+from tidewright.llm import ann, byte_bpe, decontaminate, html_text, license_scan, merkle, ngram_join, prefix_trie, quality, substring_dedup, token_files, toxicity, url_filter
+from tidewright.llm.common import shared_folder, table
 
 
 def rank_file(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -145,6 +146,101 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), toxicity.CUT)
 
 
+def crc32(of: str) -> str:
+    """SQL for the unsigned CRC-32 of an integer's decimal digits, bit by bit."""
+    bits = f"flatten(list_transform(string_split(cast({of} as varchar), ''), lambda ch: [cast(ascii(ch) as bigint), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({bits}, lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1)), cast(4294967295 as bigint)), cast(4294967295 as bigint))"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that are tampered with have their text's A-Z in lower case."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"text": text})
+
+
+ENCODED = "coalesce(strlen({0}) || ':' || {0}, '-')"
+ORACLE_OP11 = f"""
+with recursive d as (
+  select doc_id, lang, {" || ".join(ENCODED.format(f"cast({c} as varchar)") for c in ("doc_id", "source", "lang", "n_chars"))} as head, text,
+    case when {crc32("doc_id")} % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as claimed
+  from documents),
+leaf as (
+  select doc_id, lang, sha256(head || {ENCODED.format("text")}) as digest, sha256(head || {ENCODED.format("claimed")}) as other,
+    row_number() over (partition by lang order by doc_id nulls first) - 1 as idx, count(*) over (partition by lang) as n
+  from d),
+low(lang, level, idx, digest, n) as (
+  select lang, 0, idx, digest, n from leaf
+  union all
+  select lang, level + 1, idx // 8, sha256(string_agg(digest, '' order by idx)), (any_value(n) + 7) // 8 from low where n > 1 group by lang, level, idx // 8),
+sub as (select lang, digest, row_number() over (order by lang nulls first) - 1 as idx, count(*) over () as n from low where n = 1),
+high(level, idx, digest, n) as (
+  select 0, idx, digest, n from sub
+  union all
+  select level + 1, idx // 8, sha256(string_agg(digest, '' order by idx)), (any_value(n) + 7) // 8 from high where n > 1 group by level, idx // 8),
+root as (select digest as root from high where n = 1),
+run as (
+  select 0 as part, lang, level, idx // 8 as run, list(digest order by idx) as ds from low where n > 1 group by lang, level, idx // 8
+  union all
+  select 1, null, level, idx // 8, list(digest order by idx) from high where n > 1 group by level, idx // 8),
+last as (select 0 as part, lang, max(level) as levels from low group by lang),
+fold(doc_id, leaf, lang, part, level, idx, top, digest, proof) as (
+  select l.doc_id, l.digest, l.lang, 0, 0, l.idx, s.idx, other, '' from leaf l join sub s on l.lang is not distinct from s.lang
+  union all
+  select f.doc_id, f.leaf, f.lang, case when t.levels is not null then 1 else f.part end, case when t.levels is not null then 0 else f.level + 1 end,
+    case when t.levels is not null then f.top else f.idx // 8 end, f.top,
+    case when t.levels is not null then f.digest else sha256(array_to_string(r.ds[1:f.idx % 8], '') || f.digest || array_to_string(r.ds[f.idx % 8 + 2:], '')) end,
+    case when t.levels is not null then f.proof else f.proof || array_to_string(r.ds[1:f.idx % 8], '') || array_to_string(r.ds[f.idx % 8 + 2:], '') end
+  from fold f left join last t on f.part = 0 and f.lang is not distinct from t.lang and f.level = t.levels
+    left join run r on t.levels is null and r.part = f.part and r.level = f.level and r.run = f.idx // 8 and (f.part = 1 or r.lang is not distinct from f.lang)
+  where t.levels is not null or r.ds is not null)
+select doc_id, leaf, s.digest as subroot, root, sha256(proof) as proof_sha256, f.digest as folded_root, f.digest = root as verified
+from fold f join sub s on f.lang is not distinct from s.lang cross join root
+where f.part = 1 and f.level = (select max(level) from high)
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c begins with the first turns of conversation c - c % 5, as many as the CRC-32 of c modulo 9."""
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    return prefix_trie.trie(prefix_trie.rebuilt(turns, c - c % 5, F.crc32(c.cast("string")) % 9, 8))
+
+
+ORACLE_OP12 = f"""
+with o as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos
+  from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as base, {crc32("conv_id")} % 9 as h from (select distinct conv_id from o)),
+r as (
+  select c.conv_id, o.pos, 0 as own, o.role, o.text from c join o on o.conv_id = c.base and o.pos <= c.h
+  union all
+  select c.conv_id, o.pos, 1, o.role, o.text from c join o on o.conv_id = c.conv_id and o.pos > c.h),
+t as (
+  select conv_id, 0 as d, '' as step, 0 as bytes from c
+  union all
+  select conv_id, row_number() over (partition by conv_id order by own, pos), sha256(strlen(role) || ':' || role || text), strlen(text) from r),
+p as (select conv_id, d, bytes, sha256(string_agg(step, '' ) over (partition by conv_id order by d)) as node from t),
+l as (select *, lag(node) over (partition by conv_id order by d) as parent, lead(node) over (partition by conv_id order by d) is null as ends from p),
+n as (
+  select node, d, min(conv_id) as conv_id, any_value(parent) as parent, count(*) as n_convs, any_value(bytes) as bytes,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from l group by node, d),
+k as (select parent as node, d - 1 as d, count(*) as n_children from n where parent is not null group by parent, d),
+m as (select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * bytes as saved, case when n_children is null then 1 else 0 end as leaf from n left join k using (node, d)),
+s as (select p.node, p.d, sum(m.saved) as saved_tokens, sum(m.leaf) as n_leaves from m join p on p.conv_id = m.conv_id and p.d <= m.d group by p.node, p.d)
+select m.conv_id, cast(m.d as bigint) as depth, q.conv_id as parent_conv_id, m.n_convs, m.n_children, cast(s.n_leaves as bigint) as n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, m.ends_sha256
+from m join s using (node, d) left join m q on q.node = m.parent and q.d = m.d - 1
+"""
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.encode(table(spark, sf_dir, "documents"), folder, rank_file("word_bpe_49k.json"))
+    return token_files.rows_of(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_text": op2_html_text,
@@ -156,5 +252,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_files": op13_token_files,
 }
-ORACLES: dict[str, str] = {"op5_url_filter": ORACLE_OP5, "op8_substring_dedup": ORACLE_OP8, "op9_ngram_join": ORACLE_OP9}
+ORACLES: dict[str, str] = {"op5_url_filter": ORACLE_OP5, "op8_substring_dedup": ORACLE_OP8, "op9_ngram_join": ORACLE_OP9, "op11_merkle_manifest": ORACLE_OP11, "op12_prefix_trie": ORACLE_OP12}
