@@ -86,6 +86,28 @@ def _m32_stationary(sigma: np.ndarray, rho: np.ndarray) -> np.ndarray:
     return out
 
 
+def _m32_dstep(sigma: np.ndarray, rho: np.ndarray, dt: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """d/dsigma and d/drho of (transition, process noise), through d/dlambda with lambda = sqrt(3) / rho."""
+    lam = math.sqrt(3) / rho
+    u, turn = 2 * lam * dt, -lam / rho
+    square = lambda a, b, c, d: np.stack([np.stack([a, b], -1), np.stack([c, d], -1)], -2)
+    df = np.exp(-lam * dt)[..., None, None] * square(-lam * dt**2, np.full_like(lam, -(dt**2)), -2 * lam * dt + lam**2 * dt**2, -2 * dt + lam * dt**2)
+    e = np.exp(-np.minimum(u, 700.0))
+    g1, g2 = _noise_terms(u)
+    d1, d2 = e * u * u / 2, e * (2 - 2 * u + u * u / 2)
+    cross = 2 * lam**3 * dt**2 * e
+    dcross = 2 * lam**2 * dt**2 * e * (3 - u)
+    q, dq = square(g1, cross, cross, lam**2 * g2), square(2 * dt * d1, dcross, dcross, 2 * lam * g2 + 2 * dt * lam**2 * d2)
+    return [np.zeros_like(df), df * turn[..., None, None]], [2 * sigma[..., None, None] * q, (sigma**2 * turn)[..., None, None] * dq]
+
+
+def _m32_dstationary(sigma: np.ndarray, rho: np.ndarray) -> list[np.ndarray]:
+    by_sigma, by_rho = np.zeros((*np.shape(sigma), 2, 2)), np.zeros((*np.shape(sigma), 2, 2))
+    by_sigma[..., 0, 0], by_sigma[..., 1, 1] = 2 * sigma, 6 * sigma / rho**2
+    by_rho[..., 1, 1] = -6 * sigma**2 / rho**3
+    return [by_sigma, by_rho]
+
+
 def _white_acvf(lag: Column, sigma: Column | float) -> Column:
     s = F.lit(sigma) if not isinstance(sigma, Column) else sigma
     return F.when(lag == 0, s * s).otherwise(0.0)
@@ -105,7 +127,7 @@ def _m32_acvf(lag: Column, sigma: Column | float, rho: Column | float) -> Column
 FAMILIES = {
     "white": Family("white", ("sigma",), 0, _white_acvf, covariance=lambda lag, s: np.where(lag == 0, s * s, 0.0)),
     "matern12": Family("matern12", ("sigma", "rho"), 1, _ou_acvf, _ou_step, lambda s, r: (s**2)[..., None, None], lambda lag, s, r: s * s * np.exp(-np.abs(lag) / r), _ou_dstep, _ou_dstationary, analytic=("ml",)),
-    "matern32": Family("matern32", ("sigma", "rho"), 2, _m32_acvf, _m32_step, _m32_stationary, lambda lag, s, r: s * s * (1 + np.abs(lag) * math.sqrt(3) / r) * np.exp(-np.abs(lag) * math.sqrt(3) / r)),
+    "matern32": Family("matern32", ("sigma", "rho"), 2, _m32_acvf, _m32_step, _m32_stationary, lambda lag, s, r: s * s * (1 + np.abs(lag) * math.sqrt(3) / r) * np.exp(-np.abs(lag) * math.sqrt(3) / r), _m32_dstep, _m32_dstationary),
 }
 
 

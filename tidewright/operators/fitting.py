@@ -19,15 +19,16 @@ from tidewright.functions.design import SignalError, columns_of, design
 from tidewright.functions.families import FAMILIES, LIMITS, Layout
 from tidewright.functions.outcomes import CODES
 from tidewright.functions.transforms import delta_method
+from tidewright.operators import gradients, optimise
 from tidewright.operators.engines import Engine, KalmanEngine
 from tidewright.operators.gls import ILL_LOG_CONDITION, RANK_LOG_CONDITION
 
 EPS = np.finfo(float).eps
-FIRST_STEP, SECOND_STEP = EPS ** (1 / 3), EPS**0.25
+FIRST_STEP, SECOND_STEP, SLOPE_STEP = EPS ** (1 / 3), EPS**0.25, EPS ** (1 / 3)
 RANK_TOLERANCE, HESSIAN_CONDITION, GRADIENT_TOLERANCE = np.sqrt(EPS), EPS**-0.5, 5e-5
 SCHEMA = (
     "series_id bigint, m int, candidate string, loglik double, k double, n double, n_eff_bic double, n_eff_trend double, iterations int, outcome int, rung string,"
-    " beta array<double>, beta_err array<double>, theta array<double>, theta_err array<double>, theta_u array<double>, objective string, engine string"
+    " beta array<double>, beta_err array<double>, theta array<double>, theta_err array<double>, theta_u array<double>, beta_cov array<double>, theta_cov array<double>, objective string, engine string"
 )
 
 
@@ -201,9 +202,10 @@ def whitened_rank(gram: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
 class Objective:
     """Minus the profiled log-likelihood over the unconstrained free parameters, infinite where it is not OK."""
 
-    def __init__(self, y: np.ndarray, axis: Axis, model: str | tuple[str, ...] | Layout, objective: str, engine: Engine | None = None):
+    def __init__(self, y: np.ndarray, axis: Axis, model: str | tuple[str, ...] | Layout, objective: str, engine: Engine | None = None, gradient: str = "finite_difference"):
         check_design(y, axis)
         self.y, self.axis, self.layout, self.objective, self.engine = y, axis, Layout.of(model), objective, engine or KalmanEngine()
+        self.gradient = gradient
         there = np.isfinite(y)
         self.gram = np.einsum("bt,ti,tj->bij", there.astype(float), axis.x, axis.x)
         self.rank, self.condition, self.gram_logdet = design_ranks(there, axis.x)
@@ -218,14 +220,42 @@ class Objective:
         return np.where(got["outcome"] == 0, -got["loglik"], np.inf)
 
     def with_gradient(self, u: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value and gradient: derivatives through the filter, or central differences."""
+        if self.gradient == "analytic":
+            return self.with_derivatives(u, rows)
         p = u.shape[1]
         shift = np.concatenate((np.zeros((1, p)), np.eye(p) * FIRST_STEP, -np.eye(p) * FIRST_STEP))
         f = self((u[:, None, :] + shift).reshape(-1, p), np.repeat(rows, 2 * p + 1)).reshape(len(u), -1)
         with np.errstate(invalid="ignore"):
             return f[:, 0], (f[:, 1 : p + 1] - f[:, p + 1 :]) / (2 * FIRST_STEP)
 
+    def with_derivatives(self, u: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = self.full(u, rows)
+        ok = np.flatnonzero(got["outcome"] == 0)
+        f, g = np.where(got["outcome"] == 0, -got["loglik"], np.inf), np.full(u.shape, np.nan)
+        if len(ok):
+            at, x = rows[ok], self.axis.x
+            columns = [self.y[at] - got["beta"][ok] @ x.T]
+            if self.objective == "reml":  # the columns of the design, with a whitened Gram matrix of one
+                root = np.linalg.cholesky(got["cov"][ok])
+                columns += list(np.einsum("tk,bkc->cbt", x, root))
+            theta = self.layout.hydrate(self.layout.natural(u[ok]))
+            d = gradients.slopes(np.stack(columns, axis=2), self.axis, self.layout.kinds, theta)[:, self.layout.free]
+            with np.errstate(all="ignore"):
+                g[ok] = 0.5 * d * self.layout.slopes(u[ok])
+        return f, g
+
     def hessian(self, u: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        p, h = u.shape[1], SECOND_STEP
+        """Second derivatives: differences of the gradient where that is exact, else of the value."""
+        p = u.shape[1]
+        if self.gradient == "analytic":
+            e = np.eye(p) * SLOPE_STEP
+            shift = np.concatenate((e, -e))
+            _, g = self.with_derivatives((u[:, None, :] + shift).reshape(-1, p), np.repeat(rows, 2 * p))
+            g = g.reshape(len(u), 2 * p, p)
+            out = (g[:, :p] - g[:, p:]) / (2 * SLOPE_STEP)
+            return (out + out.transpose(0, 2, 1)) / 2
+        h = SECOND_STEP
         e = np.eye(p) * h
         pairs = [(i, j) for i in range(p) for j in range(i + 1)]
         shift = np.concatenate([np.stack([e[i] + e[j], e[i] - e[j], -e[i] + e[j], -e[i] - e[j]]) for i, j in pairs])
@@ -237,56 +267,17 @@ class Objective:
         return out
 
 
-def minimise(fun: Objective, u: np.ndarray, rows: np.ndarray, max_iter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(u, f, gradient, iterations, status) by quasi-Newton steps, all rows together; status 0 converged, 1 cap, 2 no step, 3 non-finite."""
-    b, p = u.shape
-    u, status, iterations = u.copy(), np.full(b, -1), np.zeros(b, int)
-    f, g = fun.with_gradient(u, rows)
-    inverse = np.broadcast_to(np.eye(p), (b, p, p)).copy()
-    status[~np.isfinite(f) | ~np.isfinite(g).all(axis=1)] = 3
-    status[(status < 0) & (np.abs(g).max(axis=1) <= 1e-5)] = 0
-    for it in range(max_iter):
-        live = np.flatnonzero(status < 0)
-        if not len(live):
-            break
-        d = -np.einsum("bij,bj->bi", inverse[live], g[live])
-        slope = (d * g[live]).sum(axis=1)
-        turn = slope >= 0
-        inverse[live[turn]], d[turn] = np.eye(p), -g[live[turn]]
-        slope = (d * g[live]).sum(axis=1)
-        size = np.linalg.norm(d, axis=1)
-        step = np.where((it == 0) | (size > 5), np.minimum(1, (1 if it == 0 else 5) / np.maximum(size, 1e-300)), 1.0)
-        todo, new_u, new_f = np.arange(len(live)), u[live].copy(), f[live].copy()
-        found = np.zeros(len(live), bool)
-        for _ in range(25):
-            trial = u[live[todo]] + step[todo][:, None] * d[todo]
-            v = fun(trial, rows[live[todo]])
-            good = v <= f[live[todo]] + 1e-4 * step[todo] * slope[todo]
-            new_u[todo[good]], new_f[todo[good]], found[todo[good]] = trial[good], v[good], True
-            todo = todo[~good]
-            if not len(todo):
-                break
-            step[todo] *= 0.5
-        status[live[~found]] = 2
-        iterations[live[found]] += 1
-        moved = live[found]
-        if not len(moved):
-            continue
-        _, new_g = fun.with_gradient(new_u[found], rows[moved])
-        s, y = new_u[found] - u[moved], new_g - g[moved]
-        sy = (s * y).sum(axis=1)
-        fit = np.flatnonzero(np.isfinite(new_g).all(axis=1) & (sy > 1e-10 * np.linalg.norm(s, axis=1) * np.linalg.norm(y, axis=1)))
-        if len(fit):
-            r, ss, yy = 1 / sy[fit], s[fit], y[fit]
-            left = np.eye(p) - r[:, None, None] * ss[:, :, None] * yy[:, None, :]
-            inverse[moved[fit]] = np.matmul(np.matmul(left, inverse[moved[fit]]), left.transpose(0, 2, 1)) + r[:, None, None] * ss[:, :, None] * ss[:, None, :]
-        drop = f[moved] - new_f[found]
-        settled = drop <= 2.22e-9 * np.maximum(np.maximum(np.abs(f[moved]), np.abs(new_f[found])), 1)
-        u[moved], f[moved], g[moved] = new_u[found], new_f[found], new_g
-        status[moved[settled | (np.abs(new_g).max(axis=1) <= 1e-5)]] = 0
-        status[moved[~np.isfinite(new_g).all(axis=1)]] = 3
-    status[status < 0] = 1
-    return u, f, g, iterations, status
+def bounds(layout: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """Limits of the free parameters as they are fitted, a little beyond those at which a fit is not believed."""
+    wide = 1e-6
+    limits = [LIMITS.get(name, (-np.inf, np.inf)) for _, name in layout.free_names]
+    ends = []
+    for side in (0, 1):
+        natural = np.array([[x[side] for x in limits]])
+        with np.errstate(all="ignore"):
+            u = layout.unconstrained(natural)[0] if limits else np.empty(0)
+        ends.append(np.where(np.isfinite(u), u + (wide if side else -wide), np.inf if side else -np.inf))
+    return ends[0], ends[1]
 
 
 def as_point(u: np.ndarray) -> np.ndarray:
@@ -333,18 +324,32 @@ def correlations(kinds: tuple[str, ...], theta: np.ndarray, lag: np.ndarray) ->
     return total / var, var
 
 
+def sum_of_variances(kinds: tuple[str, ...], theta: np.ndarray) -> np.ndarray:
+    """The variance of each row's model."""
+    return np.array([correlations(kinds, row, np.zeros(1))[1] for row in theta])
+
+
+def equal_steps(t: np.ndarray) -> bool:
+    dt = np.diff(t)
+    return len(dt) > 0 and bool(np.ptp(dt) <= 1e-9 * np.abs(dt).max())
+
+
+def pair_counts(on: np.ndarray) -> np.ndarray:
+    """How many pairs of present places there are at each distance (..., n), from the transform of the pattern."""
+    n = on.shape[-1]
+    size = 1 << (2 * n - 1).bit_length()
+    return np.rint(np.fft.irfft(np.abs(np.fft.rfft(on.astype(float), size)) ** 2, size)[..., :n])
+
+
 def squared_correlations(on: np.ndarray, t: np.ndarray, kinds: tuple[str, ...], theta: np.ndarray, block: int = 512) -> float:
     """The sum of squared correlations over all pairs of present samples.
 
-    On an axis of equal steps pairs are counted by lag, from the transform of the pattern of gaps; on any other the pairs
-    are taken in blocks, so memory is that of a block of rows.
+    On an axis of equal steps pairs are counted by lag; on any other the pairs are taken in blocks, so memory is that of a
+    block of rows.
     """
-    dt = np.diff(t)
-    if len(dt) and np.ptp(dt) <= 1e-9 * np.abs(dt).max():
-        n = len(t)
-        size = 1 << (2 * n - 1).bit_length()
-        pairs = np.rint(np.fft.irfft(np.abs(np.fft.rfft(on.astype(float), size)) ** 2, size)[:n])
-        rho, _ = correlations(kinds, theta, np.arange(n) * (t[-1] - t[0]) / (n - 1))
+    if equal_steps(t):
+        rho, _ = correlations(kinds, theta, np.arange(len(t)) * (t[-1] - t[0]) / (len(t) - 1))
+        pairs = pair_counts(on)
         return float((pairs * rho * rho).sum() * 2 - pairs[0] * rho[0] ** 2)
     at = np.flatnonzero(on)
     total = 0.0
@@ -354,6 +359,20 @@ def squared_correlations(on: np.ndarray, t: np.ndarray, kinds: tuple[str, ...],
     return total
 
 
+def all_squared_correlations(on: np.ndarray, t: np.ndarray, kinds: tuple[str, ...], theta: np.ndarray) -> np.ndarray:
+    """The same for each row; on an axis of equal steps the pairs of a pattern of gaps are counted once."""
+    if not equal_steps(t):
+        return np.array([squared_correlations(o, t, kinds, th) for o, th in zip(on, theta, strict=True)])
+    masks, of = np.unique(on, axis=0, return_inverse=True)
+    pairs = np.concatenate([pair_counts(m) for m in np.array_split(masks, max(1, len(masks) // 64))])
+    lag = np.arange(len(t)) * (t[-1] - t[0]) / (len(t) - 1)
+    out = np.empty(len(on))
+    for i, (k, th) in enumerate(zip(of.ravel(), theta, strict=True)):
+        squares = correlations(kinds, th, lag)[0] ** 2
+        out[i] = 2 * pairs[k] @ squares - pairs[k][0] * squares[0]
+    return out
+
+
 def fit_batch(y: np.ndarray, axis: Axis, model: str | tuple[str, ...] | Layout, objective: str, max_iter: int, x0: np.ndarray | None = None, engine: Engine | None = None) -> dict[str, np.ndarray]:
     """Fits of all rows of ``y`` (series by time, NaN for gaps).
 
@@ -362,7 +381,8 @@ def fit_batch(y: np.ndarray, axis: Axis, model: str | tuple[str, ...] | Layout,
     layout = Layout.of(model)
     b, k = len(y), axis.x.shape[1]
     p = len(layout.free)
-    fun = Objective(y, axis, layout, objective, engine)
+    exact = engine is None or isinstance(engine, KalmanEngine)
+    fun = Objective(y, axis, layout, objective, engine, gradients.verified(layout, objective) if exact else "finite_difference")
     n_obs = np.isfinite(y).sum(axis=1)
     u, rung = starting_values(y, axis.t, layout)
     if x0 is not None:
@@ -371,49 +391,53 @@ def fit_batch(y: np.ndarray, axis: Axis, model: str | tuple[str, ...] | Layout,
         warm = np.isfinite(x0).all(axis=1)
         u, rung = np.where(warm[:, None], x0, u), np.where(warm, 3, rung)
     outcome = np.select([n_obs == 0, fun.rank < k], [CODES["INSUFFICIENT_DATA"], CODES["RANK_DEFICIENT_X"]], CODES["OK"])
-    iterations = np.zeros(b, int)
+    iterations, curvature = np.zeros(b, int), np.full((b, p, p), np.nan)
     rows = np.flatnonzero(outcome == 0)
     if len(rows) and not p:
         outcome[rows] = fun.full(u[rows], rows)["outcome"]
     elif len(rows):
-        got, f, g, its, status = minimise(fun, u[rows], rows, max_iter)
-        u[rows], iterations[rows] = got, its
+        found = optimise.minimise(fun.with_gradient, u[rows], rows, *bounds(layout), max_iter)
+        got, f, g, status = found.u, found.f, found.g, found.status
+        u[rows], iterations[rows] = got, found.iterations
         cause = fun.full(got, rows)["outcome"]
         theta = layout.natural(got)
-        bounds = [LIMITS.get(name, (-np.inf, np.inf)) for _, name in layout.free_names]
-        limit = np.any([(theta[:, j] <= lo) | (theta[:, j] >= hi) for j, (lo, hi) in enumerate(bounds)], axis=0)
+        limits = [LIMITS.get(name, (-np.inf, np.inf)) for _, name in layout.free_names]
+        limit = np.any([(theta[:, j] <= lo) | (theta[:, j] >= hi) for j, (lo, hi) in enumerate(limits)], axis=0)
         small = np.linalg.norm(np.nan_to_num(g, nan=np.inf), axis=1) < GRADIENT_TOLERANCE * np.maximum(np.abs(f), 1)
-        hessian = fun.hessian(got, rows)
-        sound = np.isfinite(hessian).all(axis=(1, 2))
-        condition = np.full(len(rows), np.inf)
-        condition[sound] = np.linalg.cond(hessian[sound])
-        outcome[rows] = np.select(
-            [~np.isfinite(f), limit, status == 2, (status == 1) & small, status == 1, status == 3, ~(condition <= HESSIAN_CONDITION)],
-            [np.where(cause > 0, cause, CODES["NONFINITE_OBJECTIVE"]), CODES["DIAGNOSTIC_LIMIT"], CODES["TRUST_RADIUS_COLLAPSED"], CODES["ITER_CAP_SMALL_GRAD"], CODES["ITER_CAP_LARGE_GRAD"], CODES["NONFINITE_OBJECTIVE"], CODES["DEGENERATE_HESSIAN"]],
-            CODES["OK"],
-        )
+        ended = np.array([optimise.outcome_of(x) for x in status])
+        ended = np.where((status == optimise.CAP) & small, CODES["ITER_CAP_SMALL_GRAD"], ended)
+        outcome[rows] = np.select([~np.isfinite(f), limit], [np.where(cause > 0, cause, CODES["NONFINITE_OBJECTIVE"]), CODES["DIAGNOSTIC_LIMIT"]], ended)
+        # Curvature means something at an optimum only.
+        at = np.flatnonzero(outcome[rows] == 0)
+        if len(at):
+            hessian = fun.hessian(got[at], rows[at])
+            sound = np.isfinite(hessian).all(axis=(1, 2))
+            condition = np.full(len(at), np.inf)
+            condition[sound] = np.linalg.cond(hessian[sound])
+            outcome[rows[at[~(condition <= HESSIAN_CONDITION)]]] = CODES["DEGENERATE_HESSIAN"]
+            curvature[rows[at]] = hessian
     ok = np.flatnonzero(outcome == 0)
     none = lambda *shape: np.full((b, *shape), np.nan)
-    out = {"outcome": outcome, "iterations": iterations, "rung": rung, "theta_u": u, "loglik": none(), "k": none(), "n": none(), "n_eff_bic": none(), "n_eff_trend": none(), "beta": none(k), "beta_err": none(k), "theta": none(p), "theta_err": none(p)}
+    out = {"outcome": outcome, "iterations": iterations, "rung": rung, "theta_u": u, "loglik": none(), "k": none(), "n": none(), "n_eff_bic": none(), "n_eff_trend": none(), "beta": none(k), "beta_err": none(k), "theta": none(p), "theta_err": none(p), "beta_cov": none(k * (k + 1) // 2), "theta_cov": none(p * (p + 1) // 2)}
     if len(ok):
         last = fun.full(u[ok], ok)
         theta = layout.natural(u[ok])
         out["loglik"][ok], out["beta"][ok] = last["loglik"], last["beta"]
         out["beta_err"][ok] = np.sqrt(np.maximum(np.einsum("bii->bi", last["cov"]), 0))
+        out["beta_cov"][ok] = last["cov"][:, *np.tril_indices(k)]
         out["theta"][ok] = theta
         if p:
-            cov = delta_method(np.linalg.inv(fun.hessian(u[ok], ok)), layout.slopes(u[ok]))
+            cov = delta_method(np.linalg.inv(curvature[ok]), layout.slopes(u[ok]))
             out["theta_err"][ok] = np.sqrt(np.maximum(np.einsum("bii->bi", cov), 0))
+            out["theta_cov"][ok] = cov[:, *np.tril_indices(p)]
         reml = objective == "reml"
         out["k"][ok], out["n"][ok] = p + (0 if reml else fun.rank[ok]), n_obs[ok] - (fun.rank[ok] if reml else 0)
         whole = layout.hydrate(theta)
-        for row, i in enumerate(ok):
-            on = np.isfinite(y[i])
-            out["n_eff_bic"][i] = on.sum() ** 2 / squared_correlations(on, axis.t, layout.kinds, whole[row])
-            if axis.trend >= 0:
-                var = correlations(layout.kinds, whole[row], np.zeros(1))[1]
-                white = var * np.linalg.inv(fun.gram[i])[axis.trend, axis.trend]
-                out["n_eff_trend"][i] = np.clip(on.sum() * white / last["cov"][row, axis.trend, axis.trend], 1, on.sum())
+        out["n_eff_bic"][ok] = n_obs[ok] ** 2 / all_squared_correlations(np.isfinite(y[ok]), axis.t, layout.kinds, whole)
+        if axis.trend >= 0:
+            var = sum_of_variances(layout.kinds, whole)
+            white = var * np.linalg.inv(fun.gram[ok])[:, axis.trend, axis.trend]
+            out["n_eff_trend"][ok] = np.clip(n_obs[ok] * white / last["cov"][:, axis.trend, axis.trend], 1, n_obs[ok])
     return out
 
 
@@ -462,16 +486,22 @@ def k_beta(terms: list[str]) -> int:
 RUNGS = ("MOMENT", "CLIPPED", "DEFAULT", "WARM_START")
 
 
-def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "ml", max_iter: int = 200, rows_per_batch: int = 256, x0: DataFrame | None = None, engine: Engine | None = None) -> DataFrame:
+def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "ml", max_iter: int = 200, rows_per_batch: int = 256, x0: DataFrame | None = None, engine: Engine | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per series and candidate; values are NULL unless the outcome is OK.
 
+    ``beta_cov`` and ``theta_cov`` are lower triangles, row by row.  Columns named in ``carry`` go with their series.
+
     ``x0`` (series_id, candidate, theta_u) gives unconstrained starting values, such as those of a former fit; ``engine``
     evaluates the likelihood in place of the filter.  Families that the caller has registered go to the workers with them.
     """
     engine = engine or KalmanEngine()
     layouts = [Layout.of(c) for c in candidates]
     known = {k: FAMILIES[k] for one in layouts for k in one.kinds}
-    names = [x.split()[0] for x in SCHEMA.replace(", ", ",").split(",")]
+    names = [*(x.split()[0] for x in SCHEMA.replace(", ", ",").split(",")), *carry]
+    schema = ", ".join([SCHEMA, *(f"{c} {packed.schema[c].dataType.simpleString()}" for c in carry)])
+    if isinstance(engine, KalmanEngine):
+        for layout in layouts:  # derivatives that a registered family claims are checked here first
+            gradients.verified(layout, objective)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tidewright.functions import families  # the worker's own registry, not a copy of the caller's
@@ -494,14 +524,14 @@ def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "
                     lists = lambda x: pa.array([None if np.isnan(r).any() else r.tolist() for r in x], pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0), pa.array(np.full(n, m, np.int32)), pa.array([text] * n), *(number(got[c]) for c in ("loglik", "k", "n", "n_eff_bic", "n_eff_trend")), pa.array(got["iterations"].astype(np.int32)), pa.array(got["outcome"].astype(np.int32)),
-                         pa.array([RUNGS[i] for i in got["rung"]]), *(lists(got[c]) for c in ("beta", "beta_err", "theta", "theta_err", "theta_u")), pa.array([objective] * n), pa.array([engine.engine_id] * n)],
+                         pa.array([RUNGS[i] for i in got["rung"]]), *(lists(got[c]) for c in ("beta", "beta_err", "theta", "theta_err", "theta_u", "beta_cov", "theta_cov")), pa.array([objective] * n), pa.array([engine.engine_id] * n), *batch.columns[3:]],
                         names=names,
                     )
 
-    series = packed.select(F.col("series_id").cast("long").alias("series_id"), F.transform("samples", lambda s: F.struct(s["i"].cast("int").alias("i"), s["v"].alias("v"))).alias("samples"))
+    series = packed.select(F.col("series_id").cast("long").alias("series_id"), F.transform("samples", lambda s: F.struct(s["i"].cast("int").alias("i"), s["v"].alias("v"))).alias("samples"), *carry)
     if x0 is None:
         series = series.withColumn("warm", F.lit(None).cast("array<struct<candidate:string,theta_u:array<double>>>"))
     else:
         warm = x0.where("theta_u is not null").groupBy(F.col("series_id").cast("long").alias("series_id")).agg(F.collect_list(F.struct("candidate", F.col("theta_u").cast("array<double>").alias("theta_u"))).alias("warm"))
         series = series.join(warm, "series_id", "left_outer")
-    return series.mapInArrow(run, SCHEMA)
+    return series.select("series_id", "samples", "warm", *carry).mapInArrow(run, schema)
