@@ -486,7 +486,7 @@ def k_beta(terms: list[str]) -> int:
 RUNGS = ("MOMENT", "CLIPPED", "DEFAULT", "WARM_START")
 
 
-def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "ml", max_iter: int = 200, rows_per_batch: int = 256, x0: DataFrame | None = None, engine: Engine | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "ml", max_iter: int = 200, rows_per_batch: int = 1024, x0: DataFrame | None = None, engine: Engine | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per series and candidate; values are NULL unless the outcome is OK.
 
     ``beta_cov`` and ``theta_cov`` are lower triangles, row by row.  Columns named in ``carry`` go with their series.

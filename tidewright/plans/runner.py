@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import signal
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.outcomes import is_eligible, is_failure
@@ -18,7 +19,7 @@ from tidewright.operators.lint import lint
 from tidewright.operators.series import axis_of, present
 from tidewright.plans.config import Config, ConfigError, digest, spec_hash
 from tidewright.sources.inputs import InputError, geometry_of, open_long
-from tidewright.sources.store import Store, in_tiles
+from tidewright.sources.store import Packed, Store
 
 TILES_PER_COMMIT = 64
 SAMPLES = "array<struct<i:int,t:double,v:double>>"
@@ -81,11 +82,16 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def packed_places(long: DataFrame, a: DataFrame) -> DataFrame:
-    """(series_id, y, x, samples, n_rows, n_times): one shuffle packs the samples and shows times that a series has twice."""
+    """(series_id, y, x, samples, n_rows, n_times): one shuffle packs the samples and shows times that a series has twice.
+
+    A row of ``long`` is a sample or, without a value, the place of a gap alone; its place travels once.
+    """
     at = long.join(a.select("ts", "i", "t"), "ts")
-    sample = F.when(present(F.col("v")), F.struct(F.col("i").cast("int").alias("i"), "t", F.col("v").cast("double").alias("v")))
-    rows = at.groupBy("series_id", "y", "x").agg(F.array_sort(F.collect_list(sample)).cast(SAMPLES).alias("samples"), F.collect_list(F.col("i").cast("int")).alias("places"))
-    return rows.select("series_id", "y", "x", "samples", F.size("places").alias("n_rows"), F.size(F.array_distinct("places")).alias("n_times"))
+    there = present(F.col("v"))
+    sample = F.when(there, F.struct(F.col("i").cast("int").alias("i"), "t", F.col("v").cast("double").alias("v")))
+    rows = at.groupBy("series_id", "y", "x").agg(F.array_sort(F.collect_list(sample)).cast(SAMPLES).alias("samples"), F.collect_list(F.when(~there, F.col("i").cast("int"))).alias("gaps"))
+    places = F.array_distinct(F.concat(F.transform("samples", lambda s: s["i"]), "gaps"))
+    return rows.select("series_id", "y", "x", "samples", (F.size("samples") + F.size("gaps")).alias("n_rows"), F.size(places).alias("n_times"))
 
 
 def run(
@@ -94,8 +100,10 @@ def run(
 ) -> Report:
     """Fits all series of the input that the store has not, or ranks another store's fits by this run's criteria.
 
-    The input is scanned once for its times and once to pack its series; all else comes from these two.  Tiles are
-    committed some at a time, in order; between them a SIGTERM that has come stops the run, and the same run goes on.
+    The input is scanned once for its times and once to pack its series, which are written by unit: tiles in a row that
+    are committed together.  A commit reads the folder of its unit alone, so a run reads the packed series once.  Between
+    commits a SIGTERM that has come stops the run, and the same run goes on.  What each commit read and took is a row of
+    the store's table ``commits``.
     ``regressors`` (ts, and a column for each ``regressor:name``) join the time axis; ``x0`` starts fits from others.
     """
     if config.per_point_regressors:
@@ -105,59 +113,70 @@ def run(
             raise ConfigError(f"unknown engine {config.engine!r}; known: {', '.join(sorted(ENGINES))}")
         engine = ENGINES[config.engine]
     long = open_long(spark, config.data_uri, config.variable)
-    times = long.select("ts").distinct()
-    if not times.where("ts is null").isEmpty():
+    seen = Observation()
+    extent = [F.count_if(F.col("ts").isNull()).alias("timeless"), *(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("y", "x"))]
+    a = kept(axis_of(long.observe(seen, *extent).select("ts").where("ts is not null").distinct()))
+    facts = seen.get
+    if facts["timeless"]:
         raise InputError("there are samples without a time")
-    a = kept(axis_of(times))
     steps = a.agg(F.count("*").alias("n"), F.median("dt").alias("median_dt")).first()
     if steps.n < 2:
         raise InputError(f"the time axis has {steps.n} times")
-    series = kept(packed_places(long, a))
-    if twice := series.where("n_times < n_rows").select("series_id").limit(1).collect():
-        raise InputError(f"series {twice[0].series_id} has two samples at one time; times of a series increase")
-    places = series.select("series_id", "y", "x")
-    n_series = places.count()
-    if n_series > places.select("series_id").distinct().count():
-        raise InputError("a series is at two places")
+    series = packed_places(long, a)
     warnings = tuple(f.message for c in config.candidates for f in lint(c, steps.median_dt))
-    attrs = attributes(config, geometry_of(places, a.select("ts"), config.variable))
     store = Store(spark, output or config.output)
-    if reuse_fits_from:
-        source = Store(spark, reuse_fits_from)
-        source.check(attrs | {k: source.provenance()[k] for k in ("criteria", "compat_hash")})
-        store.create(attrs)
-        store.write_places(places)
-        store.reuse(source, config.criteria)
-        return Report(n_series, 0, attrs["fit_hash"], warnings, failure_rates=failure_rates(store, config))
-    if store.provenance() is None:
-        store.create(attrs)
-        store.write_places(places)
-    else:
-        store.check(attrs)
-    side = store.tile_side(config.tile_side)
-    todo = kept(store.outstanding(series, side).select("series_id", "samples", F.col("ty").cast("bigint").alias("ty"), F.col("tx").cast("bigint").alias("tx")))
-    design_axis = a if regressors is None else a.join(regressors.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "ts", "left_outer")
-    plan = None
-    fitted = n_tiles = 0
-    tiles = todo.select("ty", "tx").distinct()
-    last, stopped = None, False
-    with stop_on_sigterm() as asked:
-        while True:
-            ahead = tiles if last is None else tiles.where(F.struct("ty", "tx") > F.struct(F.lit(last[0]).cast("bigint").alias("ty"), F.lit(last[1]).cast("bigint").alias("tx")))
-            some = [(r.ty, r.tx) for r in ahead.orderBy("ty", "tx").limit(tiles_per_commit).collect()]
-            if not some:
-                break
-            if asked.received:
-                stopped = True
-                break
-            plan = plan or fitting.planned(design_axis, list(config.signal_terms))
-            now = in_tiles(todo, some)
-            fits = fitting.fit(now, plan, list(config.candidates), config.objective, config.max_iter, x0=x0, engine=engine).join(now.select("series_id", "ty", "tx"), "series_id")
-            store.write_tiles(fits, some, config.criteria)
-            fitted, n_tiles, last = fitted + now.count(), n_tiles + len(some), some[-1]
-            if on_tiles_written:
-                on_tiles_written(some)
-    return Report(n_series, fitted, attrs["fit_hash"], warnings, n_tiles, stopped, failure_rates(store, config))
+    side = config.tile_side if reuse_fits_from or store.provenance() is None else store.tile_side(config.tile_side)
+    packed = Packed(store, side, tiles_per_commit, facts)
+    try:
+        if reuse_fits_from:
+            places = kept(series.drop("samples"))
+        else:
+            packed.write(series)
+            places = packed.places()
+        if twice := places.where("n_times < n_rows").select("series_id").limit(1).collect():
+            raise InputError(f"series {twice[0].series_id} has two samples at one time; times of a series increase")
+        places = places.select("series_id", "y", "x")
+        n_series = places.count()
+        if n_series > places.select("series_id").distinct().count():
+            raise InputError("a series is at two places")
+        attrs = attributes(config, geometry_of(places, a.select("ts"), config.variable))
+        if reuse_fits_from:
+            source = Store(spark, reuse_fits_from)
+            source.check(attrs | {k: source.provenance()[k] for k in ("criteria", "compat_hash")})
+            store.create(attrs)
+            store.write_places(places)
+            store.reuse(source, config.criteria)
+            return Report(n_series, 0, attrs["fit_hash"], warnings, failure_rates=failure_rates(store, config))
+        if store.provenance() is None:
+            store.create(attrs)
+            store.write_places(places)
+        else:
+            store.check(attrs)
+        design_axis = a if regressors is None else a.join(regressors.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "ts", "left_outer")
+        tiles = kept(packed.outstanding())
+        plan = None
+        fitted = n_tiles = 0
+        stopped = False
+        with stop_on_sigterm() as asked:
+            for unit in packed.units(tiles):
+                if asked.received:
+                    stopped = True
+                    break
+                began = time.perf_counter()
+                plan = plan or fitting.planned(design_axis, list(config.signal_terms))
+                some = [(r.ty, r.tx) for r in tiles.where(F.col("unit") == unit).orderBy("ty", "tx").collect()]
+                read = Observation()
+                now = packed.read(unit, some).observe(read, F.count("*").alias("n_read"), F.sum(F.size("samples")).alias("n_samples"))
+                fits = fitting.fit(now, plan, list(config.candidates), config.objective, config.max_iter, x0=x0, engine=engine, carry=("ty", "tx"))
+                store.write_tiles(fits, some, config.criteria)
+                n = store.series_in(some)
+                store.record_commit(unit, len(some), n, read.get["n_read"], read.get["n_samples"] or 0, time.perf_counter() - began)
+                fitted, n_tiles = fitted + n, n_tiles + len(some)
+                if on_tiles_written:
+                    on_tiles_written(some)
+        return Report(n_series, fitted, attrs["fit_hash"], warnings, n_tiles, stopped, failure_rates(store, config))
+    finally:
+        packed.remove()
 
 
 def failure_rates(store: Store, config: Config) -> dict[str, float]:

@@ -7,17 +7,20 @@ lost or stopped goes on with the tiles that are not complete.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.grid import outstanding, tiled
+from tidewright.operators.linear import line_report
 from tidewright.operators.models import parameter_table
 from tidewright.operators.selection import check_invariant, points, rank, recompute
 from tidewright.sources.inputs import describe_mismatch
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 TILED = ("fits", "selection", "points")
+COMMITS = "at long, unit long, n_tiles long, n_series long, n_read long, n_samples long, seconds double"
 
 
 class ResumeError(ValueError):
@@ -30,10 +33,17 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _folder(self, name: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
     def exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        files, at = self._folder(name)
+        return files.exists(at)
+
+    def remove(self, name: str) -> None:
+        files, at = self._folder(name)
+        files.delete(at, True)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -84,10 +94,6 @@ class Store:
             raise ResumeError(f"the store has tiles of side {stored}, above the {asked} of this run; its completions describe no others")
         return stored
 
-    def outstanding(self, series: DataFrame, side: int) -> DataFrame:
-        """The series, with their tile, of tiles that are not complete."""
-        return tiled(series, side).join(outstanding(tiled(series, side).select("ty", "tx").distinct(), self.table("completion")), ["ty", "tx"])
-
     def write(self, fits: DataFrame, criteria: tuple[str, ...]) -> None:
         """Writes fits (with ty and tx), what is selected from them, and last the completion of their tiles.
 
@@ -105,6 +111,21 @@ class Store:
         overwrite(fits, "fits")
         self.finish(in_tiles(self.table("fits"), tiles), criteria, overwrite)
 
+    def series_in(self, tiles: list[tuple[int, int]]) -> int:
+        """How many series of some tiles are fitted, from their folders."""
+        return in_tiles(self.table("fits"), tiles).where("m = 0").count()
+
+    def record_commit(self, unit: int, n_tiles: int, n_series: int, n_read: int, n_samples: int, seconds: float) -> None:
+        """One more row of the table of commits, numbered on."""
+        at = self.table("commits").count() if self.exists("commits") else 0
+        row = self.spark.createDataFrame([(at, unit, n_tiles, n_series, n_read, n_samples, seconds)], COMMITS)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
+    def accumulation(self, value: str = "seconds", per: str = "n_series") -> DataFrame:
+        """Whether commits get dearer as a run goes on: a line through ``value`` over ``per`` by the number of the commit, and the later half less the earlier."""
+        rows = self.table("commits").where(F.col(per) > 0).select(F.lit(0).alias("run"), F.col("at").cast("double").alias("at"), (F.col(value) / F.col(per)).alias("cost"))
+        return line_report(rows, "run", "at", "cost").drop("run")
+
     def finish(self, stored: DataFrame, criteria: tuple[str, ...], overwrite) -> None:
         place = stored.select("series_id", "ty", "tx").distinct()
         scores = check_invariant(scores_of(stored))
@@ -121,6 +142,51 @@ class Store:
         self.write(fits, criteria)
 
 
+class Packed:
+    """Packed series below a store while a run is on, in folders by unit: ``tiles_per_commit`` tiles in row-major order.
+
+    Files are as large as a unit, however small its tiles are, and a unit is read by its folder, without a look at any other.
+    ``extent`` holds the least and largest y and x.
+    """
+
+    NAME = "packed"
+
+    def __init__(self, store: Store, side: int, tiles_per_commit: int, extent: dict):
+        self.store, self.side, self.per, self.extent = store, side, tiles_per_commit, extent
+
+    def unit(self) -> Column:
+        first, last = self.extent["min_x"] // self.side, self.extent["max_x"] // self.side
+        number = (F.col("ty") - self.extent["min_y"] // self.side) * (last - first + 1) + F.col("tx") - first
+        return F.floor(number / self.per).cast("long")
+
+    def write(self, series: DataFrame) -> None:
+        """Deals the series by unit and tile, and writes each unit's folder; a unit of many rows may have several files."""
+        placed = tiled(series, self.side).withColumns({"ty": F.col("ty").cast("long"), "tx": F.col("tx").cast("long")}).withColumn("unit", self.unit())
+        dealt = placed.repartitionByRange("unit", "ty", "tx", "series_id").sortWithinPartitions("unit", "ty", "tx")
+        dealt.write.partitionBy("unit").mode("overwrite").parquet(f"{self.store.path}/{self.NAME}")
+
+    def places(self) -> DataFrame:
+        """Everything but the samples."""
+        return self.store.table(self.NAME).drop("samples")
+
+    def outstanding(self) -> DataFrame:
+        """(unit, ty, tx) of the tiles that are not complete."""
+        return outstanding(self.places().select("unit", "ty", "tx").distinct(), self.store.table("completion"))
+
+    def units(self, tiles: DataFrame) -> Iterator[int]:
+        """The units of the tiles in order; there are as many as commits."""
+        for row in tiles.select("unit").distinct().orderBy("unit").toLocalIterator():
+            yield row.unit
+
+    def read(self, unit: int, tiles: list[tuple[int, int]]) -> DataFrame:
+        """The series of a unit's tiles."""
+        return in_tiles(self.store.spark.read.parquet(f"{self.store.path}/{self.NAME}/unit={unit}"), tiles)
+
+    def remove(self) -> None:
+        if self.store.exists(self.NAME):
+            self.store.remove(self.NAME)
+
+
 def in_tiles(df: DataFrame, tiles: list[tuple[int, int]]) -> DataFrame:
     """The rows of some tiles; the predicate is on the folders, so nothing else is read."""
     by_row: dict[int, list[int]] = {}
