@@ -82,3 +82,26 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {i: 1 for i in range(1, 31)} | {99: 99, 100: 99, 101: 99}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    """Each text keeps its own links, and the texts of an id are in one class; repeated rows change nothing."""
+    a, b = prose(11, 60), prose(12, 60)
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z")]
+    for again in ([], [(2, a + " z")] * 5 + [(1, a)] * 3):
+        got = {(r.doc_id, r.class_id, r.copy_of, r.n_links) for r in j.similar(docs(spark, rows + again)).collect()}
+        assert got == {(1, 1, 1, 2), (2, 1, 2, 1), (3, 1, 3, 1)}
+    assert j.similar(docs(spark, rows + [(2, a + " z")])).where("doc_id = 2").count() == 2
+    mixed = [(9, a), (9, None), (9, ""), (4, a), (4, "one"), (5, "one"), (-6, "one")]
+    got = {(r.doc_id, r.class_id, r.copy_of, r.n_links) for r in j.similar(docs(spark, mixed)).collect()}
+    # 4 has two texts: one that 9 has too, and one that 5 and -6 have
+    assert got == {(9, -6, 4, 1), (4, -6, -6, 3), (5, -6, -6, 2), (-6, -6, -6, 2)}
+
+
+def test_nodes_ascend_by_their_least_id(spark):
+    from pyspark.sql import functions as F
+
+    ids = [-(1 << 63), -5, -1, 0, 1, 7, (1 << 63) - 1]
+    df = spark.createDataFrame([(i, bytes([9 - k] * 16)) for k, i in enumerate(ids)], "i long, d binary")
+    got = df.select("i", j.node_of(F.col("i"), F.col("d")).alias("n")).withColumn("back", j.least_id(F.col("n"))).orderBy("n").collect()
+    assert [r.i for r in got] == [r.back for r in got] == ids and all(len(r.n) == 24 for r in got)

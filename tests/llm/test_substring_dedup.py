@@ -154,3 +154,18 @@ def test_texts_are_shuffled_once(spark):
     out = s.dedup(df)
     out.collect()
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_with_two_texts_under_one_id(spark):
+    """A passage that goes from one text of a source to another, at the same places of both, goes whole."""
+    w = [f"w{i}" for i in range(40)]
+    filler = [f"f{i}" for i in range(12)]
+    a, b, d = " ".join(w[:25]), " ".join(filler + w[12:]), " ".join(w)
+    for first, second in ((1, 1), (1, 2)):
+        got = {(r.doc_id, r.n_words): r.n_removed for r in s.dedup(docs(spark, [(first, a), (second, b), (5, d)])).collect()}
+        assert got[5, 40] == 40 and got[first, 25] == 0
+    # both texts of an id have a window, in one block and apart
+    rows = [(1, " ".join(w[:20])), (1, " ".join(w[5:30])), (3, " ".join(w[:30] + filler)), (4, " ".join(filler + w))]
+    for parts in (1, 4):
+        got = {(r.doc_id, r.n_words): r.n_removed for r in s.dedup(docs(spark, rows).repartition(parts)).collect()}
+        assert got == {(1, 20): 0, (1, 25): 0, (3, 42): 30, (4, 52): 30}

@@ -109,20 +109,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], most_chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of the first two columns in runs of about ``most_chars`` characters; a null text counts as empty."""
+def chunks(batches: Iterator[pa.RecordBatch], most_chars: int = 1 << 20, third: bool = False) -> Iterator[tuple[list, ...]]:
+    """(ids, texts) of the first two columns, and the third if asked, in runs of about ``most_chars`` characters; a null text counts as empty."""
     for batch in batches:
-        ids, texts, n = [], [], 0
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids, texts, more, n = [], [], [], 0
+        given = lambda: (ids, texts, more) if third else (ids, texts)
+        for i, t, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist() if third else batch.column(0), strict=True):
             t = t.as_py() or ""
             ids.append(i)
             texts.append(t)
+            if third:
+                more.append(x)
             n += len(t) + 64
             if n >= most_chars:
-                yield ids, texts
-                ids, texts, n = [], [], 0
+                yield given()
+                ids, texts, more, n = [], [], [], 0
         if ids:
-            yield ids, texts
+            yield given()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -8,8 +8,9 @@ blocks.  Links are
 counted, not returned one by one: a row per document says which class it is in and how many documents it is linked to.
 
 Defined results: a text of fewer than ``n`` words has one n-gram, all its words; a null or empty text has none, is linked
-to nothing and is a class of its own; copies are linked to each other; rows that share an id are taken for one document
-and return one row each; rows with a null id are left out; of equal ids or sets the smallest id leads; a text of any length is
+to nothing and is a class of its own; copies are linked to each other; rows that share an id are one document, of as many
+texts as they have different n-gram sets: each row returns what holds for the document, its links are those of all its
+texts to all other texts, and its texts are in one class; rows with a null id are left out; of equal ids or sets the smallest id leads; a text of any length is
 compared whole; further columns, also of the same names, are ignored; an empty table gives an empty result.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import WordHashes, checkpointed, chunks, mix, rolled
@@ -46,14 +47,14 @@ def shingles(text: str, hashes: WordHashes, n: int) -> np.ndarray:
 
 
 def features(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(doc, set, chars, bands): a digest of the n-gram set (null: none) and the band hashes of its MinHash signature."""
+    """(doc, key, set, chars, bands): a digest of the n-gram set (null: none) and the band hashes of its MinHash signature."""
     import xxhash
 
     hashes = WordHashes()
     rng = np.random.default_rng(20240607)
     a, b = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, bands * rows, np.uint64)
     salt = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for ids, texts in chunks(batches):
+    for ids, texts, keys in chunks(batches, third=True):
         sets, out = [], []
         for t in texts:
             s = shingles(t, hashes, n)
@@ -61,7 +62,7 @@ def features(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -
                 sets.append(None)
                 out.append(None)
                 continue
-            sets.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
+            sets.append(xxhash.xxh3_128_digest(s.tobytes()))
             least = np.full(bands * rows, np.uint64(0xFFFFFFFFFFFFFFFF))
             for i in range(0, len(s), 1024):
                 np.minimum(least, ((s[i : i + 1024, None] * a + b) >> np.uint64(16)).min(axis=0), out=least)
@@ -69,7 +70,7 @@ def features(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -
             for column in least.reshape(bands, rows).T:
                 h = mix(h ^ column)
             out.append(h.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.string()), pa.array([len(t) for t in texts], pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["doc", "set", "chars", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), pa.array([len(t) for t in texts], pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["doc", "key", "set", "chars", "bands"])
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -111,9 +112,9 @@ def roots(adjacent: np.ndarray) -> np.ndarray:
 
 def compared(table: pa.Table, n: int, threshold: float) -> pa.Table:
     """For the nodes of one component, or of two of its blocks: their links and the least node each is connected to here."""
-    ids = table.column("rep").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids, block, many = ids[order], table.column("block").to_numpy()[order], table.column("many").to_numpy()[order]
+    names = table.column("node").to_pylist()
+    order = sorted({name: i for i, name in enumerate(names)}.values(), key=names.__getitem__)
+    ids, block, many = np.array([names[i] for i in order], object), table.column("block").to_numpy()[order], table.column("many").to_numpy()[order]
     texts, hashes = table.column("text").take(pa.array(order)), WordHashes()
     sets = [shingles(t.as_py() or "", hashes, n) for t in texts]
     p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
@@ -127,39 +128,68 @@ def compared(table: pa.Table, n: int, threshold: float) -> pa.Table:
             near |= near.T
     links = near @ many
     keep = links > 0
-    return pa.table({"rep": ids[keep], "root": ids[roots(near)][keep], "links": links[keep].astype(np.int64)})
+    return pa.table({"node": pa.array(ids[keep].tolist(), pa.binary()), "root": pa.array(ids[roots(near)][keep].tolist(), pa.binary()), "links": links[keep].astype(np.int64)})
+
+
+def node_of(rep: Column, digest: Column) -> Column:
+    """A set as 24 bytes that ascend by its least id, then by its digest."""
+    return F.unhex(F.concat(F.lpad(F.hex(rep.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.hex(digest)))
+
+
+def least_id(node: Column) -> Column:
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(id, class_id, copy_of, n_links): the least id connected by links, the least id with the same n-grams, and how many
-    documents have a similarity of ``threshold`` or more with this one."""
+    texts of documents have a similarity of ``threshold`` or more with this one's."""
     bands, rows = banding(threshold, recall)
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
-    feats = checkpointed(docs.mapInArrow(lambda b: features(b, n, bands, rows), "doc bigint, set string, chars int, bands array<bigint>"))
-    nodes = checkpointed(feats.where("set is not null").groupBy("set").agg(F.min("doc").alias("rep"), F.count("*").alias("many")))  # so that Spark can split the joins of a set with many copies
-    first = feats.join(nodes.select("set", F.col("rep").alias("doc")), ["set", "doc"]).dropDuplicates(["set", "doc"])
-    rows_ = first.select(F.col("doc").alias("rep"), F.explode("bands").alias("band"))
-    buckets = rows_.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
-    ties = rows_.join(buckets, "band").where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key")).where(F.col("doc").isNotNull())
+    feats = checkpointed(docs.mapInArrow(lambda b: features(b, n, bands, rows), "doc bigint, key bigint, set binary, chars int, bands array<bigint>"))
+    # A set is a node, known by its least document and the text that this one has it from.
+    of_doc = checkpointed(feats.groupBy("set", "doc").agg(F.min(F.struct("key", "chars")).alias("one")))
+    nodes = of_doc.where("set is not null").groupBy("set").agg(F.min(F.struct("doc", "one.key", "one.chars")).alias("first"), F.count("*").alias("many"))
+    nodes = checkpointed(nodes.select("set", "many", "first.*", node_of(F.col("first.doc"), F.col("set")).alias("node")))  # so that Spark can split the joins of a set with many copies
+    first = feats.select("set", "doc", "key", "bands").join(nodes.select("set", "doc", "key", "node"), ["set", "doc", "key"]).dropDuplicates(["node"])
+    rows_ = first.select("node", F.explode("bands").alias("band"))
+    buckets = rows_.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
+    ties = rows_.join(buckets, "band").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     coarse = components(ties)
     # Blocks are bounded in texts and, but for one long text alone, in characters.
-    sized = coarse.join(first.select(F.col("doc").alias("node"), "set", "chars"), "node")
+    sized = coarse.join(nodes, "node")
     size = sized.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.col("chars").cast("long")) / BLOCK_CHARS)).cast("int").alias("blocks"))
     size = size.withColumn("blocks", F.greatest("blocks", F.lit(1)))
     member = sized.join(size, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = checkpointed(member.join(nodes.select("set", "many"), "set").select("node", "label", "blocks", "block", "many"))
-    texts = docs.join(member.withColumnRenamed("node", "doc"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select(F.col("doc").alias("rep"), "text", "many", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "blocks")
-    links = checkpointed(texts.groupBy("label", "p", "q").applyInArrow(lambda t: compared(t, n, threshold), "rep bigint, root bigint, links bigint"))
-    split = member.where("blocks > 1").select(F.col("node").alias("rep"))
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    if not split.isEmpty():  # what several tasks found of a large component is connected once more
-        whole = components(links.join(split, "rep", "left_semi").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-        counts = counts.join(whole.withColumnRenamed("node", "rep"), "rep", "left_outer").withColumn("root", F.least("root", "label")).drop("label")
+    member = checkpointed(member.select("node", "doc", "key", "label", "blocks", "block", "many"))
+    texts = docs.join(member, ["doc", "key"])
+    if not feats.groupBy("doc", "key").count().where("count > 1").isEmpty():  # rows that are there many times are compared once
+        texts = texts.groupBy("node", "label", "blocks", "block", "many").agg(F.first("text").alias("text"))
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = texts.select("node", "text", "many", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    links = checkpointed(texts.groupBy("label", "p", "q").applyInArrow(lambda t: compared(t, n, threshold), "node binary, root binary, links bigint"))
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    # What several tasks found of a large component, and the texts of one document, are connected once more.
+    split = member.where("blocks > 1").select("node")
+    sets_of = of_doc.groupBy("doc").agg(F.count("*").alias("sets")).where("sets > 1")
+    several = not sets_of.isEmpty()
+    edges = links.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if several:
+        sets_of = checkpointed(sets_of)
+        texts_of = checkpointed(of_doc.where("set is not null").join(sets_of.select("doc"), "doc").join(nodes.select("set", "node"), "set").select("doc", "set", "node"))
+        least = texts_of.groupBy("doc").agg(F.min("node").alias("v"))
+        edges = edges.union(texts_of.join(least, "doc").select(F.col("node").alias("u"), "v"))
+    elif not split.isEmpty():
+        edges = links.join(split, "node", "left_semi").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    else:
+        edges = None
+    of_set = nodes.select("set", "node", "many", F.col("doc").alias("rep")).join(counts, "node", "left_outer")
+    if edges is not None:
+        of_set = of_set.join(components(edges), "node", "left_outer").withColumn("root", F.least("root", "label"))
     # What is known of a set is put together first, so the documents are joined once, on the set, and a set with many copies can be split.
-    of_set = checkpointed(nodes.join(counts, "rep", "left_outer"))
-    member_of = feats.select("doc", "set").join(of_set, "set", "left_outer")
-    return member_of.select(
-        F.col("doc").alias(id_col), F.coalesce("root", "rep", "doc").alias("class_id"), F.coalesce("rep", "doc").alias("copy_of"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("many", F.lit(1)) - 1).cast("long").alias("n_links"),
-    )
+    of_set = checkpointed(of_set.select("set", "rep", "many", least_id(F.coalesce("root", "node")).alias("class"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links")))
+    out = feats.select("doc", "set").join(of_set, "set", "left_outer")
+    if several:
+        whole = texts_of.join(of_set, "set").groupBy("doc").agg(F.min("class").alias("class"), F.min("rep").alias("rep"), F.sum("links").alias("links"))
+        alone = out.join(sets_of, "doc", "left_anti").select("doc", "class", "rep", "links")
+        out = alone.unionByName(feats.select("doc").join(checkpointed(whole), "doc"))
+    return out.select(F.col("doc").alias(id_col), F.coalesce("class", "doc").alias("class_id"), F.coalesce("rep", "doc").alias("copy_of"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))

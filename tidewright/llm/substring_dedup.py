@@ -27,6 +27,7 @@ names; a carried column with the name of a result gets a trailing underscore; an
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -34,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import WordHashes, checkpointed, chunks, mix, rolled
@@ -49,7 +50,8 @@ NONE = np.empty(0, np.uint64)
 LOW = np.uint64(0xFFFFFFFF)
 COLUMNS = ["m", "doc", "place", "windows", "src", "run"]
 STRETCH = "m bigint, doc bigint, place bigint, windows binary, src bigint, run bigint"
-SPANS = ["doc", "sub", "at", "n", "src", "src_at"]
+SPANS = ["doc", "sub", "at", "n", "src", "src_sub", "src_at"]
+RUNS = "doc bigint, sub bigint, at int, n int, src bigint, src_sub bigint, src_at int"
 RESULTS = ("n_words", "n_removed", "kept")
 
 
@@ -79,8 +81,8 @@ def minimizers(words: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np
 def stretches(batches: Iterator[pa.RecordBatch], width: int, seed: int, crowded: np.ndarray = NONE) -> Iterator[pa.RecordBatch]:
     """Rows (m, doc, place, windows, src, run): windows from word ``at`` on that share minimizer m, with a hash each.
 
-    Null windows are known to repeat: run packs how many (upper half) have their source at (src, lower half).  ``place``
-    packs the text key (upper half) and at.  A window whose minimizer is among the sorted ``crowded`` ones is a row of its
+    Null windows are known to repeat: run packs how many (upper half) have their source at (src, lower half), and m is the
+    key of the source's text.  ``place`` packs the text key (upper half) and at.  A window whose minimizer is among the sorted ``crowded`` ones is a row of its
     own, and m is a second hash of it.
     """
     hashes = WordHashes()
@@ -134,11 +136,11 @@ def block(ids: list[int], texts: list[str], hashes: WordHashes, width: int, seed
     known = source >= 0
     # A stretch ends where the document, its fate, the place of its minimizer or the line of its sources changes.
     new = np.ones(len(doc), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (known[1:] != known[:-1]) | np.where(known[1:], (source[1:] != source[:-1] + 1) | (doc[source[1:]] != doc[source[:-1]]), place[1:] != place[:-1])
+    new[1:] = (at[1:] != at[:-1] + 1) | (known[1:] != known[:-1]) | np.where(known[1:], (source[1:] != source[:-1] + 1) | (doc[source[1:]] != doc[source[:-1]]) | (sub[source[1:]] != sub[source[:-1]]), place[1:] != place[:-1])
     starts = np.flatnonzero(new)
     n = np.diff(np.append(starts, len(doc)))
     sent = ~known[starts]
-    key = np.where(sent, m[starts] >> SHIFT, doc[starts].view(np.uint64))  # what is known only passes through, dealt by document
+    key = np.where(sent, m[starts] >> SHIFT, sub[source[starts]].view(np.uint64))  # what is known only passes through, dealt by its source
     hashes_sent = window[~known].astype("<u8")
     offsets = np.concatenate(([0], np.cumsum(n * sent * WINDOW_BYTES))).astype(np.int32)
     blob = pa.Array.from_buffers(pa.binary(), len(starts), [pa.array(sent, pa.bool_()).buffers()[1], pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes_sent.tobytes())])
@@ -154,14 +156,14 @@ def halves(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (doc, sub, at, n, src, src_at) of windows that a smaller document has, from rows sorted by minimizer and document.
+    """Runs (doc, sub, at, n, src, src_sub, src_at) of windows that a smaller document has, from rows sorted by minimizer and document.
 
     What is kept from batch to batch are the distinct windows, with their last coordinates, of the one minimizer that goes on.
     """
-    last, carry = None, (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    last, carry = None, (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
 
     def rows(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=SPANS)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=SPANS)
 
     for batch in batches:
         asked = np.asarray(batch.column(3).is_valid())
@@ -170,7 +172,7 @@ def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not asked.all():
             known = batch.filter(pa.array(~asked))
             n, src_at = halves(known.column(5).to_numpy())
-            yield rows(doc[~asked], sub[~asked], at[~asked], n, known.column(4).to_numpy(), src_at)
+            yield rows(doc[~asked], sub[~asked], at[~asked], n, known.column(4).to_numpy(), m[~asked], src_at)
         if not asked.any():
             continue
         m, doc, sub, at = (c[asked] for c in (m, doc, sub, at))
@@ -178,23 +180,24 @@ def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = pc.binary_length(blobs).to_numpy() // WINDOW_BYTES
         row = np.repeat(np.arange(len(m)), n)
         within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        w, d, a = np.frombuffer(b"".join(blobs.to_pylist()), "<u8"), doc[row], at[row] + within
+        w, d, a, t = np.frombuffer(b"".join(blobs.to_pylist()), "<u8"), doc[row], at[row] + within, sub[row]
         group = np.cumsum(np.concatenate(([0], m[1:] != m[:-1])))[row]
         before = len(carry[0]) if last == m[0] else 0
         if before:
-            w, d, a, group = np.concatenate((carry[0], w)), np.concatenate((carry[1], d)), np.concatenate((carry[2], a)), np.concatenate((np.zeros(before, np.int64), group))
+            w, d, a, t = (np.concatenate(x) for x in zip(carry, (w, d, a, t), strict=True))
+            group = np.concatenate((np.zeros(before, np.int64), group))
         source = sources(mix(group.astype(np.uint64)) ^ w, d)
         hits = np.flatnonzero((np.arange(len(source)) >= before) & (source >= 0) & (d[source] < d))
         source = source[hits]
         if len(hits):
-            r, j, src, src_at = row[hits - before], within[hits - before], d[source], a[source]
+            r, j, src, src_sub, src_at = row[hits - before], within[hits - before], d[source], t[source], a[source]
             fresh = np.ones(len(hits), bool)
-            fresh[1:] = (r[1:] != r[:-1]) | (j[1:] != j[:-1] + 1) | (src[1:] != src[:-1]) | (src_at[1:] != src_at[:-1] + 1)
+            fresh[1:] = (r[1:] != r[:-1]) | (j[1:] != j[:-1] + 1) | (src[1:] != src[:-1]) | (src_sub[1:] != src_sub[:-1]) | (src_at[1:] != src_at[:-1] + 1)
             s = np.flatnonzero(fresh)
-            yield rows(doc[r[s]], sub[r[s]], at[r[s]] + j[s], np.diff(np.append(s, len(hits))), src[s], src_at[s])
+            yield rows(doc[r[s]], sub[r[s]], at[r[s]] + j[s], np.diff(np.append(s, len(hits))), src[s], src_sub[s], src_at[s])
         last, tail = m[-1], np.flatnonzero(group == group[-1])[::-1]
         tail = tail[np.unique(w[tail], return_index=True)[1]]  # of each window the last row
-        carry = (w[tail], d[tail], a[tail])
+        carry = (w[tail], d[tail], a[tail], t[tail])
 
 
 def crowded_minimizers(docs: DataFrame, width: int, seed: int) -> np.ndarray:
@@ -206,14 +209,30 @@ def crowded_minimizers(docs: DataFrame, width: int, seed: int) -> np.ndarray:
 
 
 def paths(runs: DataFrame) -> DataFrame:
-    """(doc, sub, at, n, src, src_at): runs whose places and sources go on from each other are one path."""
-    line = F.col("src_at") - F.col("at")
-    runs = runs.repartition("doc").withColumn("line", line).withColumn("to", F.col("at") + F.col("n"))
-    own = Window.partitionBy("doc", "sub", "src", "line").orderBy("at")
+    """(doc, sub, at, n, src, src_sub, src_at): runs whose places and sources go on from each other are one path.
+
+    ``src_sub`` tells the texts of a source apart; it may be left out where a source has one text.
+    """
+    texts = [c for c in ("src", "src_sub") if c in runs.columns]
+    runs = runs.repartition("doc").withColumn("line", F.col("src_at") - F.col("at")).withColumn("to", F.col("at") + F.col("n"))
+    own = Window.partitionBy("doc", "sub", *texts, "line").orderBy("at")
     branch = F.coalesce(F.max("to").over(own.rowsBetween(Window.unboundedPreceding, -1)) < F.col("at"), F.lit(True))
     runs = runs.withColumn("branch", branch.cast("int")).withColumn("path", F.sum("branch").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("doc", "sub", "src", "line", "path").agg(F.min("at").alias("at"), F.max("to").alias("to"))
-    return out.select("doc", "sub", "at", (F.col("to") - F.col("at")).alias("n"), "src", (F.col("at") + F.col("line")).alias("src_at"))
+    out = runs.groupBy("doc", "sub", *texts, "line", "path").agg(F.min("at").alias("at"), F.max("to").alias("to"))
+    return out.select("doc", "sub", "at", (F.col("to") - F.col("at")).alias("n"), *texts, (F.col("at") + F.col("line")).alias("src_at"))
+
+
+def found_paths(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """The paths of all documents (doc, text), written once; nothing of how they were found is kept."""
+    crowded = docs.sparkSession.sparkContext.broadcast(crowded_minimizers(docs, width, seed))
+    rows = docs.mapInArrow(lambda b: stretches(b, width, seed, crowded.value), STRETCH)
+    return checkpointed(paths(rows.repartition("m").sortWithinPartitions("m", "doc").mapInArrow(repeats, RUNS)))
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that no table needs any more; it does so when their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def digest(words: list[str], at: int, n: int, width: int) -> bytes | None:
@@ -237,11 +256,8 @@ def kept_words(text: str | None, spans: list, width: int) -> tuple[int, int, str
 
 def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], width: int, seed: int) -> DataFrame:
     """(k, doc, text, carried ..., spans) of every row, spans as (sub, at, n, proof)."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    crowded = docs.sparkSession.sparkContext.broadcast(crowded_minimizers(docs, width, seed))
-    rows = docs.mapInArrow(lambda b: stretches(b, width, seed, crowded.value), STRETCH)
-    runs = rows.repartition("m").sortWithinPartitions("m", "doc").mapInArrow(repeats, "doc bigint, sub bigint, at int, n int, src bigint, src_at int")
-    found = checkpointed(paths(runs))
+    found = found_paths(df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), width, seed)
+    freed(df.sparkSession)
     # Both joins with the texts read one shuffle of them, as they ask for the same columns; rows without an id are dealt by text.
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("k"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
 
@@ -252,13 +268,14 @@ def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], widt
             out = []
             for doc, text, asked in zip(batch.column(1), batch.column(2), batch.column(place), strict=True):
                 if doc.is_valid:
-                    words = WORDS.findall(text.as_py() or "")
-                    out += [(a["doc"], a["sub"], a["at"], a["n"], d) for a in asked.as_py() if (d := digest(words, a["src_at"], a["n"], width))]
+                    text = text.as_py() or ""
+                    own, words = text_key(text), WORDS.findall(text)
+                    out += [(a["doc"], a["sub"], a["at"], a["n"], d) for a in asked.as_py() if a["src_sub"] == own and (d := digest(words, a["src_at"], a["n"], width))]
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc", "sub", "at", "n", "proof"])
 
     # A place of a source is asked for by the next documents that have its window, in its block and beyond: two, however many have it.
-    asked = found.groupBy(F.col("src").alias("k")).agg(F.collect_list(F.struct("src_at", "n", "doc", "sub", "at")).alias("asked"))
+    asked = found.groupBy(F.col("src").alias("k")).agg(F.collect_list(F.struct("src_sub", "src_at", "n", "doc", "sub", "at")).alias("asked"))
     proofs = texts.join(asked, "k").select(*texts.columns, "asked").mapInArrow(prove, "doc bigint, sub bigint, at int, n int, proof binary")
     spans = proofs.groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("sub", "at", "n", "proof")).alias("spans"))
     return texts.join(spans, "k", "left_outer").select(*texts.columns, "spans")
