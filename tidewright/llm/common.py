@@ -37,10 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Spark's setting by which the shuffle files of an execution are deleted when it ends.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder that the cluster shares."""
+    """``df`` with its lineage cut by a reliable checkpoint in the folder that the cluster shares.
+
+    The shuffles behind a checkpoint are not read again, so their files go with its execution and not when the driver
+    happens to collect what refers to them.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    conf = df.sparkSession.conf
+    before = conf.get(FREES, None)
+    conf.set(FREES, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan made now takes the setting
+    finally:
+        conf.unset(FREES) if before is None else conf.set(FREES, before)
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, bool]]:
