@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewright.functions.statespace import step_of
 from tidewright.functions.transforms import Bijector, Log
 
 # Default, and the limits beyond which a fitted parameter is not believed.
@@ -141,6 +142,11 @@ def register(family: Family) -> None:
     FAMILIES[family.kind] = family
 
 
+def from_drift(kind: str, params: tuple[str, ...], dim: int, drift: Callable[..., np.ndarray], stationary: Callable[..., np.ndarray], acvf: Callable[..., Column], covariance: Callable | None = None) -> Family:
+    """A family without closed forms: ``drift`` and ``stationary`` give (…, d, d) from arrays of its parameters."""
+    return Family(kind, params, dim, acvf, step_of(drift, stationary), stationary, covariance)
+
+
 class AnalyticGradientError(ValueError):
     """A family that claims derivatives it does not have."""
 

@@ -1,7 +1,14 @@
-"""Transition matrices of any linear drift, for families without a closed form."""
+"""Families that are given by their drift: transitions for many rows at once.
+
+A family without closed forms is a drift matrix and a stationary covariance, both functions of its parameters; the
+transition of a step is the exponential of the drift, and the noise is what the stationary covariance has beyond what is carried over.
+Rows whose eigenvectors are well apart take the exponential from them, the others from a squared Taylor sum.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 # Fixed value: the condition of the eigenvectors beyond which a transition by them is not trusted.
@@ -28,17 +35,44 @@ def expm(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def transitions(drift: np.ndarray, dt: float, limit: float = EIGEN_CONDITION_LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """(exp(drift dt), whether its eigenvectors gave it) for each matrix of a stack."""
+    drift = np.asarray(drift, float)
+    flat = drift.reshape(-1, *drift.shape[-2:])
+    values, vectors = np.linalg.eig(flat)
+    with np.errstate(all="ignore"):
+        apart = np.linalg.cond(vectors) <= limit
+    out = np.empty_like(flat)
+    if apart.any():
+        v = vectors[apart]
+        out[apart] = np.linalg.solve(v.swapaxes(1, 2), (v * np.exp(values[apart] * dt)[:, None, :]).swapaxes(1, 2)).swapaxes(1, 2).real
+    if not apart.all():
+        out[~apart] = expm(flat[~apart] * dt)
+    return out.reshape(drift.shape), apart.reshape(drift.shape[:-2])
+
+
 def eigen_transition(drift: np.ndarray, dt: float, limit: float = EIGEN_CONDITION_LIMIT) -> np.ndarray:
-    values, vectors = np.linalg.eig(np.asarray(drift, float))
-    condition = np.linalg.cond(vectors)
-    if not condition <= limit:
-        raise DefectiveMatrixError(f"the eigenvectors have a condition of {condition:.3g}, above {limit:.3g}")
-    return (vectors * np.exp(values * dt) @ np.linalg.inv(vectors)).real
+    """The transitions of a stack, all of them by eigenvectors."""
+    out, apart = transitions(drift, dt, limit)
+    if not apart.all():
+        raise DefectiveMatrixError(f"{(~apart).sum()} of {apart.size} drifts have eigenvectors of a condition above {limit:.3g}")
+    return out
 
 
 def safe_transition(drift: np.ndarray, dt: float, limit: float = EIGEN_CONDITION_LIMIT) -> tuple[np.ndarray, int]:
-    """The transition, and how many times (0 or 1) the exponential had to stand in for the eigenvectors."""
-    try:
-        return eigen_transition(drift, dt, limit), 0
-    except DefectiveMatrixError:
-        return expm(np.asarray(drift, float) * dt), 1
+    """The transitions of a stack, and how many of them are not by eigenvectors."""
+    out, apart = transitions(drift, dt, limit)
+    return out, int((~apart).sum())
+
+
+def step_of(drift: Callable[..., np.ndarray], stationary: Callable[..., np.ndarray]) -> Callable[..., tuple[np.ndarray, np.ndarray]]:
+    """(parameters ..., dt) -> (transition, process noise) of a family that is given by its drift, a row for each series."""
+
+    def step(*args) -> tuple[np.ndarray, np.ndarray]:
+        *own, dt = args
+        p = stationary(*own)
+        f, _ = transitions(np.broadcast_to(drift(*own), p.shape), dt)
+        q = p - f @ p @ f.swapaxes(-1, -2)
+        return f, (q + q.swapaxes(-1, -2)) / 2
+
+    return step

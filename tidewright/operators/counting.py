@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def pair_counts(on: np.ndarray) -> np.ndarray:
+    """How many pairs of present places there are at each distance (..., n), from the transform of the pattern."""
+    n = on.shape[-1]
+    size = 1 << (2 * n - 1).bit_length()
+    return np.rint(np.fft.irfft(np.abs(np.fft.rfft(on.astype(float), size)) ** 2, size)[..., :n])
+
+
 def lag_pairs(samples: DataFrame) -> DataFrame:
     """(series_id, lag, pairs): present pairs at each index distance, the lag 0 included.
 
-    Samples of a series are packed to their places; the pairs of a lag are the places that are also there when the
-    pattern is moved by it, so a row holds the axis and one count for each lag, not the pairs.
+    The places of a series are packed, and its pairs counted from the transform of their pattern: memory is a few arrays as
+    long as the series, whatever the number of pairs.
     """
-    packed = samples.groupBy("series_id").agg(F.sort_array(F.collect_set("i")).alias("at"))
-    last = F.element_at("at", -1) - F.element_at("at", 1)
-    by_lag = packed.select("series_id", "at", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("lag"))
-    pairs = F.size(F.array_intersect("at", F.transform("at", lambda a: a + F.col("lag").cast(samples.schema["i"].dataType)))).cast("long")
-    return by_lag.select("series_id", F.col("lag").cast(samples.schema["i"].dataType).alias("lag"), pairs.alias("pairs")).where("pairs > 0")
+    kind, key = samples.schema["i"].dataType.simpleString(), samples.schema["series_id"].dataType.simpleString()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = batch.column(1)[row].values.to_numpy()
+                on = np.zeros(int(at.max() - at.min()) + 1)
+                on[at - at.min()] = 1
+                pairs = pair_counts(on).astype(np.int64)
+                lag = np.flatnonzero(pairs)
+                name = pa.repeat(batch.column(0)[row], len(lag))
+                yield pa.RecordBatch.from_arrays([name, pa.array(lag).cast(batch.schema.field(1).type.value_type), pa.array(pairs[lag])], names=["series_id", "lag", "pairs"])
+
+    packed = samples.where("i is not null").groupBy("series_id").agg(F.collect_set("i").alias("at"))
+    return packed.mapInArrow(counted, f"series_id {key}, lag {kind}, pairs bigint")
 
 
 def n_eff_regular(pairs: DataFrame, rho: Column) -> DataFrame:

@@ -41,7 +41,7 @@ class DenseEngine:
     def score(self, y: np.ndarray, axis: Axis, kinds: tuple[str, ...], theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         from tidewright.functions.families import FAMILIES
 
-        b, q = len(y), 1 + axis.x.shape[1]
+        b, q = len(y), 1 + axis.x.shape[-1]
         n, logdet, out = np.isfinite(y).sum(axis=1), np.zeros(b), np.full((b, q, q), np.nan)
         for i in range(b):
             on = np.isfinite(y[i])
@@ -53,7 +53,7 @@ class DenseEngine:
                 own = theta[i, k : k + len(f.params)]
                 k += len(f.params)
                 cov += f.covariance(lag, *own) if f.dim else np.where(same, own[0] ** 2, 0.0)
-            z = np.concatenate((y[i][on][:, None], axis.x[on]), axis=1)
+            z = np.concatenate((y[i][on][:, None], (axis.x if axis.x.ndim == 2 else axis.x[i])[on]), axis=1)
             try:
                 root = np.linalg.cholesky(cov)
             except np.linalg.LinAlgError:

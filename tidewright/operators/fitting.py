@@ -8,7 +8,7 @@ design are as long as the time axis and go to the tasks with the function.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from tidewright.functions.families import FAMILIES, LIMITS, Layout
 from tidewright.functions.outcomes import CODES
 from tidewright.functions.transforms import delta_method
 from tidewright.operators import gradients, optimise
+from tidewright.operators.counting import pair_counts
 from tidewright.operators.engines import Engine, KalmanEngine
 from tidewright.operators.gls import ILL_LOG_CONDITION, RANK_LOG_CONDITION
 
@@ -34,12 +35,23 @@ SCHEMA = (
 
 @dataclass(frozen=True)
 class Axis:
-    """Times and design of all series, and where the trend column is (-1: none)."""
+    """Times and design, and where the trend column is (-1: none).
+
+    The design is (time, column) if all series share it, or (series, time, column) if each has its own.
+    """
 
     t: np.ndarray
     x: np.ndarray
     trend: int
 
+    def of(self, rows: np.ndarray | slice) -> Axis:
+        """The axis with the designs of some series."""
+        return self if self.x.ndim == 2 else replace(self, x=self.x[rows])
+
+    def at(self, i: int) -> np.ndarray:
+        """The design at a time: a row for all series, or one for each."""
+        return self.x[i] if self.x.ndim == 2 else self.x[:, i]
+
     def groups(self) -> tuple[np.ndarray, np.ndarray]:
         """(representatives, group of each step): steps equal up to the tolerance share their matrices."""
         dt = np.diff(self.t)
@@ -57,10 +69,10 @@ def products(y: np.ndarray, axis: Axis, kinds: tuple[str, ...], theta: np.ndarra
     Rows go side by side through the filter, ``chunk`` at a time, so that what a step touches stays in the cache.
     """
     if len(y) > chunk:
-        parts = [products(y[i : i + chunk], axis, kinds, theta[i : i + chunk], chunk) for i in range(0, len(y), chunk)]
+        parts = [products(y[i : i + chunk], axis.of(slice(i, i + chunk)), kinds, theta[i : i + chunk], chunk) for i in range(0, len(y), chunk)]
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     b, steps = y.shape
-    q = 1 + axis.x.shape[1]
+    q = 1 + axis.x.shape[-1]
     r, parts, i = np.zeros(b), [], 0
     for kind in kinds:
         f = FAMILIES[kind]
@@ -75,7 +87,7 @@ def products(y: np.ndarray, axis: Axis, kinds: tuple[str, ...], theta: np.ndarra
     clean = np.where(there, y, 0.0)
     with np.errstate(all="ignore"):
         if not parts:
-            w = np.concatenate((clean[:, :, None], np.broadcast_to(axis.x, (b, steps, q - 1))), axis=2) * there[:, :, None]
+            w = np.where(there[:, :, None], np.concatenate((clean[:, :, None], np.broadcast_to(axis.x, (b, steps, q - 1))), axis=2), 0.0)
             return n, n * np.log(r), np.matmul(w.transpose(0, 2, 1), w) / r[:, None, None]
         whitened, logdet = filtered(clean.T.copy(), there.T, axis, parts, r)
     return n, logdet, np.matmul(whitened.transpose(1, 2, 0), whitened.transpose(1, 0, 2))
@@ -87,7 +99,7 @@ def filtered(y: np.ndarray, there: np.ndarray, axis: Axis, parts: list, r: np.nd
     The state is block-diagonal in the terms; each entry of its mean and covariance is an array over the rows.
     """
     steps, b = y.shape
-    q = 1 + axis.x.shape[1]
+    q = 1 + axis.x.shape[-1]
     starts = np.cumsum([0, *(f.dim for f, _ in parts)])
     d = int(starts[-1])
     of = np.repeat(np.arange(len(parts)), [f.dim for f, _ in parts])
@@ -124,7 +136,7 @@ def filtered(y: np.ndarray, there: np.ndarray, axis: Axis, parts: list, r: np.nd
         s = sum(ph[h] for h in heads) + r
         v = whitened[t]
         v[:, 0] = y[t]
-        v[:, 1:] = axis.x[t]
+        v[:, 1:] = axis.at(t)
         for h in heads:
             v -= x[h]
         weight = 1 / s
@@ -169,9 +181,11 @@ class DesignError(ValueError):
 
 def check_design(y: np.ndarray, axis: Axis) -> None:
     """Refuses series that are not as long as the axis, a design of another length, and design values that are no numbers."""
-    if y.ndim != 2 or y.shape[1] != len(axis.t) or len(axis.x) != len(axis.t):
-        raise DesignError(f"series of shape {y.shape} and a design of {len(axis.x)} rows do not fit an axis of {len(axis.t)} times")
-    used = np.isfinite(y).any(axis=0)
+    if y.ndim != 2 or y.shape[1] != len(axis.t) or axis.x.shape[-2] != len(axis.t):
+        raise DesignError(f"series of shape {y.shape} and a design of {axis.x.shape[-2]} rows do not fit an axis of {len(axis.t)} times")
+    if axis.x.ndim == 3 and len(axis.x) != len(y):
+        raise DesignError(f"{len(axis.x)} designs do not fit {len(y)} series")
+    used = np.isfinite(y) if axis.x.ndim == 3 else np.isfinite(y).any(axis=0)
     if not np.isfinite(axis.x[used]).all():
         raise DesignError("the design has values that are no numbers where there are samples")
 
@@ -179,12 +193,15 @@ def check_design(y: np.ndarray, axis: Axis) -> None:
 def design_ranks(there: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rank, condition, log determinant of the Gram matrix) of the design at the present samples, from singular values.
 
-    Each distinct pattern of gaps is decomposed once; rows that are not there are zeros, which change no singular value.
+    Of a shared design each distinct pattern of gaps is decomposed once; rows that are not there are zeros, which change
+    no singular value.
     """
-    masks, of = np.unique(there, axis=0, return_inverse=True)
-    values = np.concatenate([np.linalg.svd(np.where(m[:, :, None], x, 0.0), compute_uv=False) for m in np.array_split(masks, max(1, len(masks) // 256))])
-    if values.shape[1] < x.shape[1]:
-        values = np.pad(values, ((0, 0), (0, x.shape[1] - values.shape[1])))
+    masks, of = np.unique(there, axis=0, return_inverse=True) if x.ndim == 2 else (there, np.arange(len(there)))
+    cut = max(1, len(masks) // 256)
+    own = np.array_split(x, cut) if x.ndim == 3 else [x] * cut
+    values = np.concatenate([np.linalg.svd(np.where(m[:, :, None], d, 0.0), compute_uv=False) for m, d in zip(np.array_split(masks, cut), own, strict=True)])
+    if values.shape[1] < x.shape[-1]:
+        values = np.pad(values, ((0, 0), (0, x.shape[-1] - values.shape[1])))
     with np.errstate(divide="ignore", invalid="ignore"):
         rank = (values > RANK_TOLERANCE * values[:, :1]).sum(axis=1)
         condition = np.where(values[:, -1] > 0, values[:, 0] / values[:, -1], np.inf)
@@ -207,13 +224,17 @@ class Objective:
         self.y, self.axis, self.layout, self.objective, self.engine = y, axis, Layout.of(model), objective, engine or KalmanEngine()
         self.gradient = gradient
         there = np.isfinite(y)
-        self.gram = np.einsum("bt,ti,tj->bij", there.astype(float), axis.x, axis.x)
+        if axis.x.ndim == 2:
+            self.gram = np.einsum("bt,ti,tj->bij", there.astype(float), axis.x, axis.x)
+        else:
+            x = np.where(there[:, :, None], axis.x, 0.0)
+            self.gram = np.matmul(x.transpose(0, 2, 1), x)
         self.rank, self.condition, self.gram_logdet = design_ranks(there, axis.x)
 
     def full(self, u: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
         with np.errstate(over="ignore"):
             theta = self.layout.hydrate(self.layout.natural(u))
-            return profile(*self.engine.score(self.y[rows], self.axis, self.layout.kinds, theta), self.gram_logdet[rows], self.objective)
+            return profile(*self.engine.score(self.y[rows], self.axis.of(rows), self.layout.kinds, theta), self.gram_logdet[rows], self.objective)
 
     def __call__(self, u: np.ndarray, rows: np.ndarray) -> np.ndarray:
         got = self.full(u, rows)
@@ -234,11 +255,12 @@ class Objective:
         ok = np.flatnonzero(got["outcome"] == 0)
         f, g = np.where(got["outcome"] == 0, -got["loglik"], np.inf), np.full(u.shape, np.nan)
         if len(ok):
-            at, x = rows[ok], self.axis.x
-            columns = [self.y[at] - got["beta"][ok] @ x.T]
+            at = rows[ok]
+            x = np.broadcast_to(self.axis.of(at).x, (len(at), *self.axis.x.shape[-2:]))
+            columns = [self.y[at] - np.matmul(x, got["beta"][ok][:, :, None])[:, :, 0]]
             if self.objective == "reml":  # the columns of the design, with a whitened Gram matrix of one
                 root = np.linalg.cholesky(got["cov"][ok])
-                columns += list(np.einsum("tk,bkc->cbt", x, root))
+                columns += list(np.matmul(x, root).transpose(2, 0, 1))
             theta = self.layout.hydrate(self.layout.natural(u[ok]))
             d = gradients.slopes(np.stack(columns, axis=2), self.axis, self.layout.kinds, theta)[:, self.layout.free]
             with np.errstate(all="ignore"):
@@ -334,13 +356,6 @@ def equal_steps(t: np.ndarray) -> bool:
     return len(dt) > 0 and bool(np.ptp(dt) <= 1e-9 * np.abs(dt).max())
 
 
-def pair_counts(on: np.ndarray) -> np.ndarray:
-    """How many pairs of present places there are at each distance (..., n), from the transform of the pattern."""
-    n = on.shape[-1]
-    size = 1 << (2 * n - 1).bit_length()
-    return np.rint(np.fft.irfft(np.abs(np.fft.rfft(on.astype(float), size)) ** 2, size)[..., :n])
-
-
 def squared_correlations(on: np.ndarray, t: np.ndarray, kinds: tuple[str, ...], theta: np.ndarray, block: int = 512) -> float:
     """The sum of squared correlations over all pairs of present samples.
 
@@ -379,7 +394,7 @@ def fit_batch(y: np.ndarray, axis: Axis, model: str | tuple[str, ...] | Layout,
     ``x0`` holds unconstrained starting values, a row for each series; rows with a NaN start from their own moments.
     """
     layout = Layout.of(model)
-    b, k = len(y), axis.x.shape[1]
+    b, k = len(y), axis.x.shape[-1]
     p = len(layout.free)
     exact = engine is None or isinstance(engine, KalmanEngine)
     fun = Objective(y, axis, layout, objective, engine, gradients.verified(layout, objective) if exact else "finite_difference")
@@ -486,10 +501,12 @@ def k_beta(terms: list[str]) -> int:
 RUNGS = ("MOMENT", "CLIPPED", "DEFAULT", "WARM_START")
 
 
-def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "ml", max_iter: int = 200, rows_per_batch: int = 1024, x0: DataFrame | None = None, engine: Engine | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "ml", max_iter: int = 200, rows_per_batch: int = 1024, x0: DataFrame | None = None, engine: Engine | None = None, carry: tuple[str, ...] = (), fields: tuple[str, ...] = ()) -> DataFrame:
     """One row per series and candidate; values are NULL unless the outcome is OK.
 
     ``beta_cov`` and ``theta_cov`` are lower triangles, row by row.  Columns named in ``carry`` go with their series.
+    ``fields`` are numbers that each sample has beside its value: further design columns, which differ from series to
+    series; a sample that lacks one of them is a gap.
 
     ``x0`` (series_id, candidate, theta_u) gives unconstrained starting values, such as those of a former fit; ``engine``
     evaluates the likelihood in place of the filter.  Families that the caller has registered go to the workers with them.
@@ -514,12 +531,21 @@ def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "
                 flat = samples.flatten()
                 row = np.repeat(np.arange(n), samples.value_lengths().fill_null(0).to_numpy())
                 y = np.full((n, len(axis.t)), np.nan)
-                y[row, flat.field("i").to_numpy()] = flat.field("v").to_numpy(zero_copy_only=False)
+                at_time = flat.field("i").to_numpy()
+                y[row, at_time] = flat.field("v").to_numpy(zero_copy_only=False)
+                own = axis
+                if fields:
+                    x = np.full((n, len(axis.t), len(fields)), np.nan)
+                    for f, name in enumerate(fields):
+                        x[row, at_time, f] = flat.field(name).to_numpy(zero_copy_only=False)
+                    lacking = ~np.isfinite(x).all(axis=2)
+                    y[lacking], x[lacking] = np.nan, 0.0
+                    own = Axis(axis.t, np.concatenate((np.broadcast_to(axis.x, (n, *axis.x.shape)), x), axis=2), axis.trend)
                 warm = [dict((s["candidate"], s["theta_u"]) for s in w or []) for w in batch.column(2).to_pylist()]
                 for m, (text, layout) in enumerate(zip(candidates, layouts, strict=True)):
                     none = [np.nan] * len(layout.free)
                     start = np.array([w.get(text) or none for w in warm], float).reshape(n, -1) if any(text in w for w in warm) else None
-                    got = fit_batch(y, axis, layout, objective, max_iter, start, engine)
+                    got = fit_batch(y, own, layout, objective, max_iter, start, engine)
                     number = lambda x: pa.array(x, pa.float64(), from_pandas=True)
                     lists = lambda x: pa.array([None if np.isnan(r).any() else r.tolist() for r in x], pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays(
@@ -528,7 +554,7 @@ def fit(packed: DataFrame, axis: Axis, candidates: list[str], objective: str = "
                         names=names,
                     )
 
-    series = packed.select(F.col("series_id").cast("long").alias("series_id"), F.transform("samples", lambda s: F.struct(s["i"].cast("int").alias("i"), s["v"].alias("v"))).alias("samples"), *carry)
+    series = packed.select(F.col("series_id").cast("long").alias("series_id"), F.transform("samples", lambda s: F.struct(s["i"].cast("int").alias("i"), s["v"].alias("v"), *(s[f].cast("double").alias(f) for f in fields))).alias("samples"), *carry)
     if x0 is None:
         series = series.withColumn("warm", F.lit(None).cast("array<struct<candidate:string,theta_u:array<double>>>"))
     else:

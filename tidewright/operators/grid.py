@@ -35,6 +35,36 @@ def read_amplification(spans: DataFrame) -> DataFrame:
     return both.select("ty", "tx", "points_read", "points_used", (F.col("points_read") / F.col("points_used")).alias("amplification"))
 
 
+class CoverError(ValueError):
+    """Tiles that do not hold each place once."""
+
+
+def uncovered(tiles: DataFrame, points: DataFrame) -> DataFrame:
+    """(y, x, n_missing, n_extra): places that the tiles (y0, y1, x0, x1; ends left out) do not hold, or hold more often than they are there."""
+    rows = tiles.select(F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", "x1")
+    held = rows.select("y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
+    places = points.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    missing, extra = places.exceptAll(held), held.exceptAll(places)
+    found = missing.withColumn("missing", F.lit(1)).unionByName(extra.withColumn("missing", F.lit(0)))
+    return found.groupBy("y", "x").agg(F.sum("missing").alias("n_missing"), F.sum(1 - F.col("missing")).alias("n_extra"))
+
+
+def rectangles(points: DataFrame, side: int) -> DataFrame:
+    """(ty, tx, y0, y1, x0, x1): the tiles of a whole grid, cut at its last row and column."""
+    e = points.agg(*(f(c).cast("long").alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("y", "x"))).where("min_y is not null")
+    t = e.withColumn("ty", F.explode(F.sequence(F.floor(F.col("min_y") / side), F.floor(F.col("max_y") / side)))).withColumn("tx", F.explode(F.sequence(F.floor(F.col("min_x") / side), F.floor(F.col("max_x") / side))))
+    lo = lambda c: F.greatest(F.col(f"t{c}") * side, F.col(f"min_{c}")).cast("long").alias(f"{c}0")
+    hi = lambda c: F.least((F.col(f"t{c}") + 1) * side, F.col(f"max_{c}") + 1).cast("long").alias(f"{c}1")
+    return t.select("ty", "tx", lo("y"), hi("y"), lo("x"), hi("x"))
+
+
+def check_cover(tiles: DataFrame, points: DataFrame) -> DataFrame:
+    """The tiles, refused if a place of the grid is in none or in two of them, or if they hold a place that the grid has not."""
+    if odd := uncovered(tiles, points).orderBy("y", "x").limit(1).collect():
+        raise CoverError(f"the tiles do not hold each place once: ({odd[0].y}, {odd[0].x}) is missing {odd[0].n_missing} times and extra {odd[0].n_extra} times")
+    return tiles
+
+
 def outstanding(tiles: DataFrame, done: DataFrame) -> DataFrame:
     """Tiles without a completion row."""
     return tiles.join(done.select("ty", "tx"), ["ty", "tx"], "left_anti")

@@ -69,6 +69,21 @@ def covariance_slots(p: Column) -> Column:
     return F.when(last >= 0, F.flatten(rows)).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
 
 
+def covariance_entries(fits: DataFrame, column: str) -> DataFrame:
+    """(series_id, m, i, j, value) of the lower triangles that a column of packed covariances holds; none where it is NULL."""
+    size = F.floor((F.sqrt(F.size(column) * 8 + 1) - 1) / 2)
+    slots = F.zip_with(covariance_slots(size), F.col(column), lambda s, v: F.struct(s["i"].alias("i"), s["j"].alias("j"), v.alias("value")))
+    return fits.where(F.col(column).isNotNull()).select("series_id", "m", F.inline(slots))
+
+
+def correlations_of(entries: DataFrame) -> DataFrame:
+    """(series_id, m, i, j, correlation) below the diagonal, from covariance entries."""
+    diagonal = entries.where("i = j").select("series_id", "m", "i", "value")
+    side = lambda c: diagonal.select("series_id", "m", F.col("i").alias(c), F.col("value").alias(f"var_{c}"))
+    rows = entries.where("i > j").join(side("i"), ["series_id", "m", "i"]).join(side("j"), ["series_id", "m", "j"])
+    return rows.select("series_id", "m", "i", "j", F.try_divide(F.col("value"), F.sqrt(F.col("var_i") * F.col("var_j"))).alias("correlation"))
+
+
 def capabilities(parameters: DataFrame, engines: dict[str, dict[str, int]] | None = None) -> DataFrame:
     """(m, engine, cost): the engines that every term of a candidate has, at the greatest of its costs."""
     table = engines or ENGINES

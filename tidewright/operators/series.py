@@ -10,23 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.timeaxis import decimal_year, new_step
+from tidewright.functions.timeaxis import GREGORIAN, calendar_of, decimal_year, new_step
+from tidewright.operators.lineage import kept
 
 
 def present(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
 
 
+def calendar_in(df: DataFrame) -> str:
+    """The calendar that the metadata of ``ts`` name."""
+    return calendar_of((df.schema["ts"].metadata or {}).get("calendar", GREGORIAN))
+
+
 def axis(long: DataFrame) -> DataFrame:
     """(i, ts, t, dt) of the distinct times of all series: as long as the axis, not as the data."""
-    return axis_of(long.select("ts").where("ts is not null").distinct())
+    return axis_of(long.select("ts").where("ts is not null").distinct(), calendar_in(long))
 
 
-def axis_of(times: DataFrame) -> DataFrame:
-    """The same from the distinct times."""
-    times = times.withColumn("t", decimal_year(F.col("ts")))
-    whole = Window.orderBy("ts")
-    return times.select((F.row_number().over(whole) - 1).alias("i"), "ts", "t", (F.col("t") - F.lag("t").over(whole)).alias("dt"))
+def axis_of(times: DataFrame, calendar: str = GREGORIAN) -> DataFrame:
+    """The same from the distinct times.
+
+    Times are numbered month by month: each month is a group of its own, and only its count and last time, a row a month,
+    are summed up on the driver.  So no task sees the whole axis, and the data is scanned once for it.
+    """
+    times = kept(times.select("ts").withColumn("month", F.year("ts") * 12 + F.month("ts")))
+    months, base, before = times.groupBy("month").agg(F.count("*").alias("n"), F.max("ts").alias("last")).collect(), 0, None
+    rows = []
+    for m in sorted(months, key=lambda m: m.month):
+        rows.append((m.month, base, before))
+        base, before = base + m.n, m.last
+    earlier = times.sparkSession.createDataFrame(rows, "month int, base long, before timestamp_ntz")
+    own = Window.partitionBy("month").orderBy("ts")
+    placed = times.join(F.broadcast(earlier), "month")
+    placed = placed.select((F.col("base") + F.row_number().over(own) - 1).cast("int").alias("i"), "ts", F.coalesce(F.lag("ts").over(own), "before").alias("before"))
+    t = decimal_year(F.col("ts"), calendar)
+    return placed.select("i", "ts", t.alias("t"), (t - decimal_year(F.col("before"), calendar)).alias("dt"))
 
 
 def axis_mean(axis: DataFrame) -> DataFrame:

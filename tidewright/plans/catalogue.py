@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tidewright.functions.criteria import CRITERIA, penalty
 from tidewright.functions.design import design
 from tidewright.functions.families import LIMITS, acvf
-from tidewright.operators import counting, fitting, gls, grid, selection
+from tidewright.functions.timeaxis import YEARS, calendar_of, decimal_year, timestamp_of
+from tidewright.operators import counting, fitting, gls, grid, models, selection
 from tidewright.operators import series as ops
 from tidewright.operators.linear import line_report
 from tidewright.operators.filtering import LOG_2PI, augmented, matern32_loglik, ou_loglik, white_loglik
-from tidewright.plans.data import LONG, SQL_AXIS
+from tidewright.plans.data import LONG, SQL_AXIS, truncated
 from tidewright.sources.store import scores_of as scores_of_fits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -631,3 +632,106 @@ def q55_mixed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = F.when((s % 4 == 0) & (m == 1), "dense").when((s % 8 == 0) & (m == 2), "other").otherwise("kalman")
     marked = scores_of(spark, sf_dir).withColumn("engine", engine).withColumn("objective", F.when((s % 6 == 0) & (m == 0), "reml").otherwise("ml"))
     return selection.mixed(marked)
+
+
+# ---- covariances, correlated fits, regressors of each series, calendars and covers -------------------------------------
+
+
+@query(aug_sql("""select series_id, i, j, round(case when i = 1 and j = 1 then a_oo when i = 0 then a_cc else -a_oc end / det, 8) + 0.0::double as value, 0 as outcome
+from b cross join (values (0, 0), (1, 0), (1, 1)) as t(i, j)"""))
+def q56_fit_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed covariance of two coefficients under a correlated model, entry by entry."""
+    a, packed = standard_packed(spark, sf_dir)
+    fits = fitting.fit(packed, fitting.planned(a, ["constant", "trend"]), [f"white(sigma={TAU}) + matern12(sigma={SIGMA}, rho={RHO})"])
+    entries = models.covariance_entries(fits, "beta_cov").join(fits.select("series_id", "outcome"), "series_id")
+    return entries.select("series_id", "i", "j", (r("value", 8) + 0.0).alias("value"), "outcome")
+
+
+@query("with s as (" + LONG["nation_month"][1] + "), " + SQL_AXIS + """ select series_id, count(*) as n, round(stddev_pop(z), 4) as sigma, round(stddev_pop(z) / sqrt(2 * count(*)), 4) as sigma_err, round(var_pop(z) / (2 * count(*)), 5) as sigma_var from p group by series_id""")
+def q57_white_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of a fitted parameter, from the curvature of the likelihood; for white noise it is 2n in ln(sigma)."""
+    a, packed = standard_packed(spark, sf_dir)
+    fits = fitting.fit(packed, fitting.planned(a, ["constant"]), ["white"])
+    return fits.select("series_id", F.col("n").cast("long").alias("n"), r(F.col("theta")[0], 4).alias("sigma"), r(F.col("theta_err")[0], 4).alias("sigma_err"), r(F.col("theta_cov")[0], 5).alias("sigma_var"))
+
+
+FIXED_SIGMA, FIXED_RHO = 0.3, 0.5
+
+
+def search_sql(rounds: int = 5) -> str:
+    """The white part of a correlated model with a constant, by a grid that is refined around its best, and its error by a second difference."""
+    p0 = f"{FIXED_SIGMA * FIXED_SIGMA!r}::double"
+
+    def filtered_over(grid: str, out: str) -> str:
+        return f"""{out} as (
+  select p.series_id, k, tau, rn, {p0} / ({p0} + tau * tau) * z as xy, {p0} / ({p0} + tau * tau) as xo, {p0} - {p0} / ({p0} + tau * tau) * {p0} as pp,
+    z * z / ({p0} + tau * tau) as yy, z / ({p0} + tau * tau) as yo, 1 / ({p0} + tau * tau) as oo, ln({p0} + tau * tau) as l, 1 as n from p join {grid} g on g.series_id = p.series_id where rn = 1
+  union all
+  select series_id, k, tau, rn, my + pm / s * (z - my), mo + pm / s * (1 - mo), pm - pm / s * pm, yy + (z - my) * (z - my) / s, yo + (z - my) * (1 - mo) / s, oo + (1 - mo) * (1 - mo) / s, l + ln(s), n + 1
+  from (select *, pm + tau * tau as s from (select p.series_id, f.k, f.tau, p.rn, z, exp(-p.dt / {FIXED_RHO}) * xy as my, exp(-p.dt / {FIXED_RHO}) * xo as mo, exp(-2 * p.dt / {FIXED_RHO}) * pp + {p0} * (1 - exp(-2 * p.dt / {FIXED_RHO})) as pm, yy, yo, oo, l, n
+    from {out} f join p on p.series_id = f.series_id and p.rn = f.rn + 1))),
+{out}_l as (select series_id, k, tau, n, yo / oo as b0, -0.5 * (n * ln(2 * pi()) + l + yy - yo * yo / oo) as loglik from {out} qualify rn = max(rn) over (partition by series_id, k))"""
+
+    parts = ["g0 as (select series_id, k, 0.05::double * exp(k * ln(100.0::double) / 40) as tau from (select distinct series_id from p), unnest(range(41)) as u(k))", filtered_over("g0", "f0")]
+    for i in range(1, rounds):
+        wide = f"(ln(100.0::double) / 40 / {10 ** (i - 1)})"
+        parts.append(f"g{i} as (select series_id, k, best * exp((k - 10) / 10.0::double * {wide}) as tau from (select series_id, arg_max(tau, loglik) as best from f{i - 1}_l group by series_id), unnest(range(21)) as u(k))")
+        parts.append(filtered_over(f"g{i}", f"f{i}"))
+    parts.append(f"h as (select series_id, k, best * exp((k - 1) * 0.01::double) as tau from (select series_id, arg_max(tau, loglik) as best from f{rounds - 1}_l group by series_id), unnest(range(3)) as u(k))")
+    parts.append(filtered_over("h", "e"))
+    return f"with recursive s as ({LONG['nation_month'][1]}), {SQL_AXIS}, " + ",\n".join(parts) + """
+select series_id, cast(any_value(n) as bigint) as n, 0 as outcome, round(max(case when k = 1 then loglik end), 4) as loglik, round(max(case when k = 1 then tau end), 3) as tau, round(max(case when k = 1 then b0 end), 4) + 0.0::double as b0,
+  round(max(case when k = 1 then tau end) / sqrt((2 * max(case when k = 1 then loglik end) - max(case when k = 0 then loglik end) - max(case when k = 2 then loglik end)) / 0.0001::double), 3) as tau_err
+from e_l group by series_id"""
+
+
+@query(search_sql())
+def q58_correlated_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit of a correlated model with a free parameter: derivatives, steps, curvature and errors, against a refined grid in SQL."""
+    a, packed = standard_packed(spark, sf_dir)
+    fits = fitting.fit(packed, fitting.planned(a, ["constant"]), [f"white + matern12(sigma={FIXED_SIGMA}, rho={FIXED_RHO})"])
+    return fits.select("series_id", F.col("n").cast("long").alias("n"), "outcome", r("loglik", 4).alias("loglik"), r(F.col("theta")[0], 3).alias("tau"), (r(F.col("beta")[0], 4) + 0.0).alias("b0"), r(F.col("theta_err")[0], 3).alias("tau_err"))
+
+
+SQL_FIELD = "select cast(c_nationkey as bigint) as series_id, cast(date_trunc('month', o_orderdate) as timestamp) as ts, sum(l_quantity) / 1e3::double as w from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1, 2"
+
+
+@query("with s as (" + LONG["nation_month"][1] + "), w as (" + SQL_FIELD + "), " + SQL_AXIS + """, f as (select p.series_id, z, w from p join axis using (i) join w on w.series_id = p.series_id and w.ts = axis.ts where w is not null)
+select series_id, count(*) as n, 0 as outcome, round(regr_intercept(z, w), 5) + 0.0::double as b0, round(regr_slope(z, w), 5) + 0.0::double as b_field, round(sqrt((regr_syy(z, w) - regr_sxy(z, w) * regr_sxy(z, w) / regr_sxx(z, w)) / count(*) / regr_sxx(z, w)), 4) as b_field_err,
+  round(-0.5 * count(*) * (ln(2 * pi()) + 1 + ln((regr_syy(z, w) - regr_sxy(z, w) * regr_sxy(z, w) / regr_sxx(z, w)) / count(*))), 3) as loglik from f group by series_id""")
+def q59_field_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turnover of each nation on the quantity that its own orders hold: a design for each series."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity")
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customer, orders.o_custkey == customer.c_custkey)
+    field = rows.groupBy(F.col("c_nationkey").cast("long").alias("series_id"), truncated("o_orderdate", "month").alias("ts")).agg((F.sum("l_quantity") / 1e3).cast("double").alias("w"))
+    a, p = samples_of("nation_month", spark, sf_dir)
+    p = p.where("z is not null").join(a.select("i", "ts"), "i").join(field, ["series_id", "ts"], "left_outer")
+    packed = ops.pack(p.select("series_id", "i", "t", F.col("z").alias("v"), "w"), "w")
+    fits = fitting.fit(packed, fitting.planned(a, ["constant"]), ["white"], fields=("w",))
+    return fits.select("series_id", F.col("n").cast("long").alias("n"), "outcome", (r(F.col("beta")[0], 5) + 0.0).alias("b0"), (r(F.col("beta")[1], 5) + 0.0).alias("b_field"), r(F.col("beta_err")[1], 4).alias("b_field_err"), r("loglik", 3).alias("loglik"))
+
+
+def calendar_sql() -> str:
+    before = {"noleap": "0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334", "all_leap": "0, 31, 60, 91, 121, 152, 182, 213, 244, 274, 305, 335", "360_day": "0, 30, 60, 90, 120, 150, 180, 210, 240, 270, 300, 330"}
+    parts = [f"select '{c}' as calendar, y, m, d, case when d <= {last} then y + ([{days}][m] + d - 1) / {YEARS[c]}.0::double end as t from d" for (c, days), last in zip(before.items(), ("[31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m]", "[31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m]", "30"), strict=True)]
+    return "with d as (select distinct cast(year(o_orderdate) as integer) as y, cast(month(o_orderdate) as integer) as m, cast(day(o_orderdate) as integer) as d from orders) select calendar, y, m, d, round(t, 8) as t from (" + " union all ".join(parts) + ")"
+
+
+@query(calendar_sql())
+def q60_calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of orders as they are counted in calendars of equal years; dates that a calendar has not are NULL."""
+    c = F.col("o_orderdate")
+    dates = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.year(c).alias("y"), F.month(c).alias("m"), F.dayofmonth(c).alias("d")).distinct()
+    each_calendar = [F.struct(F.lit(n).alias("calendar"), decimal_year(timestamp_of(F.col("y"), F.col("m"), F.col("d"), n), n).alias("t")) for n in map(calendar_of, YEARS)]
+    return dates.select("y", "m", "d", F.inline(F.array(*each_calendar))).withColumn("t", r("t", 8))
+
+
+@query(SQL_GRID + """, e as (select min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from pts),
+whole as (select a.y, b.x from e, unnest(range(e.y0, e.y1 + 1)) as a(y), unnest(range(e.x0, e.x1 + 1)) as b(x))
+select whole.y, whole.x, cast(0 as bigint) as n_missing, cast(1 as bigint) as n_extra from whole left join pts using (y, x) where series_id is null""")
+def q61_exact_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of whole tiles that no user is at: what keeps the tiles from an exact cover."""
+    points = points_of(spark, sf_dir)
+    return grid.uncovered(grid.rectangles(points, 16), points)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import signal
-import tempfile
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,10 +12,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.outcomes import is_eligible, is_failure
-from tidewright.operators import fitting
+from tidewright.operators import fitting, lineage
 from tidewright.operators.engines import ENGINES, Engine
 from tidewright.operators.lint import lint
-from tidewright.operators.series import axis_of, present
+from tidewright.operators.series import axis_of, calendar_in, present
 from tidewright.plans.config import Config, ConfigError, digest, spec_hash
 from tidewright.sources.inputs import InputError, geometry_of, open_long
 from tidewright.sources.store import Packed, Store
@@ -71,14 +70,11 @@ def attributes(config: Config, geometry: dict, tile_side: int | None = None) ->
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A small table that is used several times, once computed: cut from its lineage in the folder that the cluster shares."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.partition("[")[0] == "local":
-            raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
+    """A small table that is used several times, once computed."""
+    try:
+        return lineage.kept(df)
+    except lineage.NoSharedFolder as e:
+        raise ConfigError(str(e)) from None
 
 
 def packed_places(long: DataFrame, a: DataFrame) -> DataFrame:
@@ -115,7 +111,7 @@ def run(
     long = open_long(spark, config.data_uri, config.variable)
     seen = Observation()
     extent = [F.count_if(F.col("ts").isNull()).alias("timeless"), *(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("y", "x"))]
-    a = kept(axis_of(long.observe(seen, *extent).select("ts").where("ts is not null").distinct()))
+    a = kept(axis_of(long.observe(seen, *extent).select("ts").where("ts is not null").distinct(), calendar_in(long)))
     facts = seen.get
     if facts["timeless"]:
         raise InputError("there are samples without a time")
@@ -139,7 +135,7 @@ def run(
         n_series = places.count()
         if n_series > places.select("series_id").distinct().count():
             raise InputError("a series is at two places")
-        attrs = attributes(config, geometry_of(places, a.select("ts"), config.variable))
+        attrs = attributes(config, geometry_of(places, a.select("ts"), config.variable, calendar_in(long)))
         if reuse_fits_from:
             source = Store(spark, reuse_fits_from)
             source.check(attrs | {k: source.provenance()[k] for k in ("criteria", "compat_hash")})

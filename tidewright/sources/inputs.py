@@ -9,7 +9,8 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators.series import axis, contract, distinct_steps
+from tidewright.functions.timeaxis import GREGORIAN, CalendarError, calendar_of, timestamp_of
+from tidewright.operators.series import axis, calendar_in, contract, distinct_steps
 from tidewright.plans.config import digest
 
 
@@ -64,10 +65,27 @@ def source_units(df: DataFrame, column: str) -> str | None:
     return metadata.get("encoding_units") or metadata.get("units")
 
 
+DATE = ("year", "month", "day")
+
+
 def open_long(spark: SparkSession, uri: str, variable: str) -> DataFrame:
-    """(series_id, y, x, ts, v) from a table with ``ts``, the variable, and ``y``/``x`` or ``series_id``."""
+    """(series_id, y, x, ts, v) from a table with ``ts``, the variable, and ``y``/``x`` or ``series_id``.
+
+    In place of ``ts`` there may be integers ``year``, ``month`` and ``day``, in the calendar that the metadata of ``year`` name;
+    a date that the calendar has not is a sample without a time.  The metadata of ``ts`` name the calendar.
+    """
     raw = open_raw(spark, uri)
     types = dict(raw.dtypes)
+    calendar = GREGORIAN
+    if "ts" not in types and set(DATE) <= set(types):
+        if odd := [c for c in DATE if types[c] not in ("tinyint", "smallint", "int", "bigint")]:
+            raise InputError(f"{odd[0]} is {types[odd[0]]}; dates are given in integers")
+        try:
+            calendar = calendar_of((raw.schema["year"].metadata or {}).get("calendar", GREGORIAN))
+        except CalendarError as e:
+            raise InputError(str(e)) from None
+        raw = raw.withColumn("ts", timestamp_of(*(F.col(c).cast("int") for c in DATE), calendar))
+        types = dict(raw.dtypes)
     if variable not in types or "ts" not in types:
         raise InputError(f"{uri} has no column {variable!r} or no column 'ts'; it has {', '.join(raw.columns)}")
     if not types["ts"].startswith("timestamp") and types["ts"] != "date":
@@ -79,7 +97,7 @@ def open_long(spark: SparkSession, uri: str, variable: str) -> DataFrame:
         key, place = F.col("series_id").cast("long"), [F.col("series_id").cast("int").alias("y"), F.lit(0).alias("x")]
     else:
         raise InputError(f"{uri} has neither y and x nor series_id")
-    return raw.select(key.alias("series_id"), *place, F.col("ts").cast("timestamp_ntz").alias("ts"), F.col(variable).cast("double").alias("v"))
+    return raw.select(key.alias("series_id"), *place, F.col("ts").cast("timestamp_ntz").alias("ts", metadata={"calendar": calendar}), F.col(variable).cast("double").alias("v"))
 
 
 def duplicates(long: DataFrame) -> DataFrame:
@@ -124,7 +142,7 @@ def report(spark: SparkSession, uri: str, variable: str) -> ContractReport:
     raw, long = open_raw(spark, uri), open_long(spark, uri, variable)
     facts = checked(long)
     steps = tuple(r.rep for r in distinct_steps(axis(long)).orderBy("rep").collect())
-    return ContractReport(**{k: facts[k] for k in ("n_time", "n_series", "n_present", "t_start", "t_end", "median_dt")}, unique_dt=steps, calendar="proleptic_gregorian", dtype=dict(raw.dtypes)[variable], units=source_units(raw, variable))
+    return ContractReport(**{k: facts[k] for k in ("n_time", "n_series", "n_present", "t_start", "t_end", "median_dt")}, unique_dt=steps, calendar=calendar_in(long), dtype=dict(raw.dtypes)[variable], units=source_units(raw, variable))
 
 
 #: The parts of a geometry in the order in which a difference is reported.
@@ -133,14 +151,14 @@ COMPONENTS = ("variable", "calendar", "n_series", "places", "n_time", "first", "
 
 def geometry(long: DataFrame, variable: str) -> dict:
     """Shape, axis and places of the series; values do not enter."""
-    return geometry_of(long.select("series_id", "y", "x").distinct(), long.select("ts").distinct(), variable)
+    return geometry_of(long.select("series_id", "y", "x").distinct(), long.select("ts").distinct(), variable, calendar_in(long))
 
 
-def geometry_of(places: DataFrame, times: DataFrame, variable: str) -> dict:
+def geometry_of(places: DataFrame, times: DataFrame, variable: str, calendar: str = GREGORIAN) -> dict:
     """The same from tables that are distinct already."""
     p = places.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("series_id", "y", "x"), F.lit(1 << 40))).alias("places")).first()
     t = times.agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum(F.pmod(F.xxhash64("ts"), F.lit(1 << 40))).alias("times")).first()
-    return {"variable": variable, "n_series": p.n, "places": p.places, "n_time": t.n, "first": str(t["first"]), "last": str(t["last"]), "times": t.times, "calendar": "proleptic_gregorian"}
+    return {"variable": variable, "n_series": p.n, "places": p.places, "n_time": t.n, "first": str(t["first"]), "last": str(t["last"]), "times": t.times, "calendar": calendar}
 
 
 def geometry_hash(long: DataFrame, variable: str) -> str:
