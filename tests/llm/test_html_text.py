@@ -118,3 +118,70 @@ def test_very_long_and_very_deep_pages_take_linear_time():
         return time.perf_counter() - began
 
     assert seconds(24_000) < 20 * max(seconds(3_000), 0.02)
+
+
+SAME = "The same long text of a section that differs in a letter or two, so that no cluster is apart from another. " * 3
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        # texts that hardly differ are one cluster
+        (f"<body><section><p>{SAME}a</p></section><section><p>{SAME}bb</p></section><section><p>{SAME}ccc</p></section></body>", f"{SAME}a\n\n{SAME}bb\n\n{SAME}ccc"),
+        (f"<body><div><p>{SAME}a</p></div><div><p>{SAME}bcd</p></div></body>", f"{SAME}a\n\n{SAME}bcd"),
+        (f"<article><p>{SAME}a</p></article><article><p>{SAME}bcd</p></article>", f"{SAME}a\n\n{SAME}bcd"),
+        # headings stay with what they head, short sections with the long one
+        (f"<div class=post><h1>Head</h1><div class=text-block><p>{LONG}</p></div></div><div>Imprint</div>", f"Head\n\n{LONG.strip()}"),
+        (f"<div class=post><h1>Head</h1><section><h2>One</h2><p>Short.</p></section><section><h2>Two</h2><p>{LONG}</p></section></div><div>Imprint</div>", f"Head\n\nOne\n\nShort.\n\nTwo\n\n{LONG.strip()}"),
+        # the ratio decides against an element's name
+        (f"<article><p>Teaser.</p></article><div><p>{LONG}</p><p>{LONG}</p><p>Ha.</p></div>", f"{LONG.strip()}\n\n{LONG.strip()}\n\nHa."),
+        # reader comments in articles, and under a maker's prefix
+        (f"<main><article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article></main>", LONG.strip()),
+        (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG} Yes.</p></article>", LONG.strip()),
+        (f"<article><p>{LONG}</p><div class='wpd-comment-text'>I like it. {LONG}</div></article>", LONG.strip()),
+        # a paragraph of the text is not left out for its class, and a list of references goes with its heading
+        (f"<article><p>{LONG}</p><p class='notice'>Notice that it rains.</p><p>{LONG}</p></article>", f"{LONG.strip()}\n\nNotice that it rains.\n\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><h2>References</h2><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></article>", f"{LONG.strip()}\n\nReferences\n\nOne\n\nTwo"),
+        (f"<article><p>{LONG}</p><ul><li><a href=1>Share</a><li><a href=2>Mail</a></ul></article>", LONG.strip()),
+    ],
+)
+def test_regions_by_ratio(html, want):
+    assert main_text(html) == want.replace("  ", " ")
+
+
+def test_names_with_a_prefix():
+    from tidewright.llm.html_text import names_part
+
+    assert all(names_part(x) for x in ("wpd-comment-text", "wp-comments", "dsq-comment"))
+    assert not any(names_part(x) for x in ("no-comments", "has-comments", "commented", "code-comment-parser", "my-side"))
+
+
+def test_built_pages_without_article_elements():
+    """Random texts in divs and sections, told apart from lists of links and short lines around them by their ratio alone."""
+    import random
+
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choice("river stone garden the of and window paper market".split()) for _ in range(n))
+    links = lambda: "<div><ul>" + "".join(f"<li><a href=/{i}>{say(2)}</a></li>" for i in range(r.randrange(3, 8))) + "</ul></div>"
+    for _ in range(200):
+        want = [say(3)] + [say(r.randrange(40, 120)) for _ in range(r.randrange(2, 9))]
+        inner = f"<h1>{want[0]}</h1>" + "".join(f"<p>{x}</p>" for x in want[1:])
+        shell = r.choice(["<div class=post>{}</div>", "<div><div>{}</div></div>", "<div id=content>{}</div>"]).format(inner)
+        page = "<html><body>" + "".join(links() for _ in range(r.randrange(3))) + shell + "".join(r.choice([links(), "<div>Imprint</div>", "<div>All rights</div>"]) for _ in range(r.randrange(4))) + "</body></html>"
+        assert main_text(page) == "\n\n".join(want), page
+
+
+def test_the_ratio_decides():
+    """Without its smoothing or its threshold the result of some pages is another."""
+    import numpy as np
+
+    from tidewright.llm import html_text as h
+
+    page = f"<body><div><p>{'Short text here. '}</p><p>Ha.</p></div><div><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert main_text(page) == f"{LONG.strip()}\n\n{LONG.strip()}"
+    kept, h.cut = h.cut, lambda values: float("-inf")
+    try:
+        assert "Short text" in main_text(page)
+    finally:
+        h.cut = kept
+    assert np.isneginf(h.cut(np.array([10.0, 11.0, 12.0]))) and 3 < h.cut(np.array([1.0, 2.0, 30.0, 31.0])) < 30

@@ -2,19 +2,22 @@
 
 The standard-library parser streams events.  Each block (a "line") gets its text, the number of tags seen with it, the
 length of its link text and the container it stands in.  The text-to-tag ratio of the lines is smoothed with a Gaussian,
-and a threshold between two clusters of the smoothed ratios splits the lines into high and low ones.  The content regions
-are the page's articles that hold high lines or, where it has none, the containers that do.  A region is kept whole, short
-lines and headings too; of the blocks in it only containers that are nothing but links go (inside an article, those of
-several links before its first or after its last high line).  Elements that are never part of an article are left out
+and a threshold between two clusters of the smoothed ratios, if these are apart, splits the lines into high and low ones.
+Each container weighs what its high lines hold, of those that are so by themselves and not by their neighbours, less a
+share of what its other lines do, and the heaviest one is the content
+region; an article is one region whatever it is cut into, its own low lines weigh nothing, and a section brings the
+sections beside it.  A region is kept whole, short lines and headings too, with the headings right before it; of the blocks in
+it only containers that are nothing but links go (inside an article, those of several links before its first or after
+its last high line that have no heading of their own).  Elements that are never part of an article are left out
 beforehand: by name, by role, or by a class or id that names such a part and nothing else ("cookie-notice", but not
-"side-effects").
+"side-effects"); inside an article names count on containers only, and on a nested article.
 
 Omitted end tags are implied as in HTML: a block closes an open paragraph, body content closes the head, and so on; the
 end tag of an inline element closes that element alone.
 
 Defined results: null or empty html, and pages without content, give an empty text; unclosed and cut-off markup is read
-as far as it goes; very long pages and very deep nesting take linear time; where ratios tie there is one cluster and every
-line is high; repeated rows, also of a null id, give repeated results; further columns of the input are ignored.
+as far as it goes; very long pages and very deep nesting take linear time; where the ratios of the two clusters are not a quarter apart there is one,
+and every line is high; repeated rows, also of a null id, give repeated results; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -45,15 +48,24 @@ IMPLIED = {k: (a.split(), b.split()) for k, (a, b) in IMPLIED.items()}
 # Names of page parts that are no article text, and words that go with them in compounds.
 PARTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promos promotion banner banners billboard nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations widget widgets comment comments disqus respond replies reply pagination pager copyright disclaimer skip hidden paywall".split())
 WITH_PARTS = frozenset("area bar block blocks bottom box button buttons container content copy form global group header holder inner icon icons item items label left link links list main message outer page panel placeholder post posts primary reader readers region right row secondary section site slot small sticky text thread title to top unit user users widget wrap wrapper".split())
+COMMENTS = frozenset("comment comments disqus respond replies reply".split())
+NOT_THOSE = frozenset("no has with is non without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PIECES = frozenset("section table td th ul ol dl blockquote details fieldset figure center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def names_part(names: str) -> bool:
-    """Whether a class or id among ``names`` is the name of a page part, or a compound of such a name and words that go with it."""
+def names_part(names: str, some: frozenset[str] = PARTS) -> bool:
+    """Whether a class or id among ``names`` is the name of a page part, or a compound of such a name and words that go with it.
+
+    Reader comments may have a maker's few letters in front.
+    """
     for token in names.split():
-        parts = {x.lower() for x in NAME_PARTS.findall(token)}
-        if not parts.isdisjoint(PARTS) and all(x in PARTS or x in WITH_PARTS or x.isdigit() for x in parts):
+        parts = [x.lower() for x in NAME_PARTS.findall(token)]
+        if len(parts) > 1 and len(parts[0]) <= 4 and parts[0] not in NOT_THOSE and parts[0] not in PARTS and not COMMENTS.isdisjoint(parts):
+            parts = parts[1:]
+        if not some.isdisjoint(parts) and all(x in PARTS or x in WITH_PARTS or x.isdigit() for x in parts):
             return True
     return False
 
@@ -62,8 +74,8 @@ class Line(NamedTuple):
     text: str
     tags: int
     linked: int  # characters of link text
-    article: int  # the outermost article it is in, or -1
     container: int
+    heading: bool
 
 
 class Open(NamedTuple):
@@ -74,7 +86,8 @@ class Open(NamedTuple):
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines; ``parents`` and ``links`` tell of each container what it is in and how many links it has."""
+    """Turns parser events into lines; ``parents``, ``links``, ``kinds`` and ``articles_of`` tell of each container what it is in,
+    how many links it has, its element and the outermost article around it (a container too; -1: none)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -82,15 +95,15 @@ class Lines(HTMLParser):
         self.open: list[Open | None] = []  # None: an inline element that has been closed
         self.at: dict[str, list[int]] = {}  # where in ``open`` the elements of a name are
         self.blocks: list[int] = []  # where in ``open`` the blocks are
-        self.out = self.articles = self.in_link = self.n_articles = 0
-        self.parents, self.links, self.within = [-1], [0], [0]
+        self.out = self.articles = self.in_link = self.in_heading = 0
+        self.parents, self.links, self.within, self.kinds, self.articles_of = [-1], [0], [0], [""], [-1]
         self.text: list[str] = []
         self.tags = self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.n_articles if self.articles else -1, self.within[-1]))
+            self.lines.append(Line(text, self.tags, self.linked, self.within[-1], self.in_heading > 0))
             self.tags = 0
         self.text.clear()
         self.linked = 0
@@ -105,13 +118,16 @@ class Lines(HTMLParser):
         if item.tag in BLOCKS:
             self.blocks.append(place)
         self.out += item.left_out
-        self.n_articles += item.article and not self.articles
-        self.articles += item.article
         self.in_link += item.tag == "a"
+        self.in_heading += item.tag in HEADINGS
         if item.container:
+            own = len(self.parents)
+            self.articles_of.append(self.articles_of[self.within[-1]] if self.articles else own if item.article else -1)
             self.parents.append(self.within[-1])
             self.links.append(0)
-            self.within.append(len(self.parents) - 1)
+            self.kinds.append(item.tag)
+            self.within.append(own)
+        self.articles += item.article
 
     def close_item(self, place: int) -> None:
         item = self.open[place]
@@ -124,6 +140,7 @@ class Lines(HTMLParser):
         self.out -= item.left_out
         self.articles -= item.article
         self.in_link -= item.tag == "a"
+        self.in_heading -= item.tag in HEADINGS
         if item.container:
             self.within.pop()
 
@@ -155,7 +172,12 @@ class Lines(HTMLParser):
             return
         a = dict(attrs)
         left_out = tag in NEVER or (tag == "header" and not self.articles) or "hidden" in a or a.get("aria-hidden") == "true" or (a.get("role") or "").lower() in ROLES
-        left_out = left_out or (tag not in ("html", "body", "main", "article") and names_part(f"{a.get('class') or ''} {a.get('id') or ''}"))
+        if not left_out and tag not in ("html", "body", "main"):
+            names = f"{a.get('class') or ''} {a.get('id') or ''}"
+            if tag == "article":
+                left_out = names_part(names, PARTS if self.articles else COMMENTS)
+            elif not self.articles or tag in BLOCKS - HEADINGS - {"p"}:
+                left_out = names_part(names)
         self.push(Open(tag, left_out, tag in ("article", "main") and not self.out, tag in CONTAINERS))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -192,8 +214,9 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return pad(ratios) / pad(np.ones(len(ratios)))
 
 
-def cut(values: np.ndarray) -> float:
-    """The threshold between two clusters of values (alternating means, from the extremes)."""
+def cut(values: np.ndarray, apart: float = 1.25) -> float:
+    """The threshold between two clusters of values (alternating means, from the extremes); below all where the higher
+    mean is less than ``apart`` times the lower one."""
     low, high = float(values.min()), float(values.max())
     for _ in range(50):
         t = (low + high) / 2
@@ -201,44 +224,62 @@ def cut(values: np.ndarray) -> float:
         if not len(b) or (a.mean(), b.mean()) == (low, high):
             break
         low, high = float(a.mean()), float(b.mean())
-    return (low + high) / 2
+    return (low + high) / 2 if high >= apart * low else float("-inf")
+
+
+LOW = 0.2  # what a low line takes from its container, for what a high one gives
 
 
 def chosen(p: Lines, sigma: float, link_share: float) -> np.ndarray:
-    """Which lines are in content regions and no lists of links."""
+    """Which lines are in the content region and no lists of links."""
     lines = p.lines
     size, linked = np.array([len(x.text) for x in lines]), np.array([x.linked for x in lines])
-    article, container = np.array([x.article for x in lines]), np.array([x.container for x in lines])
-    smooth = np.round(smoothed((size - linked) / np.maximum(1, [x.tags for x in lines]), sigma), 6)
-    high = (smooth >= cut(smooth)) & (linked <= link_share * size)
-    # Of each container with what is in it: text, link text, high lines and links.
-    n = len(p.parents)
-    parents, all_links = p.parents, list(p.links)
-    text, link_text, highs = (np.bincount(container, x, n).tolist() for x in (size, linked, high))
+    container, heading = np.array([x.container for x in lines]), [x.heading for x in lines]
+    ratio = (size - linked) / np.maximum(1, [x.tags for x in lines])
+    smooth = np.round(smoothed(ratio, sigma), 6)
+    threshold = cut(smooth)
+    high = (smooth >= threshold) & (linked <= link_share * size)
+    # Of each container with what is in it: text, link text, high lines, links and weight.
+    n, parents, articles, all_links = len(p.parents), p.parents, p.articles_of, list(p.links)
+    weights = np.where(high & (ratio >= threshold), size - linked, np.where(np.array(articles)[container] < 0, -LOW * size, 0.0))
+    text, link_text, highs, weight = (np.bincount(container, x, n).tolist() for x in (size, linked, high, weights))
+    depth = [0] * n
     for i in range(n - 1, 0, -1):  # a container comes after what it is in
-        for x in (text, link_text, highs, all_links):
+        for x in (text, link_text, highs, all_links, weight):
             x[parents[i]] += x[i]
+    for i in range(1, n):
+        depth[i] = depth[parents[i]] + 1
     is_list = [b > link_share * a and not h for a, b, h in zip(text, link_text, highs, strict=True)]
-    in_list = [is_list[0]] + [False] * (n - 1)
-    in_menu = [False] * n
+    in_list, in_menu = [is_list[0]] + [False] * (n - 1), [False] * n
     for i in range(1, n):
         in_list[i] = is_list[i] or in_list[parents[i]]
         in_menu[i] = (is_list[i] and all_links[i] > 1) or in_menu[parents[i]]
-    if (article >= 0).any():
-        with_content = np.unique(article[high & (article >= 0)])
-        keep = np.isin(article, with_content) if len(with_content) else article >= 0
-        for k in with_content:
-            own = np.flatnonzero(article == k)
-            ends = own[high[own]][[0, -1]]
-            outer = own[(own < ends[0]) | (own > ends[1])]
-            keep[outer] = ~np.array(in_menu)[container[outer]]
-        return keep
-    region = [False] * n
-    for c in np.unique(container[high]):
-        region[c] = True
+    best = max((i for i in range(n) if highs[i]), key=lambda i: (round(weight[i], 6), depth[i], -i), default=-1)
+    if best < 0:  # nothing is high: the articles, if there are any
+        return np.array(articles)[container] >= 0
+    whole = articles[best]
+    top = whole if whole >= 0 else best
+    # A section, or another piece of a text, brings the pieces of its kind beside it.
+    beside = whole < 0 and p.kinds[best] in PIECES
+    region = [i == top or (beside and parents[i] == parents[best] and p.kinds[i] == p.kinds[best]) for i in range(n)]
     for i in range(1, n):
         region[i] = region[i] or region[parents[i]]
-    return (np.array(region) & ~np.array(in_list))[container]
+    keep = np.array(region)[container]
+    own = np.flatnonzero(keep)
+    if whole < 0:
+        keep &= ~np.array(in_list)[container]
+        first = int(own[0])
+        while first > 0 and heading[first - 1]:
+            first -= 1
+            keep[first] = True
+        return keep
+    ends = own[high[own]][[0, -1]]
+    for i in own[(own < ends[0]) | (own > ends[1])].tolist():
+        if in_menu[container[i]]:
+            # A list goes on from line to line; it stays if a heading of the article comes right before it.
+            titled = i > own[0] and (heading[i - 1] or (keep[i - 1] and in_menu[container[i - 1]])) and bool(keep[i - 1]) and i > ends[1]
+            keep[i] = titled
+    return keep
 
 
 def main_text(html: str | None, sigma: float = 1.0, link_share: float = 0.6) -> str:
