@@ -59,3 +59,15 @@ def test_intervals_do_not_overlap_and_empty_lists(tables):
     assert all(r.valid_from < r.valid_to for r in rows) and all(isinstance(r.valid_from, datetime) for r in rows)
     assert u.evaluate(captures, entries.where("false")).where("blocked").count() == 0
     assert u.evaluate(captures.where("false"), entries).count() == 0
+
+
+def test_a_capture_of_a_far_time_costs_one_month(spark):
+    """Open intervals meet a capture of the year 9999 and one of now, and are not cut by the months between."""
+    import datetime as dt
+
+    at = dt.datetime
+    captures = spark.createDataFrame([(1, "http://a.com/x", at(2024, 1, 5)), (2, "http://a.com/x", at(9998, 12, 5)), (3, "http://a.com/x", at(2023, 1, 1)), (4, "http://a.com/x", None)], "page_id long, url string, fetched_at timestamp_ntz")
+    entries = spark.createDataFrame([("a.com", at(2024, 1, 2), "add", "deny")], "key string, at timestamp_ntz, action string, kind string")
+    df = u.evaluate(captures, entries)
+    assert {r.page_id: r.blocked for r in df.collect()} == {1: True, 2: True, 3: False, 4: False}
+    assert u.evaluate(captures.where("page_id = 4"), entries).where("not blocked").count() == 1

@@ -58,10 +58,10 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     """(id, url, fetched_at, n_active, deciding_key, deciding_kind, blocked) of each capture."""
     c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).cast("timestamp_ntz").alias("at"))
     looked_up = c.withColumn("key", F.explode_outer(keys(F.col("url")))).withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
-    # No capture lies after the last one, so open intervals end there for the cut by month.
-    last_at = F.lit(c.agg(F.max("at")).first()[0]).cast("timestamp_ntz")
-    active = intervals(entries).where(F.col("valid_from") <= last_at)
-    active = active.withColumn("m", F.explode(F.sequence(month(F.col("valid_from")), month(F.least("valid_to", last_at)))))
+    # Intervals are cut by the months that captures have, so a capture of a far time costs one month and not all before it.
+    months = sorted(r.m for r in c.where("at is not null").select(month(F.col("at")).alias("m")).distinct().collect())
+    within = F.filter(F.lit(months).cast("array<int>"), lambda m: (m >= month(F.col("valid_from"))) & (m <= month(F.col("valid_to")))) if months else F.array().cast("array<int>")
+    active = intervals(entries).withColumn("m", F.explode(within))
     active = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hit = looked_up.withColumn("m", month(F.col("at"))).join(active, ["key", "m", "salt"], "left_outer").select(
         "id", "url", "at", F.when((F.col("at") >= F.col("valid_from")) & (F.col("at") < F.col("valid_to")), F.struct(F.length("key").alias("n"), (F.col("kind") == "allow").cast("int").alias("a"), "key", "kind")).alias("hit")
