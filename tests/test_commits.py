@@ -110,3 +110,18 @@ def test_columns_go_with_their_series(spark, grid):
     packed = pack(indexed(long, a)).withColumn("note", F.concat(F.lit("n"), F.col("series_id")))
     got = fitting.fit(packed, fitting.planned(a, ["constant"]), ["white"], carry=("note",), rows_per_batch=4).collect()
     assert len(got) == 15 and all(r.note == f"n{r.series_id}" for r in got)
+
+
+def test_a_store_tells_what_made_it_and_which_candidates_differ(spark, grid, tmp_path):
+    from tidewright.sources.store import ResumeError
+
+    at = str(tmp_path / "s")
+    runner.run(spark, config(grid, candidates=["white"]), at)
+    p = Store(spark, at).provenance()
+    assert set(p["versions"]) == {"tidewright", "spark", "numpy", "pyarrow", "python", "algorithm", "registry"} and p["versions"]["spark"] == spark.version
+    assert p["created_at"].endswith("+00:00") and p["n_series"] == 15 and p["gradients"] == {"white": "analytic"} and p["families"] == {"white": {"params": ["sigma"], "states": 0}}
+    assert runner.run(spark, config(grid, candidates=["white"]), at).n_fitted == 0  # of another time, and goes on
+    store = Store(spark, at)
+    attrs = {**p, "candidates": ["x", p["candidates"][0]], "labels": ["matern12", "white"]}
+    with pytest.raises(ResumeError, match="candidate 0 was white and is matern12, candidate 1 was none and is white"):
+        store.check(attrs)

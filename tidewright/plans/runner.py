@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import platform
 import signal
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+import tidewright
+from tidewright.functions.families import FAMILIES, Layout
 from tidewright.functions.outcomes import is_eligible, is_failure
-from tidewright.operators import fitting, lineage
+from tidewright.operators import fitting, gradients, lineage
 from tidewright.operators.engines import ENGINES, Engine
 from tidewright.operators.lint import lint
 from tidewright.operators.series import axis_of, calendar_in, present
-from tidewright.plans.config import Config, ConfigError, digest, spec_hash
+from tidewright.plans.config import ALGORITHM_VERSION, REGISTRY_VERSION, Config, ConfigError, digest, spec_hash
 from tidewright.sources.inputs import InputError, geometry_of, open_long
 from tidewright.sources.store import Packed, Store
 
@@ -69,6 +75,16 @@ def attributes(config: Config, geometry: dict, tile_side: int | None = None) ->
     }
 
 
+def origin(spark: SparkSession, config: Config, n_series: int) -> dict:
+    """What made a store, and when: nothing of it decides whether a run may go on with it."""
+    versions = {"tidewright": tidewright.__version__, "spark": spark.version, "numpy": np.__version__, "pyarrow": pa.__version__, "python": platform.python_version(), "algorithm": ALGORITHM_VERSION, "registry": REGISTRY_VERSION}
+    terms = {k: {"params": list(f.params), "states": f.dim} for c in config.candidates for k in Layout.of(c).kinds if (f := FAMILIES[k])}
+    return {
+        "versions": versions, "created_at": datetime.now(UTC).isoformat(timespec="seconds"), "n_series": n_series, "variable": config.variable, "seed": config.seed, "max_iter": config.max_iter, "warm_start": config.warm_start,
+        "gradients": {c: gradients.verified(c, config.objective) for c in config.candidates} if config.engine == "kalman" else {}, "families": terms,
+    }
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A small table that is used several times, once computed."""
     try:
@@ -139,12 +155,12 @@ def run(
         if reuse_fits_from:
             source = Store(spark, reuse_fits_from)
             source.check(attrs | {k: source.provenance()[k] for k in ("criteria", "compat_hash")})
-            store.create(attrs)
+            store.create(attrs | origin(spark, config, n_series))
             store.write_places(places)
             store.reuse(source, config.criteria)
             return Report(n_series, 0, attrs["fit_hash"], warnings, failure_rates=failure_rates(store, config))
         if store.provenance() is None:
-            store.create(attrs)
+            store.create(attrs | origin(spark, config, n_series))
             store.write_places(places)
         else:
             store.check(attrs)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators.grid import outstanding, tiled
 from tidewright.operators.linear import line_report
-from tidewright.operators.models import parameter_table
+from tidewright.operators.models import parameter_table, resume_differences
 from tidewright.operators.selection import check_invariant, points, rank, recompute
 from tidewright.sources.inputs import describe_mismatch
 
@@ -84,9 +84,16 @@ class Store:
         for key in ("schema_version", "fit_hash", "candidates", "criteria", "compat_hash"):
             wanted = SCHEMA_VERSION if key == "schema_version" else attrs[key]
             if stored[key] != wanted:
-                hint = "; new criteria need no fit: reuse the stored fits" if key == "criteria" else ""
+                hint = "; new criteria need no fit: reuse the stored fits" if key == "criteria" else self.differing(attrs) if key == "candidates" else ""
                 raise ResumeError(f"{key} of the store is {stored[key]!r}, of the run {wanted!r}{hint}")
 
+    def differing(self, attrs: dict) -> str:
+        """At which places the candidates of the store and of a run differ, in words."""
+        stored = self.table("dim_model").select("m", "hash", "label")
+        asked = self.spark.createDataFrame([(m, h, c) for m, (h, c) in enumerate(zip(attrs["candidates"], attrs["labels"], strict=True))], "m int, hash string, label string")
+        odd = resume_differences(stored, asked).select("m").join(stored.select("m", F.col("label").alias("was")), "m", "left_outer").join(asked.select("m", F.col("label").alias("now")), "m", "left_outer")
+        return "; " + ", ".join(f"candidate {r.m} was {r.was or 'none'} and is {r.now or 'none'}" for r in odd.orderBy("m").collect())
+
     def tile_side(self, asked: int) -> int:
         """The side of the store's tiles, which a run may enlarge no more than it may cut them."""
         stored = self.provenance()["tile_side"]
