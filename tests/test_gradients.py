@@ -133,3 +133,20 @@ def test_bounds_lie_just_beyond_the_limits():
     lo, hi = bounds(Layout.of("matern12 + white"))
     np.testing.assert_allclose(np.exp(lo), [1e-8, 1e-6, 1e-8], rtol=1e-5)
     assert (np.exp(lo) < [1e-8, 1e-6, 1e-8]).all() and (np.exp(hi) > [1e8, 1e6, 1e8]).all()
+
+
+def test_the_filter_rests_and_moves_on_like_one_that_never_does(monkeypatch):
+    from tidewright.operators.fitting import products
+
+    a = axis(400, jump=300)
+    y = np.random.default_rng(6).normal(size=(5, 400))
+    y[2, 150] = y[1, 200:203] = y[4, 350] = np.nan
+    y[:, 220] = np.nan
+    for kinds, theta in ((("matern12", "white"), [0.5, 0.3, 0.4]), (("matern12", "matern32", "white"), [0.5, 0.2, 0.4, 0.3, 0.5])):
+        th = np.tile(theta, (5, 1)) * np.linspace(0.8, 1.2, 5)[:, None]
+        rested = products(y, a, kinds, th)
+        with monkeypatch.context() as m:
+            m.setattr(gradients, "REST", -1.0)
+            for got, want in zip(rested, products(y, a, kinds, th), strict=True):
+                np.testing.assert_allclose(got, want, rtol=1e-11, atol=1e-10)
+        assert gradients.REST > 0

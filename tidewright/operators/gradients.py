@@ -20,6 +20,8 @@ from tidewright.functions.families import FAMILIES, AnalyticGradientError, Famil
 if TYPE_CHECKING:
     from tidewright.operators.fitting import Axis
 
+#: A covariance that moves by less than this share of itself in a step has come to rest.
+REST = 1e-14
 #: Largest difference from Richardson differences, relative to the likelihood's size, that derivatives may have.
 AGREEMENT = 1e-6
 
@@ -84,10 +86,6 @@ class Tangents:
         return f, df, {ij: self.stacked([m[1] for m in made], [m[1] for m in by], *ij) for ij in self.blocks}
 
 
-#: A covariance that moves by less than this share of itself in a step has come to rest.
-REST = 1e-14
-
-
 def slopes(e: np.ndarray, axis: Axis, kinds: tuple[str, ...], theta: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """Derivatives by the natural parameters of log determinant plus the sum of the whitened squares of the columns ``e`` (rows, times, columns).
 
@@ -159,7 +157,7 @@ def slopes(e: np.ndarray, axis: Axis, kinds: tuple[str, ...], theta: np.ndarray,
                             new += q[i, j]
                         p[i, j] = new
                     if t % 8 == 0 and before is not None and whole[t]:
-                        rest = all((np.abs(p[ij] - before[ij]) <= REST * np.maximum(np.abs(p[ij]), np.abs(p[ij][0]))).all() for ij in pairs)
+                        rest = all((np.abs(p[i, j] - before[i, j]) <= REST * np.maximum(np.abs(p[i, j]), np.sqrt(p[i, i][0] * p[j, j][0]))).all() for i, j in pairs)
                     before = {ij: v.copy() for ij, v in p.items()} if t % 8 == 7 and whole[t] else None
                     kept = ()
             if not some[t]:
