@@ -145,3 +145,10 @@ def test_thresholds_against_brute_force_and_by_language():
     m = toxicity.Model(rows)
     assert len(m.thresholds) == len(toxicity.LANGUAGES) and np.isfinite(m.thresholds).all()
     assert (m.scores([f"{t} bad" for t in words.values()]) >= 0.7).all() and (m.scores([f"{t} good" for t in words.values()]) < 0.7).all()
+
+
+def test_context_sums_are_added_in_rounds(spark):
+    """As many rounds as it takes, with the same sums."""
+    rows = [(i, prose(i, 20)) for i in range(30)]
+    want = quality.context_vectors(docs(spark, rows).coalesce(1), "text", 3)
+    assert want.any() and (quality.context_vectors(docs(spark, rows).repartition(9), "text", 3, merged=2) == want).all()

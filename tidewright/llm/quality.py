@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,10 +94,14 @@ def add_context(sums: np.ndarray, ids: np.ndarray, index: np.ndarray, reach: int
         sums[here[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
 
 
-def context_vectors(docs: DataFrame, text_col: str, seed: int, slices: int = 64) -> np.ndarray:
+MERGED = 64  # sums that one task adds up at a time
+
+
+def context_vectors(docs: DataFrame, text_col: str, seed: int, slices: int = 64, merged: int = MERGED) -> np.ndarray:
     """The context sums of all buckets over all documents: each task adds up its own, and slices of them are added in Spark.
 
-    The result has ``BUCKETS`` rows whatever the number of documents is.
+    The sums of ``merged`` tasks are added at a time, in as many rounds as it takes, so what one task reads does not grow
+    with the number of tasks.  The result has ``BUCKETS`` rows whatever the number of documents is.
     """
     step = BUCKETS // slices
 
@@ -110,22 +115,32 @@ def context_vectors(docs: DataFrame, text_col: str, seed: int, slices: int = 64)
                     add_context(sums, np.concatenate([x for ids in both for x in (ids[k], gap)]), index)
                 some = True
         used = np.flatnonzero(sums[:BUCKETS].any(axis=1)) if some else np.empty(0, int)
+        part = TaskContext.get().partitionId()
         for i in np.unique(used // step).tolist():  # only buckets that the task met
             at = used[used // step == i]
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([(at % step).astype("<i4").tobytes()], pa.binary()), pa.array([sums[at].tobytes()], pa.binary())], names=["slice", "at", "sums"])
+            yield slice_of(i, part, at % step, sums[at])
+
+    def slice_of(i: int, part: int, at: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["slice", "part", "at", "sums"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for i, at, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                into = total.setdefault(i, np.zeros((step, WIDTH), np.int64))
+            for i, part, at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                into = total.setdefault((i, part), np.zeros((step, WIDTH), np.int64))
                 into[np.frombuffer(at.as_py(), "<i4")] += np.frombuffer(x.as_py(), np.int64).reshape(-1, WIDTH)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "sums"])
-
-    rows = docs.select(text_col).mapInArrow(run, "slice int, at binary, sums binary").repartition("slice").mapInArrow(added, "slice int, sums binary").collect()
+        for (i, part), x in total.items():
+            yield slice_of(i, part, np.arange(step), x)
+
+    schema = "slice int, part int, at binary, sums binary"
+    texts = docs.select(text_col)
+    groups, rows = texts.rdd.getNumPartitions(), texts.mapInArrow(run, schema)
+    while groups > 1:
+        groups = -(-groups // merged)
+        rows = rows.withColumn("part", F.col("part") % groups).repartition("slice", "part").mapInArrow(added, schema)
     out = np.zeros((BUCKETS, WIDTH), np.int64)
-    for r in rows:
-        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(bytes(r.sums), np.int64).reshape(step, WIDTH)
+    for r in rows.collect():
+        out[r["slice"] * step + np.frombuffer(bytes(r.at), "<i4")] += np.frombuffer(bytes(r.sums), np.int64).reshape(-1, WIDTH)
     return out
 
 
