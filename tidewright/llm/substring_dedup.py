@@ -253,23 +253,28 @@ def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], widt
     # Both joins with the texts read one shuffle of them, as they ask for the same columns; rows without an id are dealt by text.
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("k"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
 
+    proven = pa.list_(pa.struct([("sub", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("proof", pa.binary())]))
+
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What each asked path holds at its source, addressed to the document that asks."""
+        """What the asked paths hold at their source, a row for each document that asks."""
         place = len(carry) + 3
         for batch in batches:
-            out = []
+            askers, out = [], []
             for doc, text, asked in zip(batch.column(1), batch.column(2), batch.column(place), strict=True):
                 if doc.is_valid:
                     text = text.as_py() or ""
-                    own, words = text_key(text), WORDS.findall(text)
-                    out += [(a["doc"], a["sub"], a["at"], a["n"], d) for a in asked.as_py() if a["src_sub"] == own and (d := digest(words, a["src_at"], a["n"], width))]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc", "sub", "at", "n", "proof"])
+                    own, words, by_doc = text_key(text), WORDS.findall(text), {}
+                    for a in asked.as_py():
+                        if a["src_sub"] == own and (d := digest(words, a["src_at"], a["n"], width)):
+                            by_doc.setdefault(a["doc"], []).append({"sub": a["sub"], "at": a["at"], "n": a["n"], "proof": d})
+                    askers += by_doc
+                    out += by_doc.values()
+            yield pa.RecordBatch.from_arrays([pa.array(askers, pa.int64()), pa.array(out, proven)], names=["doc", "spans"])
 
     # A place of a source is asked for by the next documents that have its window, in its block and beyond: two, however many have it.
     asked = found.groupBy(F.col("src").alias("k")).agg(F.collect_list(F.struct("src_sub", "src_at", "n", "doc", "sub", "at")).alias("asked"))
-    proofs = texts.join(asked, "k").select(*texts.columns, "asked").mapInArrow(prove, "doc bigint, sub bigint, at int, n int, proof binary")
-    spans = proofs.groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("sub", "at", "n", "proof")).alias("spans"))
+    proofs = texts.join(asked, "k").select(*texts.columns, "asked").mapInArrow(prove, "doc bigint, spans array<struct<sub:bigint,at:int,n:int,proof:binary>>")
+    spans = proofs.groupBy(F.col("doc").alias("k")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return texts.join(spans, "k", "left_outer").select(*texts.columns, "spans")
 
 
