@@ -681,7 +681,7 @@ def search_sql(rounds: int = 5) -> str:
     parts.append(filtered_over("h", "e"))
     return f"with recursive s as ({LONG['nation_month'][1]}), {SQL_AXIS}, " + ",\n".join(parts) + """
 select series_id, cast(any_value(n) as bigint) as n, 0 as outcome, round(max(case when k = 1 then loglik end), 4) as loglik, round(max(case when k = 1 then tau end), 3) as tau, round(max(case when k = 1 then b0 end), 4) + 0.0::double as b0,
-  round(max(case when k = 1 then tau end) / sqrt((2 * max(case when k = 1 then loglik end) - max(case when k = 0 then loglik end) - max(case when k = 2 then loglik end)) / 0.0001::double), 3) as tau_err
+  round(max(case when k = 1 then tau end) / sqrt((2 * max(case when k = 1 then loglik end) - max(case when k = 0 then loglik end) - max(case when k = 2 then loglik end)) / 0.0001::double), 2) as tau_err
 from e_l group by series_id"""
 
 
@@ -690,7 +690,7 @@ def q58_correlated_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit of a correlated model with a free parameter: derivatives, steps, curvature and errors, against a refined grid in SQL."""
     a, packed = standard_packed(spark, sf_dir)
     fits = fitting.fit(packed, fitting.planned(a, ["constant"]), [f"white + matern12(sigma={FIXED_SIGMA}, rho={FIXED_RHO})"])
-    return fits.select("series_id", F.col("n").cast("long").alias("n"), "outcome", r("loglik", 4).alias("loglik"), r(F.col("theta")[0], 3).alias("tau"), (r(F.col("beta")[0], 4) + 0.0).alias("b0"), r(F.col("theta_err")[0], 3).alias("tau_err"))
+    return fits.select("series_id", F.col("n").cast("long").alias("n"), "outcome", r("loglik", 4).alias("loglik"), r(F.col("theta")[0], 3).alias("tau"), (r(F.col("beta")[0], 4) + 0.0).alias("b0"), r(F.col("theta_err")[0], 2).alias("tau_err"))
 
 
 SQL_FIELD = "select cast(c_nationkey as bigint) as series_id, cast(date_trunc('month', o_orderdate) as timestamp) as ts, sum(l_quantity) / 1e3::double as w from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1, 2"
