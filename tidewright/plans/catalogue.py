@@ -730,8 +730,11 @@ def q60_calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL_GRID + """, e as (select min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from pts),
 whole as (select a.y, b.x from e, unnest(range(e.y0, e.y1 + 1)) as a(y), unnest(range(e.x0, e.x1 + 1)) as b(x))
-select whole.y, whole.x, cast(0 as bigint) as n_missing, cast(1 as bigint) as n_extra from whole left join pts using (y, x) where series_id is null""")
+select whole.y // 16 as ty, whole.x // 16 as tx, count(*) as n_places, cast(0 as bigint) as n_missing, count(*) - count(series_id) as n_extra from whole left join pts using (y, x) group by 1, 2""")
 def q61_exact_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of whole tiles that no user is at: what keeps the tiles from an exact cover."""
+    """What keeps the tiles of the whole grid from being an exact cover of the places that users are at."""
     points = points_of(spark, sf_dir)
-    return grid.uncovered(grid.rectangles(points, 16), points)
+    tiles = grid.rectangles(points, 16)
+    odd = grid.tiled(grid.uncovered(tiles, points), 16).groupBy("ty", "tx").agg(F.sum("n_missing").alias("n_missing"), F.sum("n_extra").alias("n_extra"))
+    out = tiles.withColumn("n_places", (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))).join(odd, ["ty", "tx"], "left_outer")
+    return out.select("ty", "tx", "n_places", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_missing", "n_extra")))
