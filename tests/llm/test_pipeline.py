@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import corpus_pipeline as p
+import pyarrow as pa
 import pytest
 from helpers import prose
 from pyspark.sql import functions as F
 
-from tidewright.llm import ngram_join, quality
-from tidewright.llm.common import table
+from tidewright.llm import ngram_join, quality, substring_dedup
+from tidewright.llm.common import BATCH, in_small_batches, table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -89,3 +90,21 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.checkpointed(Frame())
+
+
+def test_texts_go_to_python_a_few_mb_at_a_time(spark):
+    rows = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))  # 30 MB
+    kept = quality.accepted(rows, quality.Model([], None), 0.5)
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    assert kept.count() == 300 and sizes.agg(F.max("n")).first()[0] < 5 << 20
+    spark.conf.set(BATCH, "8m")
+    assert in_small_batches(rows) is rows and spark.conf.get(BATCH) == "8m"  # the session's own bound stays
+    spark.conf.unset(BATCH)
+
+
+def test_results_leave_python_a_mb_at_a_time():
+    texts = [None, "", *(f"{i} " * 30_000 for i in range(40)), "long " * 500_000, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts), pa.array([None] * len(texts), pa.list_(pa.int64()))], names=["k", "doc", "text", "spans"])
+    out = list(substring_dedup.cut(iter([batch, batch.slice(0, 0)]), 13, lambda b, got: pa.RecordBatch.from_arrays([b.column(1), pa.array([g[2] for g in got], pa.string())], names=["doc", "kept"])))
+    assert [d for b in out for d in b.column(0).to_pylist()] == list(range(len(texts))) and [x for b in out for x in b.column(1).to_pylist()] == [" ".join((t or "").split()) for t in texts]
+    assert all(sum(len(x) for x in b.column(1).to_pylist()[1:]) <= 1 << 20 for b in out)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewright.llm.common import chunks
+from tidewright.llm.common import chunks, in_small_batches
 
 END, SPACE, BLANK, LETTER, SINGLE, R, V, ELL, E, NUMBER, QUOTE, OTHER = range(12)
 CLASSES = 12
@@ -265,4 +265,4 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             )
 
     kind, name = id_type(df, id_col)
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {name}, n_tokens bigint, ids_le binary, decoded binary")
+    return in_small_batches(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {name}, n_tokens bigint, ids_le binary, decoded binary")

@@ -41,6 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
 FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's bound of the bytes that go to Python at a time, its default, and what is taken in place of the default.
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands rows to Python a few MB at a time; a bound that the session has of its own stays.
+
+    By default a batch is 10,000 texts or 64 MB, of which an executor holds several outside the heap for each task.
+    """
+    if df.sparkSession.conf.get(BATCH) == BATCH_DEFAULT:
+        df.sparkSession.conf.set(BATCH, BATCH_BYTES)
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the folder that the cluster shares.
 
@@ -142,6 +156,17 @@ def chunks(batches: Iterator[pa.RecordBatch], most_chars: int = 1 << 20, third:
             yield given()
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut, without a copy, into runs of rows whose texts in ``column`` have ``most_bytes`` at most besides the first."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 64
+        starts = np.flatnonzero(np.diff((np.cumsum(size) - 1) // most_bytes, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WordHashes, checkpointed, chunks, mix, rolled
+from tidewright.llm.common import WordHashes, checkpointed, chunks, in_small_batches, mix, rolled
 from tidewright.llm.components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -145,7 +145,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     texts of documents have a similarity of ``threshold`` or more with this one's."""
     bands, rows = banding(threshold, recall)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key")).where(F.col("doc").isNotNull())
-    feats = checkpointed(docs.mapInArrow(lambda b: features(b, n, bands, rows), "doc bigint, key bigint, set binary, chars int, bands array<bigint>"))
+    feats = checkpointed(in_small_batches(docs).mapInArrow(lambda b: features(b, n, bands, rows), "doc bigint, key bigint, set binary, chars int, bands array<bigint>"))
     # A set is a node, known by its least document and the text that this one has it from.
     of_doc = checkpointed(feats.groupBy("set", "doc").agg(F.min(F.struct("key", "chars")).alias("one")))
     nodes = of_doc.where("set is not null").groupBy("set").agg(F.min(F.struct("doc", "one.key", "one.chars")).alias("first"), F.count("*").alias("many"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import LONGEST, chunks, held_out
+from tidewright.llm.common import LONGEST, chunks, held_out, in_small_batches
 from tidewright.llm.learning import Adam, calibration_part, sample, sigmoid, temperature
 
 SAMPLE = 5_000  # bound of the rows of each label that a fit uses
@@ -133,7 +133,7 @@ def context_vectors(docs: DataFrame, text_col: str, seed: int, slices: int = 64,
             yield slice_of(i, part, np.arange(step), x)
 
     schema = "slice int, part int, at binary, sums binary"
-    texts = docs.select(text_col)
+    texts = in_small_batches(docs.select(text_col))
     groups, rows = texts.rdd.getNumPartitions(), texts.mapInArrow(run, schema)
     while groups > 1:
         groups = -(-groups // merged)
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: object, cut: float, id_col: str = "doc_id", te
         for ids, texts in chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shared.value.scores(texts), pa.float64())], names=[id_col, "score"])
 
-    out = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} bigint, score double")
+    out = in_small_batches(docs.select(F.col(id_col).cast("long").alias(id_col), text_col)).mapInArrow(run, f"{id_col} bigint, score double")
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -269,8 +269,9 @@ def accepted(docs: DataFrame, model: object, cut: float, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["id", "text"])
-            keep = np.concatenate([np.empty(0, bool), *(shared.value.scores(t) >= cut for _, t in chunks([texts]))])
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            texts, done = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["id", "text"]), 0
+            for _, t in chunks([texts]):
+                yield batch.slice(done, len(t)).filter(pa.array(shared.value.scores(t) >= cut, pa.bool_()))
+                done += len(t)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

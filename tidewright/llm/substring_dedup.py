@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WordHashes, checkpointed, chunks, mix, rolled
+from tidewright.llm.common import WordHashes, checkpointed, chunks, in_small_batches, mix, pieces, rolled
 
 WIDTH, SEED = 13, 3
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -249,7 +249,7 @@ def kept_words(text: str | None, spans: list, width: int) -> tuple[int, int, str
 
 def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], width: int, seed: int) -> DataFrame:
     """(k, doc, text, carried ..., spans) of every row, spans as (sub, at, n, proof)."""
-    found = found_paths(df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), width, seed)
+    found = found_paths(in_small_batches(df).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), width, seed)
     # Both joins with the texts read one shuffle of them, as they ask for the same columns; rows without an id are dealt by text.
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("k"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
 
@@ -258,7 +258,7 @@ def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], widt
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What the asked paths hold at their source, a row for each document that asks."""
         place = len(carry) + 3
-        for batch in batches:
+        for batch in pieces(batches, 2):
             askers, out = [], []
             for doc, text, asked in zip(batch.column(1), batch.column(2), batch.column(place), strict=True):
                 if doc.is_valid:
@@ -279,7 +279,7 @@ def with_spans(df: DataFrame, id_col: str, text_col: str, carry: list[str], widt
 
 
 def cut(batches: Iterator[pa.RecordBatch], width: int, shape: Callable[[pa.RecordBatch, list[tuple]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 2):
         own = zip(batch.column(1), batch.column(2), batch.column(batch.num_columns - 1), strict=True)
         yield shape(batch, [kept_words(t.as_py(), (s.as_py() or []) if i.is_valid else [], width) for i, t, s in own])
 
