@@ -152,3 +152,18 @@ def test_context_sums_are_added_in_rounds(spark):
     rows = [(i, prose(i, 20)) for i in range(30)]
     want = quality.context_vectors(docs(spark, rows).coalesce(1), "text", 3)
     assert want.any() and (quality.context_vectors(docs(spark, rows).repartition(9), "text", 3, merged=2) == want).all()
+
+
+def test_frequent_tokens_stay_remembered_and_short_ways_agree(monkeypatch):
+    monkeypatch.setattr(quality, "MOST_KNOWN", 100)
+    quality.KNOWN.clear()
+    often = [f"word{i}" for i in range(50)]
+    quality.ids_of(" ".join(often + [f"rare{i}" for i in range(250)]))
+    assert set(often) <= set(quality.KNOWN) and len(quality.KNOWN) <= 100
+    for i in range(1000):
+        quality.token_ids(f"other{i}")
+    assert len(quality.KNOWN) <= 100 and "word0" not in quality.KNOWN  # another kind of text is learned in its turn
+    for t in ("small", "small,", "Capital", "Capital.", "Éa", "ǅa", "İx", "aΣ", "AB", "a.b", "x9", "...", ".", "A", "1,5", "ñandú?", "中文", "a_b", "Aa" * 50):
+        shape = quality.CAPITALS.sub("X", quality.SMALL.sub("x", quality.DIGITS.sub("9", t)))
+        word = quality.MARKS.sub("", t.lower()) or t
+        assert quality.token_ids(t) == quality.hashed(word) % quality.BUCKETS | quality.hashed(f"{shape} {len(t) // 3}", 1) % quality.BUCKETS << 32

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest as hashed
 
 from tidewright.llm.common import LONGEST, chunks, held_out, in_small_batches
 from tidewright.llm.learning import Adam, calibration_part, sample, sigmoid, temperature
@@ -31,19 +32,36 @@ CUT = 0.5
 BUCKETS, WIDTH, HIDDEN = 1 << 15, 48, 32
 BLANK = re.compile(r"\s")
 DIGITS, SMALL, CAPITALS, MARKS = re.compile(r"\d+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\W+")
-KNOWN, MOST_KNOWN = {}, 1 << 17  # what a worker remembers of tokens, and its bound
+ENDINGS = ".,;:!?"
+KNOWN, MISSED, MOST_KNOWN = {}, [0], 1 << 17  # what a worker remembers of tokens, how many it met since it is full, and its bound
 
 
-def token_ids(token: str) -> int:
-    """The buckets of a token's word and, above it, of its shape."""
-    import xxhash
+@lru_cache(1 << 12)
+def shape_bucket(shape: str, length: int) -> int:
+    return hashed(f"{shape} {length}", 1) % BUCKETS
+
 
+def bucket_pair(token: str) -> int:
+    """The buckets of a token's word (lower-case, without marks) and, above it, of its shape."""
+    core, mark = (token[:-1], token[-1]) if token[-1] in ENDINGS else (token, "")
+    if core.islower() and core.isalpha():  # most tokens are small letters, or with a mark behind: what is below gives the same for them
+        return hashed(core) % BUCKETS | shape_bucket("x" + mark, len(token) // 3) << 32
+    if core.isalpha() and "A" <= core[0] <= "Z" and core[1:].islower():
+        return hashed(core.lower()) % BUCKETS | shape_bucket("Xx" + mark, len(token) // 3) << 32
     shape = CAPITALS.sub("X", SMALL.sub("x", DIGITS.sub("9", token)))
-    word = MARKS.sub("", token.lower()) or token
-    ids = xxhash.xxh3_64_intdigest(word) % BUCKETS | xxhash.xxh3_64_intdigest(f"{shape} {len(token) // 3}", 1) % BUCKETS << 32
-    if len(token) <= LONGEST:
-        if len(KNOWN) >= MOST_KNOWN:
+    bucket = shape_bucket if len(shape) <= LONGEST else shape_bucket.__wrapped__
+    return hashed(MARKS.sub("", token.lower()) or token) % BUCKETS | bucket(shape, len(token) // 3) << 32
+
+
+def token_ids(token: str) -> int:
+    """The buckets of a token's word and shape, remembered while there is room; when much was not known, all is learned anew."""
+    ids = bucket_pair(token)
+    if len(KNOWN) >= MOST_KNOWN:
+        MISSED[0] += 1
+        if MISSED[0] >= 4 * MOST_KNOWN:
+            MISSED[0] = 0
             KNOWN.clear()
+    elif len(token) <= LONGEST:
         KNOWN[token] = ids
     return ids
 
